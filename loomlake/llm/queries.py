@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import chat_format, exact_dedup, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_sharding": sharding.op4_sharding,
+    "op5_quality": quality.op5_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
-SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL}
+SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op10_chat_format": chat_format.OP10_SQL}

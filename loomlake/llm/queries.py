@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing, quality, sharding, toxicity
+from . import bpe, chat_format, exact_dedup, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_bpe": bpe.op3_bpe,
     "op4_sharding": sharding.op4_sharding,
     "op5_quality": quality.op5_quality,
     "op7_toxicity": toxicity.op7_toxicity,

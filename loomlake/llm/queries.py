@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, mixing, quality, sharding, toxicity
+from . import bpe, chat_format, exact_dedup, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_sharding": sharding.op4_sharding,
     "op5_quality": quality.op5_quality,
+    "op6_simhash": simhash.op6_simhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op10_chat_format": chat_format.op10_chat_format,
 }

@@ -147,9 +147,15 @@ class Codec:
                 least, room = r.least, room - r.c
             if bins[0].c > self.frequent:
                 least = bins[0].least + (1 << 62)
-        top = words.where(F.col("n") >= least).select("word", "ids").toPandas()  # at most `frequent` rows
-        blob, ends = b"".join(top["ids"]), np.cumsum(top["ids"].map(len).to_numpy(np.int64)) if len(top) else np.zeros(0, np.int64)
-        return self.spark.sparkContext.broadcast(("\n".join(top["word"]), blob, ends)), int(least)
+
+        def packed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                yield pd.DataFrame({"words": ["\n".join(pdf["word"])], "ids": [b"".join(pdf["ids"])], "ends": [pdf["ids"].map(len).to_numpy(np.int32).tobytes()]})
+
+        # at most `frequent` words, packed by the tasks so that the driver holds bytes, not rows
+        top = words.where(F.col("n") >= least).select("word", "ids").mapInPandas(packed, "words string, ids binary, ends binary").collect()
+        lens = np.frombuffer(b"".join(bytes(r.ends) for r in top), np.int32)
+        return self.spark.sparkContext.broadcast(("\n".join(r.words for r in top), b"".join(bytes(r.ids) for r in top), np.cumsum(lens, dtype=np.int64))), int(least)
 
     def encoded(self, docs: DataFrame, finish: Callable[[Model], Callable], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """finish(model)(id, packed ids) for every document, as rows of schema.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embed_dedup, exact_dedup, mixing, quality, sharding, simhash, toxicity
+from . import bpe, chat_format, embed_dedup, exact_dedup, mixing, passage_dedup, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_suffix_dedup": passage_dedup.op8_suffix_dedup,
     "op9_embed_dedup": embed_dedup.op9_embed_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
 }

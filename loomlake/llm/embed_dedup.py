@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded, components, cut, small_batches
 
-THRESHOLD, TREES, MARGIN = 0.9, 4, 0.75
+THRESHOLD, TREES, MARGIN = 0.9, 3, 0.5
 #: Vectors a leaf should hold; the most that trees are grown on; the most leaves of a tree; the most vectors compared in one task.
-LEAF, SAMPLE, LEAVES, BLOCK = 768, 30_000, 4096, 3000
+LEAF, SAMPLE, LEAVES, BLOCK = 1536, 30_000, 4096, 4000
 
 
 def grow(sample: np.ndarray, leaves: int, threshold: float, rng: np.random.Generator) -> list:
@@ -153,7 +153,7 @@ def classes(rows: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id",
             u, rng = unit(sorted(s)), np.random.default_rng(11)
             forests[d] = [grow(u, leaves, threshold, rng) for _ in range(trees)]
     forest = spark.sparkContext.broadcast(forests)
-    typ = dict(kinds.dtypes)["__v"]
+    raw = "<f4" if dict(kinds.dtypes)["__v"] == "array<float>" else "<f8"
 
     def routed(pdf: pd.DataFrame):
         for d, part in pdf.groupby(pdf["__v"].map(len)):
@@ -171,24 +171,27 @@ def classes(rows: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id",
 
     def deal(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
             for d, part, cs in routed(pdf):
-                for c, n, vec, mine in zip(part["c"], part["n"], part["__v"], cs):
-                    for leaf in mine:
-                        g = split.value.get((d, leaf), 1)
-                        b = int(c) * 2654435761 % (1 << 32) % g
-                        out += [(d, leaf, min(b, o), max(b, o), b, c, n, vec, mine) for o in range(g)]
-            if out:
-                yield pd.DataFrame(out, columns=["d", "leaf", "lo", "hi", "block", "c", "n", "v", "mine"])
+                part = part[["c", "n"]].assign(v=[np.asarray(v, raw).tobytes() for v in part["__v"]], mine=cs)
+                leaf = np.array([x for m in cs for x in m], np.int64)
+                at = np.repeat(np.arange(len(cs)), [len(m) for m in cs])
+                c = part["c"].to_numpy(np.int64)[at]
+                g = np.array([split.value.get((d, x), 1) for x in leaf.tolist()], np.int64)
+                block = c * 2654435761 % (1 << 32) % g
+                copy = np.repeat(np.arange(len(at)), g)
+                other = np.arange(len(copy)) - np.repeat(np.cumsum(g) - g, g)
+                own = block[copy]
+                yield part.iloc[at[copy]].assign(d=d, leaf=leaf[copy], lo=np.minimum(own, other), hi=np.maximum(own, other), block=own)[["d", "leaf", "lo", "hi", "block", "c", "n", "v", "mine"]]
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf["c"].to_numpy()
-        links, spans = compare(unit(pdf["v"]), pdf["n"].to_numpy(), pdf["block"].to_numpy(), [list(m) for m in pdf["mine"]], int(pdf["leaf"].iloc[0]), threshold)
+        v = np.frombuffer(b"".join(map(bytes, pdf["v"])), raw).reshape(len(pdf), -1).astype(np.float64)
+        links, spans = compare(v / np.linalg.norm(v, axis=1, keepdims=True), pdf["n"].to_numpy(), pdf["block"].to_numpy(), [list(m) for m in pdf["mine"]], int(pdf["leaf"].iloc[0]), threshold)
         hit = np.flatnonzero(links)
         out = [(int(c[i]), int(links[i]), None) for i in hit] + [(int(c[i]), 0, int(c[r])) for i, r in spans]
         return pd.DataFrame(out, columns=["c", "links", "to"]).astype({"c": "int64", "links": "int64", "to": "Int64"})
 
-    pairs = kinds.select("__v", "c", "n").mapInPandas(deal, f"d int, leaf long, lo int, hi int, block int, c long, n long, v {typ}, mine array<int>")
+    pairs = kinds.select("__v", "c", "n").mapInPandas(deal, "d int, leaf long, lo int, hi int, block int, c long, n long, v binary, mine array<int>")
     found = cut(pairs.groupBy("d", "leaf", "lo", "hi").applyInPandas(within, "c long, links long, to long"), "found")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     of = cut(components(found.where("to is not null").select(F.col("c").alias("a"), F.col("to").alias("b"))), "classes")

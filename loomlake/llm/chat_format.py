@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded, cut, small_batches
 
-PACK = 256
+PACK = 64
 PACKS = "sequence string, starts array<int>, ends array<int>, parents array<int>, positions array<int>, ancestors array<array<int>>, loss array<array<int>>, conv_ids array<long>, leaves array<int>"
 _TEXT = re.compile(r"\\|###|</turn>")
 _ROLE = re.compile(r"\\|###|</turn>|:")
-_TURN = re.compile(r"### ((?:\\.|[^\\:])*):\n((?:\\.|[^\\])*?)</turn>\n", re.S)
+_HEAD = re.compile(r"### ((?:\\.|[^\\:])*):\n", re.S)
 _BACK = re.compile(r"\\(.)", re.S)
 
 
@@ -42,12 +42,21 @@ def segment(role: str, text: str) -> tuple[str, int, int]:
 
 
 def unescape(s: str) -> str:
-    return _BACK.sub(r"\1", s)
+    return _BACK.sub(r"\1", s) if "\\" in s else s
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn of a formatted conversation."""
-    return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
+    out, own = [], ""
+    for part in formatted.split("</turn>\n")[:-1]:
+        own += part
+        if (len(own) - len(own.rstrip("\\"))) % 2:  # the mark belongs to the text
+            own += "</turn>\n"
+            continue
+        head = _HEAD.match(own)
+        out.append((unescape(head[1]), unescape(own[head.end() :])))
+        own = ""
+    return out
 
 
 def pack(convs: list[tuple[int, list[tuple[str, str]]]]) -> dict:

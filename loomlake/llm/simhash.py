@@ -206,7 +206,7 @@ def links(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def classes(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(__fp, component_id) of every distinct fingerprint of rows (id, __fp)."""
+    """(__fp, __root, component_id) of every distinct fingerprint of rows (id, __fp): its class by fingerprint and by id."""
     spark = rows.sparkSession
     small_batches(spark, 10_000)
     distinct = cut(rows.groupBy("__fp").agg(F.min(id_col).alias("least")), "fingerprints")
@@ -234,8 +234,8 @@ def classes(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     of = cut(components(found), "classes")
     named = of.join(distinct, F.col("node") == F.col("__fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = cut(named.join(bounded(cut(least, "least"), 200_000), "root").select("__fp", "component_id"), "linked")
-    return cut(distinct.join(bounded(linked, 200_000), "__fp", "left").select("__fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    linked = cut(named.join(bounded(cut(least, "least"), 200_000), "root").select("__fp", F.col("root").alias("__root"), "component_id"), "linked")
+    return cut(distinct.join(bounded(linked, 200_000), "__fp", "left").select("__fp", F.coalesce("__root", "__fp").alias("__root"), F.coalesce("component_id", "least").alias("component_id")), "classes")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,6 +255,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = flat.join(bounded(stay, 1_000_000), F.col(i).eqNullSafe(F.col("__stay")))
     if stay.where("__n > 1").limit(1).count():
         # an id that several rows have: only those whose own class it names stay, one for each class
-        again = fingerprints(out.where("__n > 1"), text_col=t).join(of, "__fp").where(F.col(i).eqNullSafe(F.col("component_id"))).dropDuplicates(["component_id"])
+        again = fingerprints(out.where("__n > 1"), text_col=t).join(of, "__fp").where(F.col(i).eqNullSafe(F.col("component_id"))).dropDuplicates(["__root"])
         out = out.where("__n = 1").select(*names).unionByName(again.select(*names))
     return out.select(*names).toDF(*docs.columns)

@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 from pathlib import Path
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ from .common import cut, documents, small_batches
 FREQUENT = 700_000
 #: Distinct words a task counts before it hands them on.
 FLUSH_WORDS = 400_000
+#: The distinct words are merged in so many parts at most.
+MOST_BUCKETS = 4096
 _FAR = re.compile("[̀-\U0010ffff]")
 _loaded: dict[str, object] = {}
 
@@ -115,24 +118,41 @@ class Codec:
         """Every distinct word with its count and its ids (packed), encoded once."""
         get = self.model()
 
+        buckets = min(MOST_BUCKETS, 4 * docs.rdd.getNumPartitions())
+
+        def packed(seen: Counter) -> pd.DataFrame:
+            # sorted words compress to a few bytes each; a row per bucket instead of a row per word
+            words = sorted(seen)
+            of = np.array([crc32(w.encode()) % buckets for w in words], np.int32)
+            order = np.argsort(of, kind="stable")
+            cuts = np.flatnonzero(np.diff(of[order])) + 1
+            out = []
+            for part in np.split(order, cuts):
+                own = [words[i] for i in part.tolist()]
+                n = np.array([seen[w] for w in own], "<i8")
+                out.append((int(of[part[0]]), compress("\n".join(own).encode(), 1), compress(n.tobytes(), 1)))
+            return pd.DataFrame(out, columns=["bucket", "words", "n"])
+
         def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words, seen = get().words, Counter()
             for pdf in it:
                 for text in pdf["t"]:
                     seen.update(words(text))
                     if len(seen) > FLUSH_WORDS:
-                        yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+                        yield packed(seen)
                         seen.clear()
             if seen:
-                yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+                yield packed(seen)
 
-        def encode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m = get()
-            for pdf in it:
-                yield pdf.assign(ids=[m.encode_word(w) for w in pdf["word"]])
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            m, seen = get(), {}
+            for words, n in zip(pdf["words"], pdf["n"]):
+                for w, c in zip(decompress(words).decode().split("\n"), np.frombuffer(decompress(n), "<i8").tolist()):
+                    seen[w] = seen.get(w, 0) + c
+            return pd.DataFrame({"word": list(seen), "n": list(seen.values()), "ids": [m.encode_word(w) for w in seen]})
 
-        found = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        return cut(found.mapInPandas(encode, "word string, n long, ids binary"), "words")
+        found = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "bucket int, words binary, n binary")
+        return cut(found.groupBy("bucket").applyInPandas(merge, "word string, n long, ids binary"), "words")
 
     def lookup(self, words: DataFrame):
         """The commonest words as a broadcast of bounded size, and the least count of a word in it (0: all are)."""
@@ -215,7 +235,7 @@ class Codec:
                                 at.append(size // width)
                                 a = p + 1
                         got = [*parts, *got[a:]]
-                    blobs.append(b"".join(got))
+                    blobs.append(compress(b"".join(got), 1))
                     holes.append(at)
                 yield pd.DataFrame({"id": pdf["id"], "k": pdf["k"], "ids": blobs, "holes": holes})
 
@@ -223,7 +243,7 @@ class Codec:
             done = finish(get())
             for pdf in it:
                 out = []
-                for i, ids, holes, got in zip(pdf["id"], pdf["ids"], pdf["holes"], pdf["got"]):
+                for i, ids, holes, got in zip(pdf["id"], map(decompress, pdf["ids"]), pdf["holes"], pdf["got"]):
                     if len(holes):
                         by_pos = {g["pos"]: g["ids"] for g in got}  # rows that repeat found the same words twice
                         parts, a = [], 0

@@ -28,7 +28,7 @@ from .labelled import fold, sample, texts
 
 DIM, BUCKETS, NGRAMS = 16, 1 << 18, (3, 4)
 EPOCHS, RATE = 16, 0.6
-TRAIN_ROWS, TRAIN_BYTES = 5000, 32 << 20
+TRAIN_ROWS, TRAIN_BYTES = 3000, 16 << 20
 FOLDS, HELD, CUT = 4, 2, 0.7
 #: Bucket of the pair of a word and itself.
 PAIR = 8  # times it counts: about as much as a word with its n-grams
@@ -51,17 +51,19 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, b = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    known: dict[str, list[int]] = {}
+    known: dict[str, np.ndarray] = {}
     bags = []
     for text, y in rows:
-        ids: list[int] = []
         words = text.split()
+        parts = []
+        if len(known) > 50_000:
+            known.clear()
         for word in words:
             if (f := known.get(word)) is None:
-                f = known[word] = features(word)
-            ids += f
-        ids += [TWICE] * (PAIR * sum(map(eq, words, words[1:])))
-        u, n = np.unique(np.array(ids, np.int32), return_counts=True)
+                f = known[word] = np.array(features(word), np.int32)
+            parts.append(f)
+        parts.append(np.full(PAIR * sum(map(eq, words, words[1:])), TWICE, np.int32))
+        u, n = np.unique(np.concatenate(parts), return_counts=True)
         bags.append((u, (n / max(1, n.sum())).astype(np.float32), y))
     del known
     steps, t = max(1, epochs * len(bags)), 0

@@ -20,6 +20,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from itertools import repeat
 from pathlib import Path
 from zlib import compress, crc32, decompress
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut, documents, small_batches
 
 #: Words whose ids every worker holds (some 200 bytes each there).
-FREQUENT = 700_000
+FREQUENT = 1_200_000
 #: Distinct words a task counts before it hands them on.
 FLUSH_WORDS = 400_000
 #: The distinct words are merged in so many parts at most.
@@ -170,12 +171,20 @@ class Codec:
 
         def packed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
-                yield pd.DataFrame({"words": ["\n".join(pdf["word"])], "ids": [b"".join(pdf["ids"])], "ends": [pdf["ids"].map(len).to_numpy(np.int32).tobytes()]})
+                yield pd.DataFrame({"words": ["\n".join(pdf["word"])], "ids": [b"".join(pdf["ids"])], "lens": [pdf["ids"].map(len).to_numpy(np.int32).tobytes()], "ns": [pdf["n"].to_numpy(np.int64).tobytes()]})
 
         # at most `frequent` words, packed by the tasks so that the driver holds bytes, not rows
-        top = words.where(F.col("n") >= least).select("word", "ids").mapInPandas(packed, "words string, ids binary, ends binary").collect()
-        lens = np.frombuffer(b"".join(bytes(r.ends) for r in top), np.int32)
-        return self.spark.sparkContext.broadcast(("\n".join(r.words for r in top), b"".join(bytes(r.ids) for r in top), np.cumsum(lens, dtype=np.int64))), int(least)
+        top = words.where(F.col("n") >= least).select("word", "ids", "n").mapInPandas(packed, "words string, ids binary, lens binary, ns binary").collect()
+        width = np.dtype(self.dtype).itemsize
+        lens = np.frombuffer(b"".join(bytes(r.lens) for r in top), np.int32)
+        order = np.argsort(-np.frombuffer(b"".join(bytes(r.ns) for r in top), np.int64), kind="stable")
+        all_words = [w for r in top for w in r.words.split("\n")]
+        blob, ends = b"".join(bytes(r.ids) for r in top), np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
+        del top
+        text = "\n".join([all_words[i] for i in order.tolist()])
+        del all_words
+        packed_ids = b"".join([blob[ends[i] : ends[i + 1]] for i in order.tolist()])
+        return self.spark.sparkContext.broadcast((text, packed_ids, np.concatenate(([0], np.cumsum(lens[order], dtype=np.int64))) // width)), int(least)
 
     def encoded(self, docs: DataFrame, finish: Callable[[Model], Callable], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """finish(model)(id, packed ids) for every document, as rows of schema.
@@ -188,77 +197,82 @@ class Codec:
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
         names = [x.split()[0] for x in schema.split(", ")]
 
-        def known() -> dict[str, bytes]:
+        def known() -> dict[str, int]:
+            """The place of each frequent word in the table, commonest first."""
             if key not in _loaded:
-                text, blob, ends = table.value
-                starts = [0, *ends.tolist()]
-                _loaded[key] = {w: blob[starts[i] : starts[i + 1]] for i, w in enumerate(text.split("\n"))} if len(ends) else {}
+                text = table.value[0]
+                _loaded[key] = {w: i for i, w in enumerate(text.split("\n"))} if len(table.value[2]) > 1 else {}
             return _loaded[key]
 
+        def places(words: list[str], of: dict[str, int]) -> np.ndarray:
+            return np.fromiter(map(of.get, words, repeat(-1)), np.int32, len(words))
+
+        def gather(at: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of the words at these places, one after the other, and where each word's ids end."""
+            n = ends[at + 1] - ends[at]
+            stop = np.cumsum(n)
+            return flat[np.repeat(ends[at] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)], stop
+
+        def tables(m: Model) -> tuple[np.ndarray, np.ndarray]:
+            return np.frombuffer(table.value[1], m.dtype), table.value[2]
+
         if not least:
             def here(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                m, of = get(), known().__getitem__
-                done = finish(m)
+                m, of = get(), known()
+                done, flat = finish(m), tables(m)
                 for pdf in it:
-                    yield pd.DataFrame([done(i, b"".join(map(of, m.words(t)))) for i, t in zip(pdf["id"], pdf["t"])], columns=names)
+                    yield pd.DataFrame([done(i, gather(places(m.words(t), of), *flat)[0].tobytes()) for i, t in zip(pdf["id"], pdf["t"])], columns=names)
 
             return rows.mapInPandas(here, schema)
 
         rows = rows.withColumn("k", F.xxhash64("id", "t"))
-        width = np.dtype(self.dtype).itemsize
 
         def rare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m, of = get(), known()
             for pdf in it:
                 ks, ps, ws = [], [], []
                 for k, t in zip(pdf["k"], pdf["t"]):
-                    for p, w in enumerate(m.words(t)):
-                        if w not in of:
-                            ks.append(k)
-                            ps.append(p)
-                            ws.append(w)
+                    words = m.words(t)
+                    at = np.flatnonzero(places(words, of) < 0).tolist()
+                    ks += [k] * len(at)
+                    ps += at
+                    ws += [words[p] for p in at]
                 if ks:
                     yield pd.DataFrame({"k": np.array(ks, np.int64), "pos": np.array(ps, np.int32), "word": ws})
 
         def frame(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m, of = get(), known().get
+            # words as places in the table, a plane for each of three bytes: the upper ones are mostly zero and compress; all ones stand for a rare word
+            m, of = get(), known()
             for pdf in it:
-                blobs, holes = [], []
-                for t in pdf["t"]:
-                    got, at = list(map(of, m.words(t))), []
-                    if None in got:
-                        size, parts, a = 0, [], 0
-                        for p, v in enumerate(got):
-                            if v is None:
-                                parts.append(seg := b"".join(got[a:p]))
-                                size += len(seg)
-                                at.append(size // width)
-                                a = p + 1
-                        got = [*parts, *got[a:]]
-                    blobs.append(compress(b"".join(got), 1))
-                    holes.append(at)
-                yield pd.DataFrame({"id": pdf["id"], "k": pdf["k"], "ids": blobs, "holes": holes})
+                yield pd.DataFrame({"id": pdf["id"], "k": pdf["k"], "at": [places(m.words(t), of).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() for t in pdf["t"]]})
 
         def fill(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            done = finish(get())
+            m = get()
+            done, (flat, ends) = finish(m), tables(m)
             for pdf in it:
                 out = []
-                for i, ids, holes, got in zip(pdf["id"], map(decompress, pdf["ids"]), pdf["holes"], pdf["got"]):
+                for i, planes, got in zip(pdf["id"], pdf["at"], pdf["got"]):
+                    low = np.frombuffer(planes, np.uint8).reshape(3, -1)
+                    at = low[0].astype(np.int32) | low[1].astype(np.int32) << 8 | low[2].astype(np.int32) << 16
+                    holes = np.flatnonzero(at == 0xFFFFFF)
                     if len(holes):
                         by_pos = {g["pos"]: g["ids"] for g in got}  # rows that repeat found the same words twice
+                        at[holes] = len(ends) - 1  # the place of no ids
+                        ids, stop = gather(at, flat, np.append(ends, ends[-1]))
                         parts, a = [], 0
-                        for h, p in zip(holes, sorted(by_pos)):
-                            parts += [ids[a * width : h * width], by_pos[p]]
-                            a = h
-                        ids = b"".join([*parts, ids[a * width :]])
-                    out.append(done(i, ids))
+                        for p, b in zip(holes.tolist(), stop[holes].tolist()):
+                            parts += [ids[a:b].tobytes(), by_pos[p]]
+                            a = b
+                        out.append(done(i, b"".join([*parts, ids[a:].tobytes()])))
+                    else:
+                        out.append(done(i, gather(at, flat, ends)[0].tobytes()))
                 yield pd.DataFrame(out, columns=names)
 
         found = rows.select("k", "t").mapInPandas(rare, "k long, pos int, word string").join(words.where(F.col("n") < least).select("word", "ids"), "word")
         found = found.groupBy("k").agg(F.collect_list(F.struct("pos", "ids")).alias("got"))
         idt = dict(docs.dtypes)[id_col]
-        frames = rows.mapInPandas(frame, f"id {idt}, k long, ids binary, holes array<int>")
-        return frames.join(found, "k", "left").select("id", "ids", "holes", "got").mapInPandas(fill, schema)
+        frames = rows.mapInPandas(frame, f"id {idt}, k long, at binary")
+        return frames.join(found, "k", "left").select("id", "at", "got").mapInPandas(fill, schema)
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, ids): the ids of every whole text."""

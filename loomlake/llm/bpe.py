@@ -29,16 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, small_batches
+from .common import cut, documents, small_batches, worker_cache
 
 #: Words whose ids every worker holds (some 200 bytes each there).
-FREQUENT = 1_200_000
+FREQUENT = 1_000_000
 #: Distinct words a task counts before it hands them on.
 FLUSH_WORDS = 400_000
 #: The distinct words are merged in so many parts at most.
 MOST_BUCKETS = 4096
 _FAR = re.compile("[̀-\U0010ffff]")
-_loaded: dict[str, object] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -109,9 +108,10 @@ class Codec:
         spec, key = self.spec, self.key
 
         def get() -> Model:
-            if key not in _loaded:
-                _loaded[key] = Model(spec.value)
-            return _loaded[key]
+            kept = worker_cache(key)
+            if "model" not in kept:
+                kept["model"] = Model(spec.value)
+            return kept["model"]
 
         return get
 
@@ -191,7 +191,7 @@ class Codec:
 
         finish works in the task that completes the ids, so that these need not travel further.
         """
-        get, key = self.model(), uuid.uuid4().hex
+        get, key, table_key = self.model(), self.key, uuid.uuid4().hex
         words = self.word_table(docs, text_col)
         table, least = self.lookup(words)
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -199,10 +199,11 @@ class Codec:
 
         def known() -> dict[str, int]:
             """The place of each frequent word in the table, commonest first."""
-            if key not in _loaded:
+            kept = worker_cache(key)
+            if table_key not in kept:
                 text = table.value[0]
-                _loaded[key] = {w: i for i, w in enumerate(text.split("\n"))} if len(table.value[2]) > 1 else {}
-            return _loaded[key]
+                kept[table_key] = {w: i for i, w in enumerate(text.split("\n"))} if len(table.value[2]) > 1 else {}
+            return kept[table_key]
 
         def places(words: list[str], of: dict[str, int]) -> np.ndarray:
             return np.fromiter(map(of.get, words, repeat(-1)), np.int32, len(words))

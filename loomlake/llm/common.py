@@ -58,6 +58,17 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_cache: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps between the tasks of one owner; whatever another owner kept is let go, so a reused worker holds one operator's tables at a time."""
+    if owner not in _cache:
+        _cache.clear()
+        _cache[owner] = {}
+    return _cache[owner]
+
+
 def bounded(df: DataFrame, most: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else the planner chooses a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

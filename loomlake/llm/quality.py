@@ -14,6 +14,7 @@ never labelled.  Repeated rows score alike; further columns of the input do not
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from operator import eq
 from zlib import crc32
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, small_batches, worker_cache
 from .labelled import fold, sample, texts
 
 DIM, BUCKETS, NGRAMS = 16, 1 << 18, (3, 4)
@@ -34,7 +35,7 @@ FOLDS, HELD, CUT = 4, 2, 0.7
 PAIR = 8  # times it counts: about as much as a word with its n-grams
 TWICE = crc32(b"<twice>") % BUCKETS
 #: Words whose numbers a worker keeps; when full it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def features(word: str) -> list[int]:
@@ -98,9 +99,6 @@ class _Words(dict):
         return v
 
 
-_models: dict[int, _Words] = {}
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, int]:
     rows = texts(docs, sample(labels, "quality", FOLDS, HELD, TRAIN_ROWS), TRAIN_BYTES)
     table, bias = train(rows)
@@ -111,14 +109,14 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float, int], text_col: str
     """docs with __score: probability of label 1."""
     spark = docs.sparkSession
     small_batches(spark)
-    table, bias = spark.sparkContext.broadcast(model[0]), model[1]
+    table, bias, key = spark.sparkContext.broadcast(model[0]), model[1], uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def score(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if id(table.value) not in _models:
-            _models.clear()
-            _models[id(table.value)] = _Words(table.value)
-        of, twice = _models[id(table.value)].__getitem__, PAIR * complex(float(table.value[TWICE]), 1)
+        kept = worker_cache(key)
+        if "words" not in kept:
+            kept["words"] = _Words(table.value)
+        of, twice = kept["words"].__getitem__, PAIR * complex(float(table.value[TWICE]), 1)
         for s in it:
             out = np.empty(len(s))
             for i, text in enumerate(s):

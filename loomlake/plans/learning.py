@@ -210,12 +210,20 @@ def _(t: Tables):
     return L.sft(pairs(t)).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-TURNS = "t AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM messages), a AS (SELECT * FROM t WHERE turn_no > 0 AND role = 'assistant'), b AS (SELECT conv_id, turn_no, coalesce(arg_min(content, turn) FILTER (WHERE rating BETWEEN 1 AND 2), arg_min(content, turn) FILTER (WHERE rating IS NULL)) AS rejected FROM a GROUP BY 1, 2)"
+TURNS = "t AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS turn_no FROM messages), a AS (SELECT * FROM t WHERE turn_no > 0 AND role = 'assistant'), b AS (SELECT conv_id, turn_no, coalesce(arg_min(content, turn) FILTER (WHERE rating BETWEEN 1 AND 2), arg_min(content, turn) FILTER (WHERE rating IS NULL)) AS rejected FROM a GROUP BY 1, 2)"
 
 
-@query("jn11_preferred_rejected", "WITH " + TURNS + " SELECT a.conv_id, a.turn_no, a.turn, a.content AS chosen, b.rejected FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn_no = b.turn_no WHERE a.rating >= 4 AND b.rejected IS NOT NULL")
+def merged_turns(t: Tables):
+    """Two conversations read as one, so that a turn has several answers."""
+    return R.turns(t.messages.where("role <> 'user' or conv_id % 2 = 0").withColumn("turn", F.col("turn") * 2 + F.col("conv_id") % 2).withColumn("conv_id", F.floor(F.col("conv_id") / 2)))
+
+
+MERGED = TURNS.replace("FROM messages)", "FROM (SELECT conv_id // 2 AS conv_id, turn * 2 + conv_id % 2 AS turn, role, content, rating FROM messages WHERE role <> 'user' OR conv_id % 2 = 0))")
+
+
+@query("jn11_preferred_rejected", "WITH " + MERGED + " SELECT a.conv_id, a.turn_no, a.turn, a.content AS chosen, b.rejected FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn_no = b.turn_no WHERE a.rating >= 4 AND b.rejected IS NOT NULL")
 def _(t: Tables):
-    return L.turn_pairs(R.turns(t.messages))
+    return L.turn_pairs(merged_turns(t))
 
 
 @query("jn12_accepted_rejected", "SELECT a.question_id, a.id AS chosen, b.id AS rejected FROM answers a JOIN answers b ON a.question_id = b.question_id WHERE a.is_accepted AND NOT b.is_accepted")
@@ -231,9 +239,9 @@ def _(t: Tables):
     return u.where("turn = 0").join(praised, "q").select("conv_id", "answer")
 
 
-@query("ds02_dpo_builder", "WITH " + TURNS + " SELECT 'turn' AS origin, a.conv_id AS key, a.content AS chosen, b.rejected FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn_no = b.turn_no WHERE a.rating >= 4 AND b.rejected IS NOT NULL UNION ALL SELECT 'answer', x.question_id, x.content, y.content FROM answers x JOIN answers y ON x.question_id = y.question_id WHERE x.is_accepted AND NOT y.is_accepted AND x.question_id < 200")
+@query("ds02_dpo_builder", "WITH " + MERGED + " SELECT 'turn' AS origin, a.conv_id AS key, a.content AS chosen, b.rejected FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn_no = b.turn_no WHERE a.rating >= 4 AND b.rejected IS NOT NULL UNION ALL SELECT 'answer', x.question_id, x.content, y.content FROM answers x JOIN answers y ON x.question_id = y.question_id WHERE x.is_accepted AND NOT y.is_accepted AND x.question_id < 200")
 def _(t: Tables):
-    turns = L.turn_pairs(R.turns(t.messages)).select(F.lit("turn").alias("origin"), F.col("conv_id").alias("key"), "chosen", "rejected")
+    turns = L.turn_pairs(merged_turns(t)).select(F.lit("turn").alias("origin"), F.col("conv_id").alias("key"), "chosen", "rejected")
     a = t.answers.where("question_id < 200")
     x = a.where("is_accepted").select("question_id", F.col("content").alias("chosen"))
     y = a.where("not is_accepted").select("question_id", F.col("content").alias("rejected"))

@@ -221,7 +221,7 @@ def _(t: Tables):
     return R.in_kbs(t.docs, ["src0", "src2", "src4", "src6"]).where(~F.col("doc_id").isin(2, 4, 6) & (R.level(F.col("classification"), None) <= 2) & low.contains("the") & low.contains("and")).select("doc_id")
 
 
-@query("flt09_keyword_search", "SELECT doc_id, CASE WHEN contains(lower(title), 'and') THEN 0.9 ELSE 0.6 END AS score, substr(content, greatest(1, strpos(lower(content), 'and') - 50), 150) AS snippet FROM docs WHERE contains(lower(title), 'and') OR contains(lower(content), 'and') ORDER BY score DESC, doc_id LIMIT 100")
+@query("flt09_keyword_search", "SELECT doc_id, CASE WHEN contains(lower(title), 'and') THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS score, substr(content, greatest(1, strpos(lower(content), 'and') - 50), 150) AS snippet FROM docs WHERE contains(lower(title), 'and') OR contains(lower(content), 'and') ORDER BY score DESC, doc_id LIMIT 100")
 def _(t: Tables):
     at = F.expr("substr(content, greatest(1, locate('and', lower(content)) - 50), 150)")
     title = F.lower("title").contains("and")
@@ -229,17 +229,17 @@ def _(t: Tables):
     return hits.select("doc_id", F.when(title, 0.9).otherwise(0.6).alias("score"), at.alias("snippet")).orderBy(F.desc("score"), "doc_id").limit(100)
 
 
-@query("flt10_suggest", "SELECT title, max(CASE WHEN starts_with(lower(title), 'th') THEN 1.0 ELSE 0.5 END) AS score FROM docs WHERE contains(lower(title), 'th') GROUP BY title ORDER BY score DESC, title LIMIT 10")
+@query("flt10_suggest", "SELECT title, max(CASE WHEN starts_with(lower(title), 'th') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS score FROM docs WHERE contains(lower(title), 'th') GROUP BY title ORDER BY score DESC, title LIMIT 10")
 def _(t: Tables):
     low = F.lower("title")
     s = t.docs.where(low.contains("th")).groupBy("title").agg(F.max(F.when(low.startswith("th"), 1.0).otherwise(0.5)).alias("score"))
     return s.orderBy(F.desc("score"), "title").limit(10)
 
 
-@query("flt11_document_list", f"SELECT doc_id, title FROM docs WHERE status = 'published' AND contains(lower(title), 'th') AND {LEVEL.format(c='classification')} <= 2 AND kb_id IN (SELECT kb_id FROM docs WHERE owner_id = 5)")
+@query("flt11_document_list", f"SELECT doc_id, title FROM docs WHERE status = 'published' AND contains(lower(title), 'e') AND {LEVEL.format(c='classification')} <= 2 AND kb_id IN (SELECT kb_id FROM docs WHERE owner_id IN (5, 6, 7))")
 def _(t: Tables):
-    mine = t.docs.where("owner_id = 5").select("kb_id")
-    return t.docs.where((F.col("status") == "published") & F.lower("title").contains("th") & (R.level(F.col("classification"), None) <= 2)).join(mine, "kb_id", "left_semi").select("doc_id", "title")
+    mine = t.docs.where("owner_id in (5, 6, 7)").select("kb_id")
+    return t.docs.where((F.col("status") == "published") & F.lower("title").contains("e") & (R.level(F.col("classification"), None) <= 2)).join(mine, "kb_id", "left_semi").select("doc_id", "title")
 
 
 @query("flt12_stale_external", "SELECT doc_id, last_checked FROM docs WHERE ext_source IS NOT NULL AND ext_id IS NOT NULL AND (last_checked IS NULL OR last_checked < DATE '2024-01-28') ORDER BY last_checked ASC NULLS FIRST, doc_id LIMIT 50")
@@ -375,6 +375,25 @@ def _(t: Tables):
     return t.docs.join(kb, "kb_id").select("doc_id", "kb_name")
 
 
+@query("jn03_kb_document_group", "SELECT n.n_name, count(*) AS n, count(*) FILTER (WHERE s_acctbal < 0) AS bad, CAST(round(100.0 * (count(*) - count(*) FILTER (WHERE s_acctbal < 0)) / count(*)) AS INT) AS health FROM nation n JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def _(t: Tables):
+    n, bad = F.count("*"), F.count_if(F.col("s_acctbal") < 0)
+    return t.nation.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(n.alias("n"), bad.alias("bad"), F.round(100.0 * (n - bad) / n).cast("int").alias("health"))
+
+
+@query("jn18_chunk_parent", "SELECT c.doc_id, p.title AS parent_title FROM docs c LEFT JOIN docs p ON p.doc_id = c.parent_id")
+def _(t: Tables):
+    p = t.docs.select(F.col("doc_id").alias("parent_id"), F.col("title").alias("parent_title"))
+    return t.docs.select("doc_id", "parent_id").join(p, "parent_id", "left").select("doc_id", "parent_title")
+
+
+@query("jn25_fuzzy_cell_match", "SELECT l_orderkey, len(list_filter(a, lambda x: len(list_filter(b, lambda y: x = y OR 1 - levenshtein(x, y) / greatest(length(x), length(y)) > 0.9)) > 0)) AS matched FROM (SELECT l_orderkey, list(CAST(l_partkey AS VARCHAR)) AS a, list(CAST(l_partkey - l_linenumber % 2 AS VARCHAR)) AS b FROM lineitem WHERE l_orderkey < 500 GROUP BY 1)")
+def _(t: Tables):
+    g = t.lineitem.where("l_orderkey < 500").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey").cast("string")).alias("a"), F.collect_list((F.col("l_partkey") - F.col("l_linenumber") % 2).cast("string")).alias("b"))
+    like = lambda x, y: (x == y) | (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)) > 0.9)
+    return g.select("l_orderkey", F.size(F.filter("a", lambda x: F.exists("b", lambda y: like(x, y)))).alias("matched"))
+
+
 @query("jn04_query_left_result", "SELECT b.item_id, coalesce(n, 0) AS n_results FROM benchmark b LEFT JOIN (SELECT clicked_doc_id, count(*) AS n FROM searches WHERE clicked GROUP BY 1) r ON b.item_id = r.clicked_doc_id")
 def _(t: Tables):
     r = t.searches.where("clicked").groupBy(F.col("clicked_doc_id").alias("item_id")).agg(F.count("*").alias("n"))
@@ -409,7 +428,7 @@ def _(t: Tables):
     return m.where("role = 'assistant' and rating is not null and question is not null").select("msg_id", "question")
 
 
-@query("jn10_turn_grouping", "SELECT conv_id, turn_no, count(*) FILTER (WHERE role = 'assistant') AS n_assistant FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM messages) WHERE turn_no > 0 GROUP BY 1, 2")
+@query("jn10_turn_grouping", "SELECT conv_id, turn_no, count(*) FILTER (WHERE role = 'assistant') AS n_assistant FROM (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS turn_no FROM messages) WHERE turn_no > 0 GROUP BY 1, 2")
 def _(t: Tables):
     return R.turns(t.messages).groupBy("conv_id", "turn_no").agg(F.count_if(F.col("role") == "assistant").alias("n_assistant"))
 
@@ -567,10 +586,10 @@ def _(t: Tables):
     return t.events.orderBy(*order).limit(60).where("event_type <> 'error'").orderBy(*order).limit(20).select("event_id")
 
 
-@query("top08_deterministic_negative", "SELECT d.doc_id, min(n.doc_id) AS negative FROM docs d JOIN (SELECT doc_id, kb_id FROM docs WHERE doc_id % 2 = 1) n ON n.kb_id = d.kb_id WHERE d.doc_id % 2 = 0 GROUP BY d.doc_id")
+@query("top08_deterministic_negative", "SELECT d.doc_id, min(n.doc_id) AS negative FROM docs d JOIN (SELECT doc_id, kb_id FROM docs WHERE doc_id % 3 = 1) n ON n.kb_id = d.kb_id WHERE d.doc_id % 3 = 0 GROUP BY d.doc_id")
 def _(t: Tables):
-    neg = t.docs.where("doc_id % 2 = 1").groupBy("kb_id").agg(F.min("doc_id").alias("negative"))
-    return t.docs.where("doc_id % 2 = 0").join(neg, "kb_id").select("doc_id", "negative")
+    neg = t.docs.where("doc_id % 3 = 1").groupBy("kb_id").agg(F.min("doc_id").alias("negative"))
+    return t.docs.where("doc_id % 3 = 0").join(neg, "kb_id").select("doc_id", "negative")
 
 
 @query("top09_limit_after_filters", "SELECT doc_id FROM docs WHERE length(content) BETWEEN 10 AND 8000 AND status = 'published' ORDER BY doc_id LIMIT 100")

@@ -54,7 +54,7 @@ def _(t: Tables):
     return V.vector_topk(vectors10(t), t.embeddings, 8, F.col("label") >= 5)
 
 
-@query("ret05_graph_channel", "SELECT n_nationkey AS entity, s_suppkey AS doc_id, 'graph_' || CAST(s_suppkey AS VARCHAR) AS chunk_id, 0.5 AS score FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS rn FROM nation JOIN supplier ON s_nationkey = n_nationkey) WHERE rn <= 3")
+@query("ret05_graph_channel", "SELECT n_nationkey AS entity, s_suppkey AS doc_id, 'graph_' || CAST(s_suppkey AS VARCHAR) AS chunk_id, 0.5::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS rn FROM nation JOIN supplier ON s_nationkey = n_nationkey) WHERE rn <= 3")
 def _(t: Tables):
     j = t.nation.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey"))
     return R.latest_by(j, ["n_nationkey"], [F.asc("s_suppkey")], 3).select(F.col("n_nationkey").alias("entity"), F.col("s_suppkey").alias("doc_id"), F.concat(F.lit("graph_"), F.col("s_suppkey").cast("string")).alias("chunk_id"), F.lit(0.5).alias("score"))
@@ -139,7 +139,7 @@ def _(t: Tables):
     return j.where(F.round(maths.cosine(F.col("q"), F.col("embedding")), 6) >= 0.25).select("query_id").distinct()
 
 
-@query("ret18_skill_match", "SELECT item_id, p_partkey, score FROM (SELECT item_id, p_partkey, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, p_partkey) AS rn FROM (SELECT item_id, p_partkey, sum(CASE WHEN contains(lower(p_name), w) THEN 10 ELSE 0 END + CASE WHEN contains(lower(p_type), w) THEN 5 ELSE 0 END) AS score FROM (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark WHERE item_id < 5) WHERE length(w) >= 2), part WHERE p_partkey < 100 GROUP BY 1, 2) WHERE score > 0) WHERE rn <= 3")
+@query("ret18_skill_match", "SELECT item_id, p_partkey, score FROM (SELECT item_id, p_partkey, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, p_partkey) AS rn FROM (SELECT item_id, p_partkey, CAST(sum(CASE WHEN contains(lower(p_name), w) THEN 10 ELSE 0 END + CASE WHEN contains(lower(p_type), w) THEN 5 ELSE 0 END) AS BIGINT) AS score FROM (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark WHERE item_id < 5) WHERE length(w) >= 2), part WHERE p_partkey < 100 GROUP BY 1, 2) WHERE score > 0) WHERE rn <= 3")
 def _(t: Tables):
     w = t.benchmark.where("item_id < 5").select("item_id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), lambda x: F.length(x) >= 2))).alias("w"))
     p = t.part.where("p_partkey < 100").select("p_partkey", F.lower("p_name").alias("name"), F.lower("p_type").alias("type"))  # the skills: a registry of fixed size
@@ -155,10 +155,10 @@ def _(t: Tables):
     return s.select("query_id", F.when(m == 0, "keep").when(m == 1, "reset").when(F.col("s") < 0.1, "drift").when(F.col("s") < 0.2, "possible").otherwise("keep").alias("state"))
 
 
-@query("ret20_image_rows", "SELECT page_id, 'image ' || CAST(page_id AS VARCHAR) AS content, length('image ' || CAST(page_id AS VARCHAR)) // 2 AS tokens FROM pages WHERE contains(html, '<img')")
+@query("ret20_image_rows", "SELECT page_id, 'image ' || CAST(page_id AS VARCHAR) AS content, length('image ' || CAST(page_id AS VARCHAR)) // 2 AS tokens FROM pages WHERE contains(html, '<script')")
 def _(t: Tables):
     c = F.concat(F.lit("image "), F.col("page_id").cast("string"))
-    return t.pages.where(F.col("html").contains("<img")).select("page_id", c.alias("content"), F.floor(F.length(c) / 2).alias("tokens"))
+    return t.pages.where(F.col("html").contains("<script")).select("page_id", c.alias("content"), F.floor(F.length(c) / 2).alias("tokens"))
 
 
 @query("ret21_multi_query_set", "SELECT DISTINCT item_id, q FROM (SELECT item_id, unnest([lower(text), substr(lower(text), 1, 40), lower(text)]) AS q FROM benchmark)")

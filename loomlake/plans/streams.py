@@ -88,3 +88,23 @@ def _(t: Tables):
 def _(t: Tables):
     hook = lambda df: R.accessible(df, ["src1", "src2"])
     return hook(t.docs).select("doc_id")
+
+
+@query("udf01_embedder_hook", "SELECT item_id, CAST(length(text) AS DOUBLE) AS first_component FROM benchmark")
+def _(t: Tables):
+    from ..functions.hooks import embed
+
+    return embed(t.benchmark, "text", lambda texts: [[float(len(x)), 1.0] for x in texts]).select("item_id", F.col("embedding")[0].alias("first_component"))
+
+
+@query("udf04_model_hook", "SELECT item_id, '[' || substr(text, 1, 10) || ']' AS reply FROM benchmark WHERE item_id % 2 = 0")
+def _(t: Tables):
+    from ..functions.hooks import complete
+
+    return complete(t.benchmark.where("item_id % 2 = 0"), "text", lambda texts: [f"[{x[:10]}]" for x in texts]).select("item_id", "reply")
+
+
+@query("udf11_entity_registration", "SELECT kind, count(*) AS n FROM (SELECT 'Nation' AS kind FROM nation UNION ALL SELECT 'Supplier' FROM supplier UNION ALL SELECT 'Concept') GROUP BY kind")
+def _(t: Tables):
+    kinds = t.nation.select(F.lit("Nation").alias("kind")).unionByName(t.supplier.select(F.lit("Supplier").alias("kind")))
+    return kinds.unionByName(t.spark.range(1).select(F.lit("Concept").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))

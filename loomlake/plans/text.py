@@ -371,7 +371,7 @@ def _(t: Tables):
     return t.events.select("event_id", maths.clamp(F.col("value"), 10.0, 60.0).alias("v"))
 
 
-@query("ma05_dynamic_threshold", "SELECT query, CASE WHEN count(*) >= 10 THEN 0.4 ELSE 0.25 END AS threshold FROM searches GROUP BY query")
+@query("ma05_dynamic_threshold", "SELECT query, CASE WHEN count(*) >= 10 THEN 0.4::DOUBLE ELSE 0.25::DOUBLE END AS threshold FROM searches GROUP BY query")
 def _(t: Tables):
     return t.searches.groupBy("query").agg(F.count("*").alias("n")).select("query", maths.dynamic_threshold(F.col("n")).alias("threshold"))
 

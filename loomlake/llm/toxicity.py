@@ -28,7 +28,7 @@ FOLDS, HELD, CUT = 5, 0, 0.5
 TRAIN_ROWS, FEATURES = 20_000, 1024
 #: Least standard errors by which a word's rates must differ between the labels, and least documents with it.
 LEAST_Z, LEAST_DOCS = 5.0, 4
-STEPS, RATE, L2, SWAP_PENALTY = 400, 0.1, 1e-4, 10.0
+STEPS, RATE, L2, SWAP_PENALTY = 400, 0.05, 1e-3, 10.0
 
 #: Identity terms by group; the last word of a group is neutral and no feature.
 GROUPS = [
@@ -51,8 +51,12 @@ def words(text: str) -> set[str]:
     return set(text.lower().translate(_PUNCT).split())
 
 
-def fit_weights(docs: list[tuple[list[int], int]], n: int, swaps: list[tuple[int, int, float]], steps: int = STEPS, penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
-    """Weights and bias.  docs: (features present, label).  swaps: (feature, its substitute or -1, how often): the score changes by the difference of their weights."""
+def fit_weights(docs: list[tuple[list[int], int]], n: int, swaps: list[tuple[int, int, float]], steps: int = STEPS, penalty: float = SWAP_PENALTY, expect: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias.  docs: (features present, label).  swaps: (feature, its substitute or n, how often): the score changes by the difference of their weights.
+
+    expect: weights to start from and to be drawn to (0 if none): a word's log odds between the labels,
+    so that a word that mostly comes along with others keeps enough weight to count alone.
+    """
     row = np.repeat(np.arange(len(docs)), [len(f) for f, _ in docs])
     col = np.array([i for f, _ in docs for i in f], np.int64)
     y = np.array([l for _, l in docs], float)
@@ -61,14 +65,15 @@ def fit_weights(docs: list[tuple[list[int], int]], n: int, swaps: list[tuple[int
     c = np.array([s[2] for s in swaps], float)
     c = c / c.sum() if len(c) else c
     prior = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.4999
-    w, bias = np.zeros(n + 1), np.log(prior / (1 - prior))  # the last weight stands for neutral words and stays 0
+    base = np.append(np.zeros(n) if expect is None else expect, 0.0)
+    w, bias = base.copy(), np.log(prior / (1 - prior))  # the last weight stands for neutral words and stays 0
     m, v = np.zeros(n + 2), np.zeros(n + 2)
     for t in range(1, steps + 1 if len(y) else 1):
         p = 1 / (1 + np.exp(-(bias + np.bincount(row, w[col], len(y)))))
-        g = np.bincount(col, (p - y)[row], n + 1) / len(y) + L2 * w
+        g = np.bincount(col, (p - y)[row], n + 1) / len(y) + L2 * (w - base)
         if len(c):
             d = 2 * penalty * c * (w[a] - w[b])
-            g += np.bincount(a, d, n + 1) - np.bincount(b % (n + 1), d, n + 1)
+            g += np.bincount(a, d, n + 1) - np.bincount(b, d, n + 1)
         g = np.append(g, (p - y).mean())
         g[n] = 0
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -110,14 +115,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     total = rows.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).first()
     n_pos, n_neg = total.p or 0, total.n or 0
     terms = list(SWAPS)
-    picks: list[str] = []
+    odds: dict[str, float] = {}
     if n_pos and n_neg:
         counts = rows.mapInPandas(present, "w string, p long, n long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
         rate = (F.col("p") + F.col("n") + 1) / (n_pos + n_neg + 2)
         z = F.abs(F.col("p") / n_pos - F.col("n") / n_neg) / F.sqrt(rate * (1 - rate) * (1 / n_pos + 1 / n_neg) + 1e-12)
         found = counts.where(f"p + n >= {LEAST_DOCS}").withColumn("z", z).where(f"z >= {LEAST_Z}").orderBy(F.desc("z"), "w").limit(FEATURES)
-        picks = [r.w for r in found.select("w").collect()]
-    names = list(dict.fromkeys(picks + terms))
+        odds = {r.w: float(np.log((r.p + 0.5) / (n_pos + 1) * (n_neg + 1) / (r.n + 0.5))) for r in found.collect()}
+    names = list(dict.fromkeys([*odds, *terms]))
     at = {w: i for i, w in enumerate(names)}
 
     def encode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
         for s in r.s:
             a, b, n = map(int, s.split(","))
             swaps[a, b] = swaps.get((a, b), 0) + n
-    w, bias = fit_weights([(list(r.f), r.y) for r in got], len(names), [(a, b if b >= 0 else len(names), float(n)) for (a, b), n in swaps.items()])
+    w, bias = fit_weights([(list(r.f), r.y) for r in got], len(names), [(a, b if b >= 0 else len(names), float(n)) for (a, b), n in swaps.items()], expect=np.array([0.0 if t in SWAPS else odds[t] for t in names]))
     return {t: float(w[i]) for t, i in at.items() if w[i]}, bias
 
 

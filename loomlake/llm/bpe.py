@@ -22,14 +22,14 @@ from collections.abc import Callable, Iterator
 from hashlib import sha256
 from itertools import repeat
 from pathlib import Path
-from zlib import compress, crc32, decompress
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, small_batches, worker_cache
+from .common import cut, documents, expand, small_batches, squeeze, worker_cache
 
 #: Words whose ids every worker holds (some 200 bytes each there).
 FREQUENT = 1_000_000
@@ -119,7 +119,7 @@ class Codec:
         """Every distinct word with its count and its ids (packed), encoded once."""
         get = self.model()
 
-        buckets = min(MOST_BUCKETS, 4 * docs.rdd.getNumPartitions())
+        buckets = max(1, min(MOST_BUCKETS, 4 * docs.rdd.getNumPartitions()))
 
         def packed(seen: Counter) -> pd.DataFrame:
             # sorted words compress to a few bytes each; a row per bucket instead of a row per word
@@ -131,7 +131,7 @@ class Codec:
             for part in np.split(order, cuts):
                 own = [words[i] for i in part.tolist()]
                 n = np.array([seen[w] for w in own], "<i8")
-                out.append((int(of[part[0]]), compress("\n".join(own).encode(), 1), compress(n.tobytes(), 1)))
+                out.append((int(of[part[0]]), squeeze("\n".join(own).encode()), squeeze(n.tobytes())))
             return pd.DataFrame(out, columns=["bucket", "words", "n"])
 
         def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,7 +148,7 @@ class Codec:
         def merge(pdf: pd.DataFrame) -> pd.DataFrame:
             m, seen = get(), {}
             for words, n in zip(pdf["words"], pdf["n"]):
-                for w, c in zip(decompress(words).decode().split("\n"), np.frombuffer(decompress(n), "<i8").tolist()):
+                for w, c in zip(expand(words).decode().split("\n"), np.frombuffer(expand(n), "<i8").tolist()):
                     seen[w] = seen.get(w, 0) + c
             return pd.DataFrame({"word": list(seen), "n": list(seen.values()), "ids": [m.encode_word(w) for w in seen]})
 
@@ -245,7 +245,7 @@ class Codec:
             # words as places in the table, a plane for each of three bytes: the upper ones are mostly zero and compress; all ones stand for a rare word
             m, of = get(), known()
             for pdf in it:
-                yield pd.DataFrame({"id": pdf["id"], "k": pdf["k"], "at": [places(m.words(t), of).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() for t in pdf["t"]]})
+                yield pd.DataFrame({"id": pdf["id"], "k": pdf["k"], "at": [squeeze(places(m.words(t), of).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()) for t in pdf["t"]]})
 
         def fill(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = get()
@@ -253,7 +253,7 @@ class Codec:
             for pdf in it:
                 out = []
                 for i, planes, got in zip(pdf["id"], pdf["at"], pdf["got"]):
-                    low = np.frombuffer(planes, np.uint8).reshape(3, -1)
+                    low = np.frombuffer(expand(planes), np.uint8).reshape(3, -1)
                     at = low[0].astype(np.int32) | low[1].astype(np.int32) << 8 | low[2].astype(np.int32) << 16
                     holes = np.flatnonzero(at == 0xFFFFFF)
                     if len(holes):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,21 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+try:
+    import zstandard as _zstd
+except ImportError:  # slower, the same results
+    _zstd = None
+
+
+def squeeze(b: bytes) -> bytes:
+    """Light compression for what is shuffled."""
+    return _zstd.ZstdCompressor(level=1).compress(b) if _zstd else zlib.compress(b, 1)
+
+
+def expand(b: bytes) -> bytes:
+    return _zstd.ZstdDecompressor().decompress(b) if _zstd else zlib.decompress(b)
+
+
 _cache: dict[str, dict] = {}
 
 

@@ -7,10 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Fixed order of classifications.
 LEVELS = {"public": 0, "internal": 1, "confidential": 2, "secret": 3}
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; else the planner chooses a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def level(c: Column, unknown: int | None) -> Column:
     """Ordinal of a classification; what an unknown one counts as, or null."""
     out = F.when(F.lit(False), F.lit(0))
@@ -119,11 +126,18 @@ def merge_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def reach(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(origin, node, depth): nodes within so many hops of each start (origin, node), least depth first.  One join a hop; paths never multiply, as only new nodes go on."""
-    seen = start.select("origin", "node").distinct().withColumn("depth", F.lit(0))
-    last = seen
+    """(origin, node, depth): nodes within so many hops of each start (origin, node), least depth first.
+
+    One join a hop; paths never multiply, as only new nodes go on, and the search ends when there are none.
+    Each hop is cut to the shared folder, so the plan grows with the hops and not with their power.
+    """
+    edges = cut(edges.select(F.col("src").alias("node"), "dst"), "edges")
+    last = cut(start.select("origin", "node").distinct().withColumn("depth", F.lit(0)), "hop")
+    seen = last
     for d in range(1, hops + 1):
-        step = last.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("origin", F.col("dst").alias("node")).distinct()
-        last = step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(d))
+        step = last.join(edges, "node").select("origin", F.col("dst").alias("node")).distinct()
+        last = cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(d)), "hop")
+        if not last.limit(1).count():
+            break
         seen = seen.unionByName(last)
     return seen

@@ -220,17 +220,17 @@ def _(t: Tables):
     return t.messages.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("turns"), F.countDistinct("content").alias("distinct_texts"), F.round(F.avg(F.length("content")), 4).alias("mean_len"))
 
 
-@query("agg32_tool_selection", "SELECT user_id, round(hits * 1.0 / greatest(n, 1), 6) AS precision, round(hits / 2.0, 6) AS recall, round(CASE WHEN hits = 0 THEN 0 ELSE 2.0 * hits / (n + 2) END, 6) AS f1 FROM (SELECT user_id, count(DISTINCT event_type) AS n, count(DISTINCT CASE WHEN event_type IN ('click', 'purchase') THEN event_type END) AS hits FROM events WHERE event_id % 20 = 0 GROUP BY 1)")
+@query("agg32_tool_selection", "SELECT user_id, round(hits * 1.0 / greatest(n, 1), 6) AS precision, round(hits / 2.0, 6) AS recall, round(CASE WHEN hits = 0 THEN 0 ELSE 2.0 * hits / (n + 2) END, 6) AS f1 FROM (SELECT user_id, count(DISTINCT event_type) AS n, count(DISTINCT CASE WHEN event_type IN ('click', 'purchase') THEN event_type END) AS hits FROM events WHERE value >= 60 GROUP BY 1)")
 def _(t: Tables):
-    used = t.events.where("event_id % 20 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("u"))
+    used = t.events.where("value >= 60").groupBy("user_id").agg(F.collect_set("event_type").alias("u"))
     n, hits = F.size("u"), F.size(F.array_intersect("u", F.array(F.lit("click"), F.lit("purchase"))))
     return used.select("user_id", F.round(hits / F.greatest(n, F.lit(1)), 6).alias("precision"), F.round(hits / 2.0, 6).alias("recall"), F.round(F.when(hits == 0, 0.0).otherwise(2.0 * hits / (n + 2)), 6).alias("f1"))
 
 
-@query("agg33_context_metrics", "SELECT user_id, len(list_intersect(got, want)) AS hits, round(len(list_intersect(got, want)) * 1.0 / len(want), 6) AS recall, round(len(list_intersect(got, want)) * 1.0 / len(got), 6) AS precision FROM (SELECT user_id, list(DISTINCT doc_id) AS got FROM behaviors WHERE user_id < 50 GROUP BY 1), (SELECT list(DISTINCT doc_id) AS want FROM docs WHERE doc_id < 100)")
+@query("agg33_context_metrics", "SELECT user_id, len(list_intersect(got, want)) AS hits, round(len(list_intersect(got, want)) * 1.0 / len(want), 6) AS recall, round(len(list_intersect(got, want)) * 1.0 / len(got), 6) AS precision FROM (SELECT user_id, list(DISTINCT doc_id) AS got FROM behaviors GROUP BY 1), (SELECT list(DISTINCT doc_id) AS want FROM docs WHERE depth = 1)")
 def _(t: Tables):
-    want = t.docs.where("doc_id < 100").agg(F.collect_set("doc_id").alias("want"))
-    g = t.behaviors.where("user_id < 50").groupBy("user_id").agg(F.collect_set("doc_id").alias("got")).crossJoin(F.broadcast(want))  # one row
+    want = t.docs.where("depth = 1").agg(F.collect_set("doc_id").alias("want"))
+    g = t.behaviors.groupBy("user_id").agg(F.collect_set("doc_id").alias("got")).crossJoin(F.broadcast(want))  # one row
     hits = F.size(F.array_intersect("got", "want"))
     return g.select("user_id", hits.alias("hits"), F.round(hits / F.size("want"), 6).alias("recall"), F.round(hits / F.size("got"), 6).alias("precision"))
 
@@ -319,7 +319,7 @@ def _(t: Tables):
     return t.answers.groupBy("question_id").agg(F.count("*").alias("answers_n"), F.min(F.when(F.col("is_accepted"), F.col("id"))).alias("accepted"))
 
 
-@query("agg47_evidence_status", "SELECT item_id, CASE WHEN n IS NULL THEN 'gap' WHEN best < 60 THEN 'uncertain' ELSE 'confirmed' END AS status FROM benchmark LEFT JOIN (SELECT clicked_doc_id, count(*) AS n, max(value) AS best FROM searches WHERE clicked AND event_id < 2000 GROUP BY 1) ON item_id = clicked_doc_id")
+@query("agg47_evidence_status", "SELECT item_id, CASE WHEN n IS NULL THEN 'gap' WHEN best < 60 THEN 'uncertain' ELSE 'confirmed' END AS status FROM benchmark LEFT JOIN (SELECT clicked_doc_id, count(*) AS n, max(value) AS best FROM searches WHERE clicked GROUP BY 1) ON item_id = clicked_doc_id")
 def _(t: Tables):
-    s = t.searches.where("clicked and event_id < 2000").groupBy(F.col("clicked_doc_id").alias("item_id")).agg(F.count("*").alias("n"), F.max("value").alias("best"))
+    s = t.searches.where("clicked").groupBy(F.col("clicked_doc_id").alias("item_id")).agg(F.count("*").alias("n"), F.max("value").alias("best"))
     return t.benchmark.join(s, "item_id", "left").select("item_id", F.when(F.col("n").isNull(), "gap").when(F.col("best") < 60, "uncertain").otherwise("confirmed").alias("status"))

@@ -12,9 +12,9 @@ from ..operators import relational as R
 from ..operators import retrieval as V
 from .registry import Tables, query
 
-M = "m AS (SELECT user_id, doc_id, CAST(sum(half_weight) AS BIGINT) AS w FROM behaviors WHERE event_id % 3 = 0 GROUP BY 1, 2)"
+M = "m AS (SELECT user_id, doc_id, CAST(sum(half_weight) AS BIGINT) AS w FROM behaviors GROUP BY 1, 2)"
 SZ = M + ", sz AS (SELECT user_id, count(*) AS n FROM m GROUP BY 1)"
-UCF = SZ + """, c AS (SELECT a.user_id, b.user_id AS other, count(*) AS c FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.user_id <> b.user_id WHERE a.user_id < 10 GROUP BY 1, 2),
+UCF = SZ + """, c AS (SELECT a.user_id, b.user_id AS other, count(*) AS c FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.user_id <> b.user_id GROUP BY 1, 2),
 sim AS (SELECT c.user_id, other, c * 1.0 / (x.n + y.n - c) AS sim FROM c JOIN sz x ON x.user_id = c.user_id JOIN sz y ON y.user_id = other),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, other) AS rn FROM sim) WHERE rn <= 10),
 us AS (SELECT near.user_id, m.doc_id, round(sum(sim * w), 6) AS score FROM near JOIN m ON m.user_id = other GROUP BY 1, 2),
@@ -22,11 +22,11 @@ ucf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER B
 
 
 def m(t: Tables):
-    return L.matrix(t.behaviors.where("event_id % 3 = 0"))
+    return L.matrix(t.behaviors)
 
 
-def few():
-    return F.col("user_id") < 10
+def everyone():
+    return F.lit(True)
 
 
 @query("rec01_interaction_matrix", "SELECT user_id, doc_id, CAST(sum(half_weight) AS BIGINT) AS w FROM behaviors WHERE acted_at >= TIMESTAMP '2024-01-05' GROUP BY 1, 2")
@@ -37,7 +37,7 @@ def _(t: Tables):
 @query("jn16_user_jaccard", "WITH " + UCF + " SELECT user_id, other, round(sim, 6) AS sim FROM near")
 def _(t: Tables):
     x = m(t)
-    mine = x.where(few()).select("user_id", "doc_id")
+    mine = x.where(everyone()).select("user_id", "doc_id")
     n = x.groupBy("user_id").agg(F.count("*").alias("n"))
     c = mine.join(x.select(F.col("user_id").alias("other"), "doc_id"), "doc_id").where("user_id <> other").groupBy("user_id", "other").agg(F.count("*").alias("c"))
     s = c.join(n, "user_id").join(n.toDF("other", "n2"), "other").select("user_id", "other", (F.col("c") / (F.col("n") + F.col("n2") - F.col("c"))).alias("sim"))
@@ -46,19 +46,19 @@ def _(t: Tables):
 
 @query("rec02_user_cf", "WITH " + UCF + " SELECT user_id, doc_id, score FROM ucf")
 def _(t: Tables):
-    return L.user_cf(m(t), few())
+    return L.user_cf(m(t), everyone())
 
 
-ICF = M + """, sz AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1), own AS (SELECT DISTINCT doc_id FROM m WHERE user_id < 10),
+ICF = M + """, sz AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1), own AS (SELECT DISTINCT doc_id FROM m),
 c AS (SELECT a.doc_id, b.doc_id AS other, count(*) AS c FROM m a JOIN m b ON a.user_id = b.user_id AND a.doc_id <> b.doc_id WHERE a.doc_id IN (SELECT doc_id FROM own) GROUP BY 1, 2),
 sim AS (SELECT c.doc_id, other, c * 1.0 / (x.n + y.n - c) AS sim FROM c JOIN sz x ON x.doc_id = c.doc_id JOIN sz y ON y.doc_id = other),
-s AS (SELECT m.user_id, other AS doc_id, round(sum(sim), 6) AS score FROM m JOIN sim ON sim.doc_id = m.doc_id WHERE m.user_id < 10 GROUP BY 1, 2)"""
+s AS (SELECT m.user_id, other AS doc_id, round(sum(sim), 6) AS score FROM m JOIN sim ON sim.doc_id = m.doc_id GROUP BY 1, 2)"""
 
 
 @query("jn17_item_jaccard", "WITH " + ICF + " SELECT doc_id, count(*) AS n, round(max(sim), 6) AS best FROM sim GROUP BY doc_id")
 def _(t: Tables):
     x = m(t)
-    own = x.where(few()).select("doc_id").distinct()
+    own = x.where(everyone()).select("doc_id").distinct()
     n = x.groupBy("doc_id").agg(F.count("*").alias("n"))
     c = x.join(own, "doc_id", "left_semi").select("user_id", "doc_id").join(x.select("user_id", F.col("doc_id").alias("other")), "user_id").where("doc_id <> other").groupBy("doc_id", "other").agg(F.count("*").alias("c"))
     s = c.join(n, "doc_id").join(n.toDF("other", "n2"), "other").withColumn("sim", F.col("c") / (F.col("n") + F.col("n2") - F.col("c")))
@@ -67,20 +67,20 @@ def _(t: Tables):
 
 @query("rec03_item_cf", "WITH " + ICF + " SELECT user_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, doc_id) AS rn FROM s WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.user_id = s.user_id AND m.doc_id = s.doc_id)) WHERE rn <= 10")
 def _(t: Tables):
-    return L.item_cf(m(t), few())
+    return L.item_cf(m(t), everyone())
 
 
-@query("rec04_content_recall", "SELECT user_id, vec_id, score FROM (SELECT user_id, vec_id, round(list_cosine_similarity(p, CAST(embedding AS DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(list_cosine_similarity(p, CAST(embedding AS DOUBLE[])), 6) DESC, vec_id) AS rn FROM (SELECT user_id, list(v ORDER BY pos) AS p FROM (SELECT user_id, pos, avg(v) AS v FROM (SELECT b.user_id, unnest(range(1, 65)) AS pos, CAST(unnest(e.embedding) AS DOUBLE) AS v FROM (SELECT DISTINCT user_id, doc_id FROM behaviors WHERE user_id < 5) b JOIN embeddings e ON e.vec_id = b.doc_id) GROUP BY 1, 2) GROUP BY 1), embeddings) WHERE rn <= 5")
+@query("rec04_content_recall", "SELECT user_id, vec_id, score FROM (SELECT user_id, vec_id, round(list_cosine_similarity(p, CAST(embedding AS DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(list_cosine_similarity(p, CAST(embedding AS DOUBLE[])), 6) DESC, vec_id) AS rn FROM (SELECT user_id, list(v ORDER BY pos) AS p FROM (SELECT user_id, pos, avg(v) AS v FROM (SELECT b.user_id, unnest(range(1, 65)) AS pos, CAST(unnest(e.embedding) AS DOUBLE) AS v FROM (SELECT DISTINCT user_id, doc_id FROM behaviors WHERE user_id % 100 = 0) b JOIN embeddings e ON e.vec_id = b.doc_id) GROUP BY 1, 2) GROUP BY 1), embeddings) WHERE rn <= 5")
 def _(t: Tables):
-    seen = t.behaviors.where("user_id < 5").select("user_id", "doc_id").distinct()
+    seen = t.behaviors.where("user_id % 100 = 0").select("user_id", "doc_id").distinct()
     v = seen.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select("user_id", F.posexplode("embedding").alias("pos", "v"))
     p = v.groupBy("user_id", "pos").agg(F.avg(F.col("v").cast("double")).alias("v")).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("q"))
-    return V.vector_topk(p.withColumnRenamed("user_id", "query_id"), t.embeddings, 5).withColumnRenamed("query_id", "user_id")  # the five users asked about
+    return V.vector_topk(p.withColumnRenamed("user_id", "query_id"), t.embeddings, 5).withColumnRenamed("query_id", "user_id")  # the stated query set
 
 
-@query("rec05_graph_recall", "SELECT user_id, doc_id, 'graph' AS reason FROM (SELECT u.user_id, d.doc_id, row_number() OVER (PARTITION BY u.user_id ORDER BY d.doc_id) AS rn FROM (SELECT user_id, doc_id FROM (SELECT user_id, doc_id, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC) AS k FROM behaviors WHERE user_id < 20 GROUP BY 1, 2) WHERE k <= 5) u JOIN docs s ON s.doc_id = u.doc_id JOIN docs d ON d.series_id = s.series_id AND d.doc_id <> s.doc_id GROUP BY 1, 2) WHERE rn <= 10")
+@query("rec05_graph_recall", "SELECT user_id, doc_id, 'graph' AS reason FROM (SELECT u.user_id, d.doc_id, row_number() OVER (PARTITION BY u.user_id ORDER BY d.doc_id) AS rn FROM (SELECT user_id, doc_id FROM (SELECT user_id, doc_id, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC) AS k FROM behaviors GROUP BY 1, 2) WHERE k <= 5) u JOIN docs s ON s.doc_id = u.doc_id JOIN docs d ON d.series_id = s.series_id AND d.doc_id <> s.doc_id GROUP BY 1, 2) WHERE rn <= 10")
 def _(t: Tables):
-    one = t.behaviors.where("user_id < 20").groupBy("user_id", "doc_id").agg(F.max("event_id").alias("at"))
+    one = t.behaviors.groupBy("user_id", "doc_id").agg(F.max("event_id").alias("at"))
     last = R.latest_by(one, ["user_id"], [F.desc("at")], 5).select("user_id", F.col("doc_id").alias("src"))
     d = t.docs.select("doc_id", "series_id")
     hits = last.join(d.toDF("src", "series_id"), "src").join(d, "series_id").where("src <> doc_id").select("user_id", "doc_id").distinct()
@@ -92,13 +92,13 @@ def _(t: Tables):
     return t.docs.where("status = 'published'").orderBy(F.desc("view_count"), "doc_id").limit(20).select("doc_id")
 
 
-RRF = """p AS (SELECT user_id, doc_id, 'recent' AS path, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC) - 1 AS rank FROM behaviors WHERE user_id < 30 GROUP BY 1, 2 UNION ALL
-SELECT user_id, doc_id, 'strong', row_number() OVER (PARTITION BY user_id ORDER BY sum(half_weight) DESC, doc_id) - 1 FROM behaviors WHERE user_id < 30 GROUP BY 1, 2),
+RRF = """p AS (SELECT user_id, doc_id, 'recent' AS path, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC) - 1 AS rank FROM behaviors GROUP BY 1, 2 UNION ALL
+SELECT user_id, doc_id, 'strong', row_number() OVER (PARTITION BY user_id ORDER BY sum(half_weight) DESC, doc_id) - 1 FROM behaviors GROUP BY 1, 2),
 f AS (SELECT user_id, doc_id, round(sum(1.0 / (60 + rank + 1)), 6) AS score, string_agg(DISTINCT path, ',' ORDER BY path) AS reasons FROM p WHERE rank < 20 GROUP BY 1, 2)"""
 
 
 def fused(t: Tables):
-    b = t.behaviors.where("user_id < 30").groupBy("user_id", "doc_id").agg(F.max("event_id").alias("at"), F.sum("half_weight").alias("w"))
+    b = t.behaviors.groupBy("user_id", "doc_id").agg(F.max("event_id").alias("at"), F.sum("half_weight").alias("w"))
     rank = lambda *order: (F.row_number().over(Window.partitionBy("user_id").orderBy(*order)) - 1).alias("rank")
     paths = b.select("user_id", "doc_id", F.lit("recent").alias("path"), rank(F.desc("at"))).unionByName(b.select("user_id", "doc_id", F.lit("strong").alias("path"), rank(F.desc("w"), F.asc("doc_id"))))
     return V.rrf(paths.where("rank < 20"))
@@ -116,26 +116,25 @@ def _(t: Tables):
     return R.latest_by(ok, ["user_id"], [F.desc("score"), F.asc("doc_id")], 5).select("user_id", "doc_id")
 
 
-@query("rec09_gate", "SELECT user_id, CASE WHEN count(event_id) = 0 THEN 'hot' WHEN count(event_id) < 3 THEN 'content' ELSE 'cf' END AS path FROM (SELECT c_custkey AS user_id FROM customer) LEFT JOIN (SELECT user_id AS u, event_id FROM behaviors WHERE action_type = 'purchase' AND event_id % 5 = 0) ON u = user_id GROUP BY user_id")
+@query("rec09_gate", "SELECT user_id, CASE WHEN count(event_id) = 0 THEN 'hot' WHEN count(event_id) < 3 THEN 'content' ELSE 'cf' END AS path FROM (SELECT c_custkey AS user_id FROM customer) LEFT JOIN (SELECT user_id AS u, event_id FROM behaviors WHERE action_type = 'purchase') ON u = user_id GROUP BY user_id")
 def _(t: Tables):
-    n = t.behaviors.where("action_type = 'purchase' and event_id % 5 = 0").groupBy("user_id").agg(F.count("*").alias("n"))
+    n = t.behaviors.where("action_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n"))
     c = F.coalesce("n", F.lit(0))
     return t.users.select("user_id").join(n, "user_id", "left").select("user_id", F.when(c == 0, "hot").when(c < 3, "content").otherwise("cf").alias("path"))
 
 
 # --- graph
 
-EDGES = "e AS (SELECT o_custkey AS src, 100000000 + l_partkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 300), g AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+EDGES = "e AS (SELECT o_custkey AS src, 100000000 + l_partkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey), g AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
 def edges(t: Tables):
-    o = t.orders.where("o_orderkey < 300")
-    e = o.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.lit(100000000) + F.col("l_partkey")).alias("dst"))
+    e = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.lit(100000000) + F.col("l_partkey")).alias("dst"))
     return e.union(e.select("dst", "src")).distinct()
 
 
 def starts(t: Tables):
-    return t.orders.where("o_orderkey < 300").agg(F.min("o_custkey").alias("origin"), F.min("o_custkey").alias("node"))
+    return t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").agg(F.min("o_custkey").alias("origin"), F.min("o_custkey").alias("node"))
 
 
 def bfs(hops: int) -> str:
@@ -239,10 +238,10 @@ def _(t: Tables):
     return u.where("turn = 0").join(praised, "q").select("conv_id", "answer")
 
 
-@query("ds02_dpo_builder", "WITH " + MERGED + " SELECT 'turn' AS origin, a.conv_id AS key, a.content AS chosen, b.rejected FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn_no = b.turn_no WHERE a.rating >= 4 AND b.rejected IS NOT NULL UNION ALL SELECT 'answer', x.question_id, x.content, y.content FROM answers x JOIN answers y ON x.question_id = y.question_id WHERE x.is_accepted AND NOT y.is_accepted AND x.question_id < 200")
+@query("ds02_dpo_builder", "WITH " + MERGED + " SELECT 'turn' AS origin, a.conv_id AS key, a.content AS chosen, b.rejected FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn_no = b.turn_no WHERE a.rating >= 4 AND b.rejected IS NOT NULL UNION ALL SELECT 'answer', x.question_id, x.content, y.content FROM answers x JOIN answers y ON x.question_id = y.question_id WHERE x.is_accepted AND NOT y.is_accepted")
 def _(t: Tables):
     turns = L.turn_pairs(merged_turns(t)).select(F.lit("turn").alias("origin"), F.col("conv_id").alias("key"), "chosen", "rejected")
-    a = t.answers.where("question_id < 200")
+    a = t.answers
     x = a.where("is_accepted").select("question_id", F.col("content").alias("chosen"))
     y = a.where("not is_accepted").select("question_id", F.col("content").alias("rejected"))
     return turns.unionByName(x.join(y, "question_id").select(F.lit("answer").alias("origin"), F.col("question_id").alias("key"), "chosen", "rejected"))
@@ -288,7 +287,7 @@ def _(t: Tables):
 
 @query("wf09_tie_bands")
 def _(t: Tables):
-    rows = t.events.where("user_id < 50").select("user_id", "event_id", F.col("value").alias("score"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (-F.col("value")).alias("o"))
+    rows = t.events.select("user_id", "event_id", F.col("value").alias("score"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (-F.col("value")).alias("o"))
     fold = lambda rs: [(r.event_id, b) for b, band in enumerate(G.tie_bands(rs, 5.0)) for r in band]
     return G.per_group(rows, ["user_id"], ["o", "event_id"], fold, "user_id long, event_id long, band int")
 

@@ -86,9 +86,9 @@ def _(t: Tables):
     return parse(docs).groupBy("doc_type").agg(F.count("*").alias("n"), F.sum(F.length("parsed")).alias("chars"))
 
 
-@query("src17_fetch_by_ids", "SELECT doc_id, title FROM docs WHERE doc_id IN (SELECT clicked_doc_id FROM searches WHERE clicked AND event_id < 300)")
+@query("src17_fetch_by_ids", "SELECT doc_id, title FROM docs WHERE doc_id IN (SELECT clicked_doc_id FROM searches WHERE clicked)")
 def _(t: Tables):
-    ids = t.searches.where("clicked and event_id < 300").select(F.col("clicked_doc_id").alias("doc_id"))
+    ids = t.searches.where("clicked").select(F.col("clicked_doc_id").alias("doc_id"))
     return t.docs.join(ids, "doc_id", "left_semi").select("doc_id", "title")
 
 
@@ -282,17 +282,17 @@ def _(t: Tables):
     return t.spans.where(keep).select("event_id", "is_root", "is_error")
 
 
-@query("flt21_connector_permission", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey < 200)")
+@query("flt21_connector_permission", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def _(t: Tables):
-    ids = t.orders.where("o_orderkey < 200").select(F.col("o_custkey").alias("c_custkey"))
+    ids = t.orders.where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return t.customer.join(ids, "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("flt22_entity_timeline", f"WITH s AS ({SCD}) SELECT entity_id, event_id, CASE WHEN valid_to < TIMESTAMP '2024-01-15' THEN 'expired' WHEN valid_to <= TIMESTAMP '2024-01-22' THEN 'expiring' ELSE 'open' END AS state FROM s WHERE entity_id < 20")
+@query("flt22_entity_timeline", f"WITH s AS ({SCD}) SELECT entity_id, event_id, CASE WHEN valid_to < TIMESTAMP '2024-01-15' THEN 'expired' WHEN valid_to <= TIMESTAMP '2024-01-22' THEN 'expiring' ELSE 'open' END AS state FROM s")
 def _(t: Tables):
     v = F.col("valid_to")
     at = lambda d: F.lit(d).cast("timestamp_ntz")
-    return timeline(t).where("entity_id < 20").select("entity_id", "event_id", F.when(v < at("2024-01-15 00:00:00"), "expired").when(v <= at("2024-01-22 00:00:00"), "expiring").otherwise("open").alias("state"))
+    return timeline(t).select("entity_id", "event_id", F.when(v < at("2024-01-15 00:00:00"), "expired").when(v <= at("2024-01-22 00:00:00"), "expiring").otherwise("open").alias("state"))
 
 
 @query("flt23_relevant_assets", "SELECT p_partkey, p_size FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') ORDER BY p_size DESC NULLS LAST, p_partkey LIMIT 20")
@@ -305,9 +305,9 @@ def _(t: Tables):
     return R.page(t.usage.where("model = '5-LOW' and success"), [F.desc("created_at"), F.asc("id")], 1, 30).select("id", "model")
 
 
-@query("flt25_repository_lookups", "SELECT q.id, count(a.id) AS n_answers FROM questions q LEFT JOIN answers a ON a.question_id = q.id AND a.deleted_at IS NULL WHERE q.deleted_at IS NULL AND q.author_id < 50 GROUP BY q.id")
+@query("flt25_repository_lookups", "SELECT q.id, count(a.id) AS n_answers FROM questions q LEFT JOIN answers a ON a.question_id = q.id AND a.deleted_at IS NULL WHERE q.deleted_at IS NULL GROUP BY q.id")
 def _(t: Tables):
-    q = R.scan(t.questions).where("author_id < 50").select("id")
+    q = R.scan(t.questions).select("id")
     a = R.scan(t.answers).select(F.col("question_id").alias("id"), F.lit(1).alias("one"))
     return q.join(a, "id", "left").groupBy("id").agg(F.count("one").alias("n_answers"))
 
@@ -387,9 +387,9 @@ def _(t: Tables):
     return t.docs.select("doc_id", "parent_id").join(p, "parent_id", "left").select("doc_id", "parent_title")
 
 
-@query("jn25_fuzzy_cell_match", "SELECT l_orderkey, len(list_filter(a, lambda x: len(list_filter(b, lambda y: x = y OR 1 - levenshtein(x, y) / greatest(length(x), length(y)) > 0.9)) > 0)) AS matched FROM (SELECT l_orderkey, list(CAST(l_partkey AS VARCHAR)) AS a, list(CAST(l_partkey - l_linenumber % 2 AS VARCHAR)) AS b FROM lineitem WHERE l_orderkey < 500 GROUP BY 1)")
+@query("jn25_fuzzy_cell_match", "SELECT l_orderkey, len(list_filter(a, lambda x: len(list_filter(b, lambda y: x = y OR 1 - levenshtein(x, y) / greatest(length(x), length(y)) > 0.9)) > 0)) AS matched FROM (SELECT l_orderkey, list(CAST(l_partkey AS VARCHAR)) AS a, list(CAST(l_partkey - l_linenumber % 2 AS VARCHAR)) AS b FROM lineitem GROUP BY 1)")
 def _(t: Tables):
-    g = t.lineitem.where("l_orderkey < 500").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey").cast("string")).alias("a"), F.collect_list((F.col("l_partkey") - F.col("l_linenumber") % 2).cast("string")).alias("b"))
+    g = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey").cast("string")).alias("a"), F.collect_list((F.col("l_partkey") - F.col("l_linenumber") % 2).cast("string")).alias("b"))
     like = lambda x, y: (x == y) | (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)) > 0.9)
     return g.select("l_orderkey", F.size(F.filter("a", lambda x: F.exists("b", lambda y: like(x, y)))).alias("matched"))
 
@@ -462,18 +462,17 @@ def _(t: Tables):
     return interval_join(e, w, "at", "lo", "hi", 512).select("event_id", "window_no")
 
 
-@query("jn21_tool_set_check", "SELECT user_id, len(list_intersect(used, ['click', 'view'])) = 2 AS has_all, len(list_intersect(used, ['error'])) > 0 AS has_forbidden FROM (SELECT user_id, list(DISTINCT event_type) AS used FROM events WHERE event_id % 20 = 0 GROUP BY 1)")
+@query("jn21_tool_set_check", "SELECT user_id, len(list_intersect(used, ['click', 'view'])) = 2 AS has_all, len(list_intersect(used, ['error'])) > 0 AS has_forbidden FROM (SELECT user_id, list(DISTINCT event_type) AS used FROM events WHERE value >= 60 GROUP BY 1)")
 def _(t: Tables):
-    used = t.events.where("event_id % 20 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("used"))
+    used = t.events.where("value >= 60").groupBy("user_id").agg(F.collect_set("event_type").alias("used"))
     want, bad = F.array(F.lit("click"), F.lit("view")), F.array(F.lit("error"))
     return used.select("user_id", (F.size(F.array_except(want, "used")) == 0).alias("has_all"), (F.size(F.array_intersect(bad, "used")) > 0).alias("has_forbidden"))
 
 
-@query("jn22_baseline_vs_current", "SELECT coalesce(a.doc_id, b.doc_id) AS case_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'missing' WHEN b.n < a.n THEN 'drop' ELSE 'ok' END AS verdict FROM (SELECT doc_id, count(*) AS n FROM behaviors WHERE acted_at < TIMESTAMP '2024-01-15' GROUP BY 1) a FULL JOIN (SELECT doc_id, count(*) AS n FROM behaviors WHERE acted_at >= TIMESTAMP '2024-01-15' AND doc_id % 9 <> 0 GROUP BY 1) b ON a.doc_id = b.doc_id")
+@query("jn22_baseline_vs_current", "SELECT coalesce(a.doc_id, b.doc_id) AS case_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'missing' WHEN b.n < a.n THEN 'drop' ELSE 'ok' END AS verdict FROM (SELECT doc_id, count(*) AS n FROM behaviors WHERE action_type = 'purchase' GROUP BY 1) a FULL JOIN (SELECT doc_id, count(*) AS n FROM behaviors WHERE action_type = 'signup' GROUP BY 1) b ON a.doc_id = b.doc_id")
 def _(t: Tables):
-    at = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    a = t.behaviors.where(F.col("acted_at") < at).groupBy("doc_id").agg(F.count("*").alias("was"))
-    b = t.behaviors.where((F.col("acted_at") >= at) & (F.col("doc_id") % 9 != 0)).groupBy("doc_id").agg(F.count("*").alias("now"))
+    a = t.behaviors.where("action_type = 'purchase'").groupBy("doc_id").agg(F.count("*").alias("was"))
+    b = t.behaviors.where("action_type = 'signup'").groupBy("doc_id").agg(F.count("*").alias("now"))
     return a.join(b, "doc_id", "full").select(F.col("doc_id").alias("case_id"), F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "missing").when(F.col("now") < F.col("was"), "drop").otherwise("ok").alias("verdict"))
 
 
@@ -484,17 +483,17 @@ def _(t: Tables):
     return a.join(b, ["p_type", "p_brand", "p_size"]).where("a < b").select("a", "b")
 
 
-@query("jn26_active_sessions", "SELECT c.conv_id, max(e.event_id) AS last_event FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 = 2) c JOIN events e ON CAST(c.conv_id AS VARCHAR) = CAST(e.user_id AS VARCHAR) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("jn26_active_sessions", "SELECT c.conv_id, max(e.event_id) AS last_event FROM (SELECT DISTINCT conv_id FROM messages WHERE owner_id = 2) c JOIN events e ON CAST(c.conv_id AS VARCHAR) = CAST(e.user_id AS VARCHAR) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def _(t: Tables):
-    c = t.conversations.where("conv_id % 7 = 2").select(F.col("conv_id").cast("string").alias("session_id"), "conv_id").distinct()
+    c = t.messages.where("owner_id = 2").select(F.col("conv_id").cast("string").alias("session_id"), "conv_id").distinct()
     e = t.events.select(F.col("user_id").cast("string").alias("session_id"), "event_id")
     return c.join(e, "session_id").groupBy("conv_id").agg(F.max("event_id").alias("last_event")).orderBy(F.desc("last_event"), "conv_id").limit(10)
 
 
-@query("jn27_personal_digest", "SELECT user_id, doc_id FROM (SELECT b.user_id, d.doc_id, row_number() OVER (PARTITION BY b.user_id ORDER BY d.view_count DESC, d.doc_id) AS rn FROM (SELECT DISTINCT x.user_id, substr(k.title, 1, 2) AS pre FROM behaviors x JOIN docs k ON k.doc_id = x.doc_id WHERE x.user_id < 20) b JOIN docs d ON substr(d.title, 1, 2) = b.pre WHERE NOT EXISTS (SELECT 1 FROM behaviors s WHERE s.user_id = b.user_id AND s.doc_id = d.doc_id)) WHERE rn <= 5")
+@query("jn27_personal_digest", "SELECT user_id, doc_id FROM (SELECT b.user_id, d.doc_id, row_number() OVER (PARTITION BY b.user_id ORDER BY d.view_count DESC, d.doc_id) AS rn FROM (SELECT DISTINCT x.user_id, substr(k.title, 1, 2) AS pre FROM behaviors x JOIN docs k ON k.doc_id = x.doc_id) b JOIN docs d ON substr(d.title, 1, 2) = b.pre WHERE NOT EXISTS (SELECT 1 FROM behaviors s WHERE s.user_id = b.user_id AND s.doc_id = d.doc_id)) WHERE rn <= 5")
 def _(t: Tables):
     d = t.docs.select("doc_id", F.substring("title", 1, 2).alias("pre"), "view_count")
-    seen = t.behaviors.where("user_id < 20").select("user_id", "doc_id").distinct()
+    seen = t.behaviors.select("user_id", "doc_id").distinct()
     likes = seen.join(d.select("doc_id", "pre"), "doc_id").select("user_id", "pre").distinct()
     fresh = likes.join(d, "pre").join(seen, ["user_id", "doc_id"], "left_anti")
     return R.latest_by(fresh, ["user_id"], [F.desc("view_count"), F.asc("doc_id")], 5).select("user_id", "doc_id")
@@ -586,10 +585,11 @@ def _(t: Tables):
     return t.events.orderBy(*order).limit(60).where("event_type <> 'error'").orderBy(*order).limit(20).select("event_id")
 
 
-@query("top08_deterministic_negative", "SELECT d.doc_id, min(n.doc_id) AS negative FROM docs d JOIN (SELECT doc_id, kb_id FROM docs WHERE doc_id % 3 = 1) n ON n.kb_id = d.kb_id WHERE d.doc_id % 3 = 0 GROUP BY d.doc_id")
+@query("top08_deterministic_negative", "SELECT d.doc_id, min(n.doc_id) AS negative FROM docs d JOIN (SELECT doc_id, kb_id FROM docs WHERE depth = 1) n ON n.kb_id = d.kb_id AND n.doc_id <> d.doc_id GROUP BY d.doc_id")
 def _(t: Tables):
-    neg = t.docs.where("doc_id % 3 = 1").groupBy("kb_id").agg(F.min("doc_id").alias("negative"))
-    return t.docs.where("doc_id % 3 = 0").join(neg, "kb_id").select("doc_id", "negative")
+    # the two smallest candidates of a knowledge base: the document itself is never its own negative
+    neg = R.latest_by(t.docs.where("depth = 1").select("kb_id", F.col("doc_id").alias("n")), ["kb_id"], [F.asc("n")], 2)
+    return t.docs.join(neg, "kb_id").where("n <> doc_id").groupBy("doc_id").agg(F.min("n").alias("negative"))
 
 
 @query("top09_limit_after_filters", "SELECT doc_id FROM docs WHERE length(content) BETWEEN 10 AND 8000 AND status = 'published' ORDER BY doc_id LIMIT 100")
@@ -600,10 +600,10 @@ def _(t: Tables):
 # --- sets
 
 
-@query("set01_concat_sources", "SELECT id, 'answer' AS kind FROM answers WHERE id < 500 UNION ALL SELECT id, 'question' FROM questions WHERE id < 500")
+@query("set01_concat_sources", "SELECT id, 'answer' AS kind FROM answers UNION ALL SELECT id, 'question' FROM questions")
 def _(t: Tables):
-    a = t.answers.where("id < 500").select("id", F.lit("answer").alias("kind"))
-    return a.unionByName(t.questions.where("id < 500").select("id", F.lit("question").alias("kind")))
+    a = t.answers.select("id", F.lit("answer").alias("kind"))
+    return a.unionByName(t.questions.select("id", F.lit("question").alias("kind")))
 
 
 @query("set02_key_union", "SELECT DISTINCT user_id FROM (SELECT owner_id AS user_id FROM docs UNION ALL SELECT user_id FROM events)")

@@ -12,35 +12,36 @@ from .registry import Tables, query
 
 BM25 = """WITH chunks AS (SELECT doc_id, i AS pos, doc_id * 1000 + i AS chunk_id, substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000) AS body FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)),
 tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+|[\\x{4E00}-\\x{9FFF}]')) AS term FROM chunks), tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), len AS (SELECT chunk_id, count(*) AS n FROM tok GROUP BY 1),
-stat AS (SELECT count(*) AS total, avg(n) AS mean FROM len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{4E00}-\\x{9FFF}]')) AS term FROM benchmark WHERE item_id < 10)),
+stat AS (SELECT count(*) AS total, avg(n) AS mean FROM len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{4E00}-\\x{9FFF}]')) AS term FROM benchmark WHERE item_id % 100 = 0)),
 s AS (SELECT item_id AS query_id, tf.chunk_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM q JOIN df ON q.term = df.term JOIN tf ON tf.term = q.term JOIN len ON len.chunk_id = tf.chunk_id, stat GROUP BY 1, 2),
 ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM s) WHERE rn <= 20)"""
-VEC = """vs AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 10) q),
+VEC = """vs AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q),
 vk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM vs) WHERE rn <= 20)"""
 
 
-def queries10(t: Tables):
-    return t.benchmark.where("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
+def text_queries(t: Tables):
+    """The stated query set of searches: rows whose id is divisible by 100, against all rows."""
+    return t.benchmark.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
-def vectors10(t: Tables):
-    return t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def vector_queries(t: Tables):
+    return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def fulltext(t: Tables, k: int = 20):
-    return V.bm25(queries10(t), V.windows(t.documents, 1000, text="text"), k)
+    return V.bm25(text_queries(t), V.windows(t.documents, 1000, text="text"), k)
 
 
 @query("ret01_vector_topk", "WITH " + VEC + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM vs WHERE label % 2 = 0) SELECT query_id, vec_id, score FROM f WHERE k <= 5")
 def _(t: Tables):
-    return V.vector_topk(vectors10(t), t.embeddings, 5, F.col("label") % 2 == 0)
+    return V.vector_topk(vector_queries(t), t.embeddings, 5, F.col("label") % 2 == 0)
 
 
 @query("ret02_raw_score_order", "WITH " + VEC + " SELECT query_id, vec_id, rn AS rank FROM vk")
 def _(t: Tables):
     from pyspark.sql import Window
 
-    s = V.vector_topk(vectors10(t), t.embeddings, 20)
+    s = V.vector_topk(vector_queries(t), t.embeddings, 20)
     return s.select("query_id", "vec_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long").alias("rank"))
 
 
@@ -51,7 +52,7 @@ def _(t: Tables):
 
 @query("ret04_cross_modal_channel", "WITH " + VEC + " SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM vs WHERE label >= 5) WHERE k <= 8")
 def _(t: Tables):
-    return V.vector_topk(vectors10(t), t.embeddings, 8, F.col("label") >= 5)
+    return V.vector_topk(vector_queries(t), t.embeddings, 8, F.col("label") >= 5)
 
 
 @query("ret05_graph_channel", "SELECT n_nationkey AS entity, s_suppkey AS doc_id, 'graph_' || CAST(s_suppkey AS VARCHAR) AS chunk_id, 0.5::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS rn FROM nation JOIN supplier ON s_nationkey = n_nationkey) WHERE rn <= 3")
@@ -75,7 +76,7 @@ h AS (SELECT * FROM (SELECT query_id, doc_id, max(score) AS score, row_number()
 
 
 def hybrid(t: Tables):
-    vec = V.vector_topk(vectors10(t), t.embeddings, 20).withColumnRenamed("vec_id", "doc_id")
+    vec = V.vector_topk(vector_queries(t), t.embeddings, 20).withColumnRenamed("vec_id", "doc_id")
     ft = fulltext(t).select("query_id", F.floor(F.col("chunk_id") / 1000).alias("doc_id"), "score").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     return V.merge_channels(vec, ft, 10)
 
@@ -104,9 +105,9 @@ def _(t: Tables):
     return t.searches.groupBy("query").agg(F.when(m >= 50, 5).otherwise(15).alias("k"), (m < 30).alias("insufficient"))
 
 
-@query("ret12_faq_shortcut", BM25 + " SELECT query_id, chunk_id FROM ft WHERE rn = 1 AND score >= 15 AND chunk_id % 2 = 0")
+@query("ret12_faq_shortcut", BM25 + " SELECT query_id, chunk_id FROM ft WHERE rn = 1 AND score >= 15")
 def _(t: Tables):
-    return fulltext(t, 1).where("score >= 15 and chunk_id % 2 = 0").select("query_id", "chunk_id")
+    return fulltext(t, 1).where("score >= 15").select("query_id", "chunk_id")
 
 
 @query("ret13_conflict_resolution", "SELECT doc_id FROM (SELECT doc_id, version_of, row_number() OVER (PARTITION BY version_of ORDER BY CASE kb_id WHEN 'src0' THEN 5 WHEN 'src6' THEN 4 ELSE 1 END DESC, updated_on DESC NULLS LAST, doc_id) AS rn FROM docs) WHERE version_of IS NULL OR rn = 1")
@@ -115,44 +116,44 @@ def _(t: Tables):
     return V.resolve_conflicts(t.docs, "version_of", a, "updated_on", "doc_id").select("doc_id")
 
 
-@query("ret14_semantic_cache", "WITH " + VEC + " SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM vs WHERE vec_id >= 10 AND score >= 0.2) WHERE k = 1")
+@query("ret14_semantic_cache", "WITH " + VEC + " SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM vs WHERE vec_id <> query_id AND score >= 0.2) WHERE k = 1")
 def _(t: Tables):
-    return V.vector_topk(vectors10(t), t.embeddings, 1, F.col("vec_id") >= 10).where("score >= 0.2")
+    return R.latest_by(V.vector_topk(vector_queries(t), t.embeddings, 2).where("vec_id <> query_id and score >= 0.2"), ["query_id"], [F.desc("score"), F.asc("vec_id")])
 
 
-@query("ret15_retrieval_match", "WITH " + VEC + " SELECT query_id, max(score) FILTER (WHERE vec_id >= 10) < 0.3 AS mismatch FROM vs GROUP BY query_id")
+@query("ret15_retrieval_match", "WITH " + VEC + " SELECT query_id, max(score) FILTER (WHERE vec_id <> query_id) < 0.3 AS mismatch FROM vs GROUP BY query_id")
 def _(t: Tables):
-    return V.vector_topk(vectors10(t), t.embeddings, 1, F.col("vec_id") >= 10).select("query_id", (F.col("score") < 0.3).alias("mismatch"))
+    return V.vector_topk(vector_queries(t), t.embeddings, 2).where("vec_id <> query_id").groupBy("query_id").agg((F.max("score") < 0.3).alias("mismatch"))
 
 
-@query("ret16_memory_search", "WITH " + VEC + " SELECT query_id, vec_id, round(score * exp(-0.693147 * (vec_id % 60) / 30), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score * exp(-0.693147 * (vec_id % 60) / 30), 6) DESC, vec_id) AS k FROM vs WHERE score >= 0.1 AND vec_id % 7 <> 0) WHERE k <= 5")
+@query("ret16_memory_search", "WITH " + VEC + " SELECT query_id, vec_id, round(score * exp(-0.693147 * (vec_id % 60) / 30), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score * exp(-0.693147 * (vec_id % 60) / 30), 6) DESC, vec_id) AS k FROM vs WHERE score >= 0.1 AND label <> 7) WHERE k <= 5")
 def _(t: Tables):
-    s = V.vector_topk(vectors10(t), t.embeddings, 1 << 30, F.col("vec_id") % 7 != 0).where("score >= 0.1")
+    s = V.vector_topk(vector_queries(t), t.embeddings, 1 << 30, F.col("label") != 7).where("score >= 0.1")
     s = s.withColumn("score", F.round(F.col("score") * F.exp(-0.693147 * (F.col("vec_id") % 60) / 30), 6))
     return R.latest_by(s, ["query_id"], [F.desc("score"), F.asc("vec_id")], 5)
 
 
 @query("ret17_memory_duplicates", "WITH " + VEC + " SELECT DISTINCT query_id FROM vs JOIN embeddings q ON q.vec_id = query_id WHERE vs.vec_id <> query_id AND vs.label = q.label AND score >= 0.25")
 def _(t: Tables):
-    q = vectors10(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    q = vector_queries(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
     j = t.embeddings.join(F.broadcast(q), "label").where("vec_id <> query_id")  # ten stated queries
     return j.where(F.round(maths.cosine(F.col("q"), F.col("embedding")), 6) >= 0.25).select("query_id").distinct()
 
 
-@query("ret18_skill_match", "SELECT item_id, p_partkey, score FROM (SELECT item_id, p_partkey, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, p_partkey) AS rn FROM (SELECT item_id, p_partkey, CAST(sum(CASE WHEN contains(lower(p_name), w) THEN 10 ELSE 0 END + CASE WHEN contains(lower(p_type), w) THEN 5 ELSE 0 END) AS BIGINT) AS score FROM (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark WHERE item_id < 5) WHERE length(w) >= 2), part WHERE p_partkey < 100 GROUP BY 1, 2) WHERE score > 0) WHERE rn <= 3")
+@query("ret18_skill_match", "SELECT item_id, p_partkey, score FROM (SELECT item_id, p_partkey, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, p_partkey) AS rn FROM (SELECT item_id, p_partkey, CAST(sum(CASE WHEN contains(lower(p_name), w) THEN 10 ELSE 0 END + CASE WHEN contains(lower(p_type), w) THEN 5 ELSE 0 END) AS BIGINT) AS score FROM (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark WHERE item_id % 100 = 0) WHERE length(w) >= 2), part GROUP BY 1, 2) WHERE score > 0) WHERE rn <= 3")
 def _(t: Tables):
-    w = t.benchmark.where("item_id < 5").select("item_id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), lambda x: F.length(x) >= 2))).alias("w"))
-    p = t.part.where("p_partkey < 100").select("p_partkey", F.lower("p_name").alias("name"), F.lower("p_type").alias("type"))  # the skills: a registry of fixed size
-    s = w.crossJoin(F.broadcast(p)).groupBy("item_id", "p_partkey").agg(F.sum(F.when(F.col("name").contains(F.col("w")), 10).otherwise(0) + F.when(F.col("type").contains(F.col("w")), 5).otherwise(0)).alias("score"))
+    w = t.benchmark.where("item_id % 100 = 0").select("item_id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), lambda x: F.length(x) >= 2))).alias("w"))
+    p = t.part.select("p_partkey", F.lower("p_name").alias("name"), F.lower("p_type").alias("type"))
+    s = p.crossJoin(F.broadcast(w)).groupBy("item_id", "p_partkey").agg(F.sum(F.when(F.col("name").contains(F.col("w")), 10).otherwise(0) + F.when(F.col("type").contains(F.col("w")), 5).otherwise(0)).alias("score"))
     return R.latest_by(s.where("score > 0"), ["item_id"], [F.desc("score"), F.asc("p_partkey")], 3)
 
 
-@query("ret19_drift_ladder", "WITH " + VEC + " SELECT query_id, CASE WHEN query_id % 4 = 0 THEN 'keep' WHEN query_id % 4 = 1 THEN 'reset' WHEN score < 0.1 THEN 'drift' WHEN score < 0.2 THEN 'possible' ELSE 'keep' END AS state FROM vs WHERE vec_id = query_id + 1")
+@query("ret19_drift_ladder", "WITH " + VEC + " SELECT query_id, CASE WHEN query_id % 400 = 0 THEN 'keep' WHEN query_id % 400 = 100 THEN 'reset' WHEN score < 0.1 THEN 'drift' WHEN score < 0.2 THEN 'possible' ELSE 'keep' END AS state FROM vs WHERE vec_id = query_id + 1")
 def _(t: Tables):
     nxt = t.embeddings.select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("e"))
-    s = vectors10(t).join(nxt, "query_id").select("query_id", F.round(maths.cosine(F.col("q"), F.col("e")), 6).alias("s"))
-    m = F.col("query_id") % 4
-    return s.select("query_id", F.when(m == 0, "keep").when(m == 1, "reset").when(F.col("s") < 0.1, "drift").when(F.col("s") < 0.2, "possible").otherwise("keep").alias("state"))
+    s = vector_queries(t).join(nxt, "query_id").select("query_id", F.round(maths.cosine(F.col("q"), F.col("e")), 6).alias("s"))
+    m = F.col("query_id") % 400
+    return s.select("query_id", F.when(m == 0, "keep").when(m == 100, "reset").when(F.col("s") < 0.1, "drift").when(F.col("s") < 0.2, "possible").otherwise("keep").alias("state"))
 
 
 @query("ret20_image_rows", "SELECT page_id, 'image ' || CAST(page_id AS VARCHAR) AS content, length('image ' || CAST(page_id AS VARCHAR)) // 2 AS tokens FROM pages WHERE contains(html, '<script')")
@@ -177,7 +178,7 @@ def _(t: Tables):
 
 @query("ch02_qa_split")
 def _(t: Tables):
-    qa = t.messages.where("turn < 6").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))), lambda m: F.concat(F.when(m["role"] == "assistant", "A: ").otherwise("Q: "), F.regexp_replace(m["content"], "\n", " "))), "\n").alias("content"))
+    qa = t.messages.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))), lambda m: F.concat(F.when(m["role"] == "assistant", "A: ").otherwise("Q: "), F.regexp_replace(m["content"], "\n", " "))), "\n").alias("content"))
     return G.chunk_docs(qa.withColumnRenamed("conv_id", "doc_id"), kind="faq")
 
 
@@ -253,17 +254,17 @@ def _(t: Tables):
 
 @query("ch09_transcript_windows")
 def _(t: Tables):
-    seg = t.events.where("user_id < 40").select("user_id", "event_id", (F.col("event_id") * 1.5).alias("a"), (F.col("event_id") * 1.5 + F.col("value") % 30).alias("b"))
+    seg = t.events.select("user_id", "event_id", (F.col("event_id") * 1.5).alias("a"), (F.col("event_id") * 1.5 + F.col("value") % 30).alias("b"))
     return G.per_group(seg, ["user_id"], ["event_id"], lambda rows: [(r.event_id, w) for r, w in zip(rows, G.time_windows([(r.a, r.b) for r in rows]))], "user_id long, event_id long, window_no int")
 
 
 # --- evaluation
 
-RANKED = "ranked AS (SELECT user_id, doc_id, row_number() OVER (PARTITION BY user_id ORDER BY first_at) AS pos FROM (SELECT user_id, doc_id, min(event_id) AS first_at FROM behaviors WHERE user_id < 80 GROUP BY 1, 2)), r AS (SELECT user_id, pos, CASE WHEN doc_id % 7 = user_id % 7 THEN 1 ELSE 0 END AS hit, (199 - user_id % 7) // 7 + 1 AS n_rel FROM ranked WHERE pos <= 10)"
+RANKED = "ranked AS (SELECT user_id, doc_id, row_number() OVER (PARTITION BY user_id ORDER BY first_at) AS pos FROM (SELECT user_id, doc_id, min(event_id) AS first_at FROM behaviors GROUP BY 1, 2)), r AS (SELECT user_id, pos, CASE WHEN doc_id % 7 = user_id % 7 THEN 1 ELSE 0 END AS hit, (199 - user_id % 7) // 7 + 1 AS n_rel FROM ranked WHERE pos <= 10)"
 
 
 def cases(t: Tables):
-    first = t.behaviors.where("user_id < 80").groupBy("user_id", "doc_id").agg(F.min("event_id").alias("at"))
+    first = t.behaviors.groupBy("user_id", "doc_id").agg(F.min("event_id").alias("at"))
     g = first.groupBy("user_id").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("at", "doc_id"))), 1, 10), lambda s: s["doc_id"]).alias("ranked"))
     return g.withColumn("relevant", F.filter(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long")), lambda d: d % 7 == F.col("user_id") % 7))
 
@@ -315,11 +316,10 @@ def _(t: Tables):
     return t.messages.select("conv_id", "turn", F.when(refused & ~leak, "pass").when(~refused, "not_refused").otherwise("leak").alias("verdict"))
 
 
-@query("ev08_regression_gate", "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'new' WHEN b.user_id IS NULL THEN 'missing' WHEN a.v >= 50 AND b.v < 50 THEN 'pass_to_fail' WHEN a.v > 0 AND (a.v - b.v) / a.v > 0.05 THEN 'metric_drop' ELSE 'ok' END AS verdict FROM (SELECT user_id, avg(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 11 <> 0 GROUP BY 1) a FULL JOIN (SELECT user_id, avg(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id % 13 <> 0 GROUP BY 1) b ON a.user_id = b.user_id")
+@query("ev08_regression_gate", "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'new' WHEN b.user_id IS NULL THEN 'missing' WHEN a.v >= 50 AND b.v < 50 THEN 'pass_to_fail' WHEN a.v > 0 AND (a.v - b.v) / a.v > 0.05 THEN 'metric_drop' ELSE 'ok' END AS verdict FROM (SELECT user_id, avg(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1) a FULL JOIN (SELECT user_id, avg(value) AS v FROM events WHERE event_type = 'signup' GROUP BY 1) b ON a.user_id = b.user_id")
 def _(t: Tables):
-    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    a = t.events.where((F.col("ts") < cut) & (F.col("user_id") % 11 != 0)).groupBy("user_id").agg(F.avg("value").alias("a"))
-    b = t.events.where((F.col("ts") >= cut) & (F.col("user_id") % 13 != 0)).groupBy("user_id").agg(F.avg("value").alias("b"))
+    a = t.events.where("event_type = 'purchase'").groupBy("user_id").agg(F.avg("value").alias("a"))
+    b = t.events.where("event_type = 'signup'").groupBy("user_id").agg(F.avg("value").alias("b"))
     was, now = F.col("a"), F.col("b")
     v = F.when(was.isNull(), "new").when(now.isNull(), "missing").when((was >= 50) & (now < 50), "pass_to_fail").when((was > 0) & ((was - now) / was > 0.05), "metric_drop").otherwise("ok")
     return a.join(b, "user_id", "full").select("user_id", v.alias("verdict"))

@@ -97,14 +97,30 @@ def _(t: Tables):
     return embed(t.benchmark, "text", lambda texts: [[float(len(x)), 1.0] for x in texts]).select("item_id", F.col("embedding")[0].alias("first_component"))
 
 
-@query("udf04_model_hook", "SELECT item_id, '[' || substr(text, 1, 10) || ']' AS reply FROM benchmark WHERE item_id % 2 = 0")
+@query("udf04_model_hook", "SELECT item_id, '[' || substr(text, 1, 10) || ']' AS reply FROM benchmark")
 def _(t: Tables):
     from ..functions.hooks import complete
 
-    return complete(t.benchmark.where("item_id % 2 = 0"), "text", lambda texts: [f"[{x[:10]}]" for x in texts]).select("item_id", "reply")
+    return complete(t.benchmark, "text", lambda texts: [f"[{x[:10]}]" for x in texts]).select("item_id", "reply")
 
 
 @query("udf11_entity_registration", "SELECT kind, count(*) AS n FROM (SELECT 'Nation' AS kind FROM nation UNION ALL SELECT 'Supplier' FROM supplier UNION ALL SELECT 'Concept') GROUP BY kind")
 def _(t: Tables):
     kinds = t.nation.select(F.lit("Nation").alias("kind")).unionByName(t.supplier.select(F.lit("Supplier").alias("kind")))
     return kinds.unionByName(t.spark.range(1).select(F.lit("Concept").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("udf07_document_adapter", "SELECT CAST(i AS VARCHAR) AS doc_id, 'Item ' || CAST(i AS VARCHAR) AS title FROM range(30) r(i)")
+def _(t: Tables):
+    from ..sources.adapter import MemoryAdapter, read
+
+    docs = {str(i): (f"Item {i}", "", "1") for i in range(30)}
+    return read(t.spark, "loomlake_items", lambda: MemoryAdapter(docs)).select("doc_id", "title")
+
+
+@query("snk14_dead_letters", "SELECT count(*) FILTER (WHERE value >= 5) AS passed, count(*) FILTER (WHERE value < 5) AS failed FROM events")
+def _(t: Tables):
+    from ..operators.store import dead_letters
+
+    ok, bad = dead_letters(t.events, F.col("value") >= 5, F.lit("low value"))
+    return ok.agg(F.count("*").alias("passed")).crossJoin(F.broadcast(bad.agg(F.count("*").alias("failed"))))  # one row each

@@ -73,10 +73,10 @@ def _(t: Tables):
     return t.messages.select("conv_id", "turn", F.array_join(F.transform(X.citations(c), lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("str11_citation_sources", "SELECT conv_id, turn, CASE WHEN length(src) > 200 THEN substr(src, 1, 200) || '...' ELSE src END AS snippet FROM (SELECT m.conv_id, m.turn, s.content AS src FROM messages m JOIN messages s ON s.conv_id = m.conv_id AND s.turn = 1 WHERE m.turn % 2 = 0)")
+@query("str11_citation_sources", "SELECT conv_id, turn, CASE WHEN length(src) > 200 THEN substr(src, 1, 200) || '...' ELSE src END AS snippet FROM (SELECT m.conv_id, m.turn, s.content AS src FROM messages m JOIN messages s ON s.conv_id = m.conv_id AND s.turn = 1)")
 def _(t: Tables):
     src = t.messages.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "content"))), lambda s: s["content"]).alias("sources"))
-    cited = t.messages.where("turn % 2 = 0").select("conv_id", "turn", X.citations(F.concat("content", F.lit(" [2] [999]"))).alias("ids"))
+    cited = t.messages.select("conv_id", "turn", X.citations(F.concat("content", F.lit(" [2] [999]"))).alias("ids"))
     j = cited.join(src, "conv_id").select("conv_id", "turn", F.explode(F.transform("ids", lambda i: F.try_element_at("sources", i))).alias("src")).where("src is not null")
     return j.select("conv_id", "turn", F.when(F.length("src") > 200, F.concat(F.substring("src", 1, 200), F.lit("..."))).otherwise(F.col("src")).alias("snippet"))
 
@@ -88,10 +88,10 @@ def _(t: Tables):
     return t.messages.select("conv_id", "turn", F.when(n_src == 0, "valid").when(F.size(ids) == 0, "invalid").when(F.exists(ids, lambda i: i > n_src), "warning").otherwise("valid").alias("verdict"))
 
 
-@query("str13_claim_verification", "SELECT doc_id, n_numbers, CAST(n_known AS BIGINT) AS n_known, n_numbers > 0 AND (n_numbers - n_known) > 0.3 * n_numbers AS flagged FROM (SELECT doc_id, len(nums) AS n_numbers, len(list_filter(nums, lambda x: contains(substr(content, 1, 2000), x))) AS n_known FROM (SELECT doc_id, content, list_distinct(regexp_extract_all(content, '[0-9]+')) AS nums FROM docs))")
+@query("str13_claim_verification", "SELECT doc_id, n_numbers, CAST(n_known AS BIGINT) AS n_known, n_numbers > 0 AND (n_numbers - n_known) > 0.3 * n_numbers AS flagged FROM (SELECT doc_id, len(nums) AS n_numbers, len(list_filter(nums, lambda x: contains(title, x))) AS n_known FROM (SELECT doc_id, title, list_distinct(regexp_extract_all(content, '[0-9]+')) AS nums FROM docs))")
 def _(t: Tables):
-    d = t.docs.select("doc_id", "content", F.array_distinct(F.regexp_extract_all("content", F.lit("[0-9]+"), 0)).alias("nums"))
-    known = F.size(F.filter("nums", lambda x: F.substring(F.col("content"), 1, 2000).contains(x)))
+    d = t.docs.select("doc_id", "title", F.array_distinct(F.regexp_extract_all("content", F.lit("[0-9]+"), 0)).alias("nums"))
+    known = F.size(F.filter("nums", lambda x: F.col("title").contains(x)))
     n = F.size("nums")
     return d.select("doc_id", n.alias("n_numbers"), known.cast("long").alias("n_known"), ((n > 0) & (n - known > 0.3 * n)).alias("flagged"))
 
@@ -106,9 +106,9 @@ def _(t: Tables):
     return t.docs.where(F.col("title").ilike("th%") | F.lower("title").contains("zz")).select("doc_id")
 
 
-@query("str16_edit_similarity", "SELECT a.item_id, b.item_id AS other, levenshtein(a.s, b.s) AS distance, round(1 - levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s), 1), 4) AS similarity FROM (SELECT item_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40) AS s FROM benchmark) a JOIN (SELECT item_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40) AS s FROM benchmark) b ON b.item_id = a.item_id + 1")
+@query("str16_edit_similarity", "SELECT a.item_id, b.item_id AS other, levenshtein(a.s, b.s) AS distance, round(1 - levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s), 1), 4) AS similarity FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS s FROM benchmark) a JOIN (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS s FROM benchmark) b ON b.item_id = a.item_id + 1")
 def _(t: Tables):
-    a = t.benchmark.select("item_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 40).alias("s"))
+    a = t.benchmark.select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("s"))
     b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("s").alias("o"))
     return a.join(b, "item_id").select("item_id", "other", F.levenshtein("s", "o").cast("long").alias("distance"), X.similarity(F.col("s"), F.col("o")).alias("similarity"))
 
@@ -234,9 +234,9 @@ def _(t: Tables):
     return p.select("event_id", F.col("p")[0].alias("s"), F.col("p")[1].alias("p"), F.col("p")[2].alias("o"))
 
 
-@query("str33_question_normalise", "SELECT item_id, regexp_replace(regexp_replace(regexp_replace(q, '^(?:please |could you )+', '', 'g'), '[?!.]+$', '', 'g'), '^(?:how do i|how to) ', 'how ', 'g') AS norm FROM (SELECT item_id, lower(CASE item_id % 2 WHEN 0 THEN 'Please how to ' ELSE 'how do I ' END || substr(text, 1, 30) || '??') AS q FROM benchmark)")
+@query("str33_question_normalise", "SELECT item_id, regexp_replace(regexp_replace(regexp_replace(q, '^(?:please |could you )+', '', 'g'), '[?!.]+$', '', 'g'), '^(?:how do i|how to) ', 'how ', 'g') AS norm FROM (SELECT item_id, lower(CASE item_id % 2 WHEN 0 THEN 'Please how to ' ELSE 'how do I ' END || text || '??') AS q FROM benchmark)")
 def _(t: Tables):
-    q = F.lower(F.concat(F.when(F.col("item_id") % 2 == 0, "Please how to ").otherwise("how do I "), F.substring("text", 1, 30), F.lit("??")))
+    q = F.lower(F.concat(F.when(F.col("item_id") % 2 == 0, "Please how to ").otherwise("how do I "), F.col("text"), F.lit("??")))
     return t.benchmark.select("item_id", folds.question_key(q).alias("norm"))
 
 
@@ -298,9 +298,9 @@ def _(t: Tables):
     return d.select("doc_id", F.col("i").cast("long").alias("window_no"), F.expr("substring(content, i * 400 + 1, 500)").alias("chunk"))
 
 
-@query("wf16_ngrams", "SELECT item_id, gram, count(*) AS n FROM (SELECT item_id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS gram FROM (SELECT item_id, substr(text, 1, 60) AS s FROM benchmark)) GROUP BY 1, 2")
+@query("wf16_ngrams", "SELECT item_id, gram, count(*) AS n FROM (SELECT item_id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS gram FROM (SELECT item_id, text AS s FROM benchmark)) GROUP BY 1, 2")
 def _(t: Tables):
-    g = t.benchmark.select("item_id", F.explode(X.ngrams(F.substring("text", 1, 60), 2)).alias("gram"))
+    g = t.benchmark.select("item_id", F.explode(X.ngrams(F.col("text"), 2)).alias("gram"))
     return g.groupBy("item_id", "gram").agg(F.count("*").alias("n"))
 
 
@@ -421,11 +421,13 @@ def _(t: Tables):
     return t.docs.select("doc_id", F.floor((F.row_number().over(Window.partitionBy("kb_id").orderBy("doc_id")) - 1) / 64).alias("batch"))
 
 
-@query("ar07_set_recall_precision", "SELECT user_id, round(count(DISTINCT doc_id) FILTER (WHERE doc_id < 100) / 100.0, 6) AS recall, round(count(DISTINCT doc_id) FILTER (WHERE doc_id < 100) * 1.0 / count(DISTINCT doc_id), 6) AS precision FROM behaviors GROUP BY user_id")
+@query("ar07_set_recall_precision", "SELECT user_id, round(count(DISTINCT b.doc_id) FILTER (WHERE d.depth = 1) * 1.0 / max(n), 6) AS recall, round(count(DISTINCT b.doc_id) FILTER (WHERE d.depth = 1) * 1.0 / count(DISTINCT b.doc_id), 6) AS precision FROM behaviors b LEFT JOIN docs d ON d.doc_id = b.doc_id, (SELECT count(*) AS n FROM docs WHERE depth = 1) GROUP BY user_id")
 def _(t: Tables):
     got = t.behaviors.groupBy("user_id").agg(F.collect_set("doc_id").alias("g"))
-    hits = F.size(F.filter("g", lambda d: d < 100))
-    return got.select("user_id", F.round(hits / 100.0, 6).alias("recall"), F.round(hits / F.size("g"), 6).alias("precision"))
+    want = t.docs.where("depth = 1").agg(F.collect_set("doc_id").alias("want"))
+    got = got.crossJoin(F.broadcast(want))  # one row, the relevant set
+    hits = F.size(F.array_intersect("g", "want"))
+    return got.select("user_id", F.round(hits / F.size("want"), 6).alias("recall"), F.round(hits / F.size("g"), 6).alias("precision"))
 
 
 @query("ar08_truncate_list", "SELECT user_id, array_to_string(list_transform(list_slice(list(doc_id ORDER BY event_id), 1, 5), lambda x: CAST(x AS VARCHAR)), ',') AS ids FROM behaviors GROUP BY user_id")

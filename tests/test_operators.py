@@ -266,3 +266,30 @@ def test_state_fold(spark):
     log = spark.createDataFrame([("s", 1, "m", "a", True), ("s", 2, "m", "b", True), ("s", 3, "n", "x", False), ("s", 4, "n", "y", False), ("t", 1, "m", "old", True), ("t", 2, "m", "over", False), ("t", 3, "m", "new", True)], "session_id string, seq int, field string, value string, is_list boolean")
     assert {(r.session_id, r.field): r.value for r in state.fold_events(log).collect()} == {("s", "m"): "a,b", ("s", "n"): "y", ("t", "m"): "new"}
     assert json.loads("[]") == []
+
+
+def test_vector_store(spark, tmp_path):
+    from loomlake.operators.store import VectorStore, dead_letters
+
+    s = VectorStore(spark, str(tmp_path), "vec_id long, embedding array<double>")
+    rows = lambda *r: spark.createDataFrame(list(r), "vec_id long, embedding array<double>")
+    s.upsert(rows((1, [1.0, 0.0]), (2, [0.0, 1.0])))
+    s.upsert(rows((2, [1.0, 0.1]), (3, [-1.0, 0.0])))
+    q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, q array<double>")
+    assert [r.vec_id for r in s.search(q, 2).orderBy(F.desc("score")).collect()] == [1, 2]
+    s.delete(rows((1, None)))
+    assert sorted(r.vec_id for r in s.table().collect()) == [2, 3] and s.fetch(rows((3, None), (1, None))).count() == 1
+    ok, bad = dead_letters(spark.createDataFrame([(1,), (None,), (-1,)], "v int"), F.col("v") > 0, F.lit("r"))
+    assert ok.count() == 1 and bad.where("reason = 'r'").count() == 2
+
+
+def test_adapter_skips_what_cannot_be_fetched(spark):
+    from loomlake.sources.adapter import MemoryAdapter, read
+
+    class Half(MemoryAdapter):
+        def list_ids(self):
+            return [*super().list_ids(), "gone"]
+
+    docs = {"a": ("A", "text", "1"), "b": ("B", None, "2")}
+    got = read(spark, "loomlake_half", lambda: Half(docs), 2)
+    assert sorted((r.doc_id, r.title) for r in got.collect()) == [("a", "A"), ("b", "B")]

@@ -211,11 +211,11 @@ class Codec:
         def gather(at: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Ids of the words at these places, one after the other, and where each word's ids end."""
             n = ends[at + 1] - ends[at]
-            stop = np.cumsum(n)
-            return flat[np.repeat(ends[at] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)], stop
+            stop = np.cumsum(n, dtype=np.int32)
+            return flat[np.repeat(ends[at] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0, dtype=np.int32)], stop
 
         def tables(m: Model) -> tuple[np.ndarray, np.ndarray]:
-            return np.frombuffer(table.value[1], m.dtype), table.value[2]
+            return np.frombuffer(table.value[1], m.dtype), table.value[2].astype(np.int32)
 
         if not least:
             def here(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

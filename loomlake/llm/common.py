@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, drop, ship
 
 #: Rows in an Arrow batch that goes to Python; whole documents are in it, so it is kept small.
 BATCH_ROWS = 1000
@@ -18,41 +16,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomlake.scratch.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='loomlake-')}"
-        spark.conf.set("loomlake.scratch.dir", at)
-    return at
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lost executors cost a read, not the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, p = _fs(spark, path)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def drop(*dfs: DataFrame) -> None:
-    """Remove the tables of earlier cut() calls that nothing reads any more."""
-    for df in dfs:
-        if path := getattr(df, "_cut_path", None):
-            fs, p = _fs(df.sparkSession, path)
-            fs.delete(p, True)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Before an operator uses Python workers: they can import this package, and a batch holds few enough documents."""
     ship(spark)

@@ -340,3 +340,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(documents(spark, sf_dir), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda i, b, kept, n, runs: (i, len(b), n, runs, sha256(kept).hexdigest()))
+
+
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT r, x, unnest(range(length(x) // 2 - 199)) AS i FROM d WHERE length(x) >= 400)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+run AS (SELECT r, min(i) AS a, max(i) + 200 AS e FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM hit)) GROUP BY r, g),
+stay AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS s, a AS t FROM run UNION ALL SELECT run.r, max(e), max(length(x) // 2) FROM run JOIN d ON d.r = run.r GROUP BY run.r),
+kept AS (SELECT stay.r, sha256(unhex(string_agg(substr(x, 2 * s + 1, 2 * (t - s)), '' ORDER BY s))) AS k FROM stay JOIN d ON d.r = stay.r GROUP BY stay.r),
+n AS (SELECT r, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM run GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(k, sha256(unhex(x))) AS kept_sha256
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""

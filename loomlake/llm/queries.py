@@ -16,4 +16,9 @@ QUERIES = {
     "op9_embed_dedup": embed_dedup.op9_embed_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
 }
-SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op10_chat_format": chat_format.OP10_SQL}
+SQL = {
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op8_suffix_dedup": passage_dedup.OP8_SQL,
+    "op9_embed_dedup": embed_dedup.OP9_SQL,
+    "op10_chat_format": chat_format.OP10_SQL,
+}

@@ -16,7 +16,7 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[
     ship(df.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(pdf.sort_values(order, kind="stable").itertuples(index=False))
         return pd.DataFrame([(*key, *out) for out in fold(rows)], columns=names)
 

@@ -33,6 +33,8 @@ from .common import cut, documents, expand, small_batches, squeeze, worker_cache
 
 #: Words whose ids every worker holds (some 200 bytes each there).
 FREQUENT = 1_000_000
+#: The same in the pipeline, whose executors have run four stages before; the rest takes the join, with the same result.
+PIPELINE_FREQUENT = 400_000
 #: Distinct words a task counts before it hands them on.
 FLUSH_WORDS = 400_000
 #: The distinct words are merged in so many parts at most.
@@ -312,4 +314,4 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: counts and digests of every document's ids and decoded text."""
-    return digests(docs, tokenizer_path())
+    return digests(docs, tokenizer_path(), PIPELINE_FREQUENT)

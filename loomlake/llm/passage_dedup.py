@@ -36,7 +36,7 @@ from .common import bounded, cut, documents, small_batches
 SPAN, K = 200, 32
 W = SPAN - K + 1
 #: Bits of each bitmap; bytes of contexts in a task; distinct contexts from which an anchor is counted string by string.
-BITS, BUCKET, HOT = 1 << 26, 2 << 20, 20_000
+BITS, BUCKET, HOT = 1 << 26, 1 << 20, 20_000
 _CHUNK = 1 << 20
 _POS = np.uint64((1 << 30) - 1)
 _U = np.uint64
@@ -116,7 +116,7 @@ class RunLengthIndex:
         t = np.zeros(n + 1, np.int16)  # 0 ends a part, -1 the whole
         t[:n] = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int16) + 1
         t[ends], t[n] = 0, -1
-        self.t, self.left = t, np.repeat(ends, np.diff(np.concatenate(([-1], ends)))) - np.arange(n)  # bytes to the end of the part
+        self.t, self.left = t, np.repeat(ends.astype(np.int32), np.diff(np.concatenate(([-1], ends)))) - np.arange(n, dtype=np.int32)  # bytes to the end of the part
         self.sa = self._suffixes()
         bwt = t[self.sa - 1]
         head = np.concatenate(([True], (bwt[1:] != bwt[:-1]) | (bwt[1:] <= 0)))  # part ends count as distinct
@@ -127,16 +127,18 @@ class RunLengthIndex:
 
     def _suffixes(self) -> np.ndarray:
         """Suffix order by prefix doubling; suffixes whose order is settled are not sorted again."""
-        t = self.t.astype(np.int64) + 1
-        n, size = len(t), 7
-        pad = np.concatenate((t, np.zeros(size, np.int64)))
+        n, size = len(self.t), 7
+        pad = np.concatenate((self.t + np.int16(1), np.zeros(size, np.int16)))
         key = np.zeros(n, np.int64)
         for j in range(size):
-            key = (key << 9) | pad[j : j + n]
-        sa = np.argsort(key, kind="stable")
-        new = np.concatenate(([True], key[sa][1:] != key[sa][:-1]))
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            key <<= 9
+            key |= pad[j : j + n]
+        sa = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[sa]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        del key, pad
+        rank = np.empty(n, np.int32)
+        rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
         while True:
             tied = ~new
             tied[:-1] |= ~new[1:]
@@ -145,7 +147,7 @@ class RunLengthIndex:
                 return sa
             s = sa[at]
             second = np.where(s + size < n, rank[np.minimum(s + size, n - 1)] + 1, 0)
-            k = rank[s] * (n + 1) + second
+            k = rank[s].astype(np.int64) * (n + 1) + second
             order = np.argsort(k, kind="stable")
             sa[at], k = s[order], k[order]
             fresh = np.concatenate(([True], k[1:] != k[:-1]))
@@ -162,26 +164,27 @@ class RunLengthIndex:
         n = len(self.left)
         p, q = self.first, self.before.copy()
         q[0] = -1  # the first row has none before it
-        got = np.zeros(len(p), np.int64)
+        got = np.zeros(len(p), np.int32)
         live = np.flatnonzero((q >= 0) & (p < n) & (q < n))
-        steps = np.arange(32)
+        steps = np.arange(32, dtype=np.int32)
         t = np.concatenate((self.t, np.full(64, -2, np.int16)))
         while len(live):
-            a, b = p[live] + got[live], q[live] + got[live]
-            x, y = t[np.minimum(a, n)[:, None] + steps], t[np.minimum(b, n)[:, None] + steps]
-            diff = (x != y) | (x <= 0)
-            k = np.where(diff.any(1), diff.argmax(1), len(steps))
-            got[live] += k
-            live = live[k == len(steps)]
-        plcp = np.full(n + 1, -1, np.int64)
+            on = []
+            for part in np.array_split(live, -(-len(live) // 32_768)):  # so many windows of text at a time
+                a, b = p[part] + got[part], q[part] + got[part]
+                x, y = t[np.minimum(a, n)[:, None] + steps], t[np.minimum(b, n)[:, None] + steps]
+                diff = (x != y) | (x <= 0)
+                k = np.where(diff.any(1), diff.argmax(1), len(steps))
+                got[part] += k
+                on.append(part[k == len(steps)])
+            live = np.concatenate(on)
+        plcp = np.full(n + 1, -1, np.int32)
         plcp[p] = got
         # an unsampled position has its predecessor's length less one
-        known = np.maximum.accumulate(np.where(plcp >= 0, np.arange(n + 1), -1))
-        here = np.arange(n + 1)
+        here = np.arange(n + 1, dtype=np.int32)
+        known = np.maximum.accumulate(np.where(plcp >= 0, here, -1))
         plcp = np.where(known >= 0, np.maximum(plcp[np.maximum(known, 0)] - (here - known), 0), 0)
-        rank = np.empty(n + 1, np.int64)
-        rank[self.sa] = here
-        after = np.zeros(n + 1, np.int64)
+        after = np.zeros(n + 1, np.int32)
         after[self.sa[:-1]] = plcp[self.sa[1:]]
         return np.minimum(np.maximum(plcp[:n], after[:n]), self.left)
 
@@ -259,7 +262,7 @@ def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
                     body.append(texts[d][a : b + SPAN])
                 else:
                     body.append(None)
-            if len(sent) > 300_000:
+            if len(sent) > 100_000:
                 sent.clear()
             k1, k2 = pdf["k1"].to_numpy(np.int64), pdf["k2"].to_numpy(np.int64)
             yield pd.DataFrame({"k1": k1[doc[first]], "k2": k2[doc[first]], "lo": lo[first].astype(np.int32), "hi": hi[first].astype(np.int32), "h": h[first].view(np.int64), "c": c[first].view(np.int64), "n": n, "body": body})

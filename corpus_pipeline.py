@@ -16,7 +16,7 @@ from loomlake.llm.common import cut, documents
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality.stage),
     ("exact_dedup", exact_dedup.stage),
-    ("simhash", simhash.stage),
+    ("simhash", simhash.near_stage),
     ("mixing", mixing.stage),
     ("bpe", bpe.stage),
 ]

@@ -13,6 +13,8 @@ split further by the same rule in memory, and what does not split is searched ex
 against each other in blocks, larger ones by probing all values within RADIUS.  A shard emits links
 that span its classes, not pairs; classes across shards come from star contraction.
 
+The pipeline's stage (near_stage) links texts by the exact Jaccard similarity of their 5-word shingles, see near_classes.
+
 Null texts are empty.  Null ids belong to a class but name none (a class of nulls alone has a null id).
 Repeated rows share class and fingerprint.  Empty tables give empty results; further columns do not
 matter.
@@ -21,7 +23,7 @@ matter.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,22 +38,37 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 SHARD, SAMPLE, SHARDS = 8192, 65_536, 8192
 #: Set sizes below which splitting in memory stops, and from which probing beats comparing.
 LEAF, PROBE = 1024, 24_000
+#: The near-dedup stage: words of a shingle and the least Jaccard similarity, as a fraction.
+WORDS, ALIKE = 5, (4, 5)
+#: Texts and shingles that the order of shingles is learnt from; pairs a text that may be left to compare one by one, and rounds before that.
+COMMON_OF, COMMON, PAIRS, ROUNDS = 20_000, 200_000, 4, 6
 _BITS = np.array([1 << (63 - i) for i in range(64)], np.uint64)
 
 
-def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+def words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes know ASCII case and white space only
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
+    """The hashes of a text's shingles of k words, repeats included."""
     from xxhash import xxh64_intdigest
 
-    b = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes know ASCII case and white space only
+    b = words(text)
     if not b:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(b) <= k:
-        h = np.array([xxh64_intdigest(b" ".join(b), SEED)], np.uint64)
-    else:
-        buf = b" ".join(b)
-        ends = np.cumsum(np.fromiter(map(len, b), np.int64, len(b)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        h = np.array([xxh64_intdigest(buf[s:e], SEED) for s, e in zip(starts[: len(b) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+        return np.array([xxh64_intdigest(b" ".join(b), SEED)], np.uint64)
+    buf = b" ".join(b)
+    ends = np.cumsum(np.fromiter(map(len, b), np.int64, len(b)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([xxh64_intdigest(buf[s:e], SEED) for s, e in zip(starts[: len(b) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+    return majority(shingles(text, k))
+
+
+def majority(h: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 65_536):
         counts += np.unpackbits(h[i : i + 65_536].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -205,11 +222,10 @@ def links(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return f[own], f[roots[own]]
 
 
-def classes(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(__fp, __root, component_id) of every distinct fingerprint of rows (id, __fp): its class by fingerprint and by id."""
-    spark = rows.sparkSession
+def fingerprint_links(distinct: DataFrame) -> DataFrame:
+    """(a, b): links that span the classes of distinct fingerprints __fp."""
+    spark = distinct.sparkSession
     small_batches(spark, 10_000)
-    distinct = cut(rows.groupBy("__fp").agg(F.min(id_col).alias("least")), "fingerprints")
     n = distinct.count()
     want = min(SHARDS, n // SHARD + 1)
     nodes = []
@@ -230,8 +246,13 @@ def classes(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
         a, b = links(pdf["v"].to_numpy(np.int64).view(np.uint64))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    found = cut(distinct.select("__fp").mapInPandas(deal, "shard long, v long").groupBy("shard").applyInPandas(pairs, "a long, b long").distinct(), "links")
-    of = cut(components(found), "classes")
+    return cut(distinct.select("__fp").mapInPandas(deal, "shard long, v long").groupBy("shard").applyInPandas(pairs, "a long, b long").distinct(), "links")
+
+
+def classes(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(__fp, __root, component_id) of every distinct fingerprint of rows (id, __fp): its class by fingerprint and by id."""
+    distinct = cut(rows.groupBy("__fp").agg(F.min(id_col).alias("least")), "fingerprints")
+    of = cut(components(fingerprint_links(distinct)), "classes")
     named = of.join(distinct, F.col("node") == F.col("__fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = cut(named.join(bounded(cut(least, "least"), 200_000), "root").select("__fp", F.col("root").alias("__root"), "component_id"), "linked")
@@ -243,18 +264,126 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(bounded(classes(rows), 200_000), "__fp").select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def prefix(h: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first of a text's distinct shingles, rare before common: two texts with ALIKE of their union in common share one of them."""
+    h = np.unique(h)
+    if not len(h):
+        return np.zeros(1, np.uint64)  # texts without words meet
+    n = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        n = np.where(common[at] == h, often[at], 0)
+    a, b = ALIKE
+    return h[np.lexsort((h, n))][: len(h) - -(-a * len(h) // b) + 1]
+
+
+def alike(a: str | None, b: str | None) -> bool:
+    """Exact Jaccard similarity of the sets of WORDS-word shingles is ALIKE or more."""
+    one, two = (frozenset(tuple(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1))) for w in (words(a), words(b)))
+    both = len(one & two)
+    return ALIKE[1] * both >= ALIKE[0] * (len(one) + len(two) - both)
+
+
+def near_classes(texts: DataFrame) -> DataFrame:
+    """(__fp, __root, component_id) of every distinct text of texts (doc_id, __fp, text), __fp being its key.
+
+    Links are pairs whose shingles are ALIKE, all of them.  Candidates are the links of 5-word fingerprints
+    and the texts that share a shingle of their prefixes, which every alike pair does; each is
+    compared as a whole.  A group around one shingle is first compared with one of its texts, again while many pairs
+    of different classes remain, and then pair by pair across classes; texts of one class need no comparing.
+    """
+    spark = texts.sparkSession
+    small_batches(spark)
+    n = texts.count()
+    pick = texts.where(F.pmod(F.xxhash64("__fp", F.lit(9)), F.lit(max(1, n // COMMON_OF))) == 0).select("text").distinct()  # for the order of shingles only
+
+    def hashes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            h = [np.unique(shingles(t, WORDS)) for t in pdf["text"]]
+            yield pd.DataFrame({"h": np.concatenate([*h, np.zeros(0, np.uint64)]).view(np.int64)})
+
+    known = pick.mapInPandas(hashes, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    known = sorted((r[0] % 2**64, r[1]) for r in known)
+    order = spark.sparkContext.broadcast((np.array([x for x, _ in known], np.uint64), np.array([c for _, c in known], np.int64)))
+
+    def describe(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            h = [shingles(t, WORDS) for t in pdf["text"]]
+            yield pd.DataFrame({"key": pdf["__fp"], "doc_id": pdf["doc_id"].astype("Int64"), "print": np.array([majority(x) for x in h], np.uint64).view(np.int64), "n": [len(np.unique(x)) for x in h], "prefix": [prefix(x, *order.value).view(np.int64) for x in h]})
+
+    sets = cut(texts.mapInPandas(describe, "key long, doc_id long, print long, n long, prefix array<long>"), "sets")
+    nodes = cut(sets.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
+    member = F.struct("n", "key")
+    groups = sets.select(member.alias("m"), F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.sort_array(F.collect_set("m")).alias("of")).where("size(of) > 1")
+    groups = cut(groups.select("of").distinct().select(F.xxhash64("of").alias("g"), F.explode("of").alias("m")).select("g", "m.n", "m.key"), "groups")
+    prints = sets.select("print", "key")
+    first = cut(prints.groupBy("print").agg(F.min("key").alias("key")), "prints")
+    found = fingerprint_links(first.select(F.col("print").alias("__fp")))
+    small_batches(spark)
+    at = lambda c: first.select(F.col("print").alias(c), F.col("key").alias(f"key_{c}"))
+    pairs = found.join(at("a"), "a").join(at("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    pairs = pairs.unionByName(prints.join(first.withColumnRenamed("key", "a"), "print").select("a", F.col("key").alias("b")))
+    tried = links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    of = nodes.select("key", F.col("key").alias("root"))
+    close = F.col("x.n") * ALIKE[1] >= F.col("y.n") * ALIKE[0]
+
+    def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf.loc[[alike(x, y) for x, y in zip(pdf["text_a"], pdf["text_b"])], ["a", "b"]]
+
+    for turn in range(ROUNDS + 1):
+        pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count() and turn:
+            break
+        need = cut(pairs.select(F.col("a").alias("__fp")).union(pairs.select("b")).distinct(), "need")
+        whole = cut(texts.join(bounded(need, 200_000), "__fp", "left_semi").select("__fp", "text").dropDuplicates(["__fp"]), "whole")
+        side = lambda c: bounded(whole, 1000).select(F.col("__fp").alias(c), F.col("text").alias(f"text_{c}"))
+        links = cut(links.unionByName(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(compare, "a long, b long")), "links")
+        tried = cut(tried.unionByName(pairs), "tried")
+        of = cut(nodes.select("key").join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").select("key", F.coalesce("root", "key").alias("root")), "classes")
+        if turn == ROUNDS or turn and everything:
+            break
+        # groups that still hold several classes
+        open_ = groups.join(of, "key")
+        sizes = open_.groupBy("g", "root").agg(F.count("*").alias("c")).groupBy("g").agg(F.count("*").alias("classes"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s")).where("classes > 1")
+        sizes = cut(sizes, "sizes")
+        left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
+        open_ = cut(open_.join(sizes.select("g"), "g", "left_semi"), "open")
+        everything = turn == ROUNDS - 1 or left <= PAIRS * n
+        if everything:
+            x = open_.alias("x").join(open_.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))) & close)
+            pairs = x.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+        else:
+            one = open_.groupBy("g").agg(F.min_by(F.struct("key", "root", "n"), F.xxhash64("key", F.lit(turn))).alias("o"))
+            pairs = open_.join(one, "g").where("o.root <> root").where((F.least("o.n", "n") * ALIKE[1] >= F.greatest("o.n", "n") * ALIKE[0])).select(F.col("o.key").alias("a"), F.col("key").alias("b"))
+    named = of.join(nodes, "key")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return cut(named.join(bounded(cut(least, "least"), 200_000), "root").select(F.col("key").alias("__fp"), F.col("root").alias("__root"), "component_id"), "classes")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class stays; of rows that repeat that id in a class, one."""
+    """The document with the smallest id of each class of op6 stays; of rows that repeat that id in a class, one."""
+    return _least_stay(docs, lambda df, t: fingerprints(df, text_col=t), lambda rows: classes(rows.select("doc_id", "__fp")))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same with classes of texts whose 5-word shingles are alike; __fp is the text's own hash."""
+    return _least_stay(docs, lambda df, t: df.withColumn("__fp", F.xxhash64(F.coalesce(F.col(t), F.lit("")))), near_classes)
+
+
+def _least_stay(docs: DataFrame, keyed: Callable[[DataFrame, str], DataFrame], grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
     names = [f"__k{i}" for i in range(len(docs.columns))]
     flat = docs.toDF(*names)
     i, t = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
-    rows = cut(fingerprints(flat.select(i, t), text_col=t).select(F.col(i).alias("doc_id"), "__fp"), "rows")
-    of = classes(rows)
+    rows = keyed(flat.select(i, t), t).select(F.col(i).alias("doc_id"), "__fp", F.col(t).alias("text"))
+    if grouped is not near_classes:
+        rows = cut(rows.drop("text"), "rows")
+    of = grouped(rows)
     stay = rows.join(bounded(of, 200_000), "__fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__n"))
     stay = cut(stay.withColumnRenamed("doc_id", "__stay"), "stay")
     out = flat.join(bounded(stay, 1_000_000), F.col(i).eqNullSafe(F.col("__stay")))
     if stay.where("__n > 1").limit(1).count():
         # an id that several rows have: only those whose own class it names stay, one for each class
-        again = fingerprints(out.where("__n > 1"), text_col=t).join(of, "__fp").where(F.col(i).eqNullSafe(F.col("component_id"))).dropDuplicates(["__root"])
+        again = keyed(out.where("__n > 1"), t).join(of, "__fp").where(F.col(i).eqNullSafe(F.col("component_id"))).dropDuplicates(["__root"])
         out = out.where("__n = 1").select(*names).unionByName(again.select(*names))
     return out.select(*names).toDF(*docs.columns)

@@ -261,6 +261,35 @@ def test_simhash_repeated_ids(spark):
     assert sorted(r.text for r in kept.collect()) == ["a b c d e", "k l m n o p"]
 
 
+@pytest.mark.parametrize("rounds", [1, 6])
+def test_near_stage_finds_all_alike(spark, rounds, monkeypatch):
+    rng = random.Random(8)
+    texts = [t for t in TEXTS if t is None or len(t) < 1000]
+    shared = " ".join(f"licence{i}" for i in range(30))
+    for _ in range(10):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([40, 150, 400]))]
+        texts.append(" ".join(base) + " " + shared)
+        for _ in range(3):  # few words edited
+            w = list(base)
+            for _ in range(rng.randint(1, max(1, len(w) // 45))):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(w).upper() + "\n" + shared)
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (lower(t).split() for t in texts)]
+    up = list(range(len(texts)))
+    found = 0
+    for _ in range(4):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 5 * len(a & b) >= 4 * len(a | b):
+                    found += i < j and (plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).bit_count() > 2
+                    up[i] = up[j] = min(up[i], up[j])
+    assert found  # pairs that two bits of op6's fingerprint miss
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "PAIRS", 0)
+    kept = simhash.near_stage(spark, table(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(up))
+
+
 @pytest.mark.parametrize("shards", [1, 9])
 def test_vantage_search_is_exact(shards, monkeypatch):
     rng = np.random.default_rng(5)

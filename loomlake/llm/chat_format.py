@@ -10,18 +10,19 @@ Template of a turn:  `### <role>:\\n<text></turn>\\n`.  Inside roles and texts a
 The loss mask covers assistant texts only.
 
 Rows go by turn, nulls first, then role and text where a turn repeats; null roles and texts are empty;
-rows with a null conv_id are one conversation.  Empty tables give no packs.  A hot first turn is dealt
-over as many packs as it needs, and the shared turns stand once in each.
+rows with a null conv_id are one conversation.  Empty tables give no packs.  A first turn that
+more conversations share is parted by the turns that follow, see deal; subtrees of at most PACK stay whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, small_batches
@@ -97,24 +98,54 @@ def pack(convs: list[tuple[int, list[tuple[str, str]]]]) -> dict:
     return out | {"sequence": "".join(text), "conv_ids": [c for c, _ in convs], "leaves": [place[x] for x in leaf]}
 
 
+def deal(rows: DataFrame) -> DataFrame:
+    """(conv_id, part) of rows (conv_id, path), path being the hashes of the turns: parts of at most PACK conversations.
+
+    Conversations with one first turn are a part.  If they are too many, they part by the next turn, and so on;
+    subtrees of at most PACK conversations stay whole and fill parts together, and conversations that end at a
+    node count as subtrees of one.
+    """
+    now = rows.withColumn("g", F.col("path")[0])
+    done = []
+    d = 0
+    while True:
+        d += 1
+        n = now.groupBy("g").agg(F.count("*").alias("total"))
+        hot = cut(n.where(f"total > {PACK}"), "hot")
+        if d == 1:
+            done.append(now.join(bounded(hot, 200_000), "g", "left_anti").select("conv_id", F.col("g").alias("part")))
+        if not hot.limit(1).count():
+            break
+        turn = F.when(F.size("path") > d, F.xxhash64("g", F.get("path", F.lit(d)))).otherwise(F.xxhash64("g", F.lit("end"), "conv_id"))
+        now = cut(now.join(bounded(hot, 200_000), "g").withColumn("c", turn), "deep")
+        sub = cut(now.groupBy("g", "c").agg(F.count("*").alias("n"), F.first("total").alias("total")), "subtrees")
+        small = sub.where(f"n <= {PACK}").withColumn("deal", F.pmod("c", F.ceil(F.col("total") / (64 * PACK))))
+        own = Window.partitionBy("g", "deal", F.col("n") > PACK // 2)
+        before = F.sum("n").over(own.orderBy("n", "c").rowsBetween(Window.unboundedPreceding, -1))
+        # a part takes the subtrees that start within so many conversations; the last of them fits as well
+        nth = F.floor(F.coalesce(before, F.lit(0)) / (PACK + 1 - F.max("n").over(own)))
+        part = F.when(F.col("n") > PACK // 2, F.xxhash64("g", "c", F.lit("own"))).otherwise(F.xxhash64("g", "deal", nth))
+        small = cut(small.select("g", "c", part.alias("part")), "parts")
+        done.append(now.join(bounded(small, 200_000), ["g", "c"]).select("conv_id", "part"))
+        now = now.join(bounded(sub.where(f"n > {PACK}").select("g", "c"), 200_000), ["g", "c"]).select("conv_id", "path", F.col("c").alias("g"))
+    return reduce(DataFrame.unionByName, done)
+
+
 def packs(conversations: DataFrame) -> DataFrame:
     """Packs of conversations (conv_id, turn, role, text): the operator's output."""
     small_batches(conversations.sparkSession, 200)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    first = F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"])
-    rows = cut(rows.withColumn("root", first), "conversations")
-    many = rows.groupBy("root").count().where(f"count > {PACK}")
-    many = bounded(cut(many.select("root", F.ceil(F.col("count") / PACK).alias("split")), "roots"), 200_000)
-    # conversations of a hot root that also share their second turn stay together as far as the packs allow
-    rows = rows.join(many, "root", "left").withColumn("part", F.when(F.col("split").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id"), "split")))
+    rows = cut(rows.withColumn("path", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))), "conversations")
+    part = deal(rows.select("conv_id", "path")).withColumnRenamed("conv_id", "c")
+    rows = rows.join(part, F.col("conv_id").eqNullSafe(F.col("c")))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("conv_id", na_position="first")
         ids = [None if pd.isna(c) else int(c) for c in pdf["conv_id"]]
         return pd.DataFrame([pack([(c, [(t["role"], t["text"]) for t in ts]) for c, ts in zip(ids, pdf["turns"])])])[[x.split()[0] for x in PACKS.split(", ")]]
 
-    return rows.select("root", "part", "conv_id", "turns").groupBy("root", "part").applyInPandas(build, PACKS)
+    return rows.select("part", "conv_id", "turns").groupBy("part").applyInPandas(build, PACKS)
 
 
 def digests(packed: DataFrame) -> DataFrame:

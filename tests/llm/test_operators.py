@@ -465,3 +465,12 @@ def test_chat_table(spark, monkeypatch):
             assert got[c]["n_turns"] == len(ts) and got[c]["turns_sha256"] == sha256("".join(f"{r}\n{x}\n" for *_, r, x in ts).encode()).hexdigest()
             assert got[c]["loss_chars"] == len(learnt) and got[c]["loss_sha256"] == sha256(learnt.encode()).hexdigest()
     assert chat_format.packs(df.limit(0)).count() == 0
+
+
+def test_chat_packs_keep_subtrees_whole(spark, monkeypatch):
+    rows = [(100 * b + c, t, "user", x) for b in range(12) for c in range(5) for t, x in [(0, "same start"), (1, f"branch {b}"), (2, f"own {c}")]]
+    rows += [(5000 + c, t, "user", x) for c in range(20) for t, x in [(0, "same start"), (1, "equal")]]
+    monkeypatch.setattr(chat_format, "PACK", 8)
+    got = rows_of(chat_format.packs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert max(len(p["conv_ids"]) for p in got) <= 8 and sum(len(p["conv_ids"]) for p in got) == 80
+    assert all(sum(p["sequence"].count(f":\nbranch {b}<") for p in got) == 1 for b in range(12))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,27 +29,37 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only on a local master, where the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomlake.scratch.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master {master})")
         at = f"file://{tempfile.mkdtemp(prefix='loomlake-')}"
         spark.conf.set("loomlake.scratch.dir", at)
     return at
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lost executors cost a read, not the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    fs, p = _fs(spark, path)
-    fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -58,7 +69,7 @@ def drop(*dfs: DataFrame) -> None:
     """Remove the tables of earlier cut() calls that nothing reads any more."""
     for df in dfs:
         if path := getattr(df, "_cut_path", None):
-            fs, p = _fs(df.sparkSession, path)
+            fs, p = file_system(df.sparkSession, path)
             fs.delete(p, True)
 
 

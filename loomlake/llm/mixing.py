@@ -7,10 +7,13 @@ are while rows settle at 0 or 1.  The flight runs block by block (BLOCK rows of
 hash of the id), leaves at most LANDING rows of a block undecided, and runs again over what is left
 until one block holds a source's rest; there the landing tries all 2^LANDING outcomes and takes the one
 nearest to the totals.  A hot source is thus many blocks, and no task holds more than a few blocks' rows.
+Probabilities within EPS of 0 or 1 are that number from the start, so every round settles rows; a round
+that settled none would be the last, each block landing by itself.
 
 Sizes: words in the text (null or empty: 0).  Null sources form a source of their own, the last.  A
 row's place in its block depends on its id and size alone, so reruns agree; rows that repeat are drawn
-each for itself.  Empty tables give empty results; further columns of the input do not matter.
+each for itself, and ties of a source's name cannot be.  A very long text counts like any other: only its
+word count leaves the scan.  Empty tables give empty results; further columns of the input do not matter.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, cut, documents, small_batches
+from .common import WORD, bounded, cut, documents, python_ready
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK = 2048
 LANDING = 12
+#: Distance from 0 and 1 below which a probability is decided.
+EPS = 1e-9
 #: Sources up to which the plan is broadcast (under 100 bytes each).
 BROADCAST_SOURCES = 50_000
 STATE = "__src string, __row long, __id long, size long, __p double"
@@ -70,7 +75,8 @@ def flight(p: np.ndarray, z: np.ndarray, u: np.ndarray, stop: int) -> np.ndarray
     (z3-z2, z1-z3, z2-z1), or (1, -1, 0) where the sizes agree.  u: one uniform number per row.
     """
     p = p.astype(float).copy()
-    todo = [i for i in range(len(p)) if 1e-9 < p[i] < 1 - 1e-9]
+    p[p <= EPS], p[p >= 1 - EPS] = 0.0, 1.0
+    todo = np.flatnonzero((p > 0) & (p < 1)).tolist()
     left, at = len(todo), 0
     window: list[int] = []
     pl, zl = p.tolist(), z.astype(float).tolist()
@@ -94,9 +100,9 @@ def flight(p: np.ndarray, z: np.ndarray, u: np.ndarray, stop: int) -> np.ndarray
         keep = []
         for k, i in enumerate(window):
             x = pl[i] + step * d[k]
-            if x < 1e-9:
+            if x <= EPS:
                 pl[i], left = 0.0, left - 1
-            elif x > 1 - 1e-9:
+            elif x >= 1 - EPS:
                 pl[i], left = 1.0, left - 1
             else:
                 pl[i] = x
@@ -108,7 +114,7 @@ def flight(p: np.ndarray, z: np.ndarray, u: np.ndarray, stop: int) -> np.ndarray
 def landing(p: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Decides at most a dozen or so rows: the outcome nearest to the word total, then to the row total."""
     p = p.astype(float).copy()
-    open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     if len(open_):
         picks = (np.arange(2 ** len(open_))[:, None] >> np.arange(len(open_))) & 1
         words = np.abs(picks @ z[open_].astype(float) - p[open_] @ z[open_])
@@ -137,14 +143,14 @@ def _block(last: bool):
 
 def draw(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows (__row, __id, __src, size) with source_size, target and copies (how often the mix takes the row)."""
-    small_batches(rows.sparkSession, 10_000)
+    python_ready(rows.sparkSession)
     plan = bounded(plan, BROADCAST_SOURCES)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     state = rows.join(plan, rows["__src"].eqNullSafe(plan["__src"])).select(rows["__src"], "__row", "__id", "size", (ratio - F.floor(ratio)).alias("__p"))
-    sizes = plan.agg(F.max("n")).first()[0] or 0
+    sizes, before = plan.agg(F.max("n")).first()[0] or 0, None
     done = []
     while True:
-        blocks = max(1, -(-sizes // BLOCK))
+        blocks = 1 if sizes == before else max(1, -(-sizes // BLOCK))
         # each source is cut into as many blocks as the largest needs only where it has the rows for it
         n = state.groupBy("__src").agg(F.count("*").alias("__n"))
         n = bounded(cut(n.withColumnRenamed("__src", "__s"), "blocks"), BROADCAST_SOURCES)
@@ -156,7 +162,7 @@ def draw(rows: DataFrame, plan: DataFrame) -> DataFrame:
             break
         done.append(out.where("__p = 0 or __p = 1"))
         state = out.where("__p > 0 and __p < 1")
-        sizes = state.groupBy("__src").count().agg(F.max("count")).first()[0] or 0
+        sizes, before = state.groupBy("__src").count().agg(F.max("count")).first()[0] or 0, sizes
     chosen = done[0]
     for d in done[1:]:
         chosen = chosen.unionByName(d)

@@ -4,8 +4,9 @@ Texts are equal when identical after lower-casing A-Z only; a null text counts a
 Refinement: (1) byte length, which needs no hashing; lengths seen once leave.  (2) hash of the first
 PREFIX characters; (length, prefix) pairs seen once leave.  (3) SHA-256 of the whole text, taken for
 the survivors alone.  Of equal texts the row with the largest id stays; of rows that repeat that id,
-one stays.  A null id is smaller than any other.  An empty table gives an empty result; further
-columns of the input, whatever their names, do not matter.
+one stays.  A null id is smaller than any other.  Texts of any length are read whole, by the JVM, a row at
+a time.  An empty table gives an empty result; further columns of the input, whatever their names, do not
+matter.
 """
 
 from __future__ import annotations
@@ -35,16 +36,17 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return cut(pairs.groupBy("__len", "__pre").count().where("count > 1").select("__len", "__pre", F.lit(True).alias("__hit")), "prefixes")
 
 
-def hashed(docs: DataFrame, id_col: str, text_col: str, keep: list[str], digest_all: bool = False) -> DataFrame:
-    """keep columns, __id, __full (SHA-256 of the normalised text of surviving rows, else null) and, if asked, __sha of every row."""
-    pairs = survivors(docs, id_col, text_col)
+def hashed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, keep: list[str], digest_all: bool = False) -> DataFrame:
+    """keep columns, __id, __full (SHA-256 of the normalised text of rows that pairs names, else null) and, if asked, __sha of every row.
+
+    The keys are joined first and the content is read after, of surviving rows alone; only where every
+    row's digest is asked for is it taken before the join, so that digests move and not texts.
+    """
     sha = F.sha2(lower_ascii(F.col("__text")), 256)
     keyed = _keyed(docs, id_col, text_col, keep)
-    hinted = bounded(pairs, BROADCAST_KEYS)
-    if hinted is pairs and "text" not in keep:  # too many survivors to broadcast: digests, not texts, are shuffled
-        keyed = keyed.withColumn("__sha", sha).drop("__text")
-        sha = F.col("__sha")
-    rows = keyed.join(hinted, ["__len", "__pre"], "left")
+    if digest_all:
+        keyed, sha = keyed.withColumn("__sha", sha).drop("__text"), F.col("__sha")
+    rows = keyed.join(bounded(pairs, BROADCAST_KEYS), ["__len", "__pre"], "left")
     return rows.select(*keep, "__id", F.when(F.col("__hit"), sha).alias("__full"), *([sha.alias("__sha")] if digest_all else []))
 
 
@@ -57,7 +59,7 @@ def groups(rows: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    rows = hashed(docs, id_col, text_col, [], digest_all=True).withColumn("__row", F.monotonically_increasing_id())
+    rows = hashed(docs, survivors(docs, id_col, text_col), id_col, text_col, [], digest_all=True).withColumn("__row", F.monotonically_increasing_id())
     rows = cut(rows, "hashed")
     found = cut(groups(rows), "groups")
     many = rows.where("__full is not null").join(bounded(found.withColumnRenamed("__row", "__top"), BROADCAST_KEYS // 4), "__full", "left")
@@ -73,9 +75,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     names = [f"__k{i}" for i in range(len(docs.columns))]
     flat = docs.toDF(*names)
     i, t = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    rows = hashed(flat, i, t, names)
-    found = cut(groups(hashed(flat, i, t, []).withColumn("__row", F.lit(0))), "groups")
-    joined = rows.join(bounded(found.drop("group_size", "__row"), BROADCAST_KEYS // 4), "__full", "left")
+    pairs = survivors(flat, i, t)
+    found = cut(groups(hashed(flat, pairs, i, t, []).withColumn("__row", F.lit(0))), "groups")
+    joined = hashed(flat, pairs, i, t, names).join(bounded(found.drop("group_size", "__row"), BROADCAST_KEYS // 4), "__full", "left")
     stay = joined.where(F.col("__repeats").isNull() | F.col("__id").eqNullSafe(F.col("keep_id")))
     if found.where("__repeats > 1").limit(1).count():
         stay = stay.where("coalesce(__repeats, 1) = 1").unionByName(stay.where("__repeats > 1").dropDuplicates(["__full"]))

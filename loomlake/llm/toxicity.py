@@ -1,34 +1,43 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-Logistic regression over the words present in a document.  Candidate words are counted by label over a
-bounded sample of labelled rows, and those whose label rates differ beyond chance become features; so
-do all identity terms.  Beside the log loss, training penalises every change of score when an identity
-term in a labelled sentence is swapped for another of its group or for a neutral word, so that a term
-that merely co-occurs with abuse earns no weight of its own and neutral mentions are left alone.
-
-Null and empty texts score the bias alone; without labels the score is 0.5 less a hair, label 0.
-Repeated rows score alike; further columns of the input do not matter; null ids are never labelled.
+Logistic regression over the words present in a document, each hashed into a table of BUCKETS weights; no
+word is left out of the table.  Fitted in numpy on a bounded sample of labelled rows (TRAIN_ROWS rows and
+TRAIN_BYTES of whole texts, in hash order).  A weight starts from the log odds of its words between the
+labels and is drawn back to it, shrunk towards 0 where the labels' rates differ no more than by chance.
+Beside the log loss, training penalises every change of score when an identity term in a labelled sentence
+is swapped for another of its group or for a neutral word, so that a term that merely co-occurs with abuse
+earns no weight of its own and neutral mentions are left alone.  Identity terms start from 0 and have
+weights of their own, whatever words share their bucket.
+
+Null and empty texts score the bias alone; without labels, or on an empty table of documents, nothing is
+fitted and the score is 0.5 less a hair, label 0.  Very long texts are scored whole.  Repeated rows score
+alike and count once in the fit; null ids are never labelled; further columns of the input, whatever their
+names, do not matter.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
-from .labelled import fold, sample
+from .common import documents, python_ready, worker_cache
+from .labelled import fold, sample, texts
 
 FOLDS, HELD, CUT = 5, 0, 0.5
-#: Bounds of the fit: labelled rows, features, and (document, feature) pairs follow from both.
-TRAIN_ROWS, FEATURES = 20_000, 1024
-#: Least standard errors by which a word's rates must differ between the labels, and least documents with it.
-LEAST_Z, LEAST_DOCS = 5.0, 4
-STEPS, RATE, L2, SWAP_PENALTY = 400, 0.05, 1e-3, 10.0
+#: Bounds of the fit: labelled rows, bytes of whole texts, weights.
+TRAIN_ROWS, TRAIN_BYTES, BUCKETS = 20_000, 24 << 20, 1 << 20
+#: Standard errors between the labels' rates from which the log odds of a bucket count in full (as the fourth power of the share below).
+SURE_Z = 6.0
+STEPS, RATE, L2, SWAP_PENALTY = 300, 0.05, 3e-3, 10.0
+#: Words whose weights a worker keeps; when full it starts afresh.
+CACHE_WORDS = 250_000
 
 #: Identity terms by group; the last word of a group is neutral and no feature.
 GROUPS = [
@@ -43,6 +52,9 @@ GROUPS = [
 ]
 _groups = [g.split() for g in GROUPS]
 SWAPS = {t: [o for o in g if o != t] for g in _groups for t in g[:-1]}
+#: Identity terms have the places after the buckets.
+PLACE = {t: BUCKETS + i for i, t in enumerate(SWAPS)}
+N = BUCKETS + len(PLACE)
 _PUNCT = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -51,116 +63,120 @@ def words(text: str) -> set[str]:
     return set(text.lower().translate(_PUNCT).split())
 
 
+def place(word: str) -> int:
+    """Where a word's weight is."""
+    i = PLACE.get(word)
+    return crc32(word.encode()) % BUCKETS if i is None else i
+
+
+def features(text: str) -> list[int]:
+    return sorted({place(w) for w in words(text)})
+
+
+def log_odds(col: np.ndarray, y: np.ndarray, n_pos: int, n_neg: int, n: int = N) -> np.ndarray:
+    """For each place the log odds of a document that has it, shrunk where they may be chance.  col, y: places present and the label of their document."""
+    pos, neg = np.bincount(col, y, n), np.bincount(col, 1 - y, n)
+    if not (n_pos and n_neg):
+        return np.zeros(n)
+    odds = np.log((pos + 0.5) / (n_pos + 1) * (n_neg + 1) / (neg + 0.5))
+    rate = (pos + neg + 1) / (n_pos + n_neg + 2)
+    z = np.abs(pos / n_pos - neg / n_neg) / np.sqrt(rate * (1 - rate) * (1 / n_pos + 1 / n_neg) + 1e-12)
+    return np.where(pos + neg > 0, odds * np.minimum(z / SURE_Z, 1) ** 4, 0.0)
+
+
 def fit_weights(docs: list[tuple[list[int], int]], n: int, swaps: list[tuple[int, int, float]], steps: int = STEPS, penalty: float = SWAP_PENALTY, expect: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Weights and bias.  docs: (features present, label).  swaps: (feature, its substitute or n, how often): the score changes by the difference of their weights.
+    """Weights and bias.  docs: (places present, label).  swaps: (place, its substitute or n, how often): the score changes by the difference of their weights.
 
-    expect: weights to start from and to be drawn to (0 if none): a word's log odds between the labels,
-    so that a word that mostly comes along with others keeps enough weight to count alone.
+    expect: weights to start from and to be drawn to (0 if none), so that a word that mostly comes along
+    with others keeps enough weight to count alone.
     """
-    row = np.repeat(np.arange(len(docs)), [len(f) for f, _ in docs])
-    col = np.array([i for f, _ in docs for i in f], np.int64)
+    row = np.repeat(np.arange(len(docs), dtype=np.int32), [len(f) for f, _ in docs])
+    met = [np.asarray(f, np.int32) for f, _ in docs] + [np.array([n, *(x for a, b, _ in swaps for x in (a, b))], np.int32)]
+    used, col = np.unique(np.concatenate(met), return_inverse=True)  # steps cost by the places met, not by the table
+    a, b = (np.searchsorted(used, np.array([s[k] for s in swaps], np.int64)) for k in (0, 1))
+    col, m0, last = col[: len(row)].astype(np.int32), len(used), int(np.searchsorted(used, n))
     y = np.array([l for _, l in docs], float)
-    a = np.array([s[0] for s in swaps], np.int64)
-    b = np.array([s[1] for s in swaps], np.int64)
     c = np.array([s[2] for s in swaps], float)
     c = c / c.sum() if len(c) else c
     prior = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.4999
-    base = np.append(np.zeros(n) if expect is None else expect, 0.0)
-    w, bias = base.copy(), np.log(prior / (1 - prior))  # the last weight stands for neutral words and stays 0
-    m, v = np.zeros(n + 2), np.zeros(n + 2)
+    base = (np.zeros(n + 1) if expect is None else np.append(expect, 0.0))[used]
+    w, bias = base.copy(), np.log(prior / (1 - prior))  # the weight at n stands for neutral words and stays 0
+    m, v = np.zeros(m0 + 1), np.zeros(m0 + 1)
     for t in range(1, steps + 1 if len(y) else 1):
         p = 1 / (1 + np.exp(-(bias + np.bincount(row, w[col], len(y)))))
-        g = np.bincount(col, (p - y)[row], n + 1) / len(y) + L2 * (w - base)
+        g = np.bincount(col, (p - y)[row], m0) / len(y) + L2 * (w - base)
         if len(c):
             d = 2 * penalty * c * (w[a] - w[b])
-            g += np.bincount(a, d, n + 1) - np.bincount(b, d, n + 1)
+            g += np.bincount(a, d, m0) - np.bincount(b, d, m0)
+        g[last] = 0
         g = np.append(g, (p - y).mean())
-        g[n] = 0
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w -= step[:-1]
         bias -= step[-1]
-    return w[:n], float(bias)
+    out = np.zeros(n + 1)
+    out[used] = w
+    return out[:n], float(bias)
 
 
-def swap_counts(text: str, at: dict[str, int]) -> dict[tuple[int, int], int]:
-    """How often a labelled sentence of the text changes from one feature to another when its identity terms are swapped (-1: to a neutral word)."""
+def swap_counts(text: str) -> dict[tuple[int, int], int]:
+    """How often a labelled sentence of the text changes from one place to another when its identity terms are swapped (N: to a neutral word)."""
     out: dict[tuple[int, int], int] = {}
     low = text.lower()
     for sentence in _SENTENCE.split(low):
         for term in sentence.translate(_PUNCT).split():
             for other in SWAPS.get(term, ()):
-                k = (at[term], at.get(other, -1))
+                k = (PLACE[term], PLACE.get(other, N))
                 out[k] = out.get(k, 0) + 1
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
-    """(weight by word, bias)."""
-    small_batches(docs.sparkSession)
-    picked = F.broadcast(sample(labels, "toxic", FOLDS, HELD, TRAIN_ROWS))
-    rows = docs.select(F.col("doc_id").alias("__lid"), F.coalesce("text", F.lit("")).alias("t")).join(picked, "__lid").select("t", F.col("__label").alias("y"))
-
-    def present(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            pos: dict[str, int] = {}
-            neg: dict[str, int] = {}
-            for t, y in zip(pdf["t"], pdf["y"]):
-                of = pos if y else neg
-                for w in words(t):
-                    of[w] = of.get(w, 0) + 1
-            ws = list(pos.keys() | neg.keys())
-            yield pd.DataFrame({"w": ws, "p": [pos.get(w, 0) for w in ws], "n": [neg.get(w, 0) for w in ws]})
-
-    total = rows.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).first()
-    n_pos, n_neg = total.p or 0, total.n or 0
-    terms = list(SWAPS)
-    odds: dict[str, float] = {}
-    if n_pos and n_neg:
-        counts = rows.mapInPandas(present, "w string, p long, n long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-        rate = (F.col("p") + F.col("n") + 1) / (n_pos + n_neg + 2)
-        z = F.abs(F.col("p") / n_pos - F.col("n") / n_neg) / F.sqrt(rate * (1 - rate) * (1 / n_pos + 1 / n_neg) + 1e-12)
-        found = counts.where(f"p + n >= {LEAST_DOCS}").withColumn("z", z).where(f"z >= {LEAST_Z}").orderBy(F.desc("z"), "w").limit(FEATURES)
-        odds = {r.w: float(np.log((r.p + 0.5) / (n_pos + 1) * (n_neg + 1) / (r.n + 0.5))) for r in found.collect()}
-    names = list(dict.fromkeys([*odds, *terms]))
-    at = {w: i for i, w in enumerate(names)}
-
-    def encode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            fs, ss = [], []
-            for t in pdf["t"]:
-                fs.append(sorted(at[w] for w in words(t) if w in at))
-                ss.append([f"{a},{b},{n}" for (a, b), n in swap_counts(t, at).items()])
-            yield pd.DataFrame({"f": fs, "s": ss, "y": pdf["y"]})
-
-    got = rows.mapInPandas(encode, "f array<int>, s array<string>, y int").orderBy("y", F.to_json("f")).collect()  # at most TRAIN_ROWS rows of feature numbers
-    swaps: dict[tuple[int, int], int] = {}
-    for r in got:
-        for s in r.s:
-            a, b, n = map(int, s.split(","))
-            swaps[a, b] = swaps.get((a, b), 0) + n
-    w, bias = fit_weights([(list(r.f), r.y) for r in got], len(names), [(a, b if b >= 0 else len(names), float(n)) for (a, b), n in swaps.items()], expect=np.array([0.0 if t in SWAPS else odds[t] for t in names]))
-    return {t: float(w[i]) for t, i in at.items() if w[i]}, bias
-
-
-def scored(docs: DataFrame, model: tuple[dict[str, float], float], text_col: str = "text") -> DataFrame:
-    """docs with __score: probability of label 1."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """(weights by place, bias)."""
+    rows = texts(docs, sample(labels, "toxic", FOLDS, HELD, TRAIN_ROWS), TRAIN_BYTES)
+    bags, swaps = [], {}
+    for text, label in rows:
+        bags.append((np.array(features(text), np.int32), label))
+        for k, n in swap_counts(text).items():
+            swaps[k] = swaps.get(k, 0) + n
+    del rows
+    n_pos = sum(y for _, y in bags)
+    col = np.concatenate([*(f for f, _ in bags), np.zeros(0, np.int32)])
+    expect = log_odds(col, np.repeat([float(y) for _, y in bags], [len(f) for f, _ in bags]), n_pos, len(bags) - n_pos)
+    expect[BUCKETS:] = 0.0
+    w, bias = fit_weights(bags, N, [(a, b, float(k)) for (a, b), k in sorted(swaps.items())], expect=expect)
+    return w.astype(np.float32), bias
+
+
+def scores(docs: DataFrame, model: tuple[np.ndarray, float]):
+    """The probability of label 1 as a function of a text column."""
     spark = docs.sparkSession
-    small_batches(spark)
-    weights, bias = spark.sparkContext.broadcast(model[0]), model[1]
+    python_ready(spark)
+    weights, bias, key = spark.sparkContext.broadcast(model[0]), model[1], uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def score(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = weights.value
-        known = of.keys()
+        of = worker_cache(key).setdefault("places", {})
+        table = weights.value
+
+        def logit(text: str | None) -> float:
+            if len(of) > CACHE_WORDS:
+                of.clear()
+            at = []
+            for w in words(text) if text else ():
+                if (i := of.get(w)) is None:
+                    i = of[w] = place(w)
+                at.append(i)
+            return bias + float(table[np.unique(np.array(at, np.int64))].sum(dtype=np.float64))
+
         for s in it:
-            z = np.array([bias + sum(sorted(of[w] for w in words(t) & known)) if t else bias for t in s])
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+            yield pd.Series(1 / (1 + np.exp(-np.clip([logit(t) for t in s], -60, 60))))
 
-    return docs.withColumn("__score", score(F.col(text_col)))
+    return score
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    s = scored(docs.select("doc_id", "text"), fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    score = scores(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    s = docs.select("doc_id", score("text").alias("__score"))
     return s.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= CUT).cast("int").alias("predicted"))

@@ -2,12 +2,14 @@
 
 Each record hashes to one of SLOTS virtual slots.  Bytes and rows are summed per slot, and a versioned
 slot-to-shard map, a table of SLOTS rows at every corpus size, says where each slot lives.  The first
-version packs the slots by bytes, largest first, onto the lightest shard; rebalance() and grow() edit
-the map and raise its version, moving slots only, never rehashing records.  Law: `bytes`.
+version packs the slots by bytes, largest first, onto the lightest shard and is stored; where shards
+are uneven, at once or with later documents, rebalance() edits the stored map into its next version, and
+grow() does so for one shard more.  Both move slots only and never rehash records.  Law: `bytes`.
 
 A null text has no bytes (size 16, CRC 0); null ids hash like any other value; equal texts with
-different ids spread over slots; rows repeated exactly share a slot.  An empty table gives no rows.
-Further input columns do not matter.
+different ids spread over slots; rows repeated exactly share a slot and one task of a window there.  A
+very long text is one record, and a slot's bytes are at least its; only sizes leave the scan.  Ties of a
+place go by id, checksum and size.  An empty table gives no rows.  Further input columns do not matter.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, file_system, scratch
 
 SLOTS = 8192
 SHARDS = 40
+#: Share of the mean by which the heaviest shard may exceed it.
+TOLERANCE = 0.001
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -48,7 +52,7 @@ def first_map(bytes_of: dict[int, int], shards: int, slots: int = SLOTS) -> dict
     return out
 
 
-def rebalance(at: dict[int, int], bytes_of: dict[int, int], shards: int, tolerance: float = 0.01) -> dict[int, int]:
+def rebalance(at: dict[int, int], bytes_of: dict[int, int], shards: int, tolerance: float = TOLERANCE) -> dict[int, int]:
     """An edited map: while the heaviest shard exceeds the mean by the tolerance, its best-fitting slot moves to the lightest."""
     at, load, of = dict(at), [0] * shards, [set() for _ in range(shards)]
     for slot, s in at.items():
@@ -108,22 +112,50 @@ def store_map(table: DataFrame, path: str) -> None:
     table.write.mode("append").partitionBy("version").parquet(path)
 
 
+def has_map(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     m = spark.read.parquet(path)
     v = m.agg(F.max("version")).first()[0] if version is None else version
     return m.where(F.col("version") == v)
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, vslot, shard, slot (place within the shard, gapless from 0)."""
+def current_map(stats: dict[int, tuple[int, int]], spark: SparkSession, path: str, shards: int, slots: int, tolerance: float = TOLERANCE) -> DataFrame:
+    """The newest version of the map stored at path, after what the slots' bytes ask for.
+
+    No map yet: the first packing is stored as version 1.  Then, and for a map stored earlier, a shard
+    over the mean by the tolerance makes the edited map the next version.
+    """
+    bytes_of, n_of = {v: b for v, (b, _) in stats.items()}, {v: n for v, (_, n) in stats.items()}
+    if has_map(spark, path):
+        stored = load_map(spark, path).collect()  # at most `slots` rows
+        at, version = {r.vslot: r.shard for r in stored}, stored[0].version
+    else:
+        at, version = first_map(bytes_of, shards, slots), 1
+        store_map(map_table(spark, at, 1, n_of), path)
+    edited = rebalance(at, bytes_of, shards, tolerance)
+    if edited != at:
+        at, version = edited, version + 1
+        store_map(map_table(spark, at, version, n_of), path)
+    # where each slot starts within its shard follows from the counts of these documents
+    return map_table(spark, at, version, n_of)
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, vslot, shard, slot (place within the shard, gapless from 0), version (of the map).
+
+    path: where the map is stored and versioned; without one, a folder of this application's own."""
     spark = docs.sparkSession
     rows = cut(records(docs, id_col, text_col, slots), "records")
     stats = {r.vslot: (r.bytes, r.n) for r in slot_stats(rows).collect()}  # at most `slots` rows
-    table = cut(map_table(spark, first_map({v: b for v, (b, _) in stats.items()}, shards, slots), 1, {v: n for v, (_, n) in stats.items()}), "slot-map")
+    table = cut(current_map(stats, spark, path or scratch(spark, "slot-maps"), shards, slots), "slot-map")
     place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
     placed = rows.withColumn("__place", place)
-    return placed.join(F.broadcast(table.select("vslot", "shard", "first")), "vslot").select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("__place")).cast("long").alias("slot"))
+    return placed.join(F.broadcast(table), "vslot").select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("__place")).cast("long").alias("slot"), "version")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    return assign(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, expand, small_batches, squeeze, worker_cache
+from .common import cut, documents, expand, python_ready, squeeze, worker_cache
 
 #: Words whose ids every worker holds (some 200 bytes each there).
 FREQUENT = 1_000_000
@@ -101,7 +101,7 @@ class Codec:
     """Encoding and decoding of whole tables with one tokenizer file."""
 
     def __init__(self, spark: SparkSession, path: str, frequent: int = FREQUENT):
-        small_batches(spark)
+        python_ready(spark)
         self.spark, self.frequent, self.key = spark, frequent, uuid.uuid4().hex
         self.spec = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
         self.dtype = Model(self.spec.value).dtype.str

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, small_batches
+from .common import bounded, cut, python_ready
 
 PACK = 64
 PACKS = "sequence string, starts array<int>, ends array<int>, parents array<int>, positions array<int>, ancestors array<array<int>>, loss array<array<int>>, conv_ids array<long>, leaves array<int>"
@@ -133,7 +133,7 @@ def deal(rows: DataFrame) -> DataFrame:
 
 def packs(conversations: DataFrame) -> DataFrame:
     """Packs of conversations (conv_id, turn, role, text): the operator's output."""
-    small_batches(conversations.sparkSession, 200)
+    python_ready(conversations.sparkSession)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     rows = cut(rows.withColumn("path", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))), "conversations")

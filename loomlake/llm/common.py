@@ -7,19 +7,21 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, drop, ship
+from ..session import cut, drop, file_system, scratch, ship
 
-#: Rows in an Arrow batch that goes to Python; whole documents are in it, so it is kept small.
-BATCH_ROWS = 1000
+#: Rows in an Arrow batch that goes to Python; whole documents are in it, so it is kept small.  One value for all operators.
+BATCH_ROWS, BATCH_DEFAULT = 1000, 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space that separates words in the contracts of these operators.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Before an operator uses Python workers: they can import this package, and a batch holds few enough documents."""
+def python_ready(spark: SparkSession) -> None:
+    """Before an operator uses Python workers: they can import this package, and Arrow batches hold BATCH_ROWS rows unless the session was given another number than Spark's default."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == BATCH_DEFAULT:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 try:

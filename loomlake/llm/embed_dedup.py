@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, small_batches
+from .common import bounded, components, cut, python_ready
 
 THRESHOLD, TREES, MARGIN = 0.9, 3, 0.5
 #: Vectors a leaf should hold; the most that trees are grown on; the most leaves of a tree; the most vectors compared in one task.
@@ -135,7 +135,7 @@ def compare(v: np.ndarray, n: np.ndarray, block: np.ndarray, mine: list, leaf: i
 def classes(rows: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id", threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
     """One row per distinct usable vector: __v, n (copies), links (of one copy, other copies included), component_id."""
     spark = rows.sparkSession
-    small_batches(spark, 4000)
+    python_ready(spark)
     v = F.col(vec_col)
     usable = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     kinds = rows.where(usable).groupBy(v.alias("__v")).agg(F.min(id_col).alias("least"), F.count("*").alias("n"))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, documents, small_batches
+from .common import bounded, cut, documents, python_ready
 
 SPAN, K = 200, 32
 W = SPAN - K + 1
@@ -230,7 +230,7 @@ _KEY = "k1 long, k2 long"
 def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(docs with k1 and k2, the key of the text; repeats: k1, k2, spans = [first, last byte, ...] of the bytes that go)."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    python_ready(spark)
     docs = docs.withColumns({"k1": F.xxhash64(F.col(text_col)), "k2": F.xxhash64(F.lit(7), F.col(text_col))})
     rows = docs.select("k1", "k2", F.col(text_col).alias("t")).where(F.octet_length("t") >= SPAN)
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, documents, small_batches
+from .common import bounded, components, cut, documents, python_ready
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints a shard should hold; the most that the tree is grown on; the most shards of a tree.
@@ -77,7 +77,7 @@ def majority(h: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE, text_col: str = "text") -> DataFrame:
     """docs with __fp, the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fp(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -225,7 +225,7 @@ def links(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that span the classes of distinct fingerprints __fp."""
     spark = distinct.sparkSession
-    small_batches(spark, 10_000)
+    python_ready(spark)
     n = distinct.count()
     want = min(SHARDS, n // SHARD + 1)
     nodes = []
@@ -293,7 +293,7 @@ def near_classes(texts: DataFrame) -> DataFrame:
     of different classes remain, and then pair by pair across classes; texts of one class need no comparing.
     """
     spark = texts.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     n = texts.count()
     pick = texts.where(F.pmod(F.xxhash64("__fp", F.lit(9)), F.lit(max(1, n // COMMON_OF))) == 0).select("text").distinct()  # for the order of shingles only
 
@@ -319,7 +319,7 @@ def near_classes(texts: DataFrame) -> DataFrame:
     prints = sets.select("print", "key")
     first = cut(prints.groupBy("print").agg(F.min("key").alias("key")), "prints")
     found = fingerprint_links(first.select(F.col("print").alias("__fp")))
-    small_batches(spark)
+    python_ready(spark)
     at = lambda c: first.select(F.col("print").alias(c), F.col("key").alias(f"key_{c}"))
     pairs = found.join(at("a"), "a").join(at("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     pairs = pairs.unionByName(prints.join(first.withColumnRenamed("key", "a"), "print").select("a", F.col("key").alias("b")))

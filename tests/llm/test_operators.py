@@ -102,13 +102,28 @@ def test_sharding(spark):
     assert set(by) == set(range(7)) and all(sorted(v) == list(range(len(v))) for v in by.values())
     load = Counter()
     for r in got:
-        if r["size"] < 100_000:
-            load[r["shard"]] += r["size"]
+        load[r["shard"]] += r["size"]
+    slot = Counter()
+    for r in got:
+        slot[r["vslot"]] += r["size"]
+    assert max(load.values()) - min(load.values()) <= max(slot.values())  # the bytes law: no shard is off by more than one slot
     again = {(r["doc_id"], r["shard"], r["slot"]) for r in rows_of(sharding.assign(table(spark, texts), shards=7))}
     assert again == {(r["doc_id"], r["shard"], r["slot"]) for r in got}
     assert sharding.assign(table(spark, []), shards=7).count() == 0
 
 
+def test_stored_map_is_edited_when_documents_change(spark, tmp_path):
+    path = str(tmp_path / "maps")
+    first = {r.doc_id: (r.vslot, r.shard, r.version) for r in sharding.assign(table(spark, [f"doc {i} " * (i % 5 + 1) for i in range(600)]), 5, 256, path=path).collect()}
+    second = rows_of(sharding.assign(table(spark, [f"doc {i} " * (40 if i % 11 == 0 else i % 5 + 1) for i in range(2000)]), 5, 256, path=path))
+    versions = {r.version: r.n for r in spark.read.parquet(path).groupBy("version").agg({"*": "count"}).toDF("version", "n").collect()}
+    assert set(versions) == set(range(1, max(versions) + 1)) and len(versions) > 1 and set(versions.values()) == {256}
+    load = Counter()
+    for r in second:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) <= 1.02 * sum(load.values()) / 5 and {v for _, _, v in first.values()} < set(versions)
+
+
 def test_slot_map_edits(spark, tmp_path):
     rng = random.Random(1)
     size = {v: rng.randint(0, 1000) for v in range(512)}
@@ -197,6 +212,21 @@ def test_flight_keeps_totals(rows):
     assert out.sum() == pytest.approx(p.sum(), abs=1e-6) and out @ z == pytest.approx(p @ z, abs=1e-3)
 
 
+def test_flight_settles_probabilities_next_to_0_and_1():
+    out = mixing.flight(np.array([1e-12, 1 - 1e-12] * 1500), np.arange(3000), np.linspace(0, 1, 3000), 12)
+    assert set(out) == {0.0, 1.0}
+
+
+def test_mixing_ends_when_ratios_are_off_an_integer_by_rounding(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    docs = spark.createDataFrame([(i, "w " * (7 if i % 10 < 7 else 3), "a" if i % 10 < 7 else "b") for i in range(100)], "doc_id long, text string, source string")
+    plan = spark.createDataFrame([("a", 70, 490, 490 * (1 + 1e-13)), ("b", 30, 90, 90 * (1 - 1e-13))], "__src string, n long, source_size long, target double")
+    from pyspark.sql import functions as F
+
+    rows = mixing.sized(docs).withColumn("__row", F.monotonically_increasing_id())
+    assert {r["copies"] for r in rows_of(mixing.draw(rows, plan))} == {1}
+
+
 # --- 3 BPE
 
 
@@ -393,12 +423,41 @@ def test_quality(spark):
     docs = table(spark, texts)
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)
-    got = {r.doc_id: r["__score"] for r in quality.scored(docs, model).select("doc_id", "__score").collect()}
+    got = scores_of(quality, docs, model)
+    for i in (0, 1, 100, 240, 241, 242):  # a plain recomputation: the mean of the numbers of all features
+        w = (texts[i] or "").split()
+        f = [x for v in w for x in quality.features(v)] + [(crc32(b.encode()) - crc32(a.encode())) % quality.BUCKETS for a, b in zip(w, w[1:])]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(model[1] + (np.mean(model[0][f].astype(float)) if f else 0)))), abs=1e-6)
     held = [i for i in range(240) if i >= 200 or crc32(str(i).encode()) % 4 == 2]
     assert np.mean([(got[i] >= 0.7) == (i % 3 > 0) for i in held]) > 0.97 and all(0 <= s <= 1 for s in got.values()) and len(got) == len(texts)
     none = quality.fit(docs, labels.limit(0))
-    assert none[2] == 0 and quality.scored(table(spark, ["a"]), none).first()["__score"] == 0.5
-    assert quality.scored(docs.limit(0), model).count() == 0
+    assert none[2] == 0 and scores_of(quality, table(spark, ["a"]), none) == {0: 0.5}
+    assert scores_of(quality, docs.limit(0), model) == {} and quality.fit(docs.limit(0), labels)[2] == 0
+
+
+def test_a_word_table_smaller_than_a_text():
+    kept, quality.CACHE_WORDS = quality.CACHE_WORDS, 3
+    try:
+        t = np.random.default_rng(1).standard_normal(quality.BUCKETS).astype(np.float32)
+        small, texts = quality.Scorer(t, 0.5), ["a b c d e", "a b", "e e e f", "", "x y z a b c d e f g"]
+    finally:
+        quality.CACHE_WORDS = kept
+    large = quality.Scorer(t, 0.5)
+    assert [small.logit(x) for x in texts] == [large.logit(x) for x in texts] and small.logit(None) == 0.5
+
+
+def scores_of(module, docs, model):
+    return {r.doc_id: r["s"] for r in docs.select("doc_id", module.scores(docs, model)("text").alias("s")).collect()}
+
+
+def test_labelled_sample_is_bounded_when_ids_repeat(spark):
+    from loomlake.llm import labelled
+
+    docs = spark.createDataFrame([(i % 3, f"text {i}" * (1 + i % 5)) for i in range(300)] + [(None, "null id")], "doc_id long, text string")
+    picked = labelled.sample(spark.createDataFrame([(0, 1, 1), (1, 0, 0), (2, 1, 0), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int"), "quality", 4, 99, 10)
+    got = labelled.texts(docs, picked, 1 << 20)
+    assert len(got) == 3 and got == labelled.texts(docs.repartition(7), picked, 1 << 20)
+    assert sum(len(t) for t, _ in labelled.texts(docs, picked, 20)) <= 20
 
 
 def test_toxicity_and_neutral_mentions(spark):
@@ -420,15 +479,33 @@ def test_toxicity_and_neutral_mentions(spark):
     docs = table(spark, [*texts, neutral, "you vermin", "", None])
     labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(y)], "doc_id long, quality int, toxic int")
     weights, bias = toxicity.fit(docs, labels)
-    assert abs(weights.get("muslims", 0.0)) < 0.35 and weights["vermin"] > 1
-    got = {r.doc_id: r["__score"] for r in toxicity.scored(docs, (weights, bias)).select("doc_id", "__score").collect()}
+    assert abs(weights[toxicity.place("muslims")]) < 0.35 and weights[toxicity.place("vermin")] > 1
+    got = scores_of(toxicity, docs, (weights, bias))
+    for i in (0, 1, 4, 600, 601, 602):  # a plain recomputation: the bias and each word's weight once
+        t = [*texts, neutral, "you vermin", "", None][i] or ""
+        w = {toxicity.place(x) for x in "".join(c if c.isalnum() else " " for c in t.lower()).split()}
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(bias + sum(float(weights[x]) for x in w)))), abs=1e-6)
     assert got[600] < 0.5 <= got[601] and got[602] < 0.5 and got[603] < 0.5
     docs_, col = [], {w: i for i, w in enumerate(["muslims", "vermin", "scumbag"])}
     for t, l in zip(texts, y):
         docs_.append((sorted({col[w] for w in toxicity.words(t) if w in col}), l))
     free, _ = toxicity.fit_weights(docs_, 3, [], penalty=0)
     assert free[0] > 1  # what the penalty takes away
-    assert toxicity.fit(docs, labels.limit(0))[1] < 0
+    none = toxicity.fit(docs, labels.limit(0))
+    assert none[1] < 0 and not none[0].any() and all(s < 0.5 for s in scores_of(toxicity, docs.limit(5), none).values())
+
+
+def test_toxicity_on_odd_tables(spark):
+    docs = table(spark, [*TEXTS, "vermin " + LONG], [*range(len(TEXTS) - 1), None, 99])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)] * 2, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    rows = docs.select("doc_id", toxicity.scores(docs, model)("text").alias("s")).collect()
+    by = {r.doc_id: r.s for r in rows}
+    assert len(rows) == len(TEXTS) + 1 and by[0] == by[1] and by[6] == by[7] and by[8] == by[9] and all(0 <= r.s <= 1 for r in rows)
+    assert toxicity.fit(docs.union(docs), labels)[1] == model[1]  # repeated rows count once
+    assert scores_of(toxicity, docs.limit(0), model) == {} and toxicity.fit(docs.limit(0), labels)[1] < 0
+    one = toxicity.fit(docs, labels.where("toxic = 1"))
+    assert np.isfinite(one[1]) and np.isfinite(one[0]).all()
 
 
 # --- 10 chat

@@ -1,16 +1,26 @@
 """BPE encoding and decoding through a distinct-word table.
 
 A word is a maximal run without white space in the normalised text (or the literal string of an added
-token); pieces never cross it.  Spark counts the distinct words of the corpus and encodes each once.
-Ids come back by position: the FREQUENT commonest words, a table of bounded size, are looked up where
-the text is; every other occurrence is a row (document, position, word) joined to the word table and
-then put in its place.  A rare word has few occurrences by construction, so that join has no hot key.
-Decoding joins ids to the table of pieces, whose size is the vocabulary's.
-
-The normaliser, splitter and model are the tokenizers library's, read from a tokenizer file given by
-path; texts within Latin letters take a shortcut that does what the file's normaliser does there.
-Null texts are empty: no ids, empty decoded text.  Rows that repeat are encoded alike; empty tables
-give empty tables; further columns of the input do not matter.
+token); pieces never cross it.
+
+1. The COMMON commonest words of a bounded sample of documents (which words these are does not change any
+   result) are the only ones that travel by number.
+2. One pass splits every text.  Its documents go in chunks of about CHUNK characters: places of common
+   words, and places in the chunk's own list of the others, each listed once however often it occurs.
+3. The distinct-word table: the chunks' words meet by hash in buckets of about BUCKET words, whose number
+   follows from the words listed, and each distinct word is encoded once.  Common words go the same way.
+4. Decoding: the ids of the distinct words are joined to the table of pieces by id, and a word's pieces
+   come back in order.
+5. A bucket's chunks take their words' ids and pieces from its part of the table; these return to the
+   chunk by place, and the documents' ids and decoded texts are put together there.
+
+A hot word is listed once a chunk at most, so what meets in its bucket grows with the chunks, not with its
+count.  The normaliser, splitter and model are the tokenizers library's, read from a tokenizer file given
+by path; texts within Latin letters take a shortcut that does what the file's normaliser does there.
+
+Null texts are empty: no ids, empty decoded text.  A very long text is a chunk of its own.  Rows that
+repeat are encoded alike, each for itself, and null ids are ids like any other; empty tables give empty
+tables; further columns of the input do not matter.
 """
 
 from __future__ import annotations
@@ -20,25 +30,23 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import sha256
-from itertools import repeat
 from pathlib import Path
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, expand, python_ready, squeeze, worker_cache
+from .common import bounded, cut, documents, expand, python_ready, squeeze, worker_cache
 
-#: Words whose ids every worker holds (some 200 bytes each there).
-FREQUENT = 1_000_000
-#: The same in the pipeline, whose executors have run four stages before; the rest takes the join, with the same result.
-PIPELINE_FREQUENT = 400_000
-#: Distinct words a task counts before it hands them on.
-FLUSH_WORDS = 400_000
-#: The distinct words are merged in so many parts at most.
-MOST_BUCKETS = 4096
+#: Words that travel by number (two bytes), and documents they are learnt from.
+COMMON, SAMPLE = 65_535, 10_000
+#: Characters of a chunk's texts, about; words of a bucket, about.
+CHUNK, BUCKET = 4 << 20, 200_000
+#: Pieces up to which the table of pieces is broadcast.
+BROADCAST_PIECES = 1_000_000
 _FAR = re.compile("[̀-\U0010ffff]")
 
 
@@ -97,14 +105,33 @@ class Model:
         return [self.tok.id_to_token(i) or "" for i in range(self.size)]
 
 
+def _pack(a: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes."""
+    return squeeze(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+
+
+def _unpack(b: bytes, kind: str) -> np.ndarray:
+    raw, size = np.frombuffer(expand(b), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _join(words: list[str]) -> bytes:
+    return squeeze("\n".join(words).encode("utf-8", "surrogatepass"))
+
+
+def _split(b: bytes, n: int) -> list[str]:
+    return expand(b).decode("utf-8", "surrogatepass").split("\n") if n else []
+
+
 class Codec:
     """Encoding and decoding of whole tables with one tokenizer file."""
 
-    def __init__(self, spark: SparkSession, path: str, frequent: int = FREQUENT):
+    def __init__(self, spark: SparkSession, path: str, common: int = COMMON):
         python_ready(spark)
-        self.spark, self.frequent, self.key = spark, frequent, uuid.uuid4().hex
+        self.spark, self.common, self.key = spark, min(common, COMMON), uuid.uuid4().hex
         self.spec = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
-        self.dtype = Model(self.spec.value).dtype.str
+        self.own = Model(self.spec.value)
+        self.dtype = self.own.dtype.str
 
     def model(self) -> Callable[[], Model]:
         spec, key = self.spec, self.key
@@ -117,195 +144,169 @@ class Codec:
 
         return get
 
-    def word_table(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """Every distinct word with its count and its ids (packed), encoded once."""
-        get = self.model()
-
-        buckets = max(1, min(MOST_BUCKETS, 4 * docs.rdd.getNumPartitions()))
+    def pieces(self) -> DataFrame:
+        """(id, piece): as many rows as the vocabulary has."""
+        return self.spark.createDataFrame(pd.DataFrame({"id": np.arange(self.own.size, dtype=np.int32), "piece": self.own.pieces()}), "id int, piece string")
 
-        def packed(seen: Counter) -> pd.DataFrame:
-            # sorted words compress to a few bytes each; a row per bucket instead of a row per word
-            words = sorted(seen)
-            of = np.array([crc32(w.encode()) % buckets for w in words], np.int32)
-            order = np.argsort(of, kind="stable")
-            cuts = np.flatnonzero(np.diff(of[order])) + 1
-            out = []
-            for part in np.split(order, cuts):
-                own = [words[i] for i in part.tolist()]
-                n = np.array([seen[w] for w in own], "<i8")
-                out.append((int(of[part[0]]), squeeze("\n".join(own).encode()), squeeze(n.tobytes())))
-            return pd.DataFrame(out, columns=["bucket", "words", "n"])
+    def commonest(self, docs: DataFrame, text_col: str = "text") -> list[str]:
+        """Words of a sample of about SAMPLE documents that occur most often there, at most `common`."""
+        get = self.model()
+        rate = max(1, docs.count() // SAMPLE)
+        pick = docs.select(F.col(text_col).alias("t")).where(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(rate)) == 0)
 
         def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words, seen = get().words, Counter()
+            words = get().words
             for pdf in it:
+                seen = Counter()
                 for text in pdf["t"]:
                     seen.update(words(text))
-                    if len(seen) > FLUSH_WORDS:
-                        yield packed(seen)
-                        seen.clear()
-            if seen:
-                yield packed(seen)
-
-        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-            m, seen = get(), {}
-            for words, n in zip(pdf["words"], pdf["n"]):
-                for w, c in zip(expand(words).decode().split("\n"), np.frombuffer(expand(n), "<i8").tolist()):
-                    seen[w] = seen.get(w, 0) + c
-            return pd.DataFrame({"word": list(seen), "n": list(seen.values()), "ids": [m.encode_word(w) for w in seen]})
-
-        found = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "bucket int, words binary, n binary")
-        return cut(found.groupBy("bucket").applyInPandas(merge, "word string, n long, ids binary"), "words")
-
-    def lookup(self, words: DataFrame):
-        """The commonest words as a broadcast of bounded size, and the least count of a word in it (0: all are)."""
-        if words.limit(self.frequent + 1).count() <= self.frequent:
-            least = 0
-        else:  # whole bins of the count, commonest first, as far as the bound goes; counts by bin are a few hundred rows
-            bins = sorted(words.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 8).alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("least")).collect(), key=lambda r: -r.b)
-            least, room = bins[0].least, self.frequent
-            for r in bins:
-                if r.c > room:
-                    break
-                least, room = r.least, room - r.c
-            if bins[0].c > self.frequent:
-                least = bins[0].least + (1 << 62)
-
-        def packed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                yield pd.DataFrame({"words": ["\n".join(pdf["word"])], "ids": [b"".join(pdf["ids"])], "lens": [pdf["ids"].map(len).to_numpy(np.int32).tobytes()], "ns": [pdf["n"].to_numpy(np.int64).tobytes()]})
-
-        # at most `frequent` words, packed by the tasks so that the driver holds bytes, not rows
-        top = words.where(F.col("n") >= least).select("word", "ids", "n").mapInPandas(packed, "words string, ids binary, lens binary, ns binary").collect()
-        width = np.dtype(self.dtype).itemsize
-        lens = np.frombuffer(b"".join(bytes(r.lens) for r in top), np.int32)
-        order = np.argsort(-np.frombuffer(b"".join(bytes(r.ns) for r in top), np.int64), kind="stable")
-        all_words = [w for r in top for w in r.words.split("\n")]
-        blob, ends = b"".join(bytes(r.ids) for r in top), np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
-        del top
-        text = "\n".join([all_words[i] for i in order.tolist()])
-        del all_words
-        packed_ids = b"".join([blob[ends[i] : ends[i + 1]] for i in order.tolist()])
-        return self.spark.sparkContext.broadcast((text, packed_ids, np.concatenate(([0], np.cumsum(lens[order], dtype=np.int64))) // width)), int(least)
-
-    def encoded(self, docs: DataFrame, finish: Callable[[Model], Callable], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """finish(model)(id, packed ids) for every document, as rows of schema.
-
-        finish works in the task that completes the ids, so that these need not travel further.
-        """
-        get, key, table_key = self.model(), self.key, uuid.uuid4().hex
-        words = self.word_table(docs, text_col)
-        table, least = self.lookup(words)
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-        names = [x.split()[0] for x in schema.split(", ")]
+                if seen:
+                    yield pd.DataFrame({"word": list(seen), "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
-        def known() -> dict[str, int]:
-            """The place of each frequent word in the table, commonest first."""
-            kept = worker_cache(key)
-            if table_key not in kept:
-                text = table.value[0]
-                kept[table_key] = {w: i for i, w in enumerate(text.split("\n"))} if len(table.value[2]) > 1 else {}
-            return kept[table_key]
-
-        def places(words: list[str], of: dict[str, int]) -> np.ndarray:
-            return np.fromiter(map(of.get, words, repeat(-1)), np.int32, len(words))
-
-        def gather(at: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Ids of the words at these places, one after the other, and where each word's ids end."""
-            n = ends[at + 1] - ends[at]
-            stop = np.cumsum(n, dtype=np.int32)
-            return flat[np.repeat(ends[at] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0, dtype=np.int32)], stop
+        if not self.common:
+            return []
+        found = pick.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+        return [r.word for r in found.orderBy(F.desc("n"), "word").limit(self.common).select("word").collect()]
+
+    def decoded(self, words: DataFrame) -> DataFrame:
+        """words (bucket, word, ids packed, id array) with text: each id joined to its piece, a word's pieces in order."""
+        each = words.select("bucket", "word", "ids", F.posexplode_outer("id").alias("pos", "id"))
+        found = each.join(bounded(self.pieces(), BROADCAST_PIECES), "id", "left")
+        found = found.groupBy("bucket", "word", "ids").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))).alias("p"))
+        return found.select("bucket", "word", "ids", F.array_join(F.col("p.piece"), " ").alias("text"))
+
+    def word_table(self, listed: DataFrame) -> DataFrame:
+        """(bucket, word, ids packed, id array) of listed (bucket, words, n): each distinct word once, encoded once."""
+        get = self.model()
 
-        def tables(m: Model) -> tuple[np.ndarray, np.ndarray]:
-            return np.frombuffer(table.value[1], m.dtype), table.value[2].astype(np.int32)
+        def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+            m, words = get(), sorted(set().union(*(_split(w, n) for w, n in zip(pdf["words"], pdf["n"]))))
+            ids = [m.encode_word(w) for w in words]
+            return pd.DataFrame({"bucket": pdf["bucket"].iloc[0], "word": words, "ids": ids, "id": [np.frombuffer(b, m.dtype).astype(np.int32) for b in ids]})
 
-        if not least:
-            def here(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                m, of = get(), known()
-                done, flat = finish(m), tables(m)
-                for pdf in it:
-                    yield pd.DataFrame([done(i, gather(places(m.words(t), of), *flat)[0].tobytes()) for i, t in zip(pdf["id"], pdf["t"])], columns=names)
+        return cut(self.decoded(listed.groupBy("bucket").applyInPandas(encode, "bucket int, word string, ids binary, id array<int>")), "words")
 
-            return rows.mapInPandas(here, schema)
+    def lookup(self, words: list[str]):
+        """(words, their ids, where these end, their decoded texts) of the common words as a broadcast of bounded size."""
+        listed = self.spark.createDataFrame([(0, bytearray(_join(words)), len(words))] if words else [], "bucket int, words binary, n int")
+        of = {r.word: (bytes(r.ids), r.text) for r in self.word_table(listed).collect()}
+        ids = [of[w][0] for w in words]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64))) // np.dtype(self.dtype).itemsize
+        return self.spark.sparkContext.broadcast((words, b"".join(ids), ends, [of[w][1] for w in words]))
 
-        rows = rows.withColumn("k", F.xxhash64("id", "t"))
+    def encoded(self, docs: DataFrame, finish: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """finish(id, ids, texts of the words in order) for every document, as rows of schema.
 
-        def rare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m, of = get(), known()
-            for pdf in it:
-                ks, ps, ws = [], [], []
-                for k, t in zip(pdf["k"], pdf["t"]):
-                    words = m.words(t)
-                    at = np.flatnonzero(places(words, of) < 0).tolist()
-                    ks += [k] * len(at)
-                    ps += at
-                    ws += [words[p] for p in at]
-                if ks:
-                    yield pd.DataFrame({"k": np.array(ks, np.int64), "pos": np.array(ps, np.int32), "word": ws})
-
-        def frame(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            # words as places in the table, a plane for each of three bytes: the upper ones are mostly zero and compress; all ones stand for a rare word
-            m, of = get(), known()
+        finish works in the task that completes the ids, so that these need not travel further.
+        """
+        get, key, dtype = self.model(), self.key, self.dtype
+        table = self.lookup(self.commonest(docs, text_col))
+        most = len(table.value[0])
+        names = [x.split()[0] for x in schema.split(", ")]
+        idt = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
+
+        def chunk(ids: list, texts: list, m: Model, of: dict[str, int]) -> tuple:
+            lens, places, others, own = [], [], [], {}
+            for t in texts:
+                words = m.words(t)
+                at = np.fromiter(map(of.get, words, [most] * len(words)), np.int32, len(words))
+                lens.append(len(words))
+                places.append(at.astype(np.uint16))
+                others += [own.setdefault(words[i], len(own)) for i in np.flatnonzero(at == most).tolist()]
+            others = np.array(others, np.int32)
+            return ids, _pack(np.array(lens, np.int32)), _pack(np.concatenate(places)), _pack(np.diff(others, prepend=np.int32(0))), _join(list(own)), len(own)
+
+        def frames(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m, kept = get(), worker_cache(key)
+            if "places" not in kept:
+                kept["places"] = {w: i for i, w in enumerate(table.value[0])}
+            task, n = TaskContext.get().partitionId() << 32, 0
             for pdf in it:
-                yield pd.DataFrame({"id": pdf["id"], "k": pdf["k"], "at": [squeeze(places(m.words(t), of).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()) for t in pdf["t"]]})
+                part = pdf["t"].map(lambda t: len(t) if t else 0).cumsum() // CHUNK
+                for _, own in pdf.groupby(part, sort=False):
+                    yield pd.DataFrame([(task + n, *chunk(list(own["id"]), list(own["t"]), m, kept["places"]))], columns=["chunk", "doc", "lens", "places", "others", "words", "n"])
+                    n += 1
 
-        def fill(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m = get()
-            done, (flat, ends) = finish(m), tables(m)
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+        made = cut(rows.mapInPandas(frames, f"chunk long, doc array<{idt}>, lens binary, places binary, others binary, words binary, n int"), "chunks")
+        buckets = max(1, (made.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+
+        def deal(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
-                out = []
-                for i, planes, got in zip(pdf["id"], pdf["at"], pdf["got"]):
-                    low = np.frombuffer(expand(planes), np.uint8).reshape(3, -1)
-                    at = low[0].astype(np.int32) | low[1].astype(np.int32) << 8 | low[2].astype(np.int32) << 16
-                    holes = np.flatnonzero(at == 0xFFFFFF)
-                    if len(holes):
-                        by_pos = {g["pos"]: g["ids"] for g in got}  # rows that repeat found the same words twice
-                        at[holes] = len(ends) - 1  # the place of no ids
-                        ids, stop = gather(at, flat, np.append(ends, ends[-1]))
-                        parts, a = [], 0
-                        for p, b in zip(holes.tolist(), stop[holes].tolist()):
-                            parts += [ids[a:b].tobytes(), by_pos[p]]
-                            a = b
-                        out.append(done(i, b"".join([*parts, ids[a:].tobytes()])))
-                    else:
-                        out.append(done(i, gather(at, flat, ends)[0].tobytes()))
-                yield pd.DataFrame(out, columns=names)
-
-        found = rows.select("k", "t").mapInPandas(rare, "k long, pos int, word string").join(words.where(F.col("n") < least).select("word", "ids"), "word")
-        found = found.groupBy("k").agg(F.collect_list(F.struct("pos", "ids")).alias("got"))
-        idt = dict(docs.dtypes)[id_col]
-        frames = rows.mapInPandas(frame, f"id {idt}, k long, at binary")
-        return frames.join(found, "k", "left").select("id", "at", "got").mapInPandas(fill, schema)
+                for k, packed, n in zip(pdf["chunk"], pdf["words"], pdf["n"]):
+                    words = _split(packed, n)
+                    of = np.array([crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words], np.int64)
+                    order = np.argsort(of, kind="stable")
+                    for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                        if len(part):
+                            yield pd.DataFrame([(int(of[part[0]]), k, _pack(part.astype(np.int32)), _join([words[i] for i in part.tolist()]), len(part))], columns=["bucket", "chunk", "at", "words", "n"])
+
+        listed = made.select("chunk", "words", "n").mapInPandas(deal, "bucket int, chunk long, at binary, words binary, n int")
+        listed = cut(listed.repartition("bucket"), "listed")
+        words = self.word_table(listed)
+
+        def answer(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            of = {w: i for i, w in enumerate(right["word"])}
+            ids, texts, out = list(right["ids"]), list(right["text"]), []
+            for k, at, packed, n in zip(left["chunk"], left["at"], left["words"], left["n"]):
+                own = [of[w] for w in _split(packed, n)]
+                out.append((k, at, _pack(np.array([len(ids[i]) for i in own], np.int32)), squeeze(b"".join([ids[i] for i in own])), _join([texts[i] for i in own]), n))
+            return pd.DataFrame(out, columns=["chunk", "at", "lens", "ids", "texts", "n"])
+
+        got = listed.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(answer, "chunk long, at binary, lens binary, ids binary, texts binary, n int")
+        width = np.dtype(dtype).itemsize
+
+        def fill(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            common, blob, ends, texts = table.value
+            out = []
+            for docs_of, lens, places, others, n in zip(left["doc"], left["lens"], left["places"], left["others"], left["n"]):
+                own, said = [b""] * n, [""] * n
+                for at, sizes, ids, text, k in zip(right["at"], right["lens"], right["ids"], right["texts"], right["n"]):
+                    stop = np.cumsum(_unpack(sizes, "<i4")).tolist()
+                    raw, a = expand(ids), 0
+                    for i, b, t in zip(_unpack(at, "<i4").tolist(), stop, _split(text, k)):
+                        own[i], said[i] = raw[a:b], t
+                        a = b
+                flat = np.frombuffer(blob + b"".join(own), dtype)
+                until = np.concatenate((ends, ends[-1] + np.cumsum([len(x) // width for x in own], dtype=np.int64)))
+                say = (texts + said).__getitem__
+                at = _unpack(places, "<u2").astype(np.int64)
+                hole = np.flatnonzero(at == len(common))
+                at[hole] = len(common) + np.cumsum(_unpack(others, "<i4"), dtype=np.int64)
+                a = 0
+                for doc, k in zip(docs_of, _unpack(lens, "<i4").tolist()):
+                    p = at[a : a + k]
+                    a += k
+                    size = until[p + 1] - until[p]
+                    stop = np.cumsum(size)
+                    ids = flat[np.repeat(until[p] - stop + size, size) + np.arange(stop[-1] if k else 0)]
+                    out.append(finish(doc, ids, filter(None, map(say, p.tolist()))))
+            return pd.DataFrame(out, columns=names, dtype=object)
+
+        return made.drop("words").groupBy("chunk").cogroup(got.groupBy("chunk")).applyInPandas(fill, schema)
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, ids): the ids of every whole text."""
-        return self.encoded(docs, lambda m: lambda i, ids: (i, np.frombuffer(ids, m.dtype).astype(np.int32)), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>", id_col, text_col)
+        return self.encoded(docs, lambda i, ids, _: (i, ids.astype(np.int32)), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>", id_col, text_col)
 
     def decode(self, ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-        """(doc_id, text): each id joined to its piece, pieces in order; the table of pieces is as large as the vocabulary."""
-        get = self.model()
+        """(doc_id, text): each id joined to its piece, pieces in order; a null or empty list gives an empty text.
 
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pieces = get().pieces()
-            for pdf in it:
-                yield pd.DataFrame({"doc_id": pdf["i"], "text": [" ".join([pieces[x] for x in v]) if v is not None else "" for v in pdf["v"]]})
-
-        return ids.select(F.col(id_col).alias("i"), F.col(ids_col).alias("v")).mapInPandas(run, f"doc_id {dict(ids.dtypes)[id_col]}, text string")
-
-
-def _digest(m: Model):
-    pieces = m.pieces()
+        The table of pieces is as large as the vocabulary.  A row's pieces are gathered where it is, before
+        rows move, so a long row is as large as its text and no larger.
+        """
+        rows = cut(ids.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("__v"), F.monotonically_increasing_id().alias("__row")), "ids")
+        each = rows.select("__row", F.posexplode("__v").alias("pos", "id")).join(bounded(self.pieces(), BROADCAST_PIECES), "id")
+        text = each.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("p"))
+        return rows.select("doc_id", "__row").join(text, "__row", "left").select("doc_id", F.coalesce(F.array_join("p.piece", " "), F.lit("")).alias("text"))
 
-    def of(i, ids: bytes):
-        v = np.frombuffer(ids, m.dtype)
-        text = " ".join([pieces[x] for x in v.tolist()])
-        return i, len(v), sha256(v.astype("<u4").tobytes()).hexdigest(), sha256(text.encode()).hexdigest()
 
-    return of
+def _digest(doc, ids: np.ndarray, texts: Iterator[str]) -> tuple:
+    return doc, len(ids), sha256(ids.astype("<u4").tobytes()).hexdigest(), sha256(" ".join(texts).encode()).hexdigest()
 
 
-def digests(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
-    return Codec(docs.sparkSession, path, frequent).encoded(docs, _digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, path: str, common: int = COMMON) -> DataFrame:
+    return Codec(docs.sparkSession, path, common).encoded(docs, _digest, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,4 +315,4 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: counts and digests of every document's ids and decoded text."""
-    return digests(docs, tokenizer_path(), PIPELINE_FREQUENT)
+    return digests(docs, tokenizer_path())

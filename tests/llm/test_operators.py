@@ -230,13 +230,16 @@ def test_mixing_ends_when_ratios_are_off_an_integer_by_rounding(spark, monkeypat
 # --- 3 BPE
 
 
-@pytest.mark.parametrize("frequent", [10**6, 5, 0])
-def test_bpe_matches_library(spark, frequent):
+@pytest.mark.parametrize("common, small", [(10**6, False), (5, True), (0, True)])
+def test_bpe_matches_library(spark, common, small, monkeypatch):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(bpe.tokenizer_path())
     texts = [*TEXTS, "it's <|endoftext|>THEY'RE!!", "ΑΣ Å İ ½²", "x\x1cy\x85z\xa0w", "中文 😀 ​ ﬁ", "a" * 4000, "<|startoftext|><|endoftext|>"]
-    got = {r["doc_id"]: r for r in rows_of(bpe.digests(table(spark, texts), bpe.tokenizer_path(), frequent))}
+    if small:
+        monkeypatch.setattr(bpe, "BUCKET", 500)
+        monkeypatch.setattr(bpe, "CHUNK", 1000)
+    got = {r["doc_id"]: r for r in rows_of(bpe.digests(table(spark, texts), bpe.tokenizer_path(), common))}
     for i, t in enumerate(texts):
         ids = tok.encode(t or "", add_special_tokens=False).ids
         text = tok.decode(ids, skip_special_tokens=False)
@@ -246,6 +249,11 @@ def test_bpe_matches_library(spark, frequent):
 def test_bpe_tables(spark):
     codec = bpe.Codec(spark, bpe.tokenizer_path())
     ids = codec.encode(table(spark, ["Hello the world", None, "Hello"]))
+    twice = codec.decode(ids.union(ids))
+    assert sorted(r.text for r in twice.collect()) == sorted(["hello</w> the</w> world</w>", "", "hello</w>"] * 2)
+    texts = [*TEXTS, "it's <|endoftext|>THEY'RE!!", "中文 😀"]
+    of = {r.doc_id: sha256(r.text.encode()).hexdigest() for r in codec.decode(codec.encode(table(spark, texts))).collect()}
+    assert of == {r.doc_id: r.decoded_sha256 for r in bpe.digests(table(spark, texts), bpe.tokenizer_path()).collect()}
     assert {r.doc_id: r.text for r in codec.decode(ids).collect()} == {0: "hello</w> the</w> world</w>", 1: "", 2: "hello</w>"}
     assert codec.encode(table(spark, [])).count() == 0
     assert bpe.digests(table(spark, ["a", "a"], ids=[None, None]), bpe.tokenizer_path()).count() == 2

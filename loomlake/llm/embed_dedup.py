@@ -3,11 +3,15 @@
 Equal vectors form one class first, so copies cost one comparison.  Each tree splits by the projection
 on a random direction at its median; vectors within a margin of the boundary go to both sides (spill).
 The margin is a share of how far the ends of a link at the threshold usually project apart, so a tree
-parts few links per level, and TREES trees together miss next to none.  Trees are grown on a bounded
-sample and have a bounded number of leaves; every vector is routed.  Within a leaf all pairs are
-compared in double precision; a leaf too large for a task is compared block by block.  A pair that
-shares several leaves counts in the first of them, so link counts are exact for the pairs
-found.  Leaves emit sums and spanning links, not pairs; classes come from star contraction.
+parts few links per level, and TREES trees together miss next to none.
+
+Trees grow in rounds: every leaf that holds over TASK vectors is split further on a sample of its own
+vectors (SAMPLE in all a round), until none is left that splits, so leaves follow the table and not a
+fixed number.  Within a leaf, a task grows TREES trees of its own down to LEAF vectors in memory and
+compares all pairs of their leaves in double precision; only a ball too dense to split is compared whole,
+block by block if it exceeds a task.  A pair that shares several leaves counts in the first of them, so
+link counts are exact for the pairs found.  Leaves emit sums and spanning links, not pairs; classes come
+from star contraction.  recall() measures the links found against brute force.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing.  Only vectors of
 one length are compared.  Rows that repeat a vector link with each other, also under one id; a null id
@@ -28,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import bounded, components, cut, python_ready
 
 THRESHOLD, TREES, MARGIN = 0.9, 3, 0.5
-#: Vectors a leaf should hold; the most that trees are grown on; the most leaves of a tree; the most vectors compared in one task.
-LEAF, SAMPLE, LEAVES, BLOCK = 1536, 30_000, 4096, 4000
+#: Vectors compared with each other, about; vectors a task takes at most; vectors that trees grow on in a round, about.
+LEAF, TASK, SAMPLE = 512, 16_000, 30_000
+_TREE = 40  # bits below the number of a tree
 
 
 def grow(sample: np.ndarray, leaves: int, threshold: float, rng: np.random.Generator) -> list:
@@ -84,13 +89,29 @@ def route(v: np.ndarray, nodes: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(leaf)
 
 
-def codes(v: np.ndarray, forest: list[list]) -> list[list[int]]:
-    """For each vector the leaves it is in, as tree * LEAVES * 2 + leaf."""
-    out: list[list[int]] = [[] for _ in range(len(v))]
-    for t, nodes in enumerate(forest):
-        for i, leaf in zip(*(x.tolist() for x in route(v, nodes))):
-            out[i].append(t * LEAVES * 2 + leaf)
-    return out
+def graft(nodes: list, leaf: int, sub: list, first: int) -> None:
+    """Put the tree sub in the place of a leaf; its leaves are numbered from first."""
+    shift = len(nodes)
+    child = lambda c: c + shift if c >= 0 else c - first
+    for n in nodes:
+        for side in (3, 4):
+            if n[side] == -1 - leaf:
+                n[side] = shift
+    nodes += [[w, m, margin, child(low), child(high)] for w, m, margin, low, high in sub]
+
+
+def n_leaves(nodes: list) -> int:
+    """One more than the highest number of a leaf."""
+    return max([-n[side] for n in nodes for side in (3, 4) if n[side] < 0], default=1)
+
+
+def codes(v: np.ndarray, forest: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    """(index, tree and leaf as one number) of every vector in every leaf it is in, by index."""
+    got = [route(v, nodes) for nodes in forest]
+    at = np.concatenate([i for i, _ in got])
+    leaf = np.concatenate([x + (t << _TREE) for t, (_, x) in enumerate(got)])
+    order = np.lexsort((leaf, at))
+    return at[order], leaf[order]
 
 
 def unit(rows) -> np.ndarray:
@@ -98,38 +119,104 @@ def unit(rows) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def compare(v: np.ndarray, n: np.ndarray, block: np.ndarray, mine: list, leaf: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(links of each vector, spanning links) among the vectors of one leaf, or between its two blocks, of pairs that no earlier leaf brought together."""
-    cols: dict[int, int] = {}
-    member = [[cols.setdefault(c, len(cols)) for c in m if c < leaf] for m in mine]
+def compare(v: np.ndarray, n: np.ndarray, block: np.ndarray, before: list[list], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each vector, class of each) among the vectors of one leaf, or between its two blocks, of pairs that no leaf in both their lists of earlier ones brought together."""
+    cols: dict = {}
+    member = [[cols.setdefault(c, len(cols)) for c in m] for m in before]
     seen = np.zeros((len(v), len(cols)), np.float32)
     for i, m in enumerate(member):
         seen[i, m] = 1
-    links, up = np.zeros(len(v), np.int64), list(range(len(v)))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
+    links, label = np.zeros(len(v), np.int64), np.arange(len(v))
     cross = len(set(block.tolist())) > 1
     for a in range(0, len(v), 512):
         hit = v[a : a + 512] @ v.T >= threshold
         hit[np.arange(hit.shape[0]), np.arange(a, a + hit.shape[0])] = False
         if cross:
             hit &= block[a : a + 512, None] != block[None, :]
-        if not hit.any():
+        some = np.flatnonzero(hit.any(1))
+        if not len(some):
             continue
         if len(cols):
-            hit &= seen[a : a + 512] @ seen.T == 0
+            hit[some] &= seen[a + some] @ seen.T == 0
         links[a : a + 512] += hit @ n
-        i, j = np.nonzero(np.triu(hit, a + 1))
-        for x, y in zip((i + a).tolist(), j.tolist()):
-            x, y = root(x), root(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-    return links, [(i, r) for i in range(len(v)) if (r := root(i)) != i]
+        for i in some.tolist():
+            near = label[hit[i]]
+            if (near != label[a + i]).any():
+                join = np.unique(np.append(near, label[a + i]))
+                label[np.isin(label, join)] = join[0]
+    return links, label
+
+
+def within_leaf(v: np.ndarray, n: np.ndarray, before: list[list], threshold: float, trees: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(links of each vector, spanning links) of one leaf: compared leaf by leaf of a forest of its own if it is large."""
+    links, pairs = np.zeros(len(v), np.int64), []
+    forest = [[]]
+    if len(v) > 1.5 * LEAF:
+        rng = np.random.default_rng(len(v))
+        forest = [grow(v, len(v) // LEAF, threshold, rng) for _ in range(trees)]
+    at, leaf = codes(v, forest)
+    own = [[("t", c) for c in m] for m in before]
+    earlier: list[list[int]] = [[] for _ in range(len(v))]
+    for x in np.unique(leaf).tolist():
+        idx = at[leaf == x]
+        got, label = compare(v[idx], n[idx], np.zeros(len(idx), np.int64), [own[i] + earlier[i] for i in idx.tolist()], threshold)
+        links[idx] += got
+        moved = np.flatnonzero(label != np.arange(len(idx)))
+        pairs += zip(idx[moved].tolist(), idx[label[moved]].tolist())
+        for i in idx.tolist():
+            earlier[i].append(x)
+    return links, pairs
+
+
+def plant(kinds: DataFrame, threshold: float, trees: int) -> tuple[dict[int, list[list]], dict[tuple[int, int], int]]:
+    """(trees by length of vector, leaves over TASK that do not split with their sizes), grown in rounds.
+
+    What reaches the driver in a round: the leaves over TASK, which are fewer than vectors by that factor,
+    and a sample of their vectors.
+    """
+    spark = kinds.sparkSession
+    forests: dict[int, list[list]] = defaultdict(lambda: [[] for _ in range(trees)])
+    dense: dict[tuple[int, int], int] = {}
+    rng = np.random.default_rng(11)
+    while True:
+        now, stuck = spark.sparkContext.broadcast(dict(forests)), frozenset(dense)
+
+        def leaves_of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                for d, part in pdf.groupby(pdf["__v"].map(len)):
+                    leaf, n = np.unique(codes(unit(part["__v"]), now.value.get(d, [[]] * trees))[1], return_counts=True)
+                    yield pd.DataFrame({"d": d, "leaf": leaf, "n": n})
+
+        sizes = kinds.select("__v").mapInPandas(leaves_of, "d int, leaf long, n long").groupBy("d", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") > TASK).collect()
+        large = {(r.d, r.leaf): r.n for r in sizes if (r.d, r.leaf) not in stuck}
+        if not large:
+            return dict(forests), dense
+        rate = max(1, sum(large.values()) // SAMPLE)
+
+        def pick(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                for d, part in pdf.groupby(pdf["__v"].map(len)):
+                    at, leaf = codes(unit(part["__v"]), now.value.get(d, [[]] * trees))
+                    keep = [k for k, (i, x) in enumerate(zip(at.tolist(), leaf.tolist())) if (d, x) in large and (i + x) % rate == part["h"].iat[i] % rate]
+                    if keep:
+                        yield part.iloc[at[keep]].assign(d=d, leaf=leaf[keep])[["d", "leaf", "h", "__v"]]
+
+        kind = dict(kinds.dtypes)["__v"]
+        sample = defaultdict(list)
+        for r in kinds.select("__v", F.xxhash64("__v", F.lit(9)).alias("h")).mapInPandas(pick, f"d int, leaf long, h long, __v {kind}").collect():
+            sample[r.d, r.leaf].append((r.h, r["__v"]))
+        for (d, leaf), n in sorted(large.items()):
+            got = sorted(sample.get((d, leaf), []))
+            t, x = leaf >> _TREE, leaf & (1 << _TREE) - 1
+            sub = grow(unit([v for _, v in got]), max(2, n // (TASK // 4)), threshold, rng) if len(got) > 8 else []
+            if sub:
+                nodes = forests[d][t]
+                if nodes:
+                    graft(nodes, x, sub, n_leaves(nodes))
+                else:
+                    forests[d][t] = sub
+            elif len(got) > 8 or rate == 1:
+                dense[d, leaf] = n
 
 
 def classes(rows: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id", threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
@@ -140,43 +227,20 @@ def classes(rows: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id",
     usable = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     kinds = rows.where(usable).groupBy(v.alias("__v")).agg(F.min(id_col).alias("least"), F.count("*").alias("n"))
     kinds = cut(cut(kinds, "vectors").withColumn("c", F.monotonically_increasing_id()), "vectors")
-    by_dim = {r.d: r.n for r in kinds.groupBy(F.size("__v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
-    total = sum(by_dim.values())
-    rate = max(1, total // SAMPLE)
-    pick = kinds.where(F.pmod(F.xxhash64("__v", F.lit(9)), F.lit(rate)) == 0).select("__v").limit(2 * SAMPLE).collect()  # for the shape of the trees only
-    forests: dict[int, list] = {}
-    samples = defaultdict(list)
-    for r in pick:
-        samples[len(r[0])].append(r[0])
-    for d, s in samples.items():
-        if (leaves := min(LEAVES, by_dim.get(d, 0) // LEAF)) > 1:
-            u, rng = unit(sorted(s)), np.random.default_rng(11)
-            forests[d] = [grow(u, leaves, threshold, rng) for _ in range(trees)]
-    forest = spark.sparkContext.broadcast(forests)
+    planted, dense = plant(kinds, threshold, trees)
+    forest = spark.sparkContext.broadcast((planted, {k: -(-n // (TASK // 2)) for k, n in dense.items()}))
     raw = "<f4" if dict(kinds.dtypes)["__v"] == "array<float>" else "<f8"
 
-    def routed(pdf: pd.DataFrame):
-        for d, part in pdf.groupby(pdf["__v"].map(len)):
-            own = forest.value.get(d, [[]])
-            yield d, part, codes(unit(part["__v"]), own)
-
-    def leaves_of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for d, _, cs in routed(pdf):
-                k, n = np.unique([c for m in cs for c in m], return_counts=True)
-                yield pd.DataFrame({"d": d, "leaf": k, "n": n})
-
-    sizes = kinds.select("__v").mapInPandas(leaves_of, "d int, leaf long, n long").groupBy("d", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
-    split = spark.sparkContext.broadcast({(r.d, r.leaf): -(-r.n // (BLOCK // 2)) for r in sizes.collect()})  # some of the leaves, whose number is bounded
-
     def deal(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grown, split = forest.value
         for pdf in it:
-            for d, part, cs in routed(pdf):
-                part = part[["c", "n"]].assign(v=[np.asarray(v, raw).tobytes() for v in part["__v"]], mine=cs)
-                leaf = np.array([x for m in cs for x in m], np.int64)
-                at = np.repeat(np.arange(len(cs)), [len(m) for m in cs])
+            for d, part in pdf.groupby(pdf["__v"].map(len)):
+                at, leaf = codes(unit(part["__v"]), grown.get(d, [[]]))  # one leaf where no tree was needed
+                ends = np.searchsorted(at, np.arange(len(part) + 1))
+                mine = [leaf[a:b] for a, b in zip(ends[:-1], ends[1:])]
+                part = part[["c", "n"]].assign(v=[np.asarray(v, raw).tobytes() for v in part["__v"]], mine=mine)
                 c = part["c"].to_numpy(np.int64)[at]
-                g = np.array([split.value.get((d, x), 1) for x in leaf.tolist()], np.int64)
+                g = np.array([split.get((d, x), 1) for x in leaf.tolist()], np.int64)
                 block = c * 2654435761 % (1 << 32) % g
                 copy = np.repeat(np.arange(len(at)), g)
                 other = np.arange(len(copy)) - np.repeat(np.cumsum(g) - g, g)
@@ -184,14 +248,20 @@ def classes(rows: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id",
                 yield part.iloc[at[copy]].assign(d=d, leaf=leaf[copy], lo=np.minimum(own, other), hi=np.maximum(own, other), block=own)[["d", "leaf", "lo", "hi", "block", "c", "n", "v", "mine"]]
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf["c"].to_numpy()
+        c, n = pdf["c"].to_numpy(), pdf["n"].to_numpy()
         v = np.frombuffer(b"".join(map(bytes, pdf["v"])), raw).reshape(len(pdf), -1).astype(np.float64)
-        links, spans = compare(v / np.linalg.norm(v, axis=1, keepdims=True), pdf["n"].to_numpy(), pdf["block"].to_numpy(), [list(m) for m in pdf["mine"]], int(pdf["leaf"].iloc[0]), threshold)
-        hit = np.flatnonzero(links)
-        out = [(int(c[i]), int(links[i]), None) for i in hit] + [(int(c[i]), 0, int(c[r])) for i, r in spans]
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        me = int(pdf["leaf"].iloc[0])
+        before = [[x for x in m if x < me] for m in pdf["mine"]]
+        if (int(pdf["d"].iloc[0]), me) in forest.value[1]:  # a ball that does not split
+            links, label = compare(v, n, pdf["block"].to_numpy(), before, threshold)
+            spans = [(i, x) for i, x in enumerate(label.tolist()) if i != x]
+        else:
+            links, spans = within_leaf(v, n, before, threshold, trees)
+        out = [(int(c[i]), int(links[i]), None) for i in np.flatnonzero(links)] + [(int(c[i]), 0, int(c[r])) for i, r in spans]
         return pd.DataFrame(out, columns=["c", "links", "to"]).astype({"c": "int64", "links": "int64", "to": "Int64"})
 
-    pairs = kinds.select("__v", "c", "n").mapInPandas(deal, "d int, leaf long, lo int, hi int, block int, c long, n long, v binary, mine array<int>")
+    pairs = kinds.select("__v", "c", "n").mapInPandas(deal, "d int, leaf long, lo int, hi int, block int, c long, n long, v binary, mine array<long>")
     found = cut(pairs.groupBy("d", "leaf", "lo", "hi").applyInPandas(within, "c long, links long, to long"), "found")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     of = cut(components(found.where("to is not null").select(F.col("c").alias("a"), F.col("to").alias("b"))), "classes")
@@ -211,6 +281,21 @@ def near_duplicates(rows: DataFrame, vec_col: str = "embedding", id_col: str = "
     return j.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
+def recall(rows: DataFrame, found: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id", threshold: float = THRESHOLD, every: int = 100) -> float:
+    """Share of the links of the vectors whose id is divisible by `every`, counted by brute force against all rows, that found (vec_id, n_links) has."""
+    v = F.col(vec_col)
+    ids = rows.where(F.col(id_col) % every == 0).select(F.col(id_col).alias("q"), v.alias("x"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
+    parts = 64  # queries against all rows in blocks
+    ids = ids.where(dot(F.col("x"), F.col("x")) > 0).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    base = rows.select(F.col(id_col).alias("y"), v.alias("z")).where(dot(v, v) > 0).withColumn("part", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
+    hit = ids.join(base, "part").where((F.col("q") != F.col("y")) & (F.size("x") == F.size("z")))
+    hit = hit.where(dot(F.col("x"), F.col("z")) / F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("z"), F.col("z"))) >= threshold)
+    want = hit.count()
+    got = found.where(F.col("vec_id") % every == 0).agg(F.sum("n_links")).first()[0] or 0
+    return got / want if want else 1.0
+
+
 def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 

@@ -264,9 +264,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(bounded(classes(rows), 200_000), "__fp").select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, k: int | None = None) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct shingles of k words: the words' hashes combined, in order.  Fewer words make one shingle, none make none."""
+    from xxhash import xxh64_intdigest
+
+    w = words(text)
+    k = min(k or WORDS, len(w))
+    if not k:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxh64_intdigest, w), np.uint64, len(w))
+    n = len(h) - k + 1
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = (out ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
 def prefix(h: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first of a text's distinct shingles, rare before common: two texts with ALIKE of their union in common share one of them."""
-    h = np.unique(h)
+    """The first of a text's distinct shingles h, rare before common: two texts with ALIKE of their union in common share one of them."""
     if not len(h):
         return np.zeros(1, np.uint64)  # texts without words meet
     n = np.zeros(len(h), np.int64)
@@ -277,10 +293,9 @@ def prefix(h: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h, n))][: len(h) - -(-a * len(h) // b) + 1]
 
 
-def alike(a: str | None, b: str | None) -> bool:
-    """Exact Jaccard similarity of the sets of WORDS-word shingles is ALIKE or more."""
-    one, two = (frozenset(tuple(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1))) for w in (words(a), words(b)))
-    both = len(one & two)
+def alike(one: np.ndarray, two: np.ndarray) -> bool:
+    """Jaccard similarity of two shingle sets is ALIKE or more (two empty ones are alike)."""
+    both = len(one) + len(two) - len(np.union1d(one, two))
     return ALIKE[1] * both >= ALIKE[0] * (len(one) + len(two) - both)
 
 
@@ -299,7 +314,7 @@ def near_classes(texts: DataFrame) -> DataFrame:
 
     def hashes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            h = [np.unique(shingles(t, WORDS)) for t in pdf["text"]]
+            h = [shingle_set(t) for t in pdf["text"]]
             yield pd.DataFrame({"h": np.concatenate([*h, np.zeros(0, np.uint64)]).view(np.int64)})
 
     known = pick.mapInPandas(hashes, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
@@ -308,8 +323,8 @@ def near_classes(texts: DataFrame) -> DataFrame:
 
     def describe(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            h = [shingles(t, WORDS) for t in pdf["text"]]
-            yield pd.DataFrame({"key": pdf["__fp"], "doc_id": pdf["doc_id"].astype("Int64"), "print": np.array([majority(x) for x in h], np.uint64).view(np.int64), "n": [len(np.unique(x)) for x in h], "prefix": [prefix(x, *order.value).view(np.int64) for x in h]})
+            h = [shingle_set(t) for t in pdf["text"]]
+            yield pd.DataFrame({"key": pdf["__fp"], "doc_id": pdf["doc_id"].astype("Int64"), "print": np.array([majority(x) for x in h], np.uint64).view(np.int64), "n": [len(x) for x in h], "prefix": [prefix(x, *order.value).view(np.int64) for x in h]})
 
     sets = cut(texts.mapInPandas(describe, "key long, doc_id long, print long, n long, prefix array<long>"), "sets")
     nodes = cut(sets.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
@@ -329,7 +344,12 @@ def near_classes(texts: DataFrame) -> DataFrame:
 
     def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pdf.loc[[alike(x, y) for x, y in zip(pdf["text_a"], pdf["text_b"])], ["a", "b"]]
+            pdf = pdf.sort_values("b")  # one text of a group stands in many pairs running
+            last, hit = [(None, None), (None, None)], []
+            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"]):
+                last = [(k, h if k == old else shingle_set(t)) for k, t, (old, h) in ((a, x, last[0]), (b, y, last[1]))]
+                hit.append(alike(last[0][1], last[1][1]))
+            yield pdf.loc[hit, ["a", "b"]]
 
     for turn in range(ROUNDS + 1):
         pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")

@@ -393,14 +393,15 @@ def test_run_length_index(parts):
 # --- 9 embeddings
 
 
-def test_embeddings(spark, monkeypatch):
+@pytest.mark.parametrize("task", [16_000, 60])
+def test_embeddings(spark, monkeypatch, task):
     rng = np.random.default_rng(7)
     base = rng.standard_normal((300, 24))
     vecs = [*base, *(base[:120] + 0.08 * rng.standard_normal((120, 24))), *(base[0] + 0.1 * rng.standard_normal((60, 24))), base[1], base[1] * 2]
     rows = [(i, [float(x) for x in v], 0, "q") for i, v in enumerate(vecs)]
     odd = [None, [], [0.0] * 24, [float("nan")] * 24, [1.0, None] * 12, [float("inf")] * 24, [1.0, 2.0], [2.0, 4.0]]
     rows += [(len(vecs) + i, v, 0, "q") for i, v in enumerate(odd)]
-    for k, v in (("LEAF", 24), ("BLOCK", 20)):
+    for k, v in (("LEAF", 24), ("TASK", task)):
         monkeypatch.setattr(embed_dedup, k, v)
     got = {r["vec_id"]: r for r in rows_of(embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n int, c string")))}
     u = np.array(vecs) / np.linalg.norm(vecs, axis=1, keepdims=True)
@@ -413,6 +414,32 @@ def test_embeddings(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_embedding_trees_grow_until_leaves_fit(spark, monkeypatch):
+    """Several rounds of growth with leaves of far fewer vectors than in production, a dense ball that no split parts, recall as the operator measures it."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((1500, 32))
+    ball = base[0] + 0.01 * rng.standard_normal((260, 32))
+    vecs = np.concatenate([base, base[:600] + 0.07 * rng.standard_normal((600, 32)), ball])
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    for k, v in (("LEAF", 40), ("TASK", 200), ("SAMPLE", 500)):
+        monkeypatch.setattr(embed_dedup, k, v)
+    kinds = rows.select(rows.embedding.alias("__v"))
+    forests, dense = embed_dedup.plant(kinds, 0.9, 3)
+    assert all(embed_dedup.n_leaves(t) > 8 for t in forests[32]) and dense
+    for k, t in enumerate(forests[32]):
+        i, leaf = embed_dedup.route(embed_dedup.unit(vecs), t)
+        assert set(i.tolist()) == set(range(len(vecs)))
+        large = [x for x, n in Counter(leaf.tolist()).items() if n > 200]
+        assert all((32, (k << embed_dedup._TREE) + x) in dense for x in large)
+    found = embed_dedup.near_duplicates(rows)
+    u = np.array(vecs) / np.linalg.norm(vecs, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    got = {r["vec_id"]: r["n_links"] for r in rows_of(found)}
+    assert 0.95 * hit.sum() <= sum(got.values()) <= hit.sum() and all(got[i] <= hit[i].sum() for i in range(len(vecs)))
+    assert embed_dedup.recall(rows, found, every=7) == pytest.approx(sum(got[i] for i in range(0, len(vecs), 7)) / hit[::7].sum())
+
+
 def test_embeddings_copies_and_empty(spark):
     rows = [(i % 5, [1.0, 0.0, 0.5]) for i in range(40)] + [(9, [0.0, 1.0, 0.0])]
     got = rows_of(embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, documents, expand, python_ready, squeeze, worker_cache
+from .common import bounded, cut, documents, expand, pack, python_ready, squeeze, unpack, worker_cache
 
 #: Words that travel by number (two bytes), and documents they are learnt from.
 COMMON, SAMPLE = 65_535, 10_000
@@ -105,16 +105,6 @@ class Model:
         return [self.tok.id_to_token(i) or "" for i in range(self.size)]
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Integers as compressed planes of bytes."""
-    return squeeze(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
-
-
-def _unpack(b: bytes, kind: str) -> np.ndarray:
-    raw, size = np.frombuffer(expand(b), np.uint8), np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
-
-
 def _join(words: list[str]) -> bytes:
     return squeeze("\n".join(words).encode("utf-8", "surrogatepass"))
 
@@ -214,7 +204,7 @@ class Codec:
                 places.append(at.astype(np.uint16))
                 others += [own.setdefault(words[i], len(own)) for i in np.flatnonzero(at == most).tolist()]
             others = np.array(others, np.int32)
-            return ids, _pack(np.array(lens, np.int32)), _pack(np.concatenate(places)), _pack(np.diff(others, prepend=np.int32(0))), _join(list(own)), len(own)
+            return ids, pack(np.array(lens, np.int32)), pack(np.concatenate(places)), pack(np.diff(others, prepend=np.int32(0))), _join(list(own)), len(own)
 
         def frames(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m, kept = get(), worker_cache(key)
@@ -239,7 +229,7 @@ class Codec:
                     order = np.argsort(of, kind="stable")
                     for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
                         if len(part):
-                            yield pd.DataFrame([(int(of[part[0]]), k, _pack(part.astype(np.int32)), _join([words[i] for i in part.tolist()]), len(part))], columns=["bucket", "chunk", "at", "words", "n"])
+                            yield pd.DataFrame([(int(of[part[0]]), k, pack(part.astype(np.int32)), _join([words[i] for i in part.tolist()]), len(part))], columns=["bucket", "chunk", "at", "words", "n"])
 
         listed = made.select("chunk", "words", "n").mapInPandas(deal, "bucket int, chunk long, at binary, words binary, n int")
         listed = cut(listed.repartition("bucket"), "listed")
@@ -250,7 +240,7 @@ class Codec:
             ids, texts, out = list(right["ids"]), list(right["text"]), []
             for k, at, packed, n in zip(left["chunk"], left["at"], left["words"], left["n"]):
                 own = [of[w] for w in _split(packed, n)]
-                out.append((k, at, _pack(np.array([len(ids[i]) for i in own], np.int32)), squeeze(b"".join([ids[i] for i in own])), _join([texts[i] for i in own]), n))
+                out.append((k, at, pack(np.array([len(ids[i]) for i in own], np.int32)), squeeze(b"".join([ids[i] for i in own])), _join([texts[i] for i in own]), n))
             return pd.DataFrame(out, columns=["chunk", "at", "lens", "ids", "texts", "n"])
 
         got = listed.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(answer, "chunk long, at binary, lens binary, ids binary, texts binary, n int")
@@ -262,19 +252,19 @@ class Codec:
             for docs_of, lens, places, others, n in zip(left["doc"], left["lens"], left["places"], left["others"], left["n"]):
                 own, said = [b""] * n, [""] * n
                 for at, sizes, ids, text, k in zip(right["at"], right["lens"], right["ids"], right["texts"], right["n"]):
-                    stop = np.cumsum(_unpack(sizes, "<i4")).tolist()
+                    stop = np.cumsum(unpack(sizes, "<i4")).tolist()
                     raw, a = expand(ids), 0
-                    for i, b, t in zip(_unpack(at, "<i4").tolist(), stop, _split(text, k)):
+                    for i, b, t in zip(unpack(at, "<i4").tolist(), stop, _split(text, k)):
                         own[i], said[i] = raw[a:b], t
                         a = b
                 flat = np.frombuffer(blob + b"".join(own), dtype)
                 until = np.concatenate((ends, ends[-1] + np.cumsum([len(x) // width for x in own], dtype=np.int64)))
                 say = (texts + said).__getitem__
-                at = _unpack(places, "<u2").astype(np.int64)
+                at = unpack(places, "<u2").astype(np.int64)
                 hole = np.flatnonzero(at == len(common))
-                at[hole] = len(common) + np.cumsum(_unpack(others, "<i4"), dtype=np.int64)
+                at[hole] = len(common) + np.cumsum(unpack(others, "<i4"), dtype=np.int64)
                 a = 0
-                for doc, k in zip(docs_of, _unpack(lens, "<i4").tolist()):
+                for doc, k in zip(docs_of, unpack(lens, "<i4").tolist()):
                     p = at[a : a + k]
                     a += k
                     size = until[p + 1] - until[p]

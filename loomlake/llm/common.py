@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,16 @@ def expand(b: bytes) -> bytes:
     return _zstd.ZstdDecompressor().decompress(b) if _zstd else zlib.decompress(b)
 
 
+def pack(a: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes."""
+    return squeeze(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+
+
+def unpack(b: bytes, kind: str) -> np.ndarray:
+    raw, size = np.frombuffer(expand(b), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
+
+
 _cache: dict[str, dict] = {}
 
 

@@ -288,7 +288,7 @@ def recall(rows: DataFrame, found: DataFrame, vec_col: str = "embedding", id_col
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
     parts = 64  # queries against all rows in blocks
     ids = ids.where(dot(F.col("x"), F.col("x")) > 0).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    base = rows.select(F.col(id_col).alias("y"), v.alias("z")).where(dot(v, v) > 0).withColumn("part", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
+    base = rows.select(F.col(id_col).alias("y"), v.alias("z")).where(dot(F.col("z"), F.col("z")) > 0).withColumn("part", F.pmod(F.xxhash64("y"), F.lit(parts)).cast("int"))
     hit = ids.join(base, "part").where((F.col("q") != F.col("y")) & (F.size("x") == F.size("z")))
     hit = hit.where(dot(F.col("x"), F.col("z")) / F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("z"), F.col("z"))) >= threshold)
     want = hit.count()

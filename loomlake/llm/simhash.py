@@ -5,10 +5,10 @@ Fingerprint: A-Z lowered, words without white space, shingles of SHINGLE words j
 shingles' XXH64 values (seed 42), repeats included.  Fingerprints within RADIUS bits link, and a
 document's class is everything reachable.
 
-Search: copies share a fingerprint, so distinct fingerprints are searched.  A vantage-point tree of
-bounded size, grown on a bounded sample, splits them by Hamming distance to a vantage point; by the
-triangle inequality a pair within RADIUS is parted only if its inner end lies within RADIUS of the
-boundary, so such inner points also visit the outer side.  Every pair thus meets in a shard.  Shards
+Search: copies share a fingerprint, so distinct fingerprints are searched.  A vantage-point tree, grown in
+rounds on bounded samples until every shard fits a task, splits them by Hamming distance to a vantage
+point; by the triangle inequality a pair within RADIUS is parted only if its inner end lies within RADIUS
+of the boundary, so such inner points also visit the outer side.  Every pair thus meets in a shard.  Shards
 split further by the same rule in memory, and what does not split is searched exactly: small sets
 against each other in blocks, larger ones by probing all values within RADIUS.  A shard emits links
 that span its classes, not pairs; classes across shards come from star contraction.
@@ -16,8 +16,9 @@ that span its classes, not pairs; classes across shards come from star contracti
 The pipeline's stage (near_stage) links texts by the exact Jaccard similarity of their 5-word shingles, see near_classes.
 
 Null texts are empty.  Null ids belong to a class but name none (a class of nulls alone has a null id).
-Repeated rows share class and fingerprint.  Empty tables give empty results; further columns do not
-matter.
+Repeated rows share class and fingerprint; ties cannot be, a class is named by its smallest id.  Very long
+texts are fingerprinted whole, 65,536 shingles at a time.  Empty tables give empty results; further columns
+do not matter.
 """
 
 from __future__ import annotations
@@ -28,20 +29,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, documents, python_ready
+from .common import bounded, components, cut, documents, pack, python_ready, unpack
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: Fingerprints a shard should hold; the most that the tree is grown on; the most shards of a tree.
-SHARD, SAMPLE, SHARDS = 8192, 65_536, 8192
+#: Fingerprints a shard should hold, and holds at most; fingerprints that trees grow on in a round, about; shards made in a round.
+SHARD, MOST, SAMPLE, SHARDS = 8192, 500_000, 65_536, 8192
 #: Set sizes below which splitting in memory stops, and from which probing beats comparing.
 LEAF, PROBE = 1024, 24_000
 #: The near-dedup stage: words of a shingle and the least Jaccard similarity, as a fraction.
 WORDS, ALIKE = 5, (4, 5)
-#: Texts and shingles that the order of shingles is learnt from; pairs a text that may be left to compare one by one, and rounds before that.
-COMMON_OF, COMMON, PAIRS, ROUNDS = 20_000, 200_000, 4, 6
+#: Bytes of texts whose shingles meet in a task to be counted, about; pairs a text that may be left to compare one by one, and rounds before that.
+COUNTED, PAIRS, ROUNDS = 12 << 20, 4, 6
 _BITS = np.array([1 << (63 - i) for i in range(64)], np.uint64)
 
 
@@ -222,18 +224,56 @@ def links(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return f[own], f[roots[own]]
 
 
+def graft(nodes: list, leaf: int, sub: list) -> list:
+    """nodes with the tree sub in the place of a leaf; its leaves get numbers of their own."""
+    shift, first = len(nodes), max([-c for n in nodes for c in n[2:] if c < 0], default=1)
+    child = lambda c: c + shift if c >= 0 else c - first
+    kept = [(v, m, *(shift if c == -1 - leaf else c for c in sides)) for v, m, *sides in nodes]
+    return kept + [(v, m, child(a), child(b)) for v, m, a, b in sub]
+
+
+def plant(distinct: DataFrame) -> list:
+    """The tree, grown in rounds: first for shards of about SHARD fingerprints, then inside every shard over MOST, on samples of about SAMPLE, until none is left that splits."""
+    nodes: list = []
+    stuck: set[int] = set()
+    large = {0: n} if (n := distinct.count()) > SHARD else {}
+    while large:
+        rate, now, wanted = max(1, sum(large.values()) // SAMPLE), nodes, frozenset(large)
+
+        def pick(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                v = pdf["__fp"].to_numpy(np.int64)
+                i, leaf = route(v.view(np.uint64), now)
+                keep = np.isin(leaf, list(wanted))
+                yield pd.DataFrame({"v": v[i[keep]], "leaf": leaf[keep]})
+
+        sample: dict[int, list[int]] = {}
+        for r in distinct.where(F.pmod(F.xxhash64("__fp", F.lit(5)), F.lit(rate)) == 0).select("__fp").mapInPandas(pick, "v long, leaf long").collect():
+            sample.setdefault(r.leaf, []).append(r.v)
+        for leaf, k in sorted(large.items()):
+            own = np.sort(np.array(sample.get(leaf, []), np.int64)).view(np.uint64)
+            sub = grow(own, min(SHARDS, k // SHARD + 1)) if len(own) > 8 else []
+            if sub:
+                nodes = graft(nodes, leaf, sub) if nodes else sub
+            elif len(own) > 8 or rate == 1:
+                stuck.add(leaf)  # dense around one point: its task probes
+        now = nodes
+
+        def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                leaf, k = np.unique(route(pdf["__fp"].to_numpy(np.int64).view(np.uint64), now)[1], return_counts=True)
+                yield pd.DataFrame({"leaf": leaf, "n": k})
+
+        sizes = distinct.select("__fp").mapInPandas(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > MOST)
+        large = {r.leaf: r.n for r in sizes.collect() if r.leaf not in stuck}
+    return nodes
+
+
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that span the classes of distinct fingerprints __fp."""
     spark = distinct.sparkSession
     python_ready(spark)
-    n = distinct.count()
-    want = min(SHARDS, n // SHARD + 1)
-    nodes = []
-    if want > 1:
-        rate = max(1, n // SAMPLE)
-        pick = distinct.where(F.pmod(F.xxhash64("__fp", F.lit(5)), F.lit(rate)) == 0).select("__fp").limit(2 * SAMPLE)  # for the shape of the tree only
-        nodes = grow(np.sort(np.array([r[0] for r in pick.collect()], np.int64)).view(np.uint64), want)
-    tree = spark.sparkContext.broadcast(nodes)
+    tree = spark.sparkContext.broadcast(plant(distinct))
 
     def deal(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -281,16 +321,9 @@ def shingle_set(text: str | None, k: int | None = None) -> np.ndarray:
     return np.unique(out)
 
 
-def prefix(h: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first of a text's distinct shingles h, rare before common: two texts with ALIKE of their union in common share one of them."""
-    if not len(h):
-        return np.zeros(1, np.uint64)  # texts without words meet
-    n = np.zeros(len(h), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        n = np.where(common[at] == h, often[at], 0)
-    a, b = ALIKE
-    return h[np.lexsort((h, n))][: len(h) - -(-a * len(h) // b) + 1]
+def prefix_size(n: int) -> int:
+    """How many of a text's n shingles, rarest first, must be looked at: two alike texts share one of these."""
+    return n - -(-ALIKE[0] * n // ALIKE[1]) + 1 if n else 0
 
 
 def alike(one: np.ndarray, two: np.ndarray) -> bool:
@@ -299,34 +332,84 @@ def alike(one: np.ndarray, two: np.ndarray) -> bool:
     return ALIKE[1] * both >= ALIKE[0] * (len(one) + len(two) - both)
 
 
+def described(texts: DataFrame, buckets: int) -> DataFrame:
+    """(key, doc_id, print, n, prefix) of texts (doc_id, __fp, text): fingerprint, number of distinct shingles and those of its rarest, as group numbers, that other texts have as well.
+
+    Documents go in chunks.  A chunk sends its distinct shingles, 48 bits of their hashes, packed by range
+    of hashes; the ranges' tasks count them over all documents and answer with number and count of those
+    met more than once; a chunk's task puts its documents' shingles in the order of these counts, then of
+    the hashes.  (Hashes that collide cost a comparison.)
+    """
+    def chunks(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, k = TaskContext.get().partitionId() << 32, 0
+        bound = np.arange(1, buckets, dtype=np.float64) * (2.0**48 / buckets)
+        for pdf in it:
+            sets = [shingle_set(t) for t in pdf["text"]]
+            own, times = np.unique(np.concatenate(sets) >> np.uint64(16), return_counts=True)
+            at = [np.searchsorted(own, np.unique(s >> np.uint64(16))) for s in sets]
+            lens = np.array([len(x) for x in at], np.int32)
+            gaps = np.concatenate([np.diff(x, prepend=0) for x in at]).astype(np.int32)
+            cuts = [0, *np.searchsorted(own, bound.astype(np.uint64)).tolist(), len(own)]
+            for b in range(buckets):
+                x, y = cuts[b], cuts[b + 1]
+                if x < y:
+                    yield pd.DataFrame([(task + k, b, x, y - x, pack(np.diff(own[x:y].astype(np.int64), prepend=0)), pack(times[x:y].astype(np.int32)), None, None, None, None, None)], columns=names)
+            ids = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None)
+            yield pd.DataFrame([(task + k, -1, 0, len(own), None, None, list(pdf["__fp"]), list(ids), np.array([majority(s) for s in sets], np.uint64).view(np.int64), pack(lens), pack(gaps))], columns=names)
+            k += 1
+
+    schema = "chunk long, bucket int, start int, n int, hashes binary, times binary, keys array<long>, ids array<long>, prints array<long>, lens binary, gaps binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    made = cut(texts.select("doc_id", "__fp", "text").mapInPandas(chunks, schema), "chunks")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.cumsum(unpack(h, "<i8")) for h in pdf["hashes"]]
+        _, number = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(number, np.concatenate([unpack(t, "<i4") for t in pdf["times"]])).astype(np.int64)
+        out, a, bucket = [], 0, int(pdf["bucket"].iloc[0])
+        for chunk, start, part in zip(pdf["chunk"], pdf["start"], parts):
+            own = number[a : a + len(part)]
+            a += len(part)
+            hit = np.flatnonzero(total[own] > 1)
+            if len(hit):
+                out.append((chunk, bucket, start, pack(np.diff(hit, prepend=0).astype(np.int32)), pack(np.diff(own[hit], prepend=0).astype(np.int32)), pack(np.minimum(total[own[hit]], 1 << 30).astype(np.int32))))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "start", "at", "number", "total"])
+
+    asked = made.where("bucket >= 0").select("chunk", "bucket", "start", "hashes", "times")
+    answers = asked.groupBy("bucket").applyInPandas(count, "chunk long, bucket int, start int, at binary, number binary, total binary")
+
+    def order(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in left.itertuples():
+            total, group = np.ones(row.n, np.int64), np.zeros(row.n, np.int64)
+            for bucket, start, at, number, t in zip(right["bucket"], right["start"], right["at"], right["number"], right["total"]):
+                where = start + np.cumsum(unpack(at, "<i4"), dtype=np.int64)
+                total[where] = unpack(t, "<i4")
+                group[where] = np.cumsum(unpack(number, "<i4"), dtype=np.int64) + (int(bucket) << 32)
+            gaps, a = unpack(row.gaps, "<i4"), 0
+            for key, doc, fp, k in zip(row.keys, row.ids, row.prints, unpack(row.lens, "<i4").tolist()):
+                own = np.cumsum(gaps[a : a + k], dtype=np.int64)
+                a += k
+                first = own[np.argsort(total[own], kind="stable")[: prefix_size(k)]]
+                out.append((key, doc, fp, k, group[first[total[first] > 1]] if k else np.array([-1])))  # texts without words meet
+        return pd.DataFrame(out, columns=["key", "doc_id", "print", "n", "prefix"]).astype({"doc_id": "Int64"})
+
+    documents_of = made.where("bucket < 0").select("chunk", "n", "keys", "ids", "prints", "lens", "gaps")
+    return documents_of.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(order, "key long, doc_id long, print long, n long, prefix array<long>")
+
+
 def near_classes(texts: DataFrame) -> DataFrame:
     """(__fp, __root, component_id) of every distinct text of texts (doc_id, __fp, text), __fp being its key.
 
     Links are pairs whose shingles are ALIKE, all of them.  Candidates are the links of 5-word fingerprints
-    and the texts that share a shingle of their prefixes, which every alike pair does; each is
+    and the texts that share one of their rarest shingles, which every alike pair does; each is
     compared as a whole.  A group around one shingle is first compared with one of its texts, again while many pairs
     of different classes remain, and then pair by pair across classes; texts of one class need no comparing.
     """
     spark = texts.sparkSession
     python_ready(spark)
-    n = texts.count()
-    pick = texts.where(F.pmod(F.xxhash64("__fp", F.lit(9)), F.lit(max(1, n // COMMON_OF))) == 0).select("text").distinct()  # for the order of shingles only
-
-    def hashes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            h = [shingle_set(t) for t in pdf["text"]]
-            yield pd.DataFrame({"h": np.concatenate([*h, np.zeros(0, np.uint64)]).view(np.int64)})
-
-    known = pick.mapInPandas(hashes, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    known = sorted((r[0] % 2**64, r[1]) for r in known)
-    order = spark.sparkContext.broadcast((np.array([x for x, _ in known], np.uint64), np.array([c for _, c in known], np.int64)))
-
-    def describe(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            h = [shingle_set(t) for t in pdf["text"]]
-            yield pd.DataFrame({"key": pdf["__fp"], "doc_id": pdf["doc_id"].astype("Int64"), "print": np.array([majority(x) for x in h], np.uint64).view(np.int64), "n": [len(x) for x in h], "prefix": [prefix(x, *order.value).view(np.int64) for x in h]})
-
-    sets = cut(texts.mapInPandas(describe, "key long, doc_id long, print long, n long, prefix array<long>"), "sets")
+    n, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    sets = cut(described(texts, max(1, (size or 0) // COUNTED)), "sets")
     nodes = cut(sets.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
     member = F.struct("n", "key")
     groups = sets.select(member.alias("m"), F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.sort_array(F.collect_set("m")).alias("of")).where("size(of) > 1")

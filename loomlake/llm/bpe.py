@@ -8,11 +8,12 @@ token); pieces never cross it.
 2. One pass splits every text.  Its documents go in chunks of about CHUNK characters: places of common
    words, and places in the chunk's own list of the others, each listed once however often it occurs.
 3. The distinct-word table: the chunks' words meet by hash in buckets of about BUCKET words, whose number
-   follows from the words listed, and each distinct word is encoded once.  Common words go the same way.
-4. Decoding: the ids of the distinct words are joined to the table of pieces by id, and a word's pieces
-   come back in order.
-5. A bucket's chunks take their words' ids and pieces from its part of the table; these return to the
-   chunk by place, and the documents' ids and decoded texts are put together there.
+   follows from the words listed, and each distinct word is encoded once, there.  Common words likewise.
+4. A bucket's words return their ids to the chunks that listed them, by place in the list, and the
+   documents' ids are put together in the chunk's task, by position.
+5. Decoding joins ids to the table of pieces, whose size is the vocabulary's.  decode() does so for any
+   table of ids; the digests of the query join in the task that completes the ids, against the same table
+   broadcast, because every further shuffle of ids or pieces costs as much disk as the texts.
 
 A hot word is listed once a chunk at most, so what meets in its bucket grows with the chunks, not with its
 count.  The normaliser, splitter and model are the tokenizers library's, read from a tokenizer file given
@@ -44,7 +45,7 @@ from .common import bounded, cut, documents, expand, pack, python_ready, squeeze
 #: Words that travel by number (two bytes), and documents they are learnt from.
 COMMON, SAMPLE = 65_535, 10_000
 #: Characters of a chunk's texts, about; words of a bucket, about.
-CHUNK, BUCKET = 4 << 20, 200_000
+CHUNK, BUCKET = 4 << 20, 500_000
 #: Pieces up to which the table of pieces is broadcast.
 BROADCAST_PIECES = 1_000_000
 _FAR = re.compile("[̀-\U0010ffff]")
@@ -158,31 +159,31 @@ class Codec:
         found = pick.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
         return [r.word for r in found.orderBy(F.desc("n"), "word").limit(self.common).select("word").collect()]
 
-    def decoded(self, words: DataFrame) -> DataFrame:
-        """words (bucket, word, ids packed, id array) with text: each id joined to its piece, a word's pieces in order."""
-        each = words.select("bucket", "word", "ids", F.posexplode_outer("id").alias("pos", "id"))
-        found = each.join(bounded(self.pieces(), BROADCAST_PIECES), "id", "left")
-        found = found.groupBy("bucket", "word", "ids").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))).alias("p"))
-        return found.select("bucket", "word", "ids", F.array_join(F.col("p.piece"), " ").alias("text"))
-
-    def word_table(self, listed: DataFrame) -> DataFrame:
-        """(bucket, word, ids packed, id array) of listed (bucket, words, n): each distinct word once, encoded once."""
+    def answers(self, listed: DataFrame) -> DataFrame:
+        """(chunk, at, lens, ids, n) of listed (bucket, chunk, at, words, n): a bucket's distinct words encoded once, their ids for every chunk that listed them."""
         get = self.model()
 
         def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-            m, words = get(), sorted(set().union(*(_split(w, n) for w, n in zip(pdf["words"], pdf["n"]))))
-            ids = [m.encode_word(w) for w in words]
-            return pd.DataFrame({"bucket": pdf["bucket"].iloc[0], "word": words, "ids": ids, "id": [np.frombuffer(b, m.dtype).astype(np.int32) for b in ids]})
-
-        return cut(self.decoded(listed.groupBy("bucket").applyInPandas(encode, "bucket int, word string, ids binary, id array<int>")), "words")
+            encode_word, ids, out = get().encode_word, {}, []
+            for k, at, packed, n in zip(pdf["chunk"], pdf["at"], pdf["words"], pdf["n"]):
+                own = _split(packed, n)
+                for w in own:
+                    if w not in ids:
+                        ids[w] = encode_word(w)
+                got = [ids[w] for w in own]
+                out.append((k, at, pack(np.array([len(x) for x in got], np.int32)), squeeze(b"".join(got)), n))
+            return pd.DataFrame(out, columns=["chunk", "at", "lens", "ids", "n"])
+
+        return listed.groupBy("bucket").applyInPandas(encode, "chunk long, at binary, lens binary, ids binary, n int")
 
     def lookup(self, words: list[str]):
-        """(words, their ids, where these end, their decoded texts) of the common words as a broadcast of bounded size."""
-        listed = self.spark.createDataFrame([(0, bytearray(_join(words)), len(words))] if words else [], "bucket int, words binary, n int")
-        of = {r.word: (bytes(r.ids), r.text) for r in self.word_table(listed).collect()}
-        ids = [of[w][0] for w in words]
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64))) // np.dtype(self.dtype).itemsize
-        return self.spark.sparkContext.broadcast((words, b"".join(ids), ends, [of[w][1] for w in words]))
+        """(words, their ids, where these end in bytes, all pieces) as a broadcast of bounded size."""
+        at = pack(np.arange(len(words), dtype=np.int32))
+        listed = self.spark.createDataFrame([(0, -1, bytearray(at), bytearray(_join(words)), len(words))], "bucket int, chunk long, at binary, words binary, n int")
+        got = self.answers(listed).first()
+        ends = np.concatenate(([0], np.cumsum(unpack(bytes(got.lens), "<i4"), dtype=np.int64)))
+        pieces = [r.piece for r in self.pieces().orderBy("id").collect()]  # the vocabulary
+        return self.spark.sparkContext.broadcast((words, expand(bytes(got.ids)), ends, pieces))
 
     def encoded(self, docs: DataFrame, finish: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """finish(id, ids, texts of the words in order) for every document, as rows of schema.
@@ -232,34 +233,25 @@ class Codec:
                             yield pd.DataFrame([(int(of[part[0]]), k, pack(part.astype(np.int32)), _join([words[i] for i in part.tolist()]), len(part))], columns=["bucket", "chunk", "at", "words", "n"])
 
         listed = made.select("chunk", "words", "n").mapInPandas(deal, "bucket int, chunk long, at binary, words binary, n int")
-        listed = cut(listed.repartition("bucket"), "listed")
-        words = self.word_table(listed)
-
-        def answer(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            of = {w: i for i, w in enumerate(right["word"])}
-            ids, texts, out = list(right["ids"]), list(right["text"]), []
-            for k, at, packed, n in zip(left["chunk"], left["at"], left["words"], left["n"]):
-                own = [of[w] for w in _split(packed, n)]
-                out.append((k, at, pack(np.array([len(ids[i]) for i in own], np.int32)), squeeze(b"".join([ids[i] for i in own])), _join([texts[i] for i in own]), n))
-            return pd.DataFrame(out, columns=["chunk", "at", "lens", "ids", "texts", "n"])
-
-        got = listed.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(answer, "chunk long, at binary, lens binary, ids binary, texts binary, n int")
         width = np.dtype(dtype).itemsize
 
         def fill(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            common, blob, ends, texts = table.value
+            common, blob, ends, pieces = table.value
+            kept = worker_cache(key)
+            if "said" not in kept:
+                first = np.frombuffer(blob, dtype).tolist()
+                kept["said"] = [" ".join([pieces[x] for x in first[a:b]]) for a, b in zip((ends[:-1] // width).tolist(), (ends[1:] // width).tolist())]
             out = []
             for docs_of, lens, places, others, n in zip(left["doc"], left["lens"], left["places"], left["others"], left["n"]):
-                own, said = [b""] * n, [""] * n
-                for at, sizes, ids, text, k in zip(right["at"], right["lens"], right["ids"], right["texts"], right["n"]):
-                    stop = np.cumsum(unpack(sizes, "<i4")).tolist()
+                own = [b""] * n
+                for at, sizes, ids in zip(right["at"], right["lens"], right["ids"]):
                     raw, a = expand(ids), 0
-                    for i, b, t in zip(unpack(at, "<i4").tolist(), stop, _split(text, k)):
-                        own[i], said[i] = raw[a:b], t
+                    for i, b in zip(unpack(at, "<i4").tolist(), np.cumsum(unpack(sizes, "<i4")).tolist()):
+                        own[i] = raw[a:b]
                         a = b
                 flat = np.frombuffer(blob + b"".join(own), dtype)
-                until = np.concatenate((ends, ends[-1] + np.cumsum([len(x) // width for x in own], dtype=np.int64)))
-                say = (texts + said).__getitem__
+                until = np.concatenate((ends, ends[-1] + np.cumsum([len(x) for x in own], dtype=np.int64))) // width
+                say = (kept["said"] + [" ".join([pieces[x] for x in np.frombuffer(w, dtype).tolist()]) for w in own]).__getitem__
                 at = unpack(places, "<u2").astype(np.int64)
                 hole = np.flatnonzero(at == len(common))
                 at[hole] = len(common) + np.cumsum(unpack(others, "<i4"), dtype=np.int64)
@@ -273,7 +265,7 @@ class Codec:
                     out.append(finish(doc, ids, filter(None, map(say, p.tolist()))))
             return pd.DataFrame(out, columns=names, dtype=object)
 
-        return made.drop("words").groupBy("chunk").cogroup(got.groupBy("chunk")).applyInPandas(fill, schema)
+        return made.drop("words").groupBy("chunk").cogroup(self.answers(listed).groupBy("chunk")).applyInPandas(fill, schema)
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, ids): the ids of every whole text."""

@@ -6,19 +6,23 @@ UTF-8 bytes; matches never cross documents; strings are judged on the input.
 1. Anchors.  Every SPAN-byte string has one anchor: the rightmost of its smallest K-gram hashes.  Equal
    strings have equal anchors at equal places, so a corpus splits by anchor without losing a match.
    The strings of one anchor start in one short range, and the bytes they cover are its context.
-2. A count per anchor hash tells anchors met once from the rest; two bitmaps of fixed size bring that
-   to a second scan, which emits the repeated anchors only.  (A bit set by mistake costs a row.)
-3. Contexts met twice are repeated throughout.  The distinct contexts of anchors with several are dealt
-   by anchor to tasks of about BUCKET bytes.  A task concatenates its contexts, builds the Burrows-Wheeler
-   transform, keeps it as runs with suffix samples at the run boundaries, computes match lengths at
-   those samples alone and streams the rest from them (a match one byte on is one byte shorter), and
-   reports the strings whose longest match elsewhere reaches SPAN.
-4. An anchor with over HOT distinct contexts (a passage that very many documents share, at its edges)
-   goes string by string through a distributed count instead, so no task gathers it.
+2. A count per anchor hash tells anchors met once from the rest; a bitmap brings that to a second scan,
+   which emits the repeated anchors only.  (A bit set by mistake costs a row.)
+3. The index.  The distinct contexts of repeated anchors, with how often each occurs, are dealt by anchor
+   to tasks of about BUCKET bytes.  A task builds the Burrows-Wheeler transform of its contexts and keeps
+   it as runs (character, length counted with the contexts' copies: these fill the same rows) with the
+   text positions of each run's first and last row and the match length between neighbouring runs.
+   Matching statistics stream from these samples alone: going one byte on, the match with the suffix
+   before or after is one byte shorter until the next sample.  Strings whose match elsewhere reaches SPAN,
+   or whose context occurs again, are reported.
+4. An anchor with over HOT distinct contexts (a passage that very many documents share, at its edges) is
+   split by string: its strings are dealt by the bytes at both their ends to tasks of the same size and go
+   through the same index, so no task gathers it.
 5. Spans come back to documents by a key of the text, so copies are marked once.
 
-Null texts are empty; texts under SPAN bytes keep everything; rows repeated exactly lose everything from
-SPAN bytes on; empty tables give empty results; further columns do not matter.
+Null texts are empty; texts under SPAN bytes keep everything; texts over CHUNK bytes are anchored in windows
+that overlap by SPAN - 1 bytes; rows repeated exactly lose everything from SPAN bytes on; empty tables give
+empty results; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -35,9 +39,8 @@ from .common import bounded, cut, documents, python_ready
 
 SPAN, K = 200, 32
 W = SPAN - K + 1
-#: Bits of each bitmap; bytes of contexts in a task; distinct contexts from which an anchor is counted string by string.
-BITS, BUCKET, HOT = 1 << 26, 1 << 20, 20_000
-_CHUNK = 1 << 20
+#: Most bits of the bitmap (it has 16 for each repeated anchor up to there); bytes of contexts in a task; distinct contexts from which an anchor is split by string; bytes anchored at a time.
+BITS, BUCKET, HOT, CHUNK = 1 << 31, 1 << 20, 20_000, 1 << 20
 _POS = np.uint64((1 << 30) - 1)
 _U = np.uint64
 
@@ -69,18 +72,19 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     from xxhash import xxh3_64_intdigest
 
     out: list[list[np.ndarray]] = [[] for _ in range(6)]
+    # (text, first byte, end) of windows; a window's strings start in its first CHUNK bytes
+    parts = [(k, a, min(len(t), a + CHUNK + SPAN - 1)) for k, t in enumerate(texts) for a in range(0, len(t) - SPAN + 1, CHUNK)]
     i = 0
-    while i < len(texts):
+    while i < len(parts):
         j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= _CHUNK):
-            size += len(texts[j])
+        while j < len(parts) and (j == i or size + parts[j][2] - parts[j][1] <= CHUNK):
+            size += parts[j][2] - parts[j][1]
             j += 1
-        own = [k for k in range(i, j) if len(texts[k]) >= SPAN]
+        own = [k for k, _, _ in parts[i:j]]
+        buf = b"".join(texts[k][x:y] for k, x, y in parts[i:j])
+        lens = np.array([y - x for _, x, y in parts[i:j]])
+        begin = np.array([x for _, x, _ in parts[i:j]])
         i = j
-        if not own:
-            continue
-        buf = b"".join(texts[k] for k in own)
-        lens = np.array([len(texts[k]) for k in own])
         base = np.concatenate(([0], np.cumsum(lens)[:-1]))
         h = _grams(np.frombuffer(buf, np.uint8))
         pos = np.arange(len(h), dtype=_U)
@@ -93,7 +97,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         last = np.concatenate((first[1:], [len(a)])) - 1
         lo, hi, x, d = start[first], start[last], a[first], doc[first]
         c = np.array([xxh3_64_intdigest(buf[s : e + SPAN], r) for s, e, r in zip(lo.tolist(), hi.tolist(), (x - lo).tolist())], _U)
-        for col, v in zip(out, (np.array(own)[d], lo - base[d], hi - base[d], x - lo, h[x], c)):
+        for col, v in zip(out, (np.array(own)[d], lo - base[d] + begin[d], hi - base[d] + begin[d], x - lo, h[x], c)):
             col.append(v)
     kinds = (np.int64, np.int64, np.int64, np.int64, _U, _U)
     return tuple(np.concatenate(col) if col else np.zeros(0, k) for col, k in zip(out, kinds))
@@ -107,28 +111,55 @@ def _within(doc: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray,
 
 
 class RunLengthIndex:
-    """Burrows-Wheeler transform of a byte collection as runs, with suffix samples at the run boundaries."""
+    """Burrows-Wheeler transform of a byte collection, each part taken some number of times, as runs with samples at their ends.
 
-    def __init__(self, parts: list[bytes]):
+    char, length: of each run, copies of parts included.  first, last: text position of its first and last row.
+    match: bytes that first shares with the last row of the run before.
+    """
+
+    def __init__(self, parts: list[bytes], times: np.ndarray | None = None):
         n = sum(map(len, parts)) + len(parts)
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+        size = np.diff(np.concatenate(([-1], ends)))
         self.starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64)
         t = np.zeros(n + 1, np.int16)  # 0 ends a part, -1 the whole
         t[:n] = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int16) + 1
         t[ends], t[n] = 0, -1
-        self.t, self.left = t, np.repeat(ends.astype(np.int32), np.diff(np.concatenate(([-1], ends)))) - np.arange(n, dtype=np.int32)  # bytes to the end of the part
-        self.sa = self._suffixes()
-        bwt = t[self.sa - 1]
-        head = np.concatenate(([True], (bwt[1:] != bwt[:-1]) | (bwt[1:] <= 0)))  # part ends count as distinct
-        self.run_at = np.flatnonzero(head)
-        self.run_char, self.run_len = bwt[self.run_at], np.diff(np.concatenate((self.run_at, [len(bwt)])))
-        #: suffix samples: of each run's first row and of the row before it
-        self.first, self.before = self.sa[self.run_at], self.sa[self.run_at - 1]
-
-    def _suffixes(self) -> np.ndarray:
+        self.left = np.repeat(ends.astype(np.int32), size) - np.arange(n, dtype=np.int32)  # bytes to the end of the part
+        self.copied = np.repeat(np.ones(len(parts), np.int64) if times is None else times, size) > 1
+        sa = self._suffixes(t)
+        bwt = t[sa - 1]
+        at = np.flatnonzero(np.concatenate(([True], (bwt[1:] != bwt[:-1]) | (bwt[1:] <= 0))))  # part ends count as distinct
+        weight = np.append(np.repeat(np.ones(len(parts), np.int64) if times is None else times, size), 1)
+        self.char, self.length = bwt[at], np.add.reduceat(weight[sa], at)
+        self.first, self.last = sa[at], sa[np.concatenate((at[1:], [n + 1])) - 1]
+        self.match = self._matches(t)
+
+    def _matches(self, t: np.ndarray) -> np.ndarray:
+        """Length that each run's first suffix shares with the last of the run before, cut at part ends."""
+        n = len(t) - 1
+        p, q = self.first, np.concatenate(([n], self.last[:-1]))
+        got = np.zeros(len(p), np.int32)
+        live = np.flatnonzero((p < n) & (q < n))
+        steps = np.arange(32, dtype=np.int32)
+        t = np.concatenate((t, np.full(64, -2, np.int16)))
+        while len(live):
+            on = []
+            for part in np.array_split(live, -(-len(live) // 32_768)):  # so many windows of text at a time
+                a, b = p[part] + got[part], q[part] + got[part]
+                x, y = t[np.minimum(a, n)[:, None] + steps], t[np.minimum(b, n)[:, None] + steps]
+                diff = (x != y) | (x <= 0)
+                k = np.where(diff.any(1), diff.argmax(1), len(steps))
+                got[part] += k
+                on.append(part[k == len(steps)])
+            live = np.concatenate(on)
+        return got
+
+    @staticmethod
+    def _suffixes(t: np.ndarray) -> np.ndarray:
         """Suffix order by prefix doubling; suffixes whose order is settled are not sorted again."""
-        n, size = len(self.t), 7
-        pad = np.concatenate((self.t + np.int16(1), np.zeros(size, np.int16)))
+        n, size = len(t), 7
+        pad = np.concatenate((t + np.int16(1), np.zeros(size, np.int16)))
         key = np.zeros(n, np.int64)
         for j in range(size):
             key <<= 9
@@ -156,37 +187,40 @@ class RunLengthIndex:
             size *= 2
 
     def matching_statistics(self) -> np.ndarray:
-        """For each position the longest match with the suffixes next to its own in suffix order, cut at the part's end.
+        """For each position the longest match that starts elsewhere, cut at the part's end.
 
-        Lengths are compared at run boundaries only; within a run a suffix's match is its left
-        neighbour's less one byte, so the others stream from the samples in text order.
+        Match lengths are known where runs meet: at a run's first row with the suffix before it, at its last
+        row with the suffix after it.  Inside a run neighbouring suffixes stay neighbours one byte on,
+        so all other positions stream from these samples in text order, a byte shorter each.  In a part
+        taken several times every suffix is found again whole.
         """
         n = len(self.left)
-        p, q = self.first, self.before.copy()
-        q[0] = -1  # the first row has none before it
-        got = np.zeros(len(p), np.int32)
-        live = np.flatnonzero((q >= 0) & (p < n) & (q < n))
-        steps = np.arange(32, dtype=np.int32)
-        t = np.concatenate((self.t, np.full(64, -2, np.int16)))
-        while len(live):
-            on = []
-            for part in np.array_split(live, -(-len(live) // 32_768)):  # so many windows of text at a time
-                a, b = p[part] + got[part], q[part] + got[part]
-                x, y = t[np.minimum(a, n)[:, None] + steps], t[np.minimum(b, n)[:, None] + steps]
-                diff = (x != y) | (x <= 0)
-                k = np.where(diff.any(1), diff.argmax(1), len(steps))
-                got[part] += k
-                on.append(part[k == len(steps)])
-            live = np.concatenate(on)
-        plcp = np.full(n + 1, -1, np.int32)
-        plcp[p] = got
-        # an unsampled position has its predecessor's length less one
         here = np.arange(n + 1, dtype=np.int32)
-        known = np.maximum.accumulate(np.where(plcp >= 0, here, -1))
-        plcp = np.where(known >= 0, np.maximum(plcp[np.maximum(known, 0)] - (here - known), 0), 0)
-        after = np.zeros(n + 1, np.int32)
-        after[self.sa[:-1]] = plcp[self.sa[1:]]
-        return np.minimum(np.maximum(plcp[:n], after[:n]), self.left)
+
+        def stream(at: np.ndarray, value: np.ndarray) -> np.ndarray:
+            out = np.full(n + 1, -1, np.int32)
+            out[at] = value
+            known = np.maximum.accumulate(np.where(out >= 0, here, -1))
+            return np.where(known >= 0, np.maximum(out[np.maximum(known, 0)] - (here - known), 0), 0)[:n]
+
+        before, after = stream(self.first, self.match), stream(self.last, np.append(self.match[1:], 0))
+        return np.where(self.copied, self.left, np.minimum(np.maximum(before, after), self.left))
+
+    def count(self, pattern: bytes) -> int:
+        """How often pattern occurs, copies included: backward search over the runs."""
+        ends = np.cumsum(self.length)
+        rank = {c: np.concatenate(([0], np.cumsum(np.where(self.char == c, self.length, 0)))) for c in {x + 1 for x in pattern}}
+        order = {c: int(self.length[self.char < c].sum()) for c in rank}
+
+        def before(c: int, row: int) -> int:
+            k = int(np.searchsorted(ends, row, side="right"))
+            return int(rank[c][k]) + (row - int(ends[k] - self.length[k]) if k < len(ends) and self.char[k] == c else 0)
+
+        lo, hi = 0, int(ends[-1])
+        for x in reversed(pattern):
+            c = x + 1
+            lo, hi = order[c] + before(c, lo), order[c] + before(c, hi)
+        return hi - lo
 
 
 def _runs(hit: np.ndarray) -> list[int]:
@@ -196,23 +230,24 @@ def _runs(hit: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def repeated_strings(contexts: list[bytes]) -> list[list[int]]:
-    """For each context the starts of SPAN-byte strings found elsewhere among the contexts, as [first, last, ...]."""
-    index = RunLengthIndex(contexts)
+def repeated_strings(contexts: list[bytes], times: np.ndarray | None = None) -> list[list[int]]:
+    """For each context, taken so many times, the starts of SPAN-byte strings found elsewhere among the contexts, as [first, last, ...]."""
+    index = RunLengthIndex(contexts, times)
     long = index.matching_statistics() >= SPAN
     return [_runs(long[s : s + len(c) - SPAN + 1]) for s, c in zip(index.starts.tolist(), contexts)]
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """BITS bits, set where a key falls: 1024 rows of equal size reach the driver whatever the number of keys."""
-    block = BITS // 1024
+    """A power of two of bits, 16 for each key and at most BITS, set where a key falls: 1024 rows of equal size reach the driver."""
+    size = min(BITS, max(1 << 20, 1 << (16 * keys.count()).bit_length()))
+    block = size // 1024
 
     def bits(pdf: pd.DataFrame) -> pd.DataFrame:
         b = np.zeros(block, np.uint8)
         b[pdf["bit"].to_numpy() % block] = 1
         return pd.DataFrame({"block": [int(pdf["bit"].iloc[0]) // block], "bits": [np.packbits(b).tobytes()]})
 
-    places = keys.select(F.pmod("h", F.lit(BITS)).cast("int").alias("bit")).distinct()
+    places = keys.select(F.pmod("h", F.lit(size)).alias("bit")).distinct()
     out = np.zeros((1024, block // 8), np.uint8)
     for r in places.groupBy((F.col("bit") / block).cast("int").alias("b")).applyInPandas(bits, "block int, bits binary").collect():
         out[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
@@ -220,7 +255,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bit = (h.view(np.int64) % BITS).astype(np.int64)
+    bit = h.view(np.int64) % (8 * len(bitmap))
     return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
 
 
@@ -239,11 +274,10 @@ def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
             doc, _, _, _, h, c = anchors([t.encode() for t in pdf["t"]])
             first, _, n = _within(doc, h, c)
             if len(first):
-                yield pd.DataFrame({"h": h[first].view(np.int64), "c": c[first].view(np.int64), "n": n})
+                yield pd.DataFrame({"h": h[first].view(np.int64), "n": n})
 
-    met = rows.select("t").mapInPandas(count, "h long, c long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-    met = cut(met.select("h", (F.col("c0") != F.col("c1")).alias("many")), "anchors")
-    some, many = spark.sparkContext.broadcast(_bitmap(met)), spark.sparkContext.broadcast(_bitmap(met.where("many")))
+    met = rows.select("t").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    some = spark.sparkContext.broadcast(_bitmap(cut(met.select("h"), "anchors")))
 
     def collect(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent: set[tuple[int, int]] = set()
@@ -256,8 +290,8 @@ def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
                 continue
             first, group, n = _within(doc, h, c)
             body: list[bytes | None] = []
-            for d, a, b, hh, cc, want in zip(doc[first].tolist(), lo[first].tolist(), hi[first].tolist(), h[first].tolist(), c[first].tolist(), _has(many.value, h[first]).tolist()):
-                if want and (hh, cc) not in sent:
+            for d, a, b, hh, cc in zip(doc[first].tolist(), lo[first].tolist(), hi[first].tolist(), h[first].tolist(), c[first].tolist()):
+                if (hh, cc) not in sent:
                     sent.add((hh, cc))
                     body.append(texts[d][a : b + SPAN])
                 else:
@@ -276,36 +310,38 @@ def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
 
     found = cut(rows.mapInPandas(collect, f"{_KEY}, lo int, hi int, h long, c long, n long, body binary"), "contexts")
     places = cut(found.where("n > 0").groupBy("h", "c", "k1", "k2", "lo", "hi").agg(F.sum("n").alias("n")), "places")
-    twice = places.groupBy("h", "c").agg(F.sum("n").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("wide")).where("n > 1")
-    whole = twice.select("h", "c", F.array(F.lit(0), F.col("wide")).alias("strings"))
-
-    bodies = cut(found.where("body is not null").groupBy("h", "c").agg(F.first("body").alias("body")), "bodies")
-    each = cut(bodies.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "many")
-    size = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    buckets = max(1, size // BUCKET)
-    usual = bodies.join(bounded(each.where(f"m <= {HOT}").select("h"), 200_000), "h", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    times = places.groupBy("h", "c").agg(F.sum("n").alias("times"))
+    bodies = found.where("body is not null").groupBy("h", "c").agg(F.first("body").alias("body")).join(times, ["h", "c"])
+    bodies = cut(bodies, "bodies")
+    each = cut(bodies.groupBy("h").agg(F.count("*").alias("m"), F.sum("times").alias("times"), F.sum(F.octet_length("body")).alias("bytes")).where("times > 1"), "many")
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = repeated_strings([bytes(b) for b in pdf["body"]])
+        got = repeated_strings([bytes(b) for b in pdf["body"]], pdf["times"].to_numpy(np.int64))
         pdf = pdf.assign(strings=got)[["h", "c", "strings"]]
         return pdf[pdf["strings"].map(len) > 0]
 
-    parts = [usual.groupBy("bucket").applyInPandas(index, "h long, c long, strings array<int>")]
+    def indexed(contexts: DataFrame, size: int, deal: str) -> DataFrame:
+        buckets = max(1, size // BUCKET)
+        return contexts.withColumn("bucket", F.pmod(F.xxhash64(deal), F.lit(buckets))).groupBy("bucket").applyInPandas(index, "h long, c long, strings array<int>")
+
+    usual = each.where(f"m <= {HOT}")
+    parts = [indexed(bodies.join(bounded(usual.select("h"), 200_000), "h", "left_semi"), usual.agg(F.sum("bytes")).first()[0] or 0, "h")]
     hot = each.where(f"m > {HOT}").select("h")
     if hot.limit(1).count():
         def strings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from xxhash import xxh3_64_intdigest
 
+            signed = lambda x: x - (x >> 63 << 64)
             for pdf in it:
-                out = [(h, c, i, xxh3_64_intdigest(b[i : i + SPAN], 1), xxh3_64_intdigest(b[i : i + SPAN], 2)) for h, c, b in zip(pdf["h"], pdf["c"], map(bytes, pdf["body"])) for i in range(len(b) - SPAN + 1)]
-                v = pd.DataFrame(out, columns=["h", "c", "i", "s1", "s2"])
-                yield v.assign(s1=v["s1"].to_numpy(_U).view(np.int64), s2=v["s2"].to_numpy(_U).view(np.int64))
-
-        single = cut(bodies.join(bounded(hot, 200_000), "h", "left_semi").mapInPandas(strings, "h long, c long, i int, s1 long, s2 long"), "strings")
-        more = single.groupBy("h", "s1", "s2").agg(F.count("*").alias("m")).where("m > 1")
-        parts.append(single.join(more, ["h", "s1", "s2"], "left_semi").groupBy("h", "c").agg(F.flatten(F.collect_list(F.array("i", "i"))).alias("strings")))
-    partly = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    of = cut(whole.unionByName(partly.join(twice, ["h", "c"], "left_anti")), "repeated")
+                for h, c, b, n in zip(pdf["h"], pdf["c"], map(bytes, pdf["body"]), pdf["times"]):
+                    own = [b[i : i + SPAN] for i in range(len(b) - SPAN + 1)]
+                    yield pd.DataFrame({"h0": h, "c0": c, "i": np.arange(len(own), dtype=np.int32), "times": n, "body": own, "h": [signed(xxh3_64_intdigest(s[:K] + s[-K:], h % 2**63)) for s in own], "c": [signed(xxh3_64_intdigest(s, 1)) for s in own]})
+
+        single = cut(bodies.join(bounded(hot, 200_000), "h", "left_semi").mapInPandas(strings, "h0 long, c0 long, i int, times long, body binary, h long, c long"), "strings")
+        alone = cut(single.groupBy("h", "c").agg(F.first("body").alias("body"), F.sum("times").alias("times")), "strings")
+        hit = indexed(alone, alone.count() * SPAN, "h").select("h", "c")
+        parts.append(single.join(hit, ["h", "c"], "left_semi").groupBy(F.col("h0").alias("h"), F.col("c0").alias("c")).agg(F.flatten(F.collect_list(F.array("i", "i"))).alias("strings")))
+    of = cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "repeated")
 
     marks = places.join(of, ["h", "c"]).select("k1", "k2", F.transform("strings", lambda x, i: x + F.col("lo") + F.when(i % 2 == 1, SPAN - 1).otherwise(0)).alias("s"))
     inside = found.where("n = 0").distinct().select("k1", "k2", F.array(F.col("lo"), F.col("hi") + SPAN - 1).alias("s"))

@@ -386,8 +386,28 @@ def test_run_length_index(parts):
     ctx = [base[a : a + n] + (b"z" if z else b"") for a, n, z in parts]
     n = Counter(t[i : i + 200] for t in ctx for i in range(len(t) - 199))
     assert passage_dedup.repeated_strings(ctx) == [passage_dedup._runs(np.array([n[t[i : i + 200]] > 1 for i in range(len(t) - 199)])) for t in ctx]
-    index = passage_dedup.RunLengthIndex(ctx)
-    assert index.run_len.sum() == len(index.sa) and (np.repeat(index.run_char, index.run_len) == index.t[index.sa - 1]).all()
+    times = np.array([1 + k % 3 for k in range(len(ctx))])
+    many = Counter()
+    for t, k in zip(ctx, times.tolist()):
+        for i in range(len(t) - 199):
+            many[t[i : i + 200]] += k
+    assert passage_dedup.repeated_strings(ctx, times) == [passage_dedup._runs(np.array([many[t[i : i + 200]] > 1 for i in range(len(t) - 199)])) for t in ctx]
+    index = passage_dedup.RunLengthIndex(ctx, times)
+    copies = [t for t, k in zip(ctx, times.tolist()) for _ in range(k)]
+    assert index.length.sum() == sum(len(t) + 1 for t in copies) + 1
+    assert len(index.char) <= len(passage_dedup.RunLengthIndex(copies).char)  # copies make runs longer, not more
+    for s in (b"a", b"ab", b"bba", b"z", base[40:60], base[100:330], b"abz"):
+        assert index.count(s) == sum(t[i:].startswith(s) for t in copies for i in range(len(t)))
+
+
+def test_long_texts_are_anchored_in_windows(monkeypatch):
+    rng = random.Random(11)
+    texts = [bytes(rng.choices(b"abcdefgh ", k=n)) for n in (3000, 150, 5000, 200, 999)] + [b"ab" * 1500]
+    whole = passage_dedup.anchors(texts)
+    monkeypatch.setattr(passage_dedup, "CHUNK", 700)
+    cut = passage_dedup.anchors(texts)
+    of = lambda rows: sorted((d, s, int(lo + rel), int(h)) for d, lo, hi, rel, h in zip(*(x.tolist() for x in rows[:5])) for s in range(lo, hi + 1))
+    assert of(whole) == of(cut) and len(of(cut)) == sum(len(t) - 199 for t in texts if len(t) >= 200)
 
 
 # --- 9 embeddings

@@ -4,19 +4,22 @@ Conversations that share initial turns share tree nodes.  A pack (a tree over at
 conversations with one first turn) is emitted depth-first, each node's tokens once, with position ids
 that go on from the parent's and, for each node, the intervals of the pack that its ancestors fill:
 a token attends to those intervals and to what precedes it in its own node.  Units are code points.
+A sequence has to end somewhere, so a first turn that more conversations share is cut along the tree: only
+the turns on the path to a cut are emitted again, once for each pack below it; repeats() measures them.
 
 Template of a turn:  `### <role>:\\n<text></turn>\\n`.  Inside roles and texts a backslash, `###` and
 `</turn>` get a backslash before them (and `:` in roles), which reading back removes.
 The loss mask covers assistant texts only.
 
 Rows go by turn, nulls first, then role and text where a turn repeats; null roles and texts are empty;
-rows with a null conv_id are one conversation.  Empty tables give no packs.  A first turn that
-more conversations share is parted by the turns that follow, see deal; subtrees of at most PACK stay whole.
+rows with a null conv_id are one conversation.  Very long texts are emitted whole, in memory in proportion
+to the pack's.  Empty tables give no packs; further columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import sha256
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, cut, python_ready
 
-PACK = 64
+PACK = 256
 PACKS = "sequence string, starts array<int>, ends array<int>, parents array<int>, positions array<int>, ancestors array<array<int>>, loss array<array<int>>, conv_ids array<long>, leaves array<int>"
 _TEXT = re.compile(r"\\|###|</turn>")
 _ROLE = re.compile(r"\\|###|</turn>|:")
@@ -119,7 +122,7 @@ def deal(rows: DataFrame) -> DataFrame:
         turn = F.when(F.size("path") > d, F.xxhash64("g", F.get("path", F.lit(d)))).otherwise(F.xxhash64("g", F.lit("end"), "conv_id"))
         now = cut(now.join(bounded(hot, 200_000), "g").withColumn("c", turn), "deep")
         sub = cut(now.groupBy("g", "c").agg(F.count("*").alias("n"), F.first("total").alias("total")), "subtrees")
-        small = sub.where(f"n <= {PACK}").withColumn("deal", F.pmod("c", F.ceil(F.col("total") / (64 * PACK))))
+        small = sub.where(f"n <= {PACK}").withColumn("deal", F.pmod("c", F.ceil(F.col("total") / (16 * PACK))))
         own = Window.partitionBy("g", "deal", F.col("n") > PACK // 2)
         before = F.sum("n").over(own.orderBy("n", "c").rowsBetween(Window.unboundedPreceding, -1))
         # a part takes the subtrees that start within so many conversations; the last of them fits as well
@@ -148,6 +151,25 @@ def packs(conversations: DataFrame) -> DataFrame:
     return rows.select("part", "conv_id", "turns").groupBy("part").applyInPandas(build, PACKS)
 
 
+def repeats(packed: DataFrame) -> DataFrame:
+    """One row: packs, emitted (turns in all packs), and distinct (turns that one tree over everything would have)."""
+    each = packed.mapInPandas(_paths, "path binary").groupBy("path").agg(F.count("*").alias("n"))
+    return each.agg(F.sum("n").alias("emitted"), F.count("*").alias("distinct")).crossJoin(packed.agg(F.count("*").alias("packs")))  # two rows
+
+
+def _paths(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A digest of the turns down to each node."""
+    for pdf in it:
+        out = []
+        for p in pdf.itertuples():
+            own: list[bytes] = []
+            for a, b, up in zip(p.starts, p.ends, p.parents):
+                own.append(sha256((own[up] if up >= 0 else b"") + p.sequence[a:b].encode("utf-8", "surrogatepass")).digest())
+            out += own
+        if out:
+            yield pd.DataFrame({"path": out})
+
+
 def digests(packed: DataFrame) -> DataFrame:
     """What reading the packs back gives, conversation by conversation."""
 
@@ -155,14 +177,28 @@ def digests(packed: DataFrame) -> DataFrame:
         for pdf in it:
             out = []
             for p in pdf.itertuples():
-                loss = {int(a): int(b) for a, b in p.loss}
+                loss, seen = sorted((int(a), int(b)) for a, b in p.loss), {}
+
+                def node(k: int) -> tuple[str, str, str | None]:
+                    """(role, text, learnt text) of a node, read once however many conversations pass it."""
+                    if k not in seen:
+                        a, b = int(p.starts[k]), int(p.ends[k])
+                        [(role, text)] = read_turns(p.sequence[a:b])
+                        at = bisect_left(loss, (a, a))  # the mask within the node, if any
+                        seen[k] = role, text, unescape(p.sequence[loss[at][0] : loss[at][1]]) if at < len(loss) and loss[at][1] <= b else None
+                    return seen[k]
+
                 for conv, leaf in zip(p.conv_ids, p.leaves):
+                    # the attention intervals of the last turn, and itself, are the conversation
                     spans = [*p.ancestors[leaf], p.starts[leaf], p.ends[leaf]] if leaf >= 0 else []
-                    spans = [(int(spans[i]), int(spans[i + 1])) for i in range(0, len(spans), 2)]
-                    whole = "".join(p.sequence[a:b] for a, b in spans)
-                    turns = read_turns(whole)
-                    learnt = "".join(unescape(p.sequence[x : loss[x]]) for x in sorted(x for x in loss if any(a <= x < b for a, b in spans)))
-                    out.append((conv, len(turns), sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(learnt), sha256(learnt.encode()).hexdigest(), len(whole)))
+                    chars = sum(int(spans[i + 1]) - int(spans[i]) for i in range(0, len(spans), 2))
+                    path, k = [], leaf
+                    while k >= 0:
+                        path.append(k)
+                        k = p.parents[k]
+                    turns = [node(k) for k in reversed(path)]
+                    learnt = "".join(x for _, _, x in turns if x is not None)
+                    out.append((conv, len(turns), sha256("".join(f"{r}\n{t}\n" for r, t, _ in turns).encode()).hexdigest(), len(learnt), sha256(learnt.encode()).hexdigest(), chars))
             yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
 
     return packed.mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -606,3 +606,15 @@ def test_chat_packs_keep_subtrees_whole(spark, monkeypatch):
     got = rows_of(chat_format.packs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     assert max(len(p["conv_ids"]) for p in got) <= 8 and sum(len(p["conv_ids"]) for p in got) == 80
     assert all(sum(p["sequence"].count(f":\nbranch {b}<") for p in got) == 1 for b in range(12))
+
+
+def test_chat_a_hot_first_turn_with_four_second_turns(spark):
+    rows = [(c, t, r, x) for c in range(1000) for t, r, x in [(0, "system", "you are helpful"), (1, "user", f"question {c % 4}"), (2, "assistant", f"answer {c}")]]
+    packed = chat_format.packs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = rows_of(packed)
+    assert sum(len(p["conv_ids"]) for p in got) == 1000 and max(len(p["conv_ids"]) for p in got) <= chat_format.PACK
+    measured = chat_format.repeats(packed).first()
+    # the first turn again for each pack but one, nothing else: a second turn's 250 conversations fit one pack
+    assert (measured.packs, measured.distinct, measured.emitted) == (4, 1005, 1008) and all(len({c % 4 for c in p["conv_ids"]}) == 1 for p in got)
+    whole = chat_format.digests(packed).where("n_turns = 3")
+    assert whole.count() == 1000 and whole.selectExpr("sum(loss_chars)").first()[0] == sum(len(f"answer {c}") for c in range(1000))

@@ -96,8 +96,16 @@ def query_type(c: Column) -> Column:
 
 
 def word_set(c: Column) -> Column:
-    """Lower-case ASCII words and single CJK characters, distinct."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+|[\x{4E00}-\x{9FFF}]"), 0))
+    """Lower-case runs of ASCII letters and single CJK characters, distinct."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z]+|[\x{4E00}-\x{9FFF}]"), 0))
+
+
+def units(c: Column) -> Column:
+    """Paragraphs, or sentences where there is only one; stripped of ASCII white space, none empty."""
+    blank = r"[ \t\n\f\r\x0B]"
+    cut = lambda pattern: F.filter(F.transform(F.split(c, pattern), lambda u: F.regexp_replace(u, f"^{blank}+|{blank}+$", "")), lambda u: u != "")
+    paragraphs = cut(rf"\n{blank}*\n")
+    return F.when(F.size(paragraphs) > 1, paragraphs).otherwise(cut(rf"(?<=[。！？.!?]){blank}*"))
 
 
 def mixed_tokens(c: Column) -> Column:

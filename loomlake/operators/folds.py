@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -62,16 +61,6 @@ def repeat_streak(texts: list[str], window: int = 6, threshold: float = 0.8) ->
     return n
 
 
-def time_windows(segments: list[tuple[float, float]], length: float = 120.0) -> list[int]:
-    """Window number of each segment; a window restarts at the segment that would overflow it."""
-    out, n, start = [], -1, None
-    for a, b in segments:
-        if start is None or b - start > length:
-            n, start = n + 1, a
-        out.append(n)
-    return out
-
-
 def knapsack(items: list[tuple[int, float, bool]], budget: int) -> list[bool]:
     """(cost, value, mandatory) in original order: mandatory first, then by falling value, skipping what does not fit."""
     chosen, left = [False] * len(items), budget
@@ -104,121 +93,3 @@ def ttl_counts(times: list[float], ttl: float) -> list[int]:
         n += 1
         out.append(n)
     return out
-
-
-# --- chunking
-
-CHARS_PER_TOKEN = 3.5
-_HEAD = re.compile(r"(?m)^(#{1,6})[ \t]+(.+)$|<h([1-6])[^>]*>(.*?)</h\3>")
-_QA = re.compile(r"(?ms)^\s*(?:Q|Question|问)\s*\d*\s*[:：.]\s*(.+?)^\s*(?:A|Answer|答)\s*\d*\s*[:：.]\s*(.+?)(?=^\s*(?:Q|Question|问)\s*\d*\s*[:：.]|\Z)")
-
-
-def pack_units(text: str, tokens: int) -> list[str]:
-    """Paragraphs, then sentences, then hard cuts, packed up to a size in tokens.  The buffer is cleared when an over-long sentence flushes it, so no text comes twice."""
-    most = int(tokens * CHARS_PER_TOKEN)
-    out, buf = [], ""
-
-    def add(piece: str, join: str) -> None:
-        nonlocal buf
-        if buf and len(buf) + len(join) + len(piece) > most:
-            out.append(buf)
-            buf = ""
-        buf = buf + join + piece if buf else piece
-
-    for para in re.split(r"\n\s*\n", text):
-        if not para.strip():
-            continue
-        if len(para) <= most:
-            add(para, "\n\n")
-            continue
-        for s in re.findall(r"[^.!?。！？\n]+[.!?。！？\n]*", para):
-            if len(s) <= most:
-                add(s, "")
-            else:
-                if buf:
-                    out.append(buf)
-                    buf = ""
-                out += [s[i : i + most] for i in range(0, len(s), most)]
-    return [*out, buf] if buf else out
-
-
-def split_headings(text: str, most_chars: int = 2800) -> list[tuple[str, str]]:
-    """(title path, content) of the sections under headings, Markdown or HTML; fewer than two headings give none; text before the first heading is left out."""
-    marks = [(m.start(), m.end(), len(m[1]) if m[1] else int(m[3]), re.sub(r"<[^>]+>", "", m[2] or m[4] or "").strip()) for m in _HEAD.finditer(text)]
-    if len(marks) < 2:
-        return []
-    out, stack = [], []
-    for (a, b, lvl, title), end in zip(marks, [m[0] for m in marks[1:]] + [len(text)]):
-        while stack and stack[-1][0] >= lvl:
-            stack.pop()
-        stack.append((lvl, title))
-        path, body = " > ".join(t for _, t in stack), text[b:end].strip()
-        if body:
-            parts = [body] if len(body) <= most_chars else pack_units(body, int(most_chars / CHARS_PER_TOKEN))
-            out += [(path, f"[{path}] {p}") for p in parts]
-    return out
-
-
-def split_qa(text: str, most_tokens: int = 1200) -> list[tuple[str, str]]:
-    """Question and answer pairs as chunks; a question whose first 50 characters came before is left out."""
-    out, seen = [], set()
-    for m in _QA.finditer(text):
-        q, a = m[1].strip(), m[2].strip()
-        if q[:50] in seen:
-            continue
-        seen.add(q[:50])
-        whole = f"Q: {q}\nA: {a}"
-        out += [(q, p) for p in ([whole] if len(whole) <= most_tokens * CHARS_PER_TOKEN else pack_units(whole, most_tokens))]
-    return out
-
-
-def split_tiling(text: str, window: int = 3) -> list[str]:
-    """Semantic split: boundaries in the valleys of similarity between neighbouring units; needs more than two windows of units."""
-    units = [u for u in re.split(r"\n\s*\n", text) if u.strip()]
-    if len(units) == 1:
-        units = re.findall(r"[^.!?。！？\n]+[.!?。！？\n]*", text)
-    if len(units) <= 2 * window:
-        return []
-    words = lambda us: set(re.findall(r"[a-z0-9]+|[一-鿿]", " ".join(us).lower()))
-    sims = [(i, jaccard(words(units[i - window : i]), words(units[i : i + window]))) for i in range(window, len(units) - window + 1)]
-    mean = sum(s for _, s in sims) / len(sims)
-    dev = (sum((s - mean) ** 2 for _, s in sims) / len(sims)) ** 0.5
-    cuts = [0, *[i for i, s in sims if s <= mean - dev], len(units)]
-    return ["".join(units[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b]
-
-
-def chunk(text: str, kind: str = "auto") -> list[tuple[str, str, str]]:
-    """(strategy, title path, content): by content type, else headings, tiling, fixed size; a strategy counts from two chunks."""
-    if not text or not text.strip():
-        return []
-    tries = {"faq": [("qa", split_qa)], "plain": [("semantic", lambda t: [("", c) for c in split_tiling(t)])]}.get(kind, [])
-    tries = [*tries, ("structural", split_headings), ("semantic", lambda t: [("", c) for c in split_tiling(t)])]
-    for name, split in tries:
-        got = [(p, c) for p, c in split(text) if c.strip()]
-        if len(got) >= 2:
-            return [(name, p, c) for p, c in got]
-    return [("fixed", "", c) for c in pack_units(text, 512)]
-
-
-def parent_child(chunks: list[str], child_tokens: int = 256) -> list[tuple[int, int | None, str]]:
-    """(id, parent, content): every chunk as a parent and its children; a small chunk is its own only child."""
-    out: list[tuple[int, int | None, str]] = []
-    for c in chunks:
-        parent = len(out)
-        out.append((parent, None, c))
-        for p in pack_units(c, child_tokens):
-            out.append((len(out), parent, p))
-    return out
-
-
-def chunk_docs(docs: DataFrame, text: str = "content", kind: str = "auto") -> DataFrame:
-    """(doc_id, n, strategy, title_path, content) of every document."""
-    ship(docs.sparkSession)
-
-    def run(it):
-        for pdf in it:
-            rows = [(d, n, s, p, c) for d, t in zip(pdf["doc_id"], pdf["t"]) for n, (s, p, c) in enumerate(chunk(t, kind))]
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "strategy", "title_path", "content"])
-
-    return docs.selectExpr("doc_id", f"{text} as t").mapInPandas(run, "doc_id long, n int, strategy string, title_path string, content string")

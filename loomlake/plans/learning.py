@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import chunking as C
 from ..operators import folds as G
 from ..operators import learning as L
 from ..operators import relational as R
@@ -279,10 +280,18 @@ def _(t: Tables):
 # --- ordered folds
 
 
-@query("wf06_heading_stack")
+LEVELS = ", ".join(f"max(CASE WHEN level = {k} THEN struct_pack(n := n, title := title) END) OVER w AS h{k}" for k in range(1, 7))
+PATH = ", ".join(f"CASE WHEN level > {k} AND h{k}.n > greatest(0" + "".join(f", coalesce(h{j}.n, 0)" for j in range(1, k)) + f") THEN h{k}.title END" for k in range(1, 6))
+HEADED = """WITH l AS (SELECT doc_id, i, x AS line, length(regexp_extract(x, '^(#{1,6})[ \t]+[^ \t]', 1)) AS level FROM (SELECT doc_id, unnest(u) AS x, unnest(range(len(u))) AS i FROM (SELECT doc_id, string_split('# Top' || chr(10) || replace(content, chr(10), chr(10) || '## Part' || chr(10) || '### Detail' || chr(10)), chr(10)) AS u FROM docs))),
+c AS (SELECT *, CASE WHEN level > 0 THEN trim(regexp_replace(line, '^#{1,6}[ \t]+', ''), ' ') END AS title, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l),
+s AS (SELECT doc_id, n, max(level) AS level, max(title) AS title, string_agg(line, chr(10) ORDER BY i) AS body FROM c WHERE n > 0 GROUP BY 1, 2)"""
+
+
+@query("wf06_heading_stack", f"{HEADED} SELECT doc_id, n, array_to_string(list_filter([{PATH}, title], lambda x: x IS NOT NULL), ' > ') AS title_path, md5(body) AS body_md5 FROM (SELECT *, {LEVELS} FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY n))")
 def _(t: Tables):
-    md = t.docs.select("doc_id", F.regexp_replace("content", "\n", "\n## Part\n").alias("content")).withColumn("content", F.concat(F.lit("# Top\n"), "content"))
-    return G.chunk_docs(md).where("strategy = 'structural'").select("doc_id", "title_path").distinct()
+    from .retrieval import headed
+
+    return V.sections(headed(t)).select("doc_id", "n", "title_path", F.md5("body").alias("body_md5"))
 
 
 @query("wf09_tie_bands")
@@ -297,10 +306,19 @@ def _(t: Tables):
     return G.per_group(t.messages.select("conv_id", "turn", "content"), ["conv_id"], ["turn"], lambda rs: [(G.repeat_streak([r.content for r in rs], threshold=0.1),)], "conv_id long, streak int")
 
 
-@query("wf14_time_windows")
+SEGMENTS = "SELECT conv_id, turn, turn * 50.0 AS a, turn * 50.0 + 45 AS b FROM messages"
+
+
+@query("wf14_time_windows", f"""WITH RECURSIVE s AS ({SEGMENTS}), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM s),
+r AS (SELECT conv_id, turn, k, a AS start, 0 AS window_no FROM o WHERE k = 1 UNION ALL SELECT o.conv_id, o.turn, o.k, CASE WHEN o.a >= r.start + 120 THEN o.a ELSE r.start END, CASE WHEN o.a >= r.start + 120 THEN r.window_no + 1 ELSE r.window_no END FROM r JOIN o ON o.conv_id = r.conv_id AND o.k = r.k + 1)
+SELECT conv_id, turn, window_no FROM r""")
 def _(t: Tables):
     s = t.messages.select("conv_id", "turn", (F.col("turn") * 50.0).alias("a"), (F.col("turn") * 50.0 + 45).alias("b"))
-    return G.per_group(s, ["conv_id"], ["turn"], lambda rs: [(r.turn, w) for r, w in zip(rs, G.time_windows([(r.a, r.b) for r in rs]))], "conv_id long, turn long, window_no int")
+
+    def numbered(rows):
+        return [(rows[i].turn, w) for w, part in enumerate(C.windows([(r.a, r.b, "x") for r in rows])) for i in part]
+
+    return G.per_group(s, ["conv_id"], ["turn"], numbered, "conv_id long, turn long, window_no int")
 
 
 @query("top06_knapsack")

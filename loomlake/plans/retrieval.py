@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import maths, text
-from ..operators import folds as G
+from ..operators import chunking as C
 from ..operators import relational as R
 from ..operators import retrieval as V
 from .registry import Tables, query
@@ -39,8 +40,6 @@ def _(t: Tables):
 
 @query("ret02_raw_score_order", "WITH " + VEC + " SELECT query_id, vec_id, rn AS rank FROM vk")
 def _(t: Tables):
-    from pyspark.sql import Window
-
     s = V.vector_topk(vector_queries(t), t.embeddings, 20)
     return s.select("query_id", "vec_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long").alias("rank"))
 
@@ -168,94 +167,92 @@ def _(t: Tables):
     return t.benchmark.select("item_id", F.explode(F.array_distinct(F.array(low, F.substring(low, 1, 40), low))).alias("q"))
 
 
-# --- chunking
+# --- chunking: every row bears a hash of its content
+
+KINDS = ["faq", "tutorial", "specification", "report", "plain", "auto"]
+
+
+def hashed(chunks):
+    return chunks.select("doc_id", "n", "strategy", "title_path", F.md5("content").alias("content_md5"), "start_pos", "end_pos", "tokens", F.col("parent_id").isNotNull().alias("is_child"))
 
 
 @query("ch01_router")
 def _(t: Tables):
-    return G.chunk_docs(t.docs).select("doc_id", "n", "strategy", F.length("content").alias("chars"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return hashed(C.chunk_docs(t.docs, kind=kind))
 
 
 @query("ch02_qa_split")
 def _(t: Tables):
-    qa = t.messages.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))), lambda m: F.concat(F.when(m["role"] == "assistant", "A: ").otherwise("Q: "), F.regexp_replace(m["content"], "\n", " "))), "\n").alias("content"))
-    return G.chunk_docs(qa.withColumnRenamed("conv_id", "doc_id"), kind="faq")
+    own = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))), lambda m: F.concat(F.when(m["role"] == "assistant", "A: ").otherwise("Q: "), F.regexp_replace(m["content"], "\n", " ")))
+    qa = t.messages.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(own, "\n").alias("content"))
+    return hashed(C.chunk_docs(qa, kind="faq"))
+
+
+def headed(t: Tables):
+    """Documents as Markdown of several levels: every line under a heading."""
+    return t.docs.select("doc_id", F.concat(F.lit("# Top\n"), F.regexp_replace("content", "\n", "\n## Part\n### Detail\n")).alias("content"))
 
 
 @query("ch03_markdown_split")
 def _(t: Tables):
-    md = t.docs.select("doc_id", F.regexp_replace("content", "\n", "\n# Part\n").alias("content"))
-    return G.chunk_docs(md).where("strategy = 'structural'").select("doc_id", "n", "title_path")
+    return hashed(C.chunk_docs(headed(t), kind="tutorial").where("strategy = 'structural'"))
 
 
 @query("ch04_html_split")
 def _(t: Tables):
-    return G.chunk_docs(t.pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("content"))).where("strategy = 'structural'").select("doc_id", "n", "title_path")
+    html = t.docs.select("doc_id", F.concat(F.lit("<H1>Top</H1><p>"), F.regexp_replace("content", "\n", "</p>\n<h2 class='x'>Part <b>two</b></h2>\n<p>"), F.lit("</p><h4>End\nof text</h4>")).alias("content"))
+    return hashed(C.chunk_docs(html, kind="specification").where("strategy = 'structural'"))
 
 
-TILE = "SELECT doc_id, i, len(list_intersect(l, r)) * 1.0 / nullif(len(list_distinct(list_concat(l, r))), 0) AS sim FROM (SELECT doc_id, i, list_distinct(regexp_extract_all(lower(array_to_string(u[i - 2 : i], ' ')), '[a-z0-9]+|[\\x{4E00}-\\x{9FFF}]')) AS l, list_distinct(regexp_extract_all(lower(array_to_string(u[i + 1 : i + 3], ' ')), '[a-z0-9]+|[\\x{4E00}-\\x{9FFF}]')) AS r FROM (SELECT doc_id, u, unnest(range(3, len(u) - 2)) AS i FROM (SELECT doc_id, string_split(content, chr(10)) AS u FROM docs) WHERE len(u) > 6))"
+SETS = "[a-z]+|[\\x{4E00}-\\x{9FFF}]"
+BLANK = "[ \\t\\n\\f\\r\\x0B]"
+UNITS = f"""cut AS (SELECT doc_id, content, list_filter(list_transform(string_split_regex(content, '\\n{BLANK}*\\n'), lambda x: regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g')), lambda x: x <> '') AS p FROM docs),
+units AS (SELECT doc_id, CASE WHEN len(p) > 1 THEN p ELSE list_filter(list_transform(string_split(regexp_replace(content, '([。！？.!?]){BLANK}*', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g')), lambda x: x <> '') END AS u FROM cut)"""
+TILE = f"""WITH {UNITS}, w AS (SELECT doc_id, s, list_distinct(regexp_extract_all(lower(array_to_string(u[s + 1 : s + 3], '')), '{SETS}')) AS w FROM (SELECT doc_id, u, unnest(range(0, len(u) - 3)) AS s FROM units WHERE len(u) > 6)),
+sims AS (SELECT b.doc_id, b.s AS i, CASE WHEN len(a.w) = 0 AND len(b.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w))) END AS sim FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.s = a.s + 3)"""
 
 
 def tiles(t: Tables):
-    return V.tiling(t.docs.select("doc_id", F.split("content", "\n").alias("units")))
+    return V.tiling(t.docs.select("doc_id", text.units(F.col("content")).alias("units")))
 
 
-@query("wf07_texttiling", f"SELECT doc_id, i, round(coalesce(sim, 0.0), 6) AS sim FROM ({TILE})")
+@query("wf07_texttiling", f"{TILE} SELECT doc_id, i, round(sim, 6) AS sim FROM sims")
 def _(t: Tables):
     return tiles(t).select("doc_id", F.col("i").cast("long").alias("i"), F.round("sim", 6).alias("sim"))
 
 
-@query("wf08_boundary_threshold", f"SELECT doc_id, count(*) AS n, round(avg(coalesce(sim, 0.0)) - stddev_pop(coalesce(sim, 0.0)), 6) AS threshold FROM ({TILE}) GROUP BY doc_id")
+@query("wf08_boundary_threshold", f"{TILE} SELECT doc_id, count(*) AS n, round(avg(sim) - stddev_pop(sim), 6) AS threshold FROM sims GROUP BY doc_id")
 def _(t: Tables):
     return tiles(t).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg("sim") - F.stddev_pop("sim"), 6).alias("threshold"))
 
 
 @query("ch05_semantic_split")
 def _(t: Tables):
-    return G.chunk_docs(t.docs, kind="plain").where("strategy = 'semantic'").select("doc_id", "n", F.length("content").alias("chars"))
+    return hashed(C.chunk_docs(t.docs, split=lambda x, _: C.semantic(x or "")))
 
 
 @query("ch06_parent_child")
 def _(t: Tables):
-    from ..session import ship
-    import pandas as pd
+    return hashed(C.chunk_docs(t.docs, kind="plain").where("strategy = 'semantic'"))
 
-    ship(t.spark)
 
-    def run(it):
-        for pdf in it:
-            rows = [(d, i, p, len(c)) for d, x in zip(pdf["doc_id"], pdf["content"]) for i, p, c in G.parent_child([c for *_, c in G.chunk(x)])]
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "id", "parent", "chars"]).astype({"parent": "Int64"})
-
-    return t.docs.select("doc_id", "content").mapInPandas(run, "doc_id long, id int, parent int, chars int")
-
-
-@query("ch07_fixed_split", "SELECT doc_id, i AS n, length(substr(content, CAST(i * 1792 + 1 AS BIGINT), 1792)) AS chars FROM (SELECT doc_id, content, unnest(range(CAST(ceil(length(content) / 1792.0) AS BIGINT))) AS i FROM docs WHERE length(content) > 0)")
+@query("ch07_fixed_split")
 def _(t: Tables):
-    return V.windows(t.docs, 1792).select("doc_id", F.col("pos").alias("n"), F.length("body").cast("long").alias("chars"))
+    return hashed(C.chunk_docs(t.docs, split=lambda x, _: C.fixed(x) if x and x.strip() else []))
 
 
 @query("ch08_pack_by_tokens")
 def _(t: Tables):
-    from ..session import ship
-    import pandas as pd
-
-    ship(t.spark)
-
-    def run(it):
-        for pdf in it:
-            rows = [(d, n, len(c)) for d, x in zip(pdf["doc_id"], pdf["content"]) for n, c in enumerate(G.pack_units(x or "", 512))]
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "chars"])
-
-    return t.docs.select("doc_id", "content").mapInPandas(run, "doc_id long, n int, chars int")
+    return hashed(C.chunk_docs(t.docs, split=lambda x, _: [C.Chunk(p, "pack") for p in C.split_by_tokens(x or "", 256)]))
 
 
 @query("ch09_transcript_windows")
 def _(t: Tables):
-    seg = t.events.select("user_id", "event_id", (F.col("event_id") * 1.5).alias("a"), (F.col("event_id") * 1.5 + F.col("value") % 30).alias("b"))
-    return G.per_group(seg, ["user_id"], ["event_id"], lambda rows: [(r.event_id, w) for r, w in zip(rows, G.time_windows([(r.a, r.b) for r in rows]))], "user_id long, event_id long, window_no int")
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) * 17.0
+    seg = t.events.withColumn("start", at).select("user_id", "start", (F.col("start") + 5 + F.col("value") % 30).alias("end"), F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat_ws(" ", "event_type", "props")).alias("said"))
+    frames = t.events.where("event_id % 5 = 0").select("user_id", (F.col("event_id") % 900 * 1.0).alias("at"), F.col("event_type").alias("shown"))
+    return C.chunk_transcripts(seg, frames, "user_id").select("user_id", "n", "title_path", F.md5("content").alias("content_md5"), "start_pos", "end_pos", "tokens")
 
 
 # --- evaluation

@@ -161,9 +161,9 @@ def _(t: Tables):
     return t.benchmark.select("item_id", F.size(F.array_distinct(words)).cast("long").alias("n"))
 
 
-@query("str25_similarity_tokens", "SELECT doc_id, len(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+|[\\x{4E00}-\\x{9FFF}]'))) AS n FROM docs")
+@query("str25_similarity_tokens", "SELECT doc_id, len(list_distinct(regexp_extract_all(lower(content), '[a-z]+|[\\x{4E00}-\\x{9FFF}]'))) AS n FROM docs")
 def _(t: Tables):
-    return t.docs.select("doc_id", F.size(X.word_set(F.col("title"))).cast("long").alias("n"))
+    return t.docs.select("doc_id", F.size(X.word_set(F.col("content"))).cast("long").alias("n"))
 
 
 @query("str26_entity_retention", "SELECT doc_id, len(e) AS total, len(list_filter(e, lambda x: contains(substr(content, 1, 1000), x))) AS kept FROM (SELECT doc_id, content, list_distinct(list_filter(regexp_extract_all(content, '[0-9]+(?:\\.[0-9]+)?|[A-Z]{2,}'), lambda x: length(x) >= 2)) AS e FROM docs)")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomlake.functions import folds as TF
 from loomlake.functions import hooks, maths, rules
 from loomlake.functions import text as X
+from loomlake.operators import chunking as C
 from loomlake.operators import folds as G
 from loomlake.operators import ranges
 from loomlake.operators import relational as R
@@ -171,29 +172,91 @@ def test_tie_bands():
 def test_greedy_folds():
     assert G.near_duplicate_pointers(["a b c", "x", "a b c", "a b c d", ""]) == [None, None, 0, None, None]
     assert G.repeat_streak(["no", "a b", "a b", "a b"]) == 2 and G.repeat_streak(["a"]) == 0
-    assert G.time_windows([(0, 50), (50, 119), (119, 130), (130, 200)]) == [0, 0, 1, 1]
     assert G.knapsack([(5, 1.0, False), (4, 9.0, False), (3, 2.0, True), (3, 5.0, False)], 8) == [False, True, True, False]
     assert G.select_history([(1, 0.9), (1, 0.1), (1, 0.5), (1, 0.0), (1, 0.0)], 4, 3, always=2) == [True, False, False, True, True]
     assert G.ttl_counts([0, 10, 99, 100, 150], 100) == [1, 2, 3, 1, 2]
 
 
-def test_chunking():
-    md = "lost preamble\n# A\none\n## B\ntwo\n# C\nthree"
-    assert G.split_headings(md) == [("A", "[A] one"), ("A > B", "[A > B] two"), ("C", "[C] three")]
-    assert G.split_headings("# only\ntext") == [] and [p for p, _ in G.split_headings("<h1>X</h1>a<h2><b>Y</b></h2>b")] == ["X", "X > Y"]
-    assert [q for q, _ in G.split_qa("Q: what?\nA: this\nQ: why?\nA: so\nQ: what?\nA: again")] == ["what?", "why?"]
-    assert G.chunk("  ") == [] and G.chunk("short")[0][0] == "fixed" and G.chunk(md)[0][0] == "structural"
-    long = "One sentence here. " * 400 + "x" * 5000
-    parts = G.pack_units(long, 512)
-    assert "".join(parts) == long and max(map(len, parts)) <= 1792
-    tree = G.parent_child(["a" * 2000, "b"])
-    assert [p for _, p, _ in tree].count(None) == 2 and "".join(c for _, p, c in tree if p == 0) == "a" * 2000
+# hand-worked cases, from the rules
 
 
-def test_tiling_needs_units():
-    assert G.split_tiling("a\n\nb\n\nc") == []
-    units = ["cats and dogs play"] * 6 + ["stars and planets shine"] * 6
-    assert len(G.split_tiling("\n\n".join(units))) >= 2
+def test_headings():
+    md = "lost preamble\n# A\none\n## B\ntwo\n# C\nthree"
+    assert [(c.title_path, c.content) for c in C.structural(md)] == [("A", "[A]\n# A\none"), ("A > B", "[A > B]\n## B\ntwo"), ("C", "[C]\n# C\nthree")]
+    assert [(c.start, c.end) for c in C.structural(md)] == [(14, 22), (22, 31), (31, len(md))]
+    assert [c.content for c in C.structural("# A\n## B\ntext")] == ["[A]\n# A", "[A > B]\n## B\ntext"]  # a heading alone is a section
+    assert [c.content for c in C.structural("<H1>A</H1>x<H2>B\n<b>b</b></H2>y")] == ["[A]\n<H1>A</H1>x", "[A > B\nb]\n<H2>B\n<b>b</b></H2>y"]
+    assert C.structural("# only\ntext") == [] and C.structural("# one\n<h1>X</h1>a<h2>Y</h2>b") == []  # Markdown or HTML, never both
+    assert [c.title_path for c in C.structural("### x\na\n# y\nb\n## z\nc\n## q\nd")] == ["x", "y", "y > z", "y > q"]
+    long = "# T\n" + "word " * 1000 + "\n# U\nu"
+    parts = C.structural(long)
+    assert len(parts) > 2 and max(len(c.content) for c in parts) <= 2800 and all(c.title_path in "TU" for c in parts) and parts[0].content.startswith("[T]\n# T")
+
+
+def test_questions():
+    got = C.questions("Q: what?\nA: this\nQ: why?\nA: so\nQ: what?\nA: again")
+    assert [(c.title_path, c.content, c.content_type, c.strategy) for c in got] == [("what?", "问：what?\n\n答：this", "faq", "qa"), ("why?", "问：why?\n\n答：so", "faq", "qa")]
+    assert [c.content for c in C.questions("问：多长\n答：七天\n\n问：谁\n答：我")] == ["问：多长\n\n答：七天", "问：谁\n\n答：我"]
+    assert [c.content for c in C.questions("## 问题：什么\n## 回答：这个\nmore\n## Question: why\n## Answer: so")] == ["问：什么\n\n答：这个\nmore", "问：why\n\n答：so"]
+    one = C.chunk("Q: alone\nA: enough", "faq")
+    assert len(one) == 1 and one[0].strategy == "qa" and len(C.questions("Q: " + "q" * 200 + "\nA: a")[0].title_path) == 80
+    assert [c.strategy for c in C.chunk("no pairs here.", "faq")] == ["fallback"]
+    assert len(C.questions("Q: x\nA: " + "long answer. " * 900)) > 2
+
+
+def test_split_by_tokens():
+    assert C.split_by_tokens("a\n\n\n\nb", 512) == ["a\n\n\n\nb"]
+    assert C.split_by_tokens("aaaa\n\nbbbb\n\ncccc", 4) == ["aaaa\n\nbbbb\n\n", "cccc"]  # 14 characters
+    assert C.split_by_tokens("One two. Three four! Five", 4) == ["One two.", "Three four!", "Five"]
+    assert C.split_by_tokens("Hi. " + "x" * 30 + ". Yo.", 4) == ["Hi.", "x" * 14, "x" * 14, "xx.", "Yo."]
+    long = "One sentence here. " * 400 + "x" * 5000
+    parts = C.split_by_tokens(long, 512)
+    assert "".join(parts) == "One sentence here." * 400 + "x" * 5000 and max(map(len, parts)) <= 1792
+
+
+def test_topics_and_parents():
+    assert C.semantic("a\n\nb\n\nc") == [] and C.units("One. Two! 三。x") == ["One.", "Two!", "三。", "x"] and C.units("a\n \nb") == ["a", "b"]
+    us = ["cats play", "cats run", "cats nap", "cats eat", "stars shine", "stars glow", "stars fade", "stars burn"]
+    sims = C.similarities(us)
+    assert len(sims) == 2 and C.similarities(["cats1 99", "b", "c", "cats2", "e", "f", "g"]) == [1 / 3]  # i in [3, n - 3); digits are no words, units join without blanks
+    got = C.semantic("\n\n".join(us))
+    assert [c.content for c in got] == ["".join(us[:5]), "".join(us[5:])] and got[0].start == 0 and got[1].end == len("\n\n".join(us))  # unit 4 stays left of its boundary
+    parents = [C.Chunk("p " * 800, "semantic", start=7), C.Chunk("small", "semantic")]
+    tree = C.parent_child(parents)
+    assert [c.parent for c in tree] == [2, 2, None, 4, None] and tree[3].content == tree[4].content == "small" and tree[0].start == tree[1].start == 7 and tree[0].end == 7 + len(tree[0].content)
+    text = "\n\n".join(u + " and more words" * 30 for u in us)
+    routed = C.chunk(text, "plain")
+    assert routed == C.parent_child(C.semantic(text)) and C.chunk(text) == routed
+
+
+def test_chunk_router():
+    md = "# A\none\n## B\ntwo"
+    for kind in ("tutorial", "specification", "report", "auto", "plain", "nonsense", None):
+        assert [c.strategy for c in C.chunk(md, kind)] == ["structural"] * 2
+    assert C.chunk("  ") == [] and C.chunk(None) == [] and [(c.strategy, c.content, c.start, c.end) for c in C.chunk("short ")] == [("fallback", "short ", 0, 6)]
+    rows = C.rows(5, C.chunk(md))
+    assert rows == C.rows(5, C.chunk(md)) and len({r[1] for r in rows}) == 2 and rows[0][1] != C.rows(6, C.chunk(md))[0][1]
+
+
+def test_transcript_windows():
+    assert C.windows([(0, 45, "a"), (50, 95, "b"), (100, 145, "c")]) == [[0, 1, 2]]  # a window ends with the segment that starts after it
+    assert C.windows([(0, 45, "a"), (119, 130, "b"), (120, 130, "c"), (239, 250, "d"), (240, 241, "e")]) == [[0, 1], [2, 3], [4]]
+    assert C.windows([(0, 5, " "), (200, 205, "a"), (201, 205, "b")]) == [[1], [2]] and C.windows([]) == []
+    got = C.transcript([(0.0, 60.0, "one"), (70.0, 110.0, " two "), (125.0, 190.0, "three")], [(30.0, "slide"), (125.0, "both"), (500.0, "late"), (31.0, " ")])
+    assert [(c.title_path, c.content, c.start, c.end) for c in got] == [("00:00-02:05", "one\ntwo\n\n--- 视觉描述 ---\n[画面 00:30] slide\n[画面 02:05] both", 0, 125), ("02:05-03:10", "three\n\n--- 视觉描述 ---\n[画面 02:05] both", 125, 190)]
+    talk = [(float(i), i + 1.0, ("cats play and run. " if i < 50 else "stars shine and glow. ") * 3) for i in range(100)]
+    parts = C.transcript(talk)
+    assert len(parts) > 1 and [c.title_path for c in parts] == [f"00:00-01:40 (part {i})" for i in range(1, len(parts) + 1)] and {c.strategy for c in parts} == {"video_semantic"}
+
+
+def test_column_functions_agree_with_the_chunker(spark):
+    texts = ["\n\n".join(["cats play", "cats run", "dogs", "中文 字", "x1", "stars", "stars. shine", "end"]), "One. Two! three? 四。five. six. seven. eight", "# A\nx\n### C\ny\n## B\n#no\n####### seven\nz", "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    assert [r.u for r in df.select(X.units(df.content).alias("u")).collect()] == [C.units(t) for t in texts]
+    got = {(r.doc_id, r.i): r.sim for r in V.tiling(df.select("doc_id", X.units(df.content).alias("units"))).collect()}
+    assert got == {(d, i + 3): pytest.approx(s) for d, t in enumerate(texts) for i, s in enumerate(C.similarities(C.units(t)))}
+    paths = {(r.doc_id, r.n): (r.title_path, r.body.strip()) for r in V.sections(df).collect()}
+    assert paths == {(d, n): (c.title_path, c.content.split("]\n", 1)[1]) for d, t in enumerate(texts) for n, c in enumerate(C.structural(t), 1)}
 
 
 # --- sources

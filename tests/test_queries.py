@@ -8,7 +8,7 @@ import pytest
 
 from loomlake.plans import registry
 
-MAY_BE_EMPTY = {"flt04_empty_access", "ch04_html_split"}
+MAY_BE_EMPTY = {"flt04_empty_access"}
 
 
 def plain(v):

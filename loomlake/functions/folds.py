@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -66,15 +67,23 @@ def markdown_table_shape(c: Column) -> Column:
     return F.struct(s["tables"].alias("tables"), s["rows"].alias("table_rows"), s["cells"].alias("cells"))
 
 
+_CJK = re.compile("[\u4e00-\u9fff]")
+
+
+def score_tokens(text: str | None) -> list[str]:
+    """Single characters where a text holds CJK characters, else words."""
+    text = text or ""
+    return [c for c in text if not c.isspace()] if _CJK.search(text) else text.split()
+
+
 def bleu(out: list[str], ref: list[str], most: int = 4) -> float:
-    """Add-one smoothed BLEU with a brevity penalty."""
-    if not out or not ref:
+    """Add-one smoothed BLEU with a brevity penalty, over n-grams up to the shorter text's length."""
+    grams = lambda x, n: Counter(zip(*(x[i:] for i in range(n))))
+    orders = range(1, min(most, len(out), len(ref)) + 1)
+    if not orders:
         return 0.0
-    logs = 0.0
-    for n in range(1, most + 1):
-        a, b = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (out, ref))
-        logs += math.log((sum((a & b).values()) + 1) / (sum(a.values()) + 1)) / most
-    return min(1.0, math.exp(1 - len(ref) / len(out))) * math.exp(logs)
+    logs = [math.log(((grams(out, n) & grams(ref, n)).total() + 1) / (len(out) - n + 2)) for n in orders]
+    return math.exp(min(0.0, 1 - len(ref) / len(out)) + sum(logs) / len(logs))
 
 
 def rouge_l(out: list[str], ref: list[str]) -> float:
@@ -87,15 +96,20 @@ def rouge_l(out: list[str], ref: list[str]) -> float:
     return 2 * row[-1] / (len(out) + len(ref)) if row[-1] else 0.0
 
 
+def keyword_overlap(out: list[str], ref: list[str]) -> float:
+    """Share of the reference's distinct tokens that the text has."""
+    return len(set(out) & set(ref)) / len(set(ref)) if ref else 0.0
+
+
 def bleu_rouge(df: DataFrame, out: str, ref: str, key: str) -> DataFrame:
     ship(df.sparkSession)
 
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            pairs = [(a.split(), b.split()) for a, b in zip(pdf["o"], pdf["r"])]
-            yield pd.DataFrame({key: pdf["k"], "bleu": [round(bleu(*p), 4) for p in pairs], "rouge_l": [round(rouge_l(*p), 4) for p in pairs]})
+            pairs = [(score_tokens(a), score_tokens(b)) for a, b in zip(pdf["o"], pdf["r"])]
+            yield pd.DataFrame({key: pdf["k"], **{name: [round(f(*p), 4) for p in pairs] for name, f in (("bleu", bleu), ("rouge_l", rouge_l), ("overlap", keyword_overlap))}})
 
-    return df.select(F.col(key).alias("k"), F.col(out).alias("o"), F.col(ref).alias("r")).mapInPandas(score, f"{key} long, bleu double, rouge_l double")
+    return df.select(F.col(key).alias("k"), F.col(out).alias("o"), F.col(ref).alias("r")).mapInPandas(score, f"{key} long, bleu double, rouge_l double, overlap double")
 
 
 def reading_order(blocks: DataFrame, page: str, tolerance: float = 20.0, width: float = 400.0) -> DataFrame:

@@ -50,32 +50,33 @@ def near_duplicate_pointers(texts: list[str], threshold: float = 0.8, chars: int
     return out
 
 
-def repeat_streak(texts: list[str], window: int = 6, threshold: float = 0.8) -> int:
-    """How many of the last messages, from the last backwards, resemble the last."""
-    recent = [set(t.lower().split()) for t in texts[-window:]]
+def repeat_streak(messages: list[tuple[str, str]], window: int = 6, threshold: float = 0.8) -> int:
+    """How many user messages running, from the one before the last backwards, resemble the last user message; of (role, text) only the last few messages count."""
+    said = [set(t.lower().split()) for role, t in messages[-window:] if role == "user"]
     n = 0
-    for w in reversed(recent[:-1]):
-        if jaccard(recent[-1], w) < threshold:
+    for w in reversed(said[:-1]):
+        if jaccard(said[-1], w) < threshold:
             break
         n += 1
     return n
 
 
-def knapsack(items: list[tuple[int, float, bool]], budget: int) -> list[bool]:
-    """(cost, value, mandatory) in original order: mandatory first, then by falling value, skipping what does not fit."""
-    chosen, left = [False] * len(items), budget
-    for i, (cost, _, must) in enumerate(items):
-        if must:
-            chosen[i], left = True, left - cost
-    for i in sorted((i for i, x in enumerate(items) if not x[2]), key=lambda i: (-items[i][1], i)):
+def knapsack(items: list[tuple[int, int, float, bool]], budget: int) -> list[bool]:
+    """(cost, priority, relevance, mandatory) in original order: mandatory first, whatever they cost, then by falling priority and relevance, skipping what does not fit."""
+    if budget <= 0:
+        return [False] * len(items)
+    chosen, left = [must for *_, must in items], budget - sum(c for c, *_, must in items if must)
+    for i in sorted((i for i, x in enumerate(items) if not x[3]), key=lambda i: (-items[i][1], -items[i][2], i)):
         if items[i][0] <= left:
             chosen[i], left = True, left - items[i][0]
     return chosen
 
 
 def select_history(items: list[tuple[int, float]], k: int, budget: int, always: int = 4, least: float = 0.3) -> list[bool]:
-    """(cost, similarity) oldest first: the last few always, then the most similar that fit."""
+    """(cost, similarity) oldest first: the last few always, then the most similar that fit; a history no longer than the last few stays whole."""
     n = len(items)
+    if n <= always:
+        return [True] * n
     chosen = [i >= n - min(always, k) for i in range(n)]
     left = budget - sum(c for (c, _), x in zip(items, chosen) if x)
     for i in sorted((i for i in range(n) if not chosen[i] and items[i][1] >= least), key=lambda i: (-items[i][1], i)):

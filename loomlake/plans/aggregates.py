@@ -73,10 +73,10 @@ def _(t: Tables):
     return t.users.select("user_id", "name").join(F.broadcast(e), "user_id").orderBy(F.desc("score100"), "user_id").limit(10)  # e has 20 rows
 
 
-@query("agg08_user_expertise", "SELECT coalesce(category, 'other') AS category, count(*) AS n FROM (SELECT CASE WHEN doc_id % 6 = 0 THEN NULL ELSE category END AS category FROM docs WHERE owner_id = 4 ORDER BY updated_on DESC, doc_id LIMIT 50) GROUP BY 1")
+@query("agg08_user_expertise", "SELECT owner_id, coalesce(category, 'other') AS category, count(*) AS n FROM (SELECT owner_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE category END AS category, row_number() OVER (PARTITION BY owner_id ORDER BY updated_on DESC, doc_id) AS k FROM docs) WHERE k <= 50 GROUP BY 1, 2")
 def _(t: Tables):
-    d = t.docs.where("owner_id = 4").orderBy(F.desc("updated_on"), "doc_id").limit(50)
-    return d.groupBy(F.coalesce(F.when(F.col("doc_id") % 6 != 0, F.col("category")), F.lit("other")).alias("category")).agg(F.count("*").alias("n"))
+    d = R.latest_by(t.docs.select("owner_id", "doc_id", "updated_on", "category"), ["owner_id"], [F.desc("updated_on"), F.asc("doc_id")], 50)
+    return d.groupBy("owner_id", F.coalesce(F.when(F.col("doc_id") % 6 != 0, F.col("category")), F.lit("other")).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query("agg09_usage_summary", "SELECT count(*) AS requests, count(DISTINCT user_id) AS users, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, CAST(sum(cost_cents) AS BIGINT) AS cents, round(avg(duration_ms), 4) AS avg_ms FROM usage WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '1998-01-01'")

@@ -37,12 +37,7 @@ def _(t: Tables):
 
 @query("jn16_user_jaccard", "WITH " + UCF + " SELECT user_id, other, round(sim, 6) AS sim FROM near")
 def _(t: Tables):
-    x = m(t)
-    mine = x.where(everyone()).select("user_id", "doc_id")
-    n = x.groupBy("user_id").agg(F.count("*").alias("n"))
-    c = mine.join(x.select(F.col("user_id").alias("other"), "doc_id"), "doc_id").where("user_id <> other").groupBy("user_id", "other").agg(F.count("*").alias("c"))
-    s = c.join(n, "user_id").join(n.toDF("other", "n2"), "other").select("user_id", "other", (F.col("c") / (F.col("n") + F.col("n2") - F.col("c"))).alias("sim"))
-    return R.latest_by(s, ["user_id"], [F.desc("sim"), F.asc("other")], 10).select("user_id", "other", F.round("sim", 6).alias("sim"))
+    return R.latest_by(L.in_common(m(t), "doc_id", "user_id"), ["user_id"], [F.desc("sim"), F.asc("other")], 10).select("user_id", "other", F.round("sim", 6).alias("sim"))
 
 
 @query("rec02_user_cf", "WITH " + UCF + " SELECT user_id, doc_id, score FROM ucf")
@@ -58,12 +53,7 @@ s AS (SELECT m.user_id, other AS doc_id, round(sum(sim), 6) AS score FROM m JOIN
 
 @query("jn17_item_jaccard", "WITH " + ICF + " SELECT doc_id, count(*) AS n, round(max(sim), 6) AS best FROM sim GROUP BY doc_id")
 def _(t: Tables):
-    x = m(t)
-    own = x.where(everyone()).select("doc_id").distinct()
-    n = x.groupBy("doc_id").agg(F.count("*").alias("n"))
-    c = x.join(own, "doc_id", "left_semi").select("user_id", "doc_id").join(x.select("user_id", F.col("doc_id").alias("other")), "user_id").where("doc_id <> other").groupBy("doc_id", "other").agg(F.count("*").alias("c"))
-    s = c.join(n, "doc_id").join(n.toDF("other", "n2"), "other").withColumn("sim", F.col("c") / (F.col("n") + F.col("n2") - F.col("c")))
-    return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.max("sim"), 6).alias("best"))
+    return L.in_common(m(t), "user_id", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.max("sim"), 6).alias("best"))
 
 
 @query("rec03_item_cf", "WITH " + ICF + " SELECT user_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, doc_id) AS rn FROM s WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.user_id = s.user_id AND m.doc_id = s.doc_id)) WHERE rn <= 10")
@@ -79,13 +69,21 @@ def _(t: Tables):
     return V.vector_topk(p.withColumnRenamed("user_id", "query_id"), t.embeddings, 5).withColumnRenamed("query_id", "user_id")  # the stated query set
 
 
-@query("rec05_graph_recall", "SELECT user_id, doc_id, 'graph' AS reason FROM (SELECT u.user_id, d.doc_id, row_number() OVER (PARTITION BY u.user_id ORDER BY d.doc_id) AS rn FROM (SELECT user_id, doc_id FROM (SELECT user_id, doc_id, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC) AS k FROM behaviors GROUP BY 1, 2) WHERE k <= 5) u JOIN docs s ON s.doc_id = u.doc_id JOIN docs d ON d.series_id = s.series_id AND d.doc_id <> s.doc_id GROUP BY 1, 2) WHERE rn <= 10")
+LINKS = "links AS (SELECT doc_id AS src, (doc_id * 7 + 3) % 200 AS dst FROM docs UNION SELECT (doc_id * 7 + 3) % 200, doc_id FROM docs)"
+
+
+@query("rec05_graph_recall", f"""WITH {LINKS}, last AS (SELECT user_id, doc_id, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC) AS k FROM behaviors GROUP BY 1, 2), seeds AS (SELECT * FROM last WHERE k <= 5),
+one AS (SELECT user_id, k, seeds.doc_id AS seed, dst, 1 AS depth FROM seeds JOIN links ON src = seeds.doc_id), two AS (SELECT user_id, k, seed, links.dst, 2 AS depth FROM one JOIN links ON links.src = one.dst),
+r AS (SELECT user_id, k, dst AS doc_id, min(depth) AS depth FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE dst <> seed GROUP BY 1, 2, 3), top AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY depth, doc_id) AS n FROM r),
+hit AS (SELECT *, row_number() OVER (PARTITION BY user_id, doc_id ORDER BY k) AS first FROM top WHERE n <= 10)
+SELECT user_id, doc_id, round(1.0 / depth, 6) AS score, 'graph' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k, n) AS place FROM hit WHERE first = 1) WHERE place <= 10""")
 def _(t: Tables):
     one = t.behaviors.groupBy("user_id", "doc_id").agg(F.max("event_id").alias("at"))
-    last = R.latest_by(one, ["user_id"], [F.desc("at")], 5).select("user_id", F.col("doc_id").alias("src"))
-    d = t.docs.select("doc_id", "series_id")
-    hits = last.join(d.toDF("src", "series_id"), "src").join(d, "series_id").where("src <> doc_id").select("user_id", "doc_id").distinct()
-    return R.latest_by(hits, ["user_id"], [F.asc("doc_id")], 10).withColumn("reason", F.lit("graph"))
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at"))).alias("k")
+    seeds = one.select("user_id", "doc_id", k).where("k <= 5")
+    d = t.docs.select("doc_id", ((F.col("doc_id") * 7 + 3) % 200).alias("to"))
+    links = d.toDF("src", "dst").union(d.select("to", "doc_id")).distinct()
+    return L.graph_recall(seeds, links, 10)
 
 
 @query("rec06_hot_fallback", "SELECT doc_id FROM docs WHERE status = 'published' ORDER BY view_count DESC, doc_id LIMIT 20")
@@ -303,7 +301,7 @@ def _(t: Tables):
 
 @query("wf10_repeat_streak")
 def _(t: Tables):
-    return G.per_group(t.messages.select("conv_id", "turn", "content"), ["conv_id"], ["turn"], lambda rs: [(G.repeat_streak([r.content for r in rs], threshold=0.1),)], "conv_id long, streak int")
+    return G.per_group(t.messages.select("conv_id", "turn", "role", "content"), ["conv_id"], ["turn"], lambda rs: [(G.repeat_streak([(r.role, r.content or "") for r in rs]),)], "conv_id long, streak int")
 
 
 SEGMENTS = "SELECT conv_id, turn, turn * 50.0 AS a, turn * 50.0 + 45 AS b FROM messages"
@@ -323,14 +321,15 @@ def _(t: Tables):
 
 @query("top06_knapsack")
 def _(t: Tables):
-    m_ = t.messages.select("conv_id", "turn", F.length("content").alias("cost"), (F.length("content") % 97).cast("double").alias("value"), (F.col("role") == "system").alias("must"))
-    return G.per_group(m_, ["conv_id"], ["turn"], lambda rs: [(r.turn, c) for r, c in zip(rs, G.knapsack([(r.cost, r.value, r.must) for r in rs], 2000))], "conv_id long, turn long, chosen boolean")
+    m_ = t.messages.select("conv_id", "turn", F.length("content").alias("cost"), (F.col("turn") % 3).cast("int").alias("priority"), (F.length("content") % 97).cast("double").alias("relevance"), (F.col("role") == "system").alias("must"))
+    return G.per_group(m_, ["conv_id"], ["turn"], lambda rs: [(r.turn, c) for r, c in zip(rs, G.knapsack([(r.cost, r.priority, r.relevance, r.must) for r in rs], 2000))], "conv_id long, turn long, chosen boolean")
 
 
 @query("top07_history_selection")
 def _(t: Tables):
-    m_ = t.messages.select("conv_id", "turn", F.floor(F.length("content") / 3).cast("int").alias("cost"), ((F.length("content") % 100) / 100.0).alias("sim"))
-    return G.per_group(m_, ["conv_id"], ["turn"], lambda rs: [(r.turn, c) for r, c in zip(rs, G.select_history([(r.cost, r.sim) for r in rs], 8, 1500))], "conv_id long, turn long, chosen boolean")
+    cost = F.floor((F.length("role") + 2 + F.least(F.length("content"), F.lit(200))) / 3)  # "role: " and the first 200 characters, 3 to a token
+    m_ = t.messages.select("conv_id", "turn", cost.cast("int").alias("cost"), ((F.length("content") % 100) / 100.0).alias("sim"))
+    return G.per_group(m_, ["conv_id"], ["turn"], lambda rs: [(r.turn, c) for r, c in zip(rs, G.select_history([(r.cost, r.sim) for r in rs], 8, 600))], "conv_id long, turn long, chosen boolean")
 
 
 @query("set07_near_duplicate_pointers")

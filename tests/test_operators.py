@@ -146,6 +146,8 @@ def test_times(spark):
 
 
 def test_bleu_rouge():
+    assert TF.bleu(["a", "b"], ["a", "c"]) == pytest.approx((2 / 3 * 1 / 2) ** 0.5) and TF.bleu(["a"], ["a"]) == pytest.approx(1.0) and TF.bleu([], ["a"]) == 0.0
+    assert TF.score_tokens("请看 ab") == ["请", "看", "a", "b"] and TF.score_tokens("see ab") == ["see", "ab"] and TF.keyword_overlap(["a", "b"], ["a", "c", "a"]) == 0.5
     assert TF.bleu(list("abcd"), list("abcd")) == pytest.approx(1.0) and TF.rouge_l(list("abcd"), list("acxd")) == pytest.approx(0.75) and TF.rouge_l([], ["a"]) == 0.0
 
 
@@ -171,9 +173,12 @@ def test_tie_bands():
 
 def test_greedy_folds():
     assert G.near_duplicate_pointers(["a b c", "x", "a b c", "a b c d", ""]) == [None, None, 0, None, None]
-    assert G.repeat_streak(["no", "a b", "a b", "a b"]) == 2 and G.repeat_streak(["a"]) == 0
-    assert G.knapsack([(5, 1.0, False), (4, 9.0, False), (3, 2.0, True), (3, 5.0, False)], 8) == [False, True, True, False]
+    talk = [("user", "a b"), ("assistant", "x"), ("user", "a b"), ("assistant", "a b"), ("user", "a b")]
+    assert G.repeat_streak(talk) == 2 and G.repeat_streak([("user", "c"), *talk[2:]]) == 1 and G.repeat_streak(talk[:1]) == 0 and G.repeat_streak([]) == 0
+    assert G.knapsack([(5, 0, 1.0, False), (4, 0, 9.0, False), (3, 0, 2.0, True), (3, 0, 5.0, False)], 8) == [False, True, True, False]
+    assert G.knapsack([(5, 0, 9.0, False), (5, 2, 0.0, False), (5, 2, 0.1, False)], 10) == [False, True, True] and G.knapsack([(1, 0, 0.0, True)], 0) == [False]
     assert G.select_history([(1, 0.9), (1, 0.1), (1, 0.5), (1, 0.0), (1, 0.0)], 4, 3, always=2) == [True, False, False, True, True]
+    assert G.select_history([(9, 0.0)] * 4, 1, 1) == [True] * 4
     assert G.ttl_counts([0, 10, 99, 100, 150], 100) == [1, 2, 3, 1, 2]
 
 

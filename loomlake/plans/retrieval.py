@@ -9,13 +9,22 @@ from ..functions import maths, text
 from ..operators import chunking as C
 from ..operators import relational as R
 from ..operators import retrieval as V
-from .registry import Tables, query
+from .registry import Tables, as_of, query
 
-BM25 = """WITH chunks AS (SELECT doc_id, i AS pos, doc_id * 1000 + i AS chunk_id, substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000) AS body FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)),
-tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+|[\\x{4E00}-\\x{9FFF}]')) AS term FROM chunks), tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), len AS (SELECT chunk_id, count(*) AS n FROM tok GROUP BY 1),
-stat AS (SELECT count(*) AS total, avg(n) AS mean FROM len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{4E00}-\\x{9FFF}]')) AS term FROM benchmark WHERE item_id % 100 = 0)),
-s AS (SELECT item_id AS query_id, tf.chunk_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM q JOIN df ON q.term = df.term JOIN tf ON tf.term = q.term JOIN len ON len.chunk_id = tf.chunk_id, stat GROUP BY 1, 2),
-ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM s) WHERE rn <= 20)"""
+
+
+def bm25_sql(queries: str) -> str:
+    """Common tables up to s: the score of every chunk that a query (query_id, text) meets, by its better field."""
+    return f"""WITH chunks AS (SELECT doc_id, i AS pos, doc_id || ':' || i AS chunk_id, substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000) AS body, substr(text, 1, 60) AS title FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)),
+qs AS ({queries}), tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+|[\\x{{4E00}}-\\x{{9FFF}}]')) AS term FROM chunks), tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), len AS (SELECT chunk_id, count(*) AS n FROM tok GROUP BY 1),
+stat AS (SELECT count(*) AS total, avg(n) AS mean FROM len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{{4E00}}-\\x{{9FFF}}]')) AS term FROM qs)),
+body_s AS (SELECT query_id, tf.chunk_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM q JOIN df ON q.term = df.term JOIN tf ON tf.term = q.term JOIN len ON len.chunk_id = tf.chunk_id, stat GROUP BY 1, 2),
+title_df AS (SELECT title, count(*) AS df FROM chunks GROUP BY 1), title_s AS (SELECT query_id, chunk_id, round(2 * ln(1 + ((SELECT count(*) FROM chunks) - df + 0.5) / (df + 0.5)), 6) AS score FROM qs JOIN chunks ON qs.text = chunks.title JOIN title_df ON title_df.title = chunks.title),
+s AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM body_s UNION ALL SELECT * FROM title_s) GROUP BY 1, 2)"""
+
+
+ITEMS = "SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 100 = 0"
+BM25 = bm25_sql(ITEMS) + ", ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM s) WHERE rn <= 20)"
 VEC = """vs AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q),
 vk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM vs) WHERE rn <= 20)"""
 
@@ -29,8 +38,12 @@ def vector_queries(t: Tables):
     return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-def fulltext(t: Tables, k: int = 20):
-    return V.bm25(text_queries(t), V.windows(t.documents, 1000, text="text"), k)
+def chunks(t: Tables):
+    return V.windows(t.documents, 1000, text="text", keep=[F.substring("text", 1, 60).alias("title")])
+
+
+def fulltext(t: Tables, k: int = 20, keep=None):
+    return V.bm25(text_queries(t), chunks(t), k, keep=keep)
 
 
 @query("ret01_vector_topk", "WITH " + VEC + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM vs WHERE label % 2 = 0) SELECT query_id, vec_id, score FROM f WHERE k <= 5")
@@ -54,47 +67,74 @@ def _(t: Tables):
     return V.vector_topk(vector_queries(t), t.embeddings, 8, F.col("label") >= 5)
 
 
-@query("ret05_graph_channel", "SELECT n_nationkey AS entity, s_suppkey AS doc_id, 'graph_' || CAST(s_suppkey AS VARCHAR) AS chunk_id, 0.5::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS rn FROM nation JOIN supplier ON s_nationkey = n_nationkey) WHERE rn <= 3")
-def _(t: Tables):
-    j = t.nation.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey"))
-    return R.latest_by(j, ["n_nationkey"], [F.asc("s_suppkey")], 3).select(F.col("n_nationkey").alias("entity"), F.col("s_suppkey").alias("doc_id"), F.concat(F.lit("graph_"), F.col("s_suppkey").cast("string")).alias("chunk_id"), F.lit(0.5).alias("score"))
+ENTITIES = "SELECT DISTINCT item_id AS query_id, n_name AS entity FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark WHERE item_id % 100 = 0) JOIN nation ON w = CASE n_nationkey % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'and' ELSE 'with' END"
+GRAPH = f"gh AS (SELECT query_id, 'graph_' || CAST(doc_id AS VARCHAR) AS chunk_id, 0.5::DOUBLE AS score FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS k FROM (SELECT DISTINCT query_id, s_suppkey AS doc_id FROM ({ENTITIES}) JOIN nation ON n_name = entity JOIN supplier ON s_nationkey = n_nationkey)) WHERE k <= 3)"
 
 
-@query("ret06_entity_expansion", "SELECT DISTINCT item_id, n_name AS canonical FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) JOIN nation ON w = CASE n_nationkey % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'and' ELSE 'with' END")
-def _(t: Tables):
-    words = t.benchmark.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("w"))
+def expanded(t: Tables, items):
+    """(item_id, canonical): entities whose synonyms the text holds."""
+    words = items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("w"))
     m = F.col("n_nationkey") % 3
     syn = t.nation.select(F.when(m == 0, "the").when(m == 1, "and").otherwise("with").alias("w"), F.col("n_name").alias("canonical"))
     return words.join(syn, "w").select("item_id", "canonical").distinct()
 
 
-HYBRID = BM25 + ", " + VEC + """, fd AS (SELECT query_id, chunk_id // 1000 AS doc_id, max(score) AS score FROM ft GROUP BY 1, 2),
-n AS (SELECT query_id, vec_id AS doc_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score FROM vk WINDOW w AS (PARTITION BY query_id)
-UNION ALL SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) FROM fd WINDOW w AS (PARTITION BY query_id)),
-h AS (SELECT * FROM (SELECT query_id, doc_id, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, doc_id) AS rank FROM n GROUP BY 1, 2) WHERE rank <= 10)"""
+def graph_hits(t: Tables, k: int = 3):
+    named = expanded(t, t.benchmark.where("item_id % 100 = 0")).select(F.col("item_id").alias("query_id"), F.col("canonical").alias("entity"))
+    mentions = t.nation.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("entity"), F.col("s_suppkey").alias("doc_id"))
+    return V.graph_channel(named, mentions, k)
+
+
+@query("ret05_graph_channel", f"WITH {GRAPH} SELECT query_id, chunk_id, score FROM gh")
+def _(t: Tables):
+    return graph_hits(t)
+
+
+@query("ret06_entity_expansion", "SELECT DISTINCT item_id, n_name AS canonical FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) JOIN nation ON w = CASE n_nationkey % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'and' ELSE 'with' END")
+def _(t: Tables):
+    return expanded(t, t.benchmark)
+
 
+HYBRID = BM25 + ", " + VEC + ", " + GRAPH + """, side AS (SELECT *, row_number() OVER (PARTITION BY query_id, label >= 5 ORDER BY score DESC, vec_id) AS k FROM vs),
+sem AS (SELECT query_id, vec_id || ':0' AS chunk_id, score FROM side WHERE k <= CASE WHEN label >= 5 THEN 8 ELSE 20 END UNION ALL SELECT * FROM gh),
+n AS (SELECT query_id, chunk_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score FROM sem WINDOW w AS (PARTITION BY query_id)
+UNION ALL SELECT query_id, chunk_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) FROM ft WINDOW w AS (PARTITION BY query_id)),
+h AS (SELECT * FROM (SELECT query_id, chunk_id, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, chunk_id) AS rank FROM n GROUP BY 1, 2) WHERE rank <= 10)"""
+HITS = "query_id long, chunk_id string, score double"
 
-def hybrid(t: Tables):
-    vec = V.vector_topk(vector_queries(t), t.embeddings, 20).withColumnRenamed("vec_id", "doc_id")
-    ft = fulltext(t).select("query_id", F.floor(F.col("chunk_id") / 1000).alias("doc_id"), "score").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return V.merge_channels(vec, ft, 10)
 
+def hybrid(t: Tables, k: int = 10, cross_modal=None):
+    """Four channels: text vectors, cross-modal vectors (an index of their own), graph, full text; one that fails is empty."""
+    of = lambda df: df.select("query_id", F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("chunk_id"), "score")
+    semantic = [
+        lambda: of(V.vector_topk(vector_queries(t), t.embeddings, 20, F.col("label") < 5)),
+        cross_modal or (lambda: of(V.vector_topk(vector_queries(t), t.embeddings, 8, F.col("label") >= 5))),
+        lambda: graph_hits(t),
+    ]
+    a, b, c = (V.or_empty(f, HITS, t.spark) for f in semantic)
+    return V.merge_channels(a.unionByName(b).unionByName(c), V.or_empty(lambda: fulltext(t), HITS, t.spark), k)
 
-@query("ret07_hybrid_search", HYBRID + " SELECT query_id, doc_id, score FROM h")
+
+@query("ret07_hybrid_search", HYBRID + " SELECT query_id, chunk_id, score FROM h")
 def _(t: Tables):
     return hybrid(t)
 
 
-@query("ret09_rerank_apply", HYBRID + " SELECT query_id, doc_id, (doc_id * 37 + query_id) % 101 AS rerank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (doc_id * 37 + query_id) % 101 DESC, doc_id) AS k FROM h WHERE (doc_id * 37 + query_id) % 101 > 5) WHERE k <= 5")
+@query("ret08_failing_channel", HYBRID.replace("label >= 5 THEN 8", "label >= 5 THEN 0") + " SELECT query_id, chunk_id, score FROM h")
 def _(t: Tables):
-    h = hybrid(t).select("query_id", "doc_id")
-    scores = h.withColumn("rerank", (F.col("doc_id") * 37 + F.col("query_id")) % 101).where("rerank > 5")
-    return R.latest_by(h.join(scores, ["query_id", "doc_id"]), ["query_id"], [F.desc("rerank"), F.asc("doc_id")], 5)
+    return hybrid(t, cross_modal=lambda: t.spark.read.parquet(f"{t.sf_dir}/no_such_index.parquet"))
 
 
-@query("ret10_parent_expansion", BM25 + ", p AS (SELECT doc_id, substr(text, 1, 60) AS title FROM documents) SELECT query_id, ft.chunk_id // 1000 AS parent_id, max(score) AS score, max(title) AS title FROM ft LEFT JOIN p ON p.doc_id = ft.chunk_id // 1000 GROUP BY 1, 2")
+@query("ret09_rerank_apply", HYBRID + " SELECT query_id, chunk_id, rerank FROM (SELECT query_id, chunk_id, rerank, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) AS k FROM (SELECT *, length(body) % 101 / 100.0 AS rerank FROM h JOIN (SELECT chunk_id AS c, body FROM chunks) ON c = chunk_id) WHERE rerank > 0.05) WHERE k <= 5")
 def _(t: Tables):
-    hits = fulltext(t).withColumn("parent_id", F.floor(F.col("chunk_id") / 1000))
+    # the reranker's list: a score for some hits, from the text of the chunk; hits without one leave
+    scores = chunks(t).select("chunk_id", ((F.length("body") % 101) / 100.0).alias("rerank")).where("rerank > 0.05")
+    return R.latest_by(hybrid(t).join(scores, "chunk_id").select("query_id", "chunk_id", "rerank"), ["query_id"], [F.desc("rerank"), F.asc("chunk_id")], 5)
+
+
+@query("ret10_parent_expansion", BM25 + ", p AS (SELECT doc_id, substr(text, 1, 60) AS title FROM documents) SELECT query_id, p.doc_id AS parent_id, max(score) AS score, max(p.title) AS title FROM ft JOIN chunks ON chunks.chunk_id = ft.chunk_id LEFT JOIN p ON p.doc_id = chunks.doc_id GROUP BY 1, 2")
+def _(t: Tables):
+    hits = fulltext(t).withColumn("parent_id", F.split_part("chunk_id", F.lit(":"), F.lit(1)).cast("long"))
     return V.expand_parents(hits, t.docs.select(F.col("doc_id").alias("parent_id"), "title"))
 
 
@@ -104,9 +144,15 @@ def _(t: Tables):
     return t.searches.groupBy("query").agg(F.when(m >= 50, 5).otherwise(15).alias("k"), (m < 30).alias("insufficient"))
 
 
-@query("ret12_faq_shortcut", BM25 + " SELECT query_id, chunk_id FROM ft WHERE rn = 1 AND score >= 15")
+@query("ret03b_title_field", bm25_sql("SELECT doc_id AS query_id, substr(text, 1, 60) AS text FROM documents WHERE doc_id % 100 = 0 AND length(text) > 0") + " SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM s) WHERE k <= 5")
+def _(t: Tables):
+    titles = t.documents.where("doc_id % 100 = 0 and length(text) > 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    return V.bm25(titles, chunks(t), 5)
+
+
+@query("ret12_faq_shortcut", BM25 + " SELECT query_id, chunk_id, score FROM (SELECT query_id, s.chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s.chunk_id) AS k FROM s JOIN chunks ON chunks.chunk_id = s.chunk_id WHERE doc_id % 5 = 0) WHERE k = 1 AND score >= 15")
 def _(t: Tables):
-    return fulltext(t, 1).where("score >= 15").select("query_id", "chunk_id")
+    return fulltext(t, 1, keep=F.col("doc_id") % 5 == 0).where("score >= 15")  # every fifth document is a FAQ
 
 
 @query("ret13_conflict_resolution", "SELECT doc_id FROM (SELECT doc_id, version_of, row_number() OVER (PARTITION BY version_of ORDER BY CASE kb_id WHEN 'src0' THEN 5 WHEN 'src6' THEN 4 ELSE 1 END DESC, updated_on DESC NULLS LAST, doc_id) AS rn FROM docs) WHERE version_of IS NULL OR rn = 1")
@@ -115,9 +161,13 @@ def _(t: Tables):
     return V.resolve_conflicts(t.docs, "version_of", a, "updated_on", "doc_id").select("doc_id")
 
 
-@query("ret14_semantic_cache", "WITH " + VEC + " SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM vs WHERE vec_id <> query_id AND score >= 0.2) WHERE k = 1")
+@query("ret14_semantic_cache", "WITH " + VEC + " SELECT query_id, vec_id, score FROM (SELECT vs.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vs.vec_id) AS k FROM vs JOIN embeddings q ON q.vec_id = query_id WHERE vs.label % 3 = q.label % 3 AND vs.vec_id % 2 = q.vec_id % 2 AND vs.vec_id % 30 < 14) WHERE k = 1 AND score >= 0.95")
 def _(t: Tables):
-    return R.latest_by(V.vector_topk(vector_queries(t), t.embeddings, 2).where("vec_id <> query_id and score >= 0.2"), ["query_id"], [F.desc("score"), F.asc("vec_id")])
+    # entries of the cache: tenant and scope by label and id, a fortnight to live
+    scope = F.concat_ws("/", (F.col("label") % 3).cast("string"), (F.col("vec_id") % 2).cast("string"))
+    e = t.embeddings.withColumn("scope", scope)
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "scope")
+    return V.vector_topk(asked, e, 1, F.col("vec_id") % 30 < 14, same="scope").where("score >= 0.95")
 
 
 @query("ret15_retrieval_match", "WITH " + VEC + " SELECT query_id, max(score) FILTER (WHERE vec_id <> query_id) < 0.3 AS mismatch FROM vs GROUP BY query_id")
@@ -125,18 +175,28 @@ def _(t: Tables):
     return V.vector_topk(vector_queries(t), t.embeddings, 2).where("vec_id <> query_id").groupBy("query_id").agg((F.max("score") < 0.3).alias("mismatch"))
 
 
-@query("ret16_memory_search", "WITH " + VEC + " SELECT query_id, vec_id, round(score * exp(-0.693147 * (vec_id % 60) / 30), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score * exp(-0.693147 * (vec_id % 60) / 30), 6) DESC, vec_id) AS k FROM vs WHERE score >= 0.1 AND label <> 7) WHERE k <= 5")
+FACTS = """facts AS (SELECT vec_id AS fact_id, label AS user_id, 'Fact ' || (vec_id % 50) AS text, CASE WHEN vec_id % 7 <> 0 THEN embedding END AS embedding, vec_id % 60 AS age, vec_id % 13 <> 0 AND vec_id % 17 <> 0 AS live FROM embeddings),
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY age, fact_id) AS n FROM facts WHERE live) WHERE n <= 15),
+asked AS (SELECT vec_id AS query_id, label AS user_id, CASE WHEN vec_id % 200 = 0 THEN 'fact ' || (vec_id // 100 % 50) ELSE 'no such thing' END AS text, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+c AS (SELECT query_id, fact_id, n, contains(lower(f.text), lower(a.text)) AS holds, CASE WHEN f.embedding IS NULL THEN CASE WHEN contains(lower(f.text), lower(a.text)) THEN 0.0 END WHEN round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])), 6) >= 0.3 THEN round(round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])), 6) * exp(-ln(2.0) * age / 30), 6) END AS score FROM asked a JOIN newest f ON f.user_id = a.user_id),
+p AS (SELECT *, CASE WHEN max(score) OVER w IS NOT NULL THEN 0 WHEN bool_or(holds) OVER w THEN 1 ELSE 2 END AS path FROM c WINDOW w AS (PARTITION BY query_id))"""
+
+
+@query("ret16_memory_search", f"WITH {FACTS} SELECT query_id, fact_id, path, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN path = 0 THEN score END DESC NULLS LAST, n) AS place FROM p WHERE CASE path WHEN 0 THEN score IS NOT NULL WHEN 1 THEN holds ELSE true END) WHERE place <= 5")
 def _(t: Tables):
-    s = V.vector_topk(vector_queries(t), t.embeddings, 1 << 30, F.col("label") != 7).where("score >= 0.1")
-    s = s.withColumn("score", F.round(F.col("score") * F.exp(-0.693147 * (F.col("vec_id") % 60) / 30), 6))
-    return R.latest_by(s, ["query_id"], [F.desc("score"), F.asc("vec_id")], 5)
+    day = lambda age: F.expr(f"timestamp_ntz'2024-01-31 00:00:00' - make_interval(0, 0, 0, cast({age} as int))")
+    facts = t.embeddings.select(F.col("vec_id").alias("fact_id"), F.col("label").alias("user_id"), F.concat(F.lit("Fact "), (F.col("vec_id") % 50).cast("string")).alias("text"), F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).alias("embedding"), (F.col("vec_id") % 13 != 0).alias("active"), F.when(F.col("vec_id") % 17 == 0, day("1")).alias("expires_at"), day("vec_id % 60").alias("created_at"))
+    text_ = F.when(F.col("vec_id") % 200 == 0, F.concat(F.lit("fact "), (F.floor(F.col("vec_id") / 100) % 50).cast("string"))).otherwise("no such thing")
+    asked = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("user_id"), text_.alias("text"), F.col("embedding").alias("q"))
+    return V.memory_search(asked, facts, as_of(), 5)
 
 
-@query("ret17_memory_duplicates", "WITH " + VEC + " SELECT DISTINCT query_id FROM vs JOIN embeddings q ON q.vec_id = query_id WHERE vs.vec_id <> query_id AND vs.label = q.label AND score >= 0.25")
+@query("ret17_memory_duplicates", "WITH " + VEC + " SELECT DISTINCT query_id FROM vs JOIN embeddings q ON q.vec_id = query_id WHERE vs.vec_id <> query_id AND vs.label = q.label AND score >= 0.85")
 def _(t: Tables):
-    q = vector_queries(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
-    j = t.embeddings.join(F.broadcast(q), "label").where("vec_id <> query_id")  # ten stated queries
-    return j.where(F.round(maths.cosine(F.col("q"), F.col("embedding")), 6) >= 0.25).select("query_id").distinct()
+    # a search: the facts asked about against all facts of their category; itself is one of the two nearest
+    e = t.embeddings.withColumn("category", F.col("label").cast("string"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "category")
+    return V.vector_topk(asked, e, 3, same="category").where("vec_id <> query_id and score >= 0.85").select("query_id").distinct()
 
 
 @query("ret18_skill_match", "SELECT item_id, p_partkey, score FROM (SELECT item_id, p_partkey, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, p_partkey) AS rn FROM (SELECT item_id, p_partkey, CAST(sum(CASE WHEN contains(lower(p_name), w) THEN 10 ELSE 0 END + CASE WHEN contains(lower(p_type), w) THEN 5 ELSE 0 END) AS BIGINT) AS score FROM (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark WHERE item_id % 100 = 0) WHERE length(w) >= 2), part GROUP BY 1, 2) WHERE score > 0) WHERE rn <= 3")
@@ -147,12 +207,16 @@ def _(t: Tables):
     return R.latest_by(s.where("score > 0"), ["item_id"], [F.desc("score"), F.asc("p_partkey")], 3)
 
 
-@query("ret19_drift_ladder", "WITH " + VEC + " SELECT query_id, CASE WHEN query_id % 400 = 0 THEN 'keep' WHEN query_id % 400 = 100 THEN 'reset' WHEN score < 0.1 THEN 'drift' WHEN score < 0.2 THEN 'possible' ELSE 'keep' END AS state FROM vs WHERE vec_id = query_id + 1")
+@query("ret19_drift_ladder", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), f AS (SELECT a.vec_id, a.label, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+d AS (SELECT *, CASE WHEN vec_id % 9 = 0 THEN 'keep' WHEN vec_id % 9 = 1 THEN 'reset' WHEN s < 0.4 THEN 'drift' WHEN s < 0.6 THEN 'possible' ELSE 'keep' END AS state, vec_id % 11 < 4 AS unsure FROM f),
+g AS (SELECT *, sum(CASE WHEN unsure THEN 0 ELSE 1 END) OVER (PARTITION BY label ORDER BY vec_id) AS run FROM d)
+SELECT vec_id, CASE WHEN state IN ('keep', 'possible') AND streak >= 3 THEN 'reset' ELSE state END AS state, streak FROM (SELECT *, CAST(sum(CASE WHEN unsure THEN 1 ELSE 0 END) OVER (PARTITION BY label, run ORDER BY vec_id) AS BIGINT) AS streak FROM g)""")
 def _(t: Tables):
-    nxt = t.embeddings.select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("e"))
-    s = vector_queries(t).join(nxt, "query_id").select("query_id", F.round(maths.cosine(F.col("q"), F.col("e")), 6).alias("s"))
-    m = F.col("query_id") % 400
-    return s.select("query_id", F.when(m == 0, "keep").when(m == 100, "reset").when(F.col("s") < 0.1, "drift").when(F.col("s") < 0.2, "possible").otherwise("keep").alias("state"))
+    # turns of a session (label) in the order of ids; the next vector is the focus, rules and confidence go by id
+    nxt = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("focus"))
+    s = t.embeddings.join(nxt, "vec_id").select("vec_id", "label", F.round(maths.cosine(F.col("embedding"), F.col("focus")), 6).alias("s"))
+    m = F.col("vec_id") % 9
+    return V.drift_ladder(s, "label", "vec_id", keep=m == 0, switch=m == 1, unsure=F.col("vec_id") % 11 < 4).select("vec_id", "state", "streak")
 
 
 @query("ret20_image_rows", "SELECT page_id, 'image ' || CAST(page_id AS VARCHAR) AS content, length('image ' || CAST(page_id AS VARCHAR)) // 2 AS tokens FROM pages WHERE contains(html, '<script')")

@@ -154,10 +154,54 @@ def test_bleu_rouge():
 # --- retrieval and folds
 
 
+def test_vector_topk_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = [*rng.standard_normal((300, 8)).tolist(), [0.0] * 8, [1.0, 2.0], None]
+    v[5] = v[4]  # a tie
+    e = spark.createDataFrame([(i, x, "ab"[i % 2]) for i, x in enumerate(v)], "vec_id long, embedding array<double>, side string").repartition(5)
+    q = e.where("vec_id % 20 = 4").selectExpr("vec_id as query_id", "embedding as q", "side")
+    monkeypatch.setattr(V, "QUERIES", 4)
+    for same in (None, "side"):
+        got = {}
+        for r in V.vector_topk(q, e, 7, F.col("vec_id") != 11, same=same).collect():
+            got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+        for i in range(4, 300, 20):
+            cos = lambda x: round(float(np.dot(v[i], x) / np.linalg.norm(v[i]) / np.linalg.norm(x)), 6) if len(x) == 8 and any(x) else 0.0
+            want = sorted((-cos(x), j) for j, x in enumerate(v) if x is not None and j != 11 and (same is None or j % 2 == i % 2))[:7]
+            assert sorted((-s, j) for s, j in got[i]) == want
+    assert V.vector_topk(q.limit(0), e, 3).count() == 0
+
+
+def test_collaborative_filtering_splits_hot_keys(spark, monkeypatch):
+    from loomlake.operators import learning as L
+
+    rows = [(u, d, 1.0) for u in range(40) for d in range(12) if d == 0 or (u * 7 + d) % 5 == 0]
+    m = spark.createDataFrame(rows, "user_id long, doc_id long, w double")
+    of = {u: {d for x, d, _ in rows if x == u} for u in range(40)}
+    want = {(a, b): pytest.approx(len(of[a] & of[b]) / len(of[a] | of[b])) for a in of for b in of if a != b and of[a] & of[b]}
+    for block in (5000, 3):
+        monkeypatch.setattr(L, "BLOCK", block)
+        assert {(r.user_id, r.other): r.sim for r in L.in_common(m, "doc_id", "user_id").collect()} == want
+
+
+def test_memory_search_paths(spark):
+    at = lambda d: f"timestamp_ntz'2024-01-{d:02d} 00:00:00'"
+    facts = spark.sql(f"""SELECT * FROM VALUES (1, 1, 'Likes tea', array(1D, 0D), true, cast(null as timestamp_ntz), {at(30)}), (2, 1, 'Likes milk', array(0.6D, 0.8D), true, cast(null as timestamp_ntz), {at(1)}), (3, 1, 'has TEA pot', cast(null as array<double>), true, cast(null as timestamp_ntz), {at(2)}),
+        (4, 1, 'old', array(1D, 0D), true, {at(20)}, {at(29)}), (5, 1, 'off', array(1D, 0D), false, cast(null as timestamp_ntz), {at(29)}), (6, 2, 'other tea', array(1D, 0D), true, cast(null as timestamp_ntz), {at(29)}) AS f(fact_id, user_id, text, embedding, active, expires_at, created_at)""")
+    q = spark.sql("SELECT * FROM VALUES (1, 1, 'tea', array(1D, 0D)), (2, 1, 'milk', array(-1D, 0D)), (3, 1, 'zzz', array(-1D, 0D)), (4, 2, 'x', array(-1D, 0D)) AS q(query_id, user_id, text, q)")
+    got = {}
+    for r in sorted(V.memory_search(q, facts, F.lit("2024-01-31").cast("timestamp_ntz"), 2).collect(), key=lambda r: (r.query_id, r.place)):
+        got.setdefault(r.query_id, []).append((r.fact_id, r.path))
+    # by similarity and decay; by holding the text; the newest
+    assert got == {1: [(1, 0), (2, 0)], 2: [(2, 1)], 3: [(1, 2), (3, 2)], 4: [(6, 2)]}
+
+
 def test_hybrid_merge(spark):
     vec = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.1)], "query_id int, doc_id int, score double")
     ft = spark.createDataFrame([(1, 11, 5.0), (2, 12, 3.0)], "query_id int, doc_id int, score double")
-    assert {tuple(r) for r in V.merge_channels(vec, ft, 5).collect()} == {(1, 10, 1.0), (1, 11, 1.0), (2, 12, 1.0)}
+    assert {tuple(r) for r in V.merge_channels(vec, ft, 5, ("query_id", "doc_id")).collect()} == {(1, 10, 1.0), (1, 11, 1.0), (2, 12, 1.0)}
 
 
 def test_conflicts(spark):

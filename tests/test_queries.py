@@ -8,7 +8,7 @@ import pytest
 
 from loomlake.plans import registry
 
-MAY_BE_EMPTY = {"flt04_empty_access"}
+MAY_BE_EMPTY = {"flt04_empty_access", "ret17_memory_duplicates"}  # the smallest table has no such pair
 
 
 def plain(v):
@@ -41,4 +41,4 @@ def test_entry_module(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 300
-    assert e.entry(spark).columns == ["query_id", "doc_id", "score"]
+    assert e.entry(spark).columns == ["query_id", "chunk_id", "score"]

@@ -125,19 +125,38 @@ def merge_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return nodes, edges.select("src", "dst", "type").distinct()
 
 
-def reach(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(origin, node, depth): nodes within so many hops of each start (origin, node), least depth first.
+def reach(edges: DataFrame, start: DataFrame, hops: int, path: bool = False) -> DataFrame:
+    """(origin, node, depth[, path]): nodes within so many hops of each start (origin, node), least depth first.  path: the nodes of a shortest way, the least in their order.
 
     One join a hop; paths never multiply, as only new nodes go on, and the search ends when there are none.
     Each hop is cut to the shared folder, so the plan grows with the hops and not with their power.
     """
     edges = cut(edges.select(F.col("src").alias("node"), "dst"), "edges")
-    last = cut(start.select("origin", "node").distinct().withColumn("depth", F.lit(0)), "hop")
+    way = [F.array("node").alias("path")] if path else []
+    last = cut(start.select("origin", "node").distinct().select("origin", "node", F.lit(0).alias("depth"), *way), "hop")
     seen = last
     for d in range(1, hops + 1):
-        step = last.join(edges, "node").select("origin", F.col("dst").alias("node")).distinct()
-        last = cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(d)), "hop")
+        step = last.join(edges, "node")
+        if path:
+            step = step.groupBy("origin", "dst").agg(F.min("path").alias("path")).select("origin", F.col("dst").alias("node"), F.lit(d).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
+        else:
+            step = step.select("origin", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(d))
+        last = cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti"), "hop")
         if not last.limit(1).count():
             break
         seen = seen.unionByName(last)
     return seen
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int) -> DataFrame:
+    """(origin, target, length, path) of pairs (origin, target) at most so many hops apart in an undirected graph (edges both ways).
+
+    The searches from both ends meet half way, so neither grows beyond half the hops.
+    """
+    ends = lambda c: pairs.select(F.col(c).alias("origin"), F.col(c).alias("node")).distinct()
+    there = reach(edges, ends("origin"), hops - hops // 2, path=True)
+    back = reach(edges, ends("target"), hops // 2, path=True).select(F.col("origin").alias("target"), "node", F.col("depth").alias("rest"), F.col("path").alias("tail"))
+    meet = pairs.distinct().join(there, "origin").join(back, ["target", "node"])
+    way = F.concat("path", F.reverse(F.slice("tail", F.lit(1), F.size("tail") - 1)))
+    best = meet.groupBy("origin", "target").agg(F.min(F.struct((F.col("depth") + F.col("rest")).alias("length"), way.alias("path"))).alias("b"))
+    return best.select("origin", "target", "b.length", "b.path")

@@ -186,6 +186,15 @@ def test_collaborative_filtering_splits_hot_keys(spark, monkeypatch):
         assert {(r.user_id, r.other): r.sim for r in L.in_common(m, "doc_id", "user_id").collect()} == want
 
 
+def test_shortest_paths(spark):
+    one = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (1, 7), (7, 3), (8, 9)]
+    g = spark.createDataFrame(one + [(b, a) for a, b in one], "src long, dst long")
+    pairs = spark.createDataFrame([(1, 1), (1, 3), (1, 5), (1, 6), (1, 8), (9, 8)], "origin long, target long")
+    got = {(r.origin, r.target): (r.length, r.path) for r in R.shortest_paths(g, pairs, 5).collect()}
+    assert got == {(1, 1): (0, [1]), (1, 3): (2, [1, 2, 3]), (1, 5): (4, [1, 2, 3, 4, 5]), (1, 6): (5, [1, 2, 3, 4, 5, 6]), (9, 8): (1, [9, 8])}
+    assert {(r.target, r.length) for r in R.shortest_paths(g, pairs, 2).collect()} == {(1, 0), (3, 2), (8, 1)}
+
+
 def test_memory_search_paths(spark):
     at = lambda d: f"timestamp_ntz'2024-01-{d:02d} 00:00:00'"
     facts = spark.sql(f"""SELECT * FROM VALUES (1, 1, 'Likes tea', array(1D, 0D), true, cast(null as timestamp_ntz), {at(30)}), (2, 1, 'Likes milk', array(0.6D, 0.8D), true, cast(null as timestamp_ntz), {at(1)}), (3, 1, 'has TEA pot', cast(null as array<double>), true, cast(null as timestamp_ntz), {at(2)}),

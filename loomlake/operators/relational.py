@@ -99,6 +99,33 @@ def outer_sum(parts: dict[str, DataFrame], key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).groupBy(key).agg(*[F.sum(m).alias(m) for m in names])
 
 
+def set_overlap(got: DataFrame, want: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, hits, got, wanted): of each key's distinct items, how many are wanted, how many there are, and how many are wanted in all.  A join with a flag and counts; no set is gathered."""
+    flagged = got.select(key, item).distinct().join(want.select(item).distinct().withColumn("__w", F.lit(1)), item, "left")
+    counts = flagged.groupBy(key).agg(F.count("__w").alias("hits"), F.count("*").alias("got"))
+    return counts.crossJoin(F.broadcast(want.select(item).distinct().agg(F.count("*").alias("wanted"))))  # one row
+
+
+def append_events(log: DataFrame, new: DataFrame, session: str, order: list[str]) -> DataFrame:
+    """new with seq: it goes on from the highest of its session in the log, from 1 in a session without events."""
+    last = log.groupBy(session).agg(F.max("seq").alias("__last"))
+    n = F.row_number().over(Window.partitionBy(session).orderBy(*order))
+    return new.withColumn("__n", n).join(last, session, "left").withColumn("seq", (F.coalesce("__last", F.lit(0)) + F.col("__n")).cast("long")).drop("__n", "__last")
+
+
+def top_of_groups(likes: DataFrame, items: DataFrame, seen: DataFrame, key: str, group: str, item: str, order: list[Column], k: int) -> DataFrame:
+    """(key, item): the k best items a key has not seen, of the groups it likes (key, group); items (item, group, what the order needs).
+
+    Items are ranked within their group first.  Of a group a key can need no more than k beyond those it
+    has seen of it, so that many meet the key and not the whole group.
+    """
+    ranked = items.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    known = seen.join(items.select(item, group), item).groupBy(key, group).agg(F.count("*").alias("__seen"))
+    reach = likes.join(known, [key, group], "left").select(key, group, (F.coalesce("__seen", F.lit(0)) + k).alias("__most"))
+    hits = reach.join(ranked, group).where(F.col("__rank") <= F.col("__most")).join(seen, [key, item], "left_anti")
+    return latest_by(hits, [key], order, k).select(key, item)
+
+
 def first_seen(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Exact dedup: the first row of each key stays."""
     return latest_by(df, keys, order)

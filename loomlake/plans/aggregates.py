@@ -229,10 +229,8 @@ def _(t: Tables):
 
 @query("agg33_context_metrics", "SELECT user_id, len(list_intersect(got, want)) AS hits, round(len(list_intersect(got, want)) * 1.0 / len(want), 6) AS recall, round(len(list_intersect(got, want)) * 1.0 / len(got), 6) AS precision FROM (SELECT user_id, list(DISTINCT doc_id) AS got FROM behaviors GROUP BY 1), (SELECT list(DISTINCT doc_id) AS want FROM docs WHERE depth = 1)")
 def _(t: Tables):
-    want = t.docs.where("depth = 1").agg(F.collect_set("doc_id").alias("want"))
-    g = t.behaviors.groupBy("user_id").agg(F.collect_set("doc_id").alias("got")).crossJoin(F.broadcast(want))  # one row
-    hits = F.size(F.array_intersect("got", "want"))
-    return g.select("user_id", hits.alias("hits"), F.round(hits / F.size("want"), 6).alias("recall"), F.round(hits / F.size("got"), 6).alias("precision"))
+    g = R.set_overlap(t.behaviors.select("user_id", "doc_id"), t.docs.where("depth = 1").select("doc_id"), "user_id", "doc_id")
+    return g.select("user_id", "hits", F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"), F.round(F.col("hits") / F.col("got"), 6).alias("precision"))
 
 
 @query("agg34_metric_mean", "SELECT key, round(avg(v), 4) AS mean FROM (SELECT 'cost' AS key, CAST(cost_cents AS DOUBLE) AS v FROM usage UNION ALL SELECT 'duration', duration_ms FROM usage UNION ALL SELECT 'tokens', input_tokens FROM usage) GROUP BY key")

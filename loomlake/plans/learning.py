@@ -283,9 +283,14 @@ def _(t: Tables):
     return pairs(t).withColumn("l", n).agg(F.count("*").alias("n"), F.sum(F.length("question")).alias("q_chars"), F.sum("l").alias("a_chars"), F.expr("percentile_disc(0.9) within group (order by l)").alias("p90"))
 
 
-@query("snk01_jsonl_export")
+@query("snk01_jsonl_export", "WITH " + PAIRS + " SELECT 'default' AS tenant, question, answer FROM p WHERE question IS NOT NULL AND answer IS NOT NULL")
 def _(t: Tables):
-    return pairs(t).select(F.lit("default").alias("tenant"), F.lit("v20240131-000000").alias("version"), F.to_json(F.struct("question", "answer")).alias("line"))
+    # written under <base>/<tenant>/<version>/<kind> and read back
+    from ..session import scratch
+    from ..sources import jsonl
+
+    at = jsonl.write_jsonl(pairs(t).select("question", "answer"), scratch(t.spark, "export"), None, "v20240131-000000", "sft")
+    return jsonl.read_jsonl(t.spark, at, "question string, answer string").select(F.lit("default").alias("tenant"), "question", "answer")
 
 
 # --- ordered folds

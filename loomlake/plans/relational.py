@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators.store import VectorStore
+from ..session import scratch
 from .registry import AS_OF, Tables, as_of, query
 
 TS = f"TIMESTAMP '{AS_OF}'"
@@ -95,9 +97,22 @@ def _(t: Tables):
 # --- sinks, as the state they leave
 
 
-@query("snk02_vector_upsert", "SELECT chunk_id, version FROM (SELECT vec_id % 300 AS chunk_id, vec_id AS version, row_number() OVER (PARTITION BY vec_id % 300 ORDER BY vec_id DESC) AS rn FROM embeddings) WHERE rn = 1")
+@query("snk02_vector_upsert", "SELECT vec_id, label FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 4 <> 0 OR vec_id % 3 = 0)")
 def _(t: Tables):
-    return R.latest_by(t.embeddings.select((F.col("vec_id") % 300).alias("chunk_id"), F.col("vec_id").alias("version")), ["chunk_id"], [F.desc("version")])
+    # a store with three of four vectors gains and replaces every third; what was written is read back
+    store = VectorStore(t.spark, scratch(t.spark, "vectors"), t.embeddings.schema)
+    store.upsert(t.embeddings.where("vec_id % 4 <> 0"))
+    new = t.embeddings.where("vec_id % 3 = 0").withColumn("label", (F.col("label") + 100).cast(dict(t.embeddings.dtypes)["label"]))
+    store.upsert(new.union(new))
+    return store.table().select("vec_id", "label")
+
+
+@query("udf06_vector_store", "SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 2 = 0")
+def _(t: Tables):
+    store = VectorStore(t.spark, scratch(t.spark, "vectors"), t.embeddings.schema)
+    store.upsert(t.embeddings)
+    store.delete(t.embeddings.where("vec_id % 5 = 0"))
+    return store.fetch(t.embeddings.where("vec_id % 2 = 0")).select("vec_id", "label")
 
 
 @query("snk03_incremental_index", "SELECT d.doc_id, sha256(d.content) AS content_hash FROM docs d WHERE NOT EXISTS (SELECT 1 FROM docs i WHERE i.doc_id = d.doc_id AND i.doc_id % 3 <> 0 AND sha256(i.content) = sha256(d.content))")
@@ -141,9 +156,11 @@ def _(t: Tables):
     return gaps(t)
 
 
-@query("snk08_event_append_seq", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
+@query("snk08_event_append_seq", "WITH log AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + 5 AS seq FROM events WHERE event_id % 3 = 0) SELECT n.user_id, n.event_id, coalesce(last, 0) + row_number() OVER (PARTITION BY n.user_id ORDER BY ts, n.event_id) AS seq FROM events n LEFT JOIN (SELECT user_id, max(seq) AS last FROM log GROUP BY 1) l ON l.user_id = n.user_id WHERE n.event_id % 3 <> 0")
 def _(t: Tables):
-    return t.events.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"))
+    # a log that starts at 6; the rest is appended
+    log = t.events.where("event_id % 3 = 0").select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) + 5).alias("seq"))
+    return R.append_events(log, t.events.where("event_id % 3 <> 0"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "seq")
 
 
 @query("snk09_event_truncate", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 10")
@@ -495,8 +512,7 @@ def _(t: Tables):
     d = t.docs.select("doc_id", F.substring("title", 1, 2).alias("pre"), "view_count")
     seen = t.behaviors.select("user_id", "doc_id").distinct()
     likes = seen.join(d.select("doc_id", "pre"), "doc_id").select("user_id", "pre").distinct()
-    fresh = likes.join(d, "pre").join(seen, ["user_id", "doc_id"], "left_anti")
-    return R.latest_by(fresh, ["user_id"], [F.desc("view_count"), F.asc("doc_id")], 5).select("user_id", "doc_id")
+    return R.top_of_groups(likes, d, seen, "user_id", "pre", "doc_id", [F.desc("view_count"), F.asc("doc_id")], 5)
 
 
 @query("jn28_change_audience", "SELECT DISTINCT b.doc_id, b.user_id FROM behaviors b JOIN docs d ON d.doc_id = b.doc_id WHERE b.action_type = 'purchase' AND b.user_id <> d.owner_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folds, maths, rules
 from ..functions import text as X
+from ..operators import relational as R
 from .registry import Tables, query
 
 TRIM = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
@@ -392,9 +393,8 @@ def _(t: Tables):
 
 @query("ar02_extract_field", "SELECT user_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM behaviors WHERE action_type = 'purchase' GROUP BY user_id")
 def _(t: Tables):
-    items = F.sort_array(F.collect_list(F.struct("event_id", "action_type", "doc_id")))
-    g = t.behaviors.groupBy("user_id").agg(F.transform(F.filter(items, lambda s: s["action_type"] == "purchase"), lambda s: s["doc_id"].cast("string")).alias("ids"))
-    return g.where(F.size("ids") > 0).select("user_id", F.array_join("ids", ",").alias("ids"))
+    bought = t.behaviors.where("action_type = 'purchase'").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "doc_id"))).alias("s"))
+    return bought.select("user_id", F.array_join(F.transform("s", lambda s: s["doc_id"].cast("string")), ",").alias("ids"))
 
 
 @query("ar03_zip_shortest", "SELECT vec_id, least(len(embedding), vec_id % 70) AS n FROM embeddings")
@@ -411,9 +411,7 @@ def _(t: Tables):
 
 @query("ar05_last_match", "SELECT conv_id, arg_max(content, turn) AS last_user FROM messages WHERE role = 'user' GROUP BY conv_id")
 def _(t: Tables):
-    items = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
-    last = F.try_element_at(F.filter(items, lambda s: s["role"] == "user"), F.lit(-1))
-    return t.messages.groupBy("conv_id").agg(last["content"].alias("last_user")).where("last_user is not null")
+    return t.messages.where("role = 'user'").groupBy("conv_id").agg(F.max_by("content", "turn").alias("last_user")).where("last_user is not null")
 
 
 @query("ar06_batches", "SELECT doc_id, (row_number() OVER (PARTITION BY kb_id ORDER BY doc_id) - 1) // 64 AS batch FROM docs")
@@ -423,17 +421,15 @@ def _(t: Tables):
 
 @query("ar07_set_recall_precision", "SELECT user_id, round(count(DISTINCT b.doc_id) FILTER (WHERE d.depth = 1) * 1.0 / max(n), 6) AS recall, round(count(DISTINCT b.doc_id) FILTER (WHERE d.depth = 1) * 1.0 / count(DISTINCT b.doc_id), 6) AS precision FROM behaviors b LEFT JOIN docs d ON d.doc_id = b.doc_id, (SELECT count(*) AS n FROM docs WHERE depth = 1) GROUP BY user_id")
 def _(t: Tables):
-    got = t.behaviors.groupBy("user_id").agg(F.collect_set("doc_id").alias("g"))
-    want = t.docs.where("depth = 1").agg(F.collect_set("doc_id").alias("want"))
-    got = got.crossJoin(F.broadcast(want))  # one row, the relevant set
-    hits = F.size(F.array_intersect("g", "want"))
-    return got.select("user_id", F.round(hits / F.size("want"), 6).alias("recall"), F.round(hits / F.size("g"), 6).alias("precision"))
+    g = R.set_overlap(t.behaviors.select("user_id", "doc_id"), t.docs.where("depth = 1").select("doc_id"), "user_id", "doc_id")
+    return g.select("user_id", F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"), F.round(F.col("hits") / F.col("got"), 6).alias("precision"))
 
 
 @query("ar08_truncate_list", "SELECT user_id, array_to_string(list_transform(list_slice(list(doc_id ORDER BY event_id), 1, 5), lambda x: CAST(x AS VARCHAR)), ',') AS ids FROM behaviors GROUP BY user_id")
 def _(t: Tables):
-    items = F.slice(F.sort_array(F.collect_list(F.struct("event_id", "doc_id"))), 1, 5)
-    return t.behaviors.groupBy("user_id").agg(F.array_join(F.transform(items, lambda s: s["doc_id"].cast("string")), ",").alias("ids"))
+    first = R.latest_by(t.behaviors.select("user_id", "event_id", "doc_id"), ["user_id"], [F.asc("event_id")], 5)
+    items = F.sort_array(F.collect_list(F.struct("event_id", "doc_id")))  # five at most
+    return first.groupBy("user_id").agg(F.array_join(F.transform(items, lambda s: s["doc_id"].cast("string")), ",").alias("ids"))
 
 
 @query("ar09_reading_order")

@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded, cut, documents, expand, pack, python_ready, squeeze, unpack, worker_cache
 
-#: Words that travel by number (two bytes), and documents they are learnt from.
-COMMON, SAMPLE = 65_535, 10_000
+#: Words that travel by number (some 100 bytes each in a worker), and documents they are learnt from.
+COMMON, SAMPLE = 131_072, 10_000
 #: Characters of a chunk's texts, about; words of a bucket, about.
 CHUNK, BUCKET = 4 << 20, 500_000
 #: Pieces up to which the table of pieces is broadcast.
@@ -202,7 +202,7 @@ class Codec:
                 words = m.words(t)
                 at = np.fromiter(map(of.get, words, [most] * len(words)), np.int32, len(words))
                 lens.append(len(words))
-                places.append(at.astype(np.uint16))
+                places.append(at)
                 others += [own.setdefault(words[i], len(own)) for i in np.flatnonzero(at == most).tolist()]
             others = np.array(others, np.int32)
             return ids, pack(np.array(lens, np.int32)), pack(np.concatenate(places)), pack(np.diff(others, prepend=np.int32(0))), _join(list(own)), len(own)
@@ -230,7 +230,7 @@ class Codec:
                     order = np.argsort(of, kind="stable")
                     for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
                         if len(part):
-                            yield pd.DataFrame([(int(of[part[0]]), k, pack(part.astype(np.int32)), _join([words[i] for i in part.tolist()]), len(part))], columns=["bucket", "chunk", "at", "words", "n"])
+                            yield pd.DataFrame([(int(of[part[0]]), k, pack(np.diff(part, prepend=0).astype(np.int32)), _join([words[i] for i in part.tolist()]), len(part))], columns=["bucket", "chunk", "at", "words", "n"])
 
         listed = made.select("chunk", "words", "n").mapInPandas(deal, "bucket int, chunk long, at binary, words binary, n int")
         width = np.dtype(dtype).itemsize
@@ -246,13 +246,13 @@ class Codec:
                 own = [b""] * n
                 for at, sizes, ids in zip(right["at"], right["lens"], right["ids"]):
                     raw, a = expand(ids), 0
-                    for i, b in zip(unpack(at, "<i4").tolist(), np.cumsum(unpack(sizes, "<i4")).tolist()):
+                    for i, b in zip(np.cumsum(unpack(at, "<i4")).tolist(), np.cumsum(unpack(sizes, "<i4")).tolist()):
                         own[i] = raw[a:b]
                         a = b
                 flat = np.frombuffer(blob + b"".join(own), dtype)
                 until = np.concatenate((ends, ends[-1] + np.cumsum([len(x) for x in own], dtype=np.int64))) // width
                 say = (kept["said"] + [" ".join([pieces[x] for x in np.frombuffer(w, dtype).tolist()]) for w in own]).__getitem__
-                at = unpack(places, "<u2").astype(np.int64)
+                at = unpack(places, "<i4").astype(np.int64)
                 hole = np.flatnonzero(at == len(common))
                 at[hole] = len(common) + np.cumsum(unpack(others, "<i4"), dtype=np.int64)
                 a = 0

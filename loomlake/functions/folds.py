@@ -54,17 +54,81 @@ def json_shape(c: Column) -> Column:
     return F.when(has("messages"), "sft").when(has("prompt", "chosen", "rejected"), "dpo").when(has("query", "pos", "neg"), "embedding").when(has("golden"), "golden").otherwise("unknown")
 
 
-def markdown_table_shape(c: Column) -> Column:
-    """Tables (runs of lines with a bar), their rows and cells: a fold over the lines."""
-    lines = F.split(c, "\n")
-    zero = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("tables"), F.lit(0).alias("rows"), F.lit(0).alias("cells"))
-
-    def step(s, line):
-        bar = line.contains("|")
-        return F.struct(bar.alias("inside"), (s["tables"] + (bar & ~s["inside"]).cast("int")).alias("tables"), (s["rows"] + bar.cast("int")).alias("rows"), (s["cells"] + F.when(bar, F.regexp_count(line, F.lit(r"\|")).cast("int") + 1).otherwise(0)).alias("cells"))
-
-    s = F.aggregate(lines, zero, step)
-    return F.struct(s["tables"].alias("tables"), s["rows"].alias("table_rows"), s["cells"].alias("cells"))
+# --- quality of parsing: what a parser gave against the standard text
+
+# fixed values
+TABLE = r"\|[^\n]+\|[\n\r]+\|[-\s|:]+\|[\n\r]+(?:\|[^\n]+\|[\n\r]+)+"
+LATEX, MATH = r"\$([^\$]+)\$", r"[A-Za-z]+\s*[=≈≠<>≤≥]\s*[A-Za-z0-9+\-*/^()²³√]+"
+SYMBOLS = ["∑", "∫", "∂", "π", "√", "∞", "±", "×", "÷", "≈", "≠", "≤", "≥", "²", "³", "α", "β", "γ", "θ", "λ", "μ", "Ω"]
+SAME_SIGN = [(" ", ""), ("*", "×"), ("/", "÷"), (">=", "≥"), ("<=", "≤"), ("!=", "≠"), ("~=", "≈")]
+LAYOUT = {"headings": r"(?is)<h[1-6][^>]*>.*?</h[1-6]>", "paragraphs": r"(?is)<p[^>]*>.*?</p>", "items": r"(?is)<li[^>]*>.*?</li>"}
+MD_HEADING = r"(?m)^#{1,6}\s+.+$"
+WEIGHTS = {"text": 0.4, "tables": 0.2, "formulas": 0.2, "layout": 0.2}
+
+
+def tables(c: Column) -> Column:
+    """Markdown tables, and runs of two or more lines with a bar or a tab (a table can be both)."""
+    lines = F.split(F.coalesce(c, F.lit("")), "\n")
+    run = lambda line: line.contains("|") | line.contains("\t")
+    # what is no such line becomes a mark; runs are what stands between marks
+    marked = F.array_join(F.transform(lines, lambda x: F.when(run(x), x).otherwise(F.lit("\x00"))), "\n")
+    runs = F.filter(F.transform(F.split(marked, "\x00"), lambda x: F.regexp_replace(x, r"^\n+|\n+$", "")), lambda x: x.contains("\n"))
+    return F.concat(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TABLE), 0), runs)
+
+
+def cells(found: Column) -> Column:
+    """Stripped cells of tables; empty ones and rules left out."""
+    rows = F.filter(F.flatten(F.transform(found, lambda x: F.split(x, "\n"))), lambda x: x.contains("|"))
+    every = F.flatten(F.transform(rows, lambda x: F.transform(F.split(x, r"\|"), lambda y: F.regexp_replace(y, r"^\s+|\s+$", ""))))
+    return F.filter(every, lambda x: (x != "") & ~x.rlike(r"^[-:\s]+$"))
+
+
+def formulas(c: Column) -> Column:
+    """LaTeX, plain equations, and what surrounds mathematical signs; each once."""
+    c = F.coalesce(c, F.lit(""))
+    around = [F.regexp_extract_all(c, F.lit(f".{{0,20}}{s}.{{0,20}}"), 0) for s in SYMBOLS]
+    return F.filter(F.array_distinct(F.concat(F.regexp_extract_all(c, F.lit(LATEX), 1), F.regexp_extract_all(c, F.lit(MATH), 0), *around)), lambda x: x != "")
+
+
+def same_signs(c: Column) -> Column:
+    return reduce(lambda x, by: F.replace(x, F.lit(by[0]), F.lit(by[1])), SAME_SIGN, c)
+
+
+def layout(c: Column) -> Column:
+    """Headings, paragraphs (non-blank lines where the text has no tags) and list items."""
+    n = {k: F.regexp_count(c, F.lit(p)) for k, p in LAYOUT.items()}
+    lines = F.size(F.filter(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != ""))
+    paragraphs = F.when((n["paragraphs"] == 0) & ~c.contains("<"), lines).otherwise(n["paragraphs"])
+    return F.struct((n["headings"] + F.regexp_count(c, F.lit(MD_HEADING))).alias("headings"), paragraphs.cast("int").alias("paragraphs"), n["items"].alias("items"))
+
+
+def parse_quality(df: DataFrame, standard: str, parsed: str) -> DataFrame:
+    """df with text_score, table_score, formula_score, layout_score and overall (weighted) of the parsed text.
+
+    Tables and formulas: mean of the count's share and of the share of the standard's cells or formulas that
+    are found (text similarity over 0.9, 0.8 for formulas with like signs).  Layout: mean share of headings,
+    paragraphs and items; what the standard lacks counts 1 if it is absent and half if not.
+    """
+    from .text import similarity
+
+    share = lambda got, want: F.least(got, want) / want
+    found = lambda want, got, least: F.size(F.filter(want, lambda a: F.exists(got, lambda b: (a == b) | (similarity(a, b) > least)))) / F.size(want)
+    d = df.withColumns({"__ta": tables(F.col(standard)), "__tb": tables(F.col(parsed)), "__fa": formulas(F.col(standard)), "__fb": formulas(F.col(parsed)), "__la": layout(F.coalesce(standard, F.lit(""))), "__lb": layout(F.coalesce(parsed, F.lit("")))})
+    d = d.withColumns({"__ca": cells(F.col("__ta")), "__cb": cells(F.col("__tb")), "__na": F.transform("__fa", same_signs), "__nb": F.transform("__fb", same_signs)})
+    ta, tb, fa, fb = (F.size(c) for c in ("__ta", "__tb", "__fa", "__fb"))
+    table_count = F.when(ta == 0, (tb == 0).cast("double")).otherwise(share(tb, ta))
+    table_cells = F.when((ta == 0) | (F.size("__ca") == 0), F.lit(1.0)).otherwise(found(F.col("__ca"), F.col("__cb"), 0.9))
+    formula = F.when(fa == 0, (fb == 0).cast("double")).otherwise((share(fb, fa) + found(F.col("__na"), F.col("__nb"), 0.8)) / 2)
+    one = lambda k: F.when(F.col(f"__la.{k}") == 0, F.when(F.col(f"__lb.{k}") == 0, F.lit(1.0)).otherwise(F.lit(0.5))).otherwise(share(F.col(f"__lb.{k}"), F.col(f"__la.{k}")))
+    scores = {
+        "text_score": similarity(F.coalesce(standard, F.lit("")), F.coalesce(parsed, F.lit(""))),
+        "table_score": F.round((table_count + table_cells) / 2, 4),
+        "formula_score": F.round(formula, 4),
+        "layout_score": F.round((one("headings") + one("paragraphs") + one("items")) / 3, 4),
+    }
+    d = d.withColumns(scores)
+    overall = reduce(lambda a, b: a + b, [F.col(c) * w for c, w in zip(scores, WEIGHTS.values())])
+    return d.select(*df.columns, *scores, F.round(overall, 4).alias("overall"))
 
 
 _CJK = re.compile("[\u4e00-\u9fff]")

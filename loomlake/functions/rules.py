@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import any_of, ngrams
+
 # Pattern families with their severity (low 1, medium 2, high 3), in an RE2-compatible dialect.
 INJECTIONS = [
     ("instruction_hijack", 3, [r"(?i)ignore\s+(?:all\s+)?(?:previous|prior|above)\s+(?:instructions?|prompts?|rules?)", r"(?i)disregard\s+(?:all\s+)?(?:prior|previous|above)\s+(?:instructions?|prompts?|rules?)", r"(?i)forget\s+(?:everything|all\s+(?:previous|prior))", r"忽略(?:之前|前面|上面|先前)(?:所有|的)*(?:指令|提示|规则|内容)", r"无视(?:之前|前面|上面|先前)(?:所有|的)*(?:指令|提示|规则)", r"忘记(?:之前|前面|上面|先前)(?:所有|的)*(?:指令|内容)", r"从现在起(?:你|AI)?(?:是|扮演)", r"(?i)new\s+instructions?\s*[:：]\s*"]),
@@ -78,3 +80,42 @@ def first_match(c: Column, rules: list[tuple[str, str, float]], default: str) ->
     for label, pattern, conf in reversed(rules):
         out = F.when(c.rlike(pattern), F.struct(F.lit(label).alias("label"), F.lit(conf).alias("confidence"), F.regexp_extract(c, pattern, 1).alias("argument"))).otherwise(out)
     return out
+
+
+# --- skill tokens, preferences, facts
+
+# fixed values: words that say nothing of a skill
+STOP_CN = """的 了 在 是 我 你 他 她 它 们 和 与 或 及 等 把 被 让 给 向 这 那 些 个 中 上 下 里 外 前 后 对 于 从 到 要 会 能 可 以 有 无 不 没 都 也 还 又 再 就 一 二 三 请 帮 帮我 一下 需要 想要""".split()
+STOP_EN = """the a an is are was were be been being have has had do does did will would could should may might must can need want please help me i you he she it we they this that these those and or but not for with about to of in on at by from as into""".split()
+# fixed values: what asks for another style, in order
+PREFERENCES = {
+    "concise": ["简单点", "太长了", "简洁", "简短", "精简", "少说"],
+    "detailed": ["详细点", "展开", "具体", "详尽", "多说", "详细说明"],
+    "en": ["用英文", "in english", "answer in english", "用英语"],
+    "zh": ["用中文", "用汉语", "answer in chinese"],
+    "no_code": ["不要代码", "别给代码", "不用代码"],
+    "with_code": ["给代码", "要代码", "带代码", "show code"],
+}
+PREFERENCE_TYPES = {"concise": "concise", "detailed": "detailed", "en": "language", "zh": "language", "no_code": "code", "with_code": "code"}
+# fixed values: what opens a fact
+FACT_TRIGGERS = ["我喜欢", "我偏好", "请用", "请使用", "我希望"]
+
+
+def skill_terms(c: Column) -> Column:
+    """English words of two letters and more, then pairs, triples and single CJK characters, stop words left out; repeats stay."""
+    words = F.transform(F.regexp_extract_all(c, F.lit("[a-zA-Z][a-zA-Z0-9_]*"), 0), F.lower)
+    words = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(STOP_EN))
+    cjk = F.array_join(F.regexp_extract_all(c, F.lit(r"[\x{4E00}-\x{9FFF}]"), 0), "")
+    grams = [F.filter(ngrams(cjk, n), lambda g: ~g.isin(STOP_CN)) for n in (2, 3, 1)]
+    return F.concat(words, *grams)
+
+
+def preference(c: Column, current: dict[str, Column] | None = None) -> Column:
+    """The first style asked for that is not the current one of its type (current: type to column), else null."""
+    low, out = F.lower(c), F.lit(None).cast("string")
+    for value, marks in reversed(PREFERENCES.items()):
+        hit = any_of(low, marks)
+        if current and PREFERENCE_TYPES[value] in current:
+            hit = hit & ~F.coalesce(current[PREFERENCE_TYPES[value]] == value, F.lit(False))
+        out = F.when(hit, value).otherwise(out)
+    return out

@@ -388,9 +388,11 @@ def _(t: Tables):
 
 @query("ev09_parse_quality")
 def _(t: Tables):
-    from ..functions.folds import markdown_table_shape
+    from ..functions.folds import parse_quality
+    from .text import parsed_pairs
 
-    return t.documents.select("source", markdown_table_shape(F.col("text")).alias("s")).groupBy("source").agg(F.round(F.avg("s.tables"), 4).alias("tables"), F.round(F.avg("s.cells"), 4).alias("cells"))
+    q = parse_quality(parsed_pairs(t), "standard", "parsed")
+    return q.groupBy("source").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in ("text_score", "table_score", "formula_score", "layout_score", "overall")])
 
 
 @query("ev10_injection_verdict", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'pass' WHEN contains(lower(text), 'the') OR contains(lower(text), 'secret') THEN 'fail' ELSE 'partial' END AS verdict FROM benchmark")

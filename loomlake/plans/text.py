@@ -120,15 +120,25 @@ def _(t: Tables):
     return t.benchmark.join(b, "item_id").select("item_id", F.round(X.token_jaccard(F.col("text"), F.col("other")), 6).alias("j"))
 
 
+def parsed_pairs(t: Tables):
+    """A standard text with a table, a formula and a heading, and what a parser made of it: some cells and signs changed, every third without its heading."""
+    head, n = F.substring("text", 1, 400), F.col("doc_id")
+    table = F.concat(F.lit("\n| name | value |\n|---|---|\n| row "), n.cast("string"), F.lit(" | "), (n * 7919).cast("string"), F.lit(" |\n| total | 5 |\n\n"))
+    standard = F.concat(F.lit("# Title\n"), head, table, F.lit("so $a_"), (n % 5).cast("string"), F.lit(" * x >= b$ and E = m\n"))
+    got = F.when(n % 2 == 0, F.replace(standard, F.lit(" * x >= "), F.lit("×x≥"))).otherwise(F.replace(standard, F.lit("| total | 5 |"), F.lit("| sum | 6 |")))
+    return t.documents.select("doc_id", "source", standard.alias("standard"), F.when(n % 3 == 0, F.replace(got, F.lit("# Title\n"), F.lit(""))).otherwise(got).alias("parsed"))
+
+
 @query("str18_markdown_tables")
 def _(t: Tables):
-    return t.documents.select("doc_id", folds.markdown_table_shape(F.col("text")).alias("s")).select("doc_id", "s.*")
+    d = parsed_pairs(t).select("doc_id", folds.tables(F.col("parsed")).alias("found"))
+    return d.select("doc_id", F.size("found").alias("tables"), F.array_join(folds.cells(F.col("found")), "\x1f").alias("cells"))
 
 
-@query("str19_formula_layout", "SELECT doc_id, len(regexp_extract_all(text, '\\$[^$\\n]+\\$')) AS formulas, len(regexp_extract_all(text, '(?m)^#{1,6} ')) AS headings, len(regexp_extract_all(text, '\\n')) + 1 AS lines FROM documents")
+@query("str19_formula_layout")
 def _(t: Tables):
-    n = lambda p: F.regexp_count("text", F.lit(p))
-    return t.documents.select("doc_id", n(r"\$[^$\n]+\$").alias("formulas"), n("(?m)^#{1,6} ").alias("headings"), (n(r"\n") + 1).alias("lines"))
+    d = parsed_pairs(t).select("doc_id", folds.formulas(F.col("parsed")).alias("f"), folds.layout(F.col("parsed")).alias("l"))
+    return d.select("doc_id", F.array_join(F.transform("f", folds.same_signs), "\x1f").alias("formulas"), "l.*")
 
 
 @query("str20_html_cleaner")
@@ -156,10 +166,19 @@ def _(t: Tables):
     return t.benchmark.select("item_id", F.size(X.mixed_tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query("str24_skill_tokens", "SELECT item_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{2,}'), lambda x: x NOT IN ('the', 'of', 'and', 'to', 'in', 'is', 'for')))) AS n FROM benchmark")
+def quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+MIXED = "text || CASE item_id % 3 WHEN 0 THEN '帮我查一下报销流程，需要VPN权限' WHEN 1 THEN '的' ELSE '' END"
+
+
+@query("str24_skill_tokens", f"""SELECT item_id, array_to_string(list_concat(list_concat(list_concat(list_filter(list_transform(regexp_extract_all(x, '[a-zA-Z][a-zA-Z0-9_]*'), lambda w: lower(w)), lambda w: length(w) >= 2 AND w NOT IN ({quoted(rules.STOP_EN)})),
+    list_filter(list_transform(range(1, length(c)), lambda i: substr(c, i, 2)), lambda w: w NOT IN ({quoted(rules.STOP_CN)}))), list_filter(list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3)), lambda w: w NOT IN ({quoted(rules.STOP_CN)}))),
+    list_filter(list_transform(range(1, length(c) + 1), lambda i: substr(c, i, 1)), lambda w: w NOT IN ({quoted(rules.STOP_CN)}))), ' ') AS terms
+  FROM (SELECT item_id, x, array_to_string(regexp_extract_all(x, '[\\x{{4E00}}-\\x{{9FFF}}]'), '') AS c FROM (SELECT item_id, {MIXED} AS x FROM benchmark))""")
 def _(t: Tables):
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0), lambda x: ~x.isin("the", "of", "and", "to", "in", "is", "for"))
-    return t.benchmark.select("item_id", F.size(F.array_distinct(words)).cast("long").alias("n"))
+    return t.benchmark.select("item_id", F.array_join(rules.skill_terms(F.expr(MIXED)), " ").alias("terms"))
 
 
 @query("str25_similarity_tokens", "SELECT doc_id, len(list_distinct(regexp_extract_all(lower(content), '[a-z]+|[\\x{4E00}-\\x{9FFF}]'))) AS n FROM docs")
@@ -255,14 +274,20 @@ def _(t: Tables):
     return t.events.select("event_id", folds.needs_coreference(q, ["that", "it"], ["explain"]).alias("needed"))
 
 
-@query("str36_preference_drift", "SELECT conv_id, turn, contains(lower(content), 'instead') OR contains(lower(content), 'rather') OR contains(lower(content), 'the') AS drift FROM messages WHERE role = 'user'")
+# user messages that end in a request
+ASKED = "content || CASE (conv_id + turn) % 9 WHEN 0 THEN ' 简单点，不要代码' WHEN 1 THEN ' Answer in English' WHEN 2 THEN ' 详细说明' WHEN 3 THEN ' show code 用中文' WHEN 4 THEN ' 我希望简短，请用中文回答' WHEN 5 THEN ' 我喜欢茶' ELSE '' END"
+DRIFT = "CASE " + " ".join(f"WHEN ({' OR '.join(f'contains(low, {quoted([m])})' for m in marks)}) AND NOT coalesce(now_{rules.PREFERENCE_TYPES[v]} = '{v}', false) THEN '{v}'" for v, marks in rules.PREFERENCES.items()) + " END"
+
+
+@query("str36_preference_drift", f"SELECT conv_id, turn, {DRIFT} AS preference FROM (SELECT conv_id, turn, lower({ASKED}) AS low, CASE conv_id % 2 WHEN 0 THEN 'en' END AS now_language, CASE conv_id % 3 WHEN 0 THEN 'concise' END AS now_concise, NULL AS now_detailed, NULL AS now_code FROM messages WHERE role = 'user')")
 def _(t: Tables):
-    return t.messages.where("role = 'user'").select("conv_id", "turn", X.any_of(F.lower("content"), ["instead", "rather", "the"]).alias("drift"))
+    now = {"language": F.when(F.col("conv_id") % 2 == 0, "en"), "concise": F.when(F.col("conv_id") % 3 == 0, "concise")}
+    return t.messages.where("role = 'user'").select("conv_id", "turn", rules.preference(F.expr(ASKED), now).alias("preference"))
 
 
-@query("str37_keyword_facts", "SELECT conv_id, turn, coalesce(CASE WHEN strpos(content, 'and ') > 0 THEN substr(content, strpos(content, 'and '), 100) END, CASE WHEN strpos(content, 'the ') > 0 THEN substr(content, strpos(content, 'the '), 100) END) AS fact FROM messages")
+@query("str37_keyword_facts", f"SELECT conv_id, turn, coalesce({', '.join(f'CASE WHEN strpos(low, {quoted([m])}) > 0 THEN substr(low, strpos(low, {quoted([m])}), 100) END' for m in rules.FACT_TRIGGERS)}) AS fact FROM (SELECT conv_id, turn, lower({ASKED}) AS low FROM messages)")
 def _(t: Tables):
-    return t.messages.select("conv_id", "turn", folds.fact_after(F.col("content"), ["and ", "the "], 100).alias("fact"))
+    return t.messages.select("conv_id", "turn", folds.fact_after(F.lower(F.expr(ASKED)), rules.FACT_TRIGGERS, 100).alias("fact"))
 
 
 @query("str38_message_compression", "SELECT conv_id, turn, CASE WHEN role = 'system' THEN '[system]' WHEN length(content) > 80 THEN substr(content, 1, 80) ELSE content END AS short FROM messages")

@@ -186,6 +186,25 @@ def test_collaborative_filtering_splits_hot_keys(spark, monkeypatch):
         assert {(r.user_id, r.other): r.sim for r in L.in_common(m, "doc_id", "user_id").collect()} == want
 
 
+def test_parse_quality(spark):
+    md = "# T\n| a | b |\n|---|---|\n| one | two |\n\ntext\nx\ty\nz\tw\nend\nlone | line"
+    d = spark.createDataFrame([(md,)], "t string")
+    got = d.select(TF.tables(d.t).alias("t"), TF.cells(TF.tables(d.t)).alias("c")).first()
+    block = "| a | b |\n|---|---|\n| one | two |"
+    assert got.t == [block + "\n\n", block, "x\ty\nz\tw"] and got.c == ["a", "b", "one", "two"] * 2
+    d = spark.createDataFrame([("so $x * y$ and E = m*c, area π of it $x * y$",), (None,)], "t string")
+    f = [r.f for r in d.select(TF.formulas(d.t).alias("f")).collect()]
+    assert f[0] == ["x * y", "E = m*c", "$ and E = m*c, area π of it $x * y$"]  # up to 20 characters on both sides
+    assert f[1] == [] and spark.range(1).select(TF.same_signs(F.lit("a * b >= c / d != e")).alias("x")).first().x == "a×b≥c÷d≠e"
+    lay = spark.createDataFrame([("# A\n\nb\nc",), ("<h2>x</h2><p>a</p><p>b</p><ul><li>1</li></ul>",)], "t string")
+    assert [tuple(r.l) for r in lay.select(TF.layout(lay.t).alias("l")).collect()] == [(1, 3, 0), (1, 2, 1)]
+    pairs = spark.createDataFrame([(md, md), ("plain text", "plain text"), ("plain text", "| a | b |\n| c | d |"), ("| a | b |\n| c | d |", "nothing"), ("$a*b$", "$a × b$"), ("$a*b$", "none")], "s string, p string")
+    rows = [(r.text_score, r.table_score, r.formula_score, r.layout_score, r.overall) for r in TF.parse_quality(pairs, "s", "p").collect()]
+    assert rows[0] == rows[1] == (1.0, 1.0, 1.0, 1.0, 1.0)
+    assert [r[1] for r in rows[2:4]] == [0.5, 0.0] and rows[5][2] == 0.0 and rows[4][1] == 1.0
+    assert all(o == pytest.approx(0.4 * a + 0.2 * (b + c + d), abs=1e-4) for a, b, c, d, o in rows)
+
+
 def test_shortest_paths(spark):
     one = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (1, 7), (7, 3), (8, 9)]
     g = spark.createDataFrame(one + [(b, a) for a, b in one], "src long, dst long")

@@ -37,7 +37,7 @@ def _(t: Tables):
 
 @query("jn16_user_jaccard", "WITH " + UCF + " SELECT user_id, other, round(sim, 6) AS sim FROM near")
 def _(t: Tables):
-    return R.latest_by(L.in_common(m(t), "doc_id", "user_id"), ["user_id"], [F.desc("sim"), F.asc("other")], 10).select("user_id", "other", F.round("sim", 6).alias("sim"))
+    return L.nearest_sets(m(t), "doc_id", "user_id", 10).select("user_id", "other", F.round("sim", 6).alias("sim"))
 
 
 @query("rec02_user_cf", "WITH " + UCF + " SELECT user_id, doc_id, score FROM ucf")

@@ -184,6 +184,14 @@ def test_collaborative_filtering_splits_hot_keys(spark, monkeypatch):
     for block in (5000, 3):
         monkeypatch.setattr(L, "BLOCK", block)
         assert {(r.user_id, r.other): r.sim for r in L.in_common(m, "doc_id", "user_id").collect()} == want
+    for queries, room in ((4096, 4_000_000), (7, 30)):
+        monkeypatch.setattr(L, "QUERIES", queries)
+        monkeypatch.setattr(L, "ROOM", room)
+        got = {}
+        for r in L.nearest_sets(m.repartition(3), "doc_id", "user_id", 4).collect():
+            got.setdefault(r.user_id, []).append((-r.sim, r.other))
+        exact = {a: sorted((-len(of[a] & of[b]) / len(of[a] | of[b]), b) for b in of if a != b and of[a] & of[b])[:4] for a in of}
+        assert {a: sorted(v) for a, v in got.items()} == exact
 
 
 def test_parse_quality(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import maths, text
+from ..functions import maths, rules, text
 from ..operators import chunking as C
 from ..operators import relational as R
 from ..operators import retrieval as V
@@ -199,12 +199,21 @@ def _(t: Tables):
     return V.vector_topk(asked, e, 3, same="category").where("vec_id <> query_id and score >= 0.85").select("query_id").distinct()
 
 
-@query("ret18_skill_match", "SELECT item_id, p_partkey, score FROM (SELECT item_id, p_partkey, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, p_partkey) AS rn FROM (SELECT item_id, p_partkey, CAST(sum(CASE WHEN contains(lower(p_name), w) THEN 10 ELSE 0 END + CASE WHEN contains(lower(p_type), w) THEN 5 ELSE 0 END) AS BIGINT) AS score FROM (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark WHERE item_id % 100 = 0) WHERE length(w) >= 2), part GROUP BY 1, 2) WHERE score > 0) WHERE rn <= 3")
+WISH = "lower(text) || CASE item_id % 300 WHEN 0 THEN ' a small widget, economy' WHEN 100 THEN ' brand bolt bolt' ELSE '' END"
+
+
+@query("ret18_skill_match", f"""WITH asked AS (SELECT item_id AS query_id, unnest(list_filter(regexp_extract_all({WISH}, '[a-zA-Z][a-zA-Z0-9_]*'), lambda w: length(w) >= 2 AND w NOT IN ({", ".join(f"'{w}'" for w in rules.STOP_EN)}))) AS w FROM benchmark WHERE item_id % 100 = 0),
+skills AS (SELECT p_partkey AS skill_id, lower(p_name) AS name, lower(p_type) AS category, lower(p_brand) AS tag, lower(p_name || ' of ' || p_type) AS description FROM part),
+k AS (SELECT query_id, skill_id, sum(CASE WHEN contains(name, w) THEN 10 ELSE 0 END + CASE WHEN contains(category, w) THEN 5 ELSE 0 END + CASE WHEN contains(tag, w) THEN 8 ELSE 0 END + CASE WHEN contains(description, w) THEN 3 ELSE 0 END) AS points FROM asked, skills GROUP BY 1, 2),
+f AS (SELECT query_id, skill_id, round(points + CASE WHEN sim >= 0.4 THEN sim * 10 ELSE 0 END, 6) AS score FROM (SELECT i.item_id AS query_id, skills.skill_id, coalesce(points, 0) AS points, round(coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 0), 6) AS sim FROM (SELECT item_id FROM benchmark WHERE item_id % 100 = 0) i CROSS JOIN skills LEFT JOIN k ON k.query_id = i.item_id AND k.skill_id = skills.skill_id LEFT JOIN embeddings q ON q.vec_id = i.item_id LEFT JOIN embeddings v ON v.vec_id = skills.skill_id) k),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, skill_id) AS n FROM f WHERE score >= 5)
+SELECT query_id, skill_id, score, false AS "all" FROM r WHERE n <= 3 UNION ALL SELECT item_id, NULL, 0.0, true FROM benchmark WHERE item_id % 100 = 0 AND item_id NOT IN (SELECT query_id FROM r)""")
 def _(t: Tables):
-    w = t.benchmark.where("item_id % 100 = 0").select("item_id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), lambda x: F.length(x) >= 2))).alias("w"))
-    p = t.part.select("p_partkey", F.lower("p_name").alias("name"), F.lower("p_type").alias("type"))
-    s = p.crossJoin(F.broadcast(w)).groupBy("item_id", "p_partkey").agg(F.sum(F.when(F.col("name").contains(F.col("w")), 10).otherwise(0) + F.when(F.col("type").contains(F.col("w")), 5).otherwise(0)).alias("score"))
-    return R.latest_by(s.where("score > 0"), ["item_id"], [F.desc("score"), F.asc("p_partkey")], 3)
+    v = t.embeddings.select("vec_id", F.col("embedding").alias("e"))
+    asked = t.benchmark.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), rules.skill_terms(F.expr(WISH)).alias("terms"))
+    asked = asked.join(v, F.col("vec_id") == F.col("query_id"), "left").select("query_id", "terms", F.col("e").alias("q"))
+    skills = t.part.join(v, F.col("vec_id") == F.col("p_partkey"), "left").select(F.col("p_partkey").alias("skill_id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.array("p_brand").alias("tags"), F.concat_ws(" of ", "p_name", "p_type").alias("description"), F.col("e").alias("embedding"))
+    return V.skill_match(asked, skills, 3)
 
 
 @query("ret19_drift_ladder", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), f AS (SELECT a.vec_id, a.label, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),

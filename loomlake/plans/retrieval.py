@@ -191,11 +191,12 @@ def _(t: Tables):
     return V.memory_search(asked, facts, as_of(), 5)
 
 
-@query("ret17_memory_duplicates", "WITH " + VEC + " SELECT DISTINCT query_id FROM vs JOIN embeddings q ON q.vec_id = query_id WHERE vs.vec_id <> query_id AND vs.label = q.label AND score >= 0.85")
+@query("ret17_memory_duplicates", "WITH facts AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, label, embedding FROM embeddings WHERE vec_id % 200 = 0), q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0) SELECT DISTINCT q.vec_id AS query_id FROM q JOIN facts f ON f.label = q.label AND f.vec_id <> q.vec_id AND round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])), 6) >= 0.85")
 def _(t: Tables):
-    # a search: the facts asked about against all facts of their category; itself is one of the two nearest
-    e = t.embeddings.withColumn("category", F.col("label").cast("string"))
-    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "category")
+    # a search: the facts asked about against all facts of their category, some of which were said twice; itself is one of the nearest
+    e = t.embeddings.select("vec_id", "label", "embedding")
+    e = e.union(e.where("vec_id % 200 = 0").select(F.col("vec_id") + 1000000, "label", "embedding")).withColumn("category", F.col("label").cast("string"))
+    asked = e.where("vec_id % 100 = 0 and vec_id < 1000000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "category")
     return V.vector_topk(asked, e, 3, same="category").where("vec_id <> query_id and score >= 0.85").select("query_id").distinct()
 
 

@@ -11,7 +11,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from loomlake.llm import bpe, mixing, quality  # noqa: E402
 from loomlake.llm.common import cut, documents  # noqa: E402
 
-from .test_operators import TEXTS, lower, plain_fingerprint, plan_by_hand, table  # noqa: E402
+from .test_operators import TEXTS, lower, plan_by_hand, table  # noqa: E402
 
 
 def test_stages_and_run(spark, sf):
@@ -31,15 +31,16 @@ def test_stages_and_run(spark, sf):
     for r in rows[1]:
         best[lower(r["text"])] = max(best.get(lower(r["text"]), -1), r["doc_id"])
     assert sorted(ids[2]) == sorted(best.values())
-    # SimHash: the smallest id of each class
-    fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in rows[2]}
-    up = {i: i for i in fps}
+    # SimHash: the smallest id of each class of texts whose sets of 5-word shingles are 0.8 alike, compared pair by pair
+    words = {r["doc_id"]: lower(r["text"]).encode().split() for r in rows[2]}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, w in words.items()}
+    up = {i: i for i in sets}
     changed = True
     while changed:
         changed = False
-        for a in fps:
-            for b in fps:
-                if up[a] != up[b] and (fps[a] ^ fps[b]).bit_count() <= 2:
+        for a in sets:
+            for b in sets:
+                if up[a] != up[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                     up[a] = up[b] = min(up[a], up[b])
                     changed = True
     assert sorted(ids[3]) == sorted(set(up.values()))

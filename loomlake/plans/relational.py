@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import relational as R
 from ..operators.store import VectorStore
 from ..session import scratch
-from .registry import AS_OF, Tables, as_of, query
+from .registry import AS_OF, Tables, query
 
 TS = f"TIMESTAMP '{AS_OF}'"
 LEVEL = "CASE {c} WHEN 'public' THEN 0 WHEN 'internal' THEN 1 WHEN 'confidential' THEN 2 WHEN 'secret' THEN 3 END"
@@ -211,9 +211,12 @@ def _(t: Tables):
     return R.hierarchy(t.docs, {"doc_status": "published"}).select("doc_id")
 
 
-@query("flt04_empty_access", "SELECT doc_id FROM docs WHERE 1 = 0")
+@query("flt04_empty_access", "SELECT 'unrestricted' AS access, doc_id FROM docs UNION ALL SELECT 'two', doc_id FROM docs WHERE kb_id IN ('src0', 'src1')")
 def _(t: Tables):
-    return R.accessible(t.docs, []).select("doc_id")
+    # no restriction gives every row, an empty set none
+    sets = {"unrestricted": None, "two": ["src0", "src1"], "empty": []}
+    parts = [R.accessible(t.docs, kbs).select(F.lit(name).alias("access"), "doc_id") for name, kbs in sets.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("flt05_permission_hits", f"SELECT s.event_id, d.doc_id FROM searches s JOIN docs d ON s.clicked_doc_id = d.doc_id WHERE d.kb_id IN ('src0', 'src1', 'src2', 'src3') AND {LEVEL.format(c='d.classification')} <= 1")

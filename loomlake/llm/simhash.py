@@ -333,7 +333,7 @@ def alike(one: np.ndarray, two: np.ndarray) -> bool:
 
 
 def described(texts: DataFrame, buckets: int) -> DataFrame:
-    """(key, doc_id, print, n, prefix) of texts (doc_id, __fp, text): fingerprint, number of distinct shingles and those of its rarest, as group numbers, that other texts have as well.
+    """(key, doc_id, print, n, prefix, at) of texts (doc_id, __fp, text): fingerprint, number of distinct shingles and those of its rarest, as group numbers, that other texts have as well, with their places.
 
     Documents go in chunks.  A chunk sends its distinct shingles, 48 bits of their hashes, packed by range
     of hashes; the ranges' tasks count them over all documents and answer with number and count of those
@@ -391,11 +391,15 @@ def described(texts: DataFrame, buckets: int) -> DataFrame:
                 own = np.cumsum(gaps[a : a + k], dtype=np.int64)
                 a += k
                 first = own[np.argsort(total[own], kind="stable")[: prefix_size(k)]]
-                out.append((key, doc, fp, k, group[first[total[first] > 1]] if k else np.array([-1])))  # texts without words meet
-        return pd.DataFrame(out, columns=["key", "doc_id", "print", "n", "prefix"]).astype({"doc_id": "Int64"})
+                at = np.flatnonzero(total[first] > 1)
+                if not k:  # texts without words meet
+                    out.append((key, doc, fp, 0, np.array([-1]), np.array([0])))
+                else:
+                    out.append((key, doc, fp, k, group[first[at]], at))
+        return pd.DataFrame(out, columns=["key", "doc_id", "print", "n", "prefix", "at"]).astype({"doc_id": "Int64"})
 
     documents_of = made.where("bucket < 0").select("chunk", "n", "keys", "ids", "prints", "lens", "gaps")
-    return documents_of.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(order, "key long, doc_id long, print long, n long, prefix array<long>")
+    return documents_of.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(order, "key long, doc_id long, print long, n long, prefix array<long>, at array<long>")
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
@@ -411,9 +415,11 @@ def near_classes(texts: DataFrame) -> DataFrame:
     n, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     sets = cut(described(texts, max(1, (size or 0) // COUNTED)), "sets")
     nodes = cut(sets.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
-    member = F.struct("n", "key")
-    groups = sets.select(member.alias("m"), F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.sort_array(F.collect_set("m")).alias("of")).where("size(of) > 1")
-    groups = cut(groups.select("of").distinct().select(F.xxhash64("of").alias("g"), F.explode("of").alias("m")).select("g", "m.n", "m.key"), "groups")
+    # a group: the texts that share a rare shingle, with its place in each; of groups of the same texts the first shingle's
+    shared = sets.select("n", "key", F.explode(F.arrays_zip("prefix", "at")).alias("e")).groupBy("e.prefix").agg(F.sort_array(F.collect_set(F.struct("n", "key", "e.at"))).alias("of"))
+    shared = shared.where((F.size("of") > 1) & F.exists("of", lambda x: x["at"] * (ALIKE[0] + ALIKE[1]) <= x["n"] * (ALIKE[1] - ALIKE[0])))
+    shared = shared.groupBy(F.transform("of", lambda x: F.struct(x["n"].alias("n"), x["key"].alias("key"))).alias("who")).agg(F.min(F.transform("of", lambda x: x["at"])).alias("at"))
+    groups = cut(shared.select(F.xxhash64("who").alias("g"), F.explode(F.arrays_zip("who", "at")).alias("m")).select("g", "m.who.n", "m.who.key", "m.at"), "groups")
     prints = sets.select("print", "key")
     first = cut(prints.groupBy("print").agg(F.min("key").alias("key")), "prints")
     found = fingerprint_links(first.select(F.col("print").alias("__fp")))
@@ -423,7 +429,14 @@ def near_classes(texts: DataFrame) -> DataFrame:
     pairs = pairs.unionByName(prints.join(first.withColumnRenamed("key", "a"), "print").select("a", F.col("key").alias("b")))
     tried = links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     of = nodes.select("key", F.col("key").alias("root"))
-    close = F.col("x.n") * ALIKE[1] >= F.col("y.n") * ALIKE[0]
+    share, whole_ = ALIKE[0], ALIKE[0] + ALIKE[1]  # alike texts have share / whole_ of the sum of their sizes in common
+
+    def can(n1, at1, n2, at2):
+        """What two texts can share from their first common shingle on suffices, and so do their sizes."""
+        return (F.least(n1 - at1, n2 - at2) * whole_ >= (n1 + n2) * share) & (F.least(n1, n2) * ALIKE[1] >= F.greatest(n1, n2) * ALIKE[0])
+
+    #: a text that can be the smaller of an alike pair at this shingle: what follows it is enough for a partner of its size
+    early = F.col("at") * whole_ <= F.col("n") * (ALIKE[1] - ALIKE[0])
 
     def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -448,17 +461,17 @@ def near_classes(texts: DataFrame) -> DataFrame:
             break
         # groups that still hold several classes
         open_ = groups.join(of, "key")
-        sizes = open_.groupBy("g", "root").agg(F.count("*").alias("c")).groupBy("g").agg(F.count("*").alias("classes"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s")).where("classes > 1")
+        sizes = open_.groupBy("g", "root").agg(F.count("*").alias("c"), F.sum(early.cast("long")).alias("e")).groupBy("g").agg(F.count("*").alias("classes"), F.sum("c").alias("m"), F.sum("e").alias("early"), F.sum(F.col("c") * F.col("e")).alias("own")).where("classes > 1 and early > 0")
         sizes = cut(sizes, "sizes")
-        left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
-        open_ = cut(open_.join(sizes.select("g"), "g", "left_semi"), "open")
+        left = sizes.agg(F.sum(F.col("m") * F.col("early") - F.col("own"))).first()[0] or 0
+        open_ = cut(open_.join(sizes.select("g"), "g", "left_semi").withColumn("early", early), "open")
         everything = turn == ROUNDS - 1 or left <= PAIRS * n
         if everything:
-            x = open_.alias("x").join(open_.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))) & close)
+            x = open_.where("early").alias("x").join(open_.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.n")) & can(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
             pairs = x.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         else:
-            one = open_.groupBy("g").agg(F.min_by(F.struct("key", "root", "n"), F.xxhash64("key", F.lit(turn))).alias("o"))
-            pairs = open_.join(one, "g").where("o.root <> root").where((F.least("o.n", "n") * ALIKE[1] >= F.greatest("o.n", "n") * ALIKE[0])).select(F.col("o.key").alias("a"), F.col("key").alias("b"))
+            one = open_.where("early").groupBy("g").agg(F.min_by(F.struct("key", "root", "n", "at"), F.xxhash64("key", F.lit(turn))).alias("o"))
+            pairs = open_.join(one, "g").where("o.root <> root").where(can(F.col("o.n"), F.col("o.at"), F.col("n"), F.col("at"))).select(F.col("o.key").alias("a"), F.col("key").alias("b"))
     named = of.join(nodes, "key")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return cut(named.join(bounded(cut(least, "least"), 200_000), "root").select(F.col("key").alias("__fp"), F.col("root").alias("__root"), "component_id"), "classes")

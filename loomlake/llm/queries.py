@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embed_dedup, exact_dedup, mixing, passage_dedup, quality, sharding, simhash, toxicity
+from . import bpe, chat_format, embed_dedup, exact_dedup, merkle, mixing, passage_dedup, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_suffix_dedup": passage_dedup.op8_suffix_dedup,
     "op9_embed_dedup": embed_dedup.op9_embed_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_merkle": merkle.op11_merkle,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op8_suffix_dedup": passage_dedup.OP8_SQL,
     "op9_embed_dedup": embed_dedup.OP9_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }

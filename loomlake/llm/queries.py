@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embed_dedup, exact_dedup, merkle, mixing, passage_dedup, quality, sharding, simhash, toxicity
+from . import bpe, chat_format, embed_dedup, exact_dedup, merkle, mixing, passage_dedup, quality, sharding, simhash, token_files, toxicity, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_embed_dedup": embed_dedup.op9_embed_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
     "op11_merkle": merkle.op11_merkle,
+    "op12_token_files": token_files.op12_token_files,
+    "op13_whitening": whitening.op13_whitening,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,

@@ -97,14 +97,28 @@ def _(t: Tables):
 # --- sinks, as the state they leave
 
 
-@query("snk02_vector_upsert", "SELECT vec_id, label FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 4 <> 0 OR vec_id % 3 = 0)")
+@query("snk02_vector_upsert", "SELECT vec_id, CASE WHEN vec_id % 6 = 0 THEN label + 200 WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 4 <> 0 OR vec_id % 3 = 0")
 def _(t: Tables):
-    # a store with three of four vectors gains and replaces every third; what was written is read back
-    store = VectorStore(t.spark, scratch(t.spark, "vectors"), t.embeddings.schema)
+    # a store with three of four vectors gains and replaces every third, every sixth twice: the later row stays; who opens the path again reads it
+    path, kind = scratch(t.spark, "vectors"), dict(t.embeddings.dtypes)["label"]
+    store = VectorStore(t.spark, path, t.embeddings.schema)
     store.upsert(t.embeddings.where("vec_id % 4 <> 0"))
-    new = t.embeddings.where("vec_id % 3 = 0").withColumn("label", (F.col("label") + 100).cast(dict(t.embeddings.dtypes)["label"]))
-    store.upsert(new.union(new))
-    return store.table().select("vec_id", "label")
+    new = t.embeddings.where("vec_id % 3 = 0").withColumn("label", (F.col("label") + 100).cast(kind))
+    again = t.embeddings.where("vec_id % 6 = 0").withColumn("label", (F.col("label") + 200).cast(kind))
+    store.upsert(new.union(again))
+    return VectorStore(t.spark, path).table().select("vec_id", "label")
+
+
+@query("snk02b_store_versions", "SELECT 2 AS version, vec_id, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 3, vec_id, CASE WHEN vec_id % 10 = 0 THEN label + 1 ELSE label END FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 5 = 0 UNION ALL SELECT 4, vec_id, label FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 10 <> 0")
+def _(t: Tables):
+    # three versions side by side: a first load, an upsert, a delete
+    path, kind = scratch(t.spark, "vectors"), dict(t.embeddings.dtypes)["label"]
+    store = VectorStore(t.spark, path, t.embeddings.schema)
+    store.upsert(t.embeddings.where("vec_id % 2 = 0"))
+    store.upsert(t.embeddings.where("vec_id % 5 = 0").withColumn("label", F.when(F.col("vec_id") % 2 == 0, F.col("label") + 1).otherwise(F.col("label")).cast(kind)))
+    store.delete(t.embeddings.where("vec_id % 5 = 0"))
+    of = lambda n: VectorStore(t.spark, path).table(n).select(F.lit(n).alias("version"), "vec_id", "label")
+    return of(2).unionByName(of(3)).unionByName(of(4))
 
 
 @query("udf06_vector_store", "SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 2 = 0")
@@ -115,6 +129,15 @@ def _(t: Tables):
     return store.fetch(t.embeddings.where("vec_id % 2 = 0")).select("vec_id", "label")
 
 
+@query("udf06b_store_search", "SELECT query_id, vec_id, score FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) DESC, v.vec_id) AS k FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND v.vec_id % 5 <> 0 AND v.label % 2 = 1) WHERE k <= 5")
+def _(t: Tables):
+    store = VectorStore(t.spark, scratch(t.spark, "vectors"), t.embeddings.schema)
+    store.upsert(t.embeddings)
+    store.delete(t.embeddings.where("vec_id % 5 = 0"))
+    asked = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return store.search(asked, 5, F.col("label") % 2 == 1)
+
+
 @query("snk03_incremental_index", "SELECT d.doc_id, sha256(d.content) AS content_hash FROM docs d WHERE NOT EXISTS (SELECT 1 FROM docs i WHERE i.doc_id = d.doc_id AND i.doc_id % 3 <> 0 AND sha256(i.content) = sha256(d.content))")
 def _(t: Tables):
     now = t.docs.select("doc_id", F.sha2("content", 256).alias("content_hash"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import maths, rules, text
 from ..operators import chunking as C
+from ..operators.index import TextIndex, VectorIndex
 from ..operators import relational as R
 from ..operators import retrieval as V
+from ..session import scratch
 from .registry import Tables, as_of, query
 
 
@@ -62,6 +64,47 @@ def _(t: Tables):
     return fulltext(t)
 
 
+def stored_index(t: Tables):
+    """An index of all chunks that began with other texts: every third document's chunks were longer, and chunks that no longer are were there."""
+    index = TextIndex(t.spark, scratch(t.spark, "text-index"))
+    now = chunks(t).select("doc_id", "chunk_id", "body", "title")
+    third = F.col("doc_id") % 3 == 0
+    index.update(now.withColumn("body", F.when(third, F.concat(F.lit("before this "), "body")).otherwise(F.col("body"))).withColumn("title", F.when(third, F.upper("title")).otherwise(F.col("title"))))
+    index.update(now)
+    return index
+
+
+@query("ret03c_stored_index", BM25 + " SELECT query_id, chunk_id, score FROM ft")
+def _(t: Tables):
+    return stored_index(t).search(text_queries(t), 20)
+
+
+@query("snk03b_stored_postings", BM25 + ", live AS (SELECT * FROM chunks WHERE doc_id % 10 <> 9) SELECT term, 0 AS field, count(*) AS df, CAST(sum(n) AS BIGINT) AS tf FROM (SELECT term, count(*) AS n FROM tok WHERE chunk_id IN (SELECT chunk_id FROM live) GROUP BY term, chunk_id) GROUP BY term UNION ALL SELECT title, 1, count(*), count(*) FROM live GROUP BY title")
+def _(t: Tables):
+    # postings after two updates, the deletion of every tenth document, and a merge
+    index = stored_index(t)
+    index.delete(chunks(t).where("doc_id % 10 = 9"))
+    index.merge()
+    return index.postings().groupBy("term", "field").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def vector_index(t: Tables):
+    return VectorIndex.create(t.embeddings, scratch(t.spark, "vector-index"))
+
+
+@query("ret01b_index_exact", "WITH " + VEC + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM vs WHERE label % 2 = 0) SELECT query_id, vec_id, score FROM f WHERE k <= 5")
+def _(t: Tables):
+    return vector_index(t).search(vector_queries(t), 5, F.col("label") % 2 == 0, exact=True)
+
+
+@query("ret01c_index_recall", "WITH " + VEC + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM vs WHERE label % 2 = 0) SELECT count(*) AS wanted, true AS enough FROM f WHERE k <= 10")
+def _(t: Tables):
+    # the share of the exact ten nearest that the index finds when it probes only the nearest cells: at least 0.9
+    keep = F.col("label") % 2 == 0
+    r = vector_index(t).recall(vector_queries(t), V.vector_topk(vector_queries(t), t.embeddings, 10, keep), 10, keep=keep)
+    return r.agg(F.sum("wanted").alias("wanted"), (F.sum("found") / F.sum("wanted") >= 0.9).alias("enough"))
+
+
 @query("ret04_cross_modal_channel", "WITH " + VEC + " SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM vs WHERE label >= 5) WHERE k <= 8")
 def _(t: Tables):
     return V.vector_topk(vector_queries(t), t.embeddings, 8, F.col("label") >= 5)

@@ -47,6 +47,29 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that has its name only when it is complete; False if the name is taken."""
+    fs, p = file_system(spark, path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(at, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not fs.exists(p) and fs.rename(at, p):
+        return True
+    fs.delete(at, False)
+    return False
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, documents, pack, python_ready, unpack
+from .common import bounded, components, cut, documents, drop, pack, python_ready, unpack
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints a shard should hold, and holds at most; fingerprints that trees grow on in a round, about; shards made in a round.
@@ -42,8 +42,8 @@ SHARD, MOST, SAMPLE, SHARDS = 8192, 500_000, 65_536, 8192
 LEAF, PROBE = 1024, 24_000
 #: The near-dedup stage: words of a shingle and the least Jaccard similarity, as a fraction.
 WORDS, ALIKE = 5, (4, 5)
-#: Bytes of texts whose shingles meet in a task to be counted, about; pairs a text that may be left to compare one by one, and rounds before that.
-COUNTED, PAIRS, ROUNDS = 12 << 20, 4, 6
+#: Bytes of texts whose shingles meet in a task to be counted, about; pairs a text that may be left to look at all at once, and rounds before that; texts of a block of a large group; pairs of two classes that are compared before all are.
+COUNTED, PAIRS, ROUNDS, BLOCK, CLOSE = 12 << 20, 1, 6, 2000, 4
 _BITS = np.array([1 << (63 - i) for i in range(64)], np.uint64)
 
 
@@ -332,8 +332,52 @@ def alike(one: np.ndarray, two: np.ndarray) -> bool:
     return ALIKE[1] * both >= ALIKE[0] * (len(one) + len(two) - both)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many of a text's shingle hashes fall in each of equal ranges, about four a range."""
+    bits = int(np.clip(np.round(np.log2(max(1, len(s)) / 4)), 4, 9))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4").tobytes()
+
+
+def folded(sketches: list[bytes], ranges: int) -> np.ndarray:
+    """Sketches as rows, neighbouring ranges added up."""
+    return np.array([np.frombuffer(b, "<u4").reshape(ranges, -1).sum(1, dtype=np.int64) for b in sketches]).reshape(len(sketches), ranges)
+
+
+def in_common_at_most(a: bytes, b: bytes) -> int:
+    """No two texts with these sketches have more shingles in common."""
+    x, y = folded([a, b], min(len(a), len(b)) // 4)
+    return int(np.minimum(x, y).sum())
+
+
+def plausible(keys: np.ndarray, roots: np.ndarray, n: np.ndarray, at: np.ndarray, sketches: list[bytes], side: np.ndarray, most: int | None) -> list[tuple[int, int]]:
+    """Pairs of texts around one shingle that may be ALIKE and are of different classes, at most `most` for two classes (None: all), the likeliest.
+
+    side: 0 all against each other, else 1 against 2.  Sizes, what follows the shingle and the sketches are
+    bounds: no pair is left out that is alike.
+    """
+    share, whole = ALIKE[0], ALIKE[0] + ALIKE[1]
+    rows = folded(sketches, min(map(len, sketches)) // 4)
+    found: dict[tuple[int, int], list] = {}
+    for i in range(len(keys)):
+        if side[i] == 2:
+            continue
+        j = np.flatnonzero(side == 2) if side[i] else np.arange(i + 1, len(keys))
+        j = j[(roots[j] != roots[i]) & (np.minimum(n[i], n[j]) * ALIKE[1] >= np.maximum(n[i], n[j]) * share) & (np.minimum(n[i] - at[i], n[j] - at[j]) * whole >= (n[i] + n[j]) * share)]
+        if len(j):
+            j = j[np.minimum(rows[i], rows[j]).sum(1) * whole >= (n[i] + n[j]) * share]
+        for x in j.tolist():
+            both = in_common_at_most(sketches[i], sketches[x])
+            if both * whole >= (n[i] + n[x]) * share:
+                pair = (min(keys[i], keys[x]), max(keys[i], keys[x]))
+                of = found.setdefault((min(roots[i], roots[x]), max(roots[i], roots[x])), [])
+                heapq.heappush(of, (both / max(1, n[i] + n[x]), pair))
+                if most is not None and len(of) > most:
+                    heapq.heappop(of)
+    return [pair for of in found.values() for _, pair in of]
+
+
 def described(texts: DataFrame, buckets: int) -> DataFrame:
-    """(key, doc_id, print, n, prefix, at) of texts (doc_id, __fp, text): fingerprint, number of distinct shingles and those of its rarest, as group numbers, that other texts have as well, with their places.
+    """(key, doc_id, print, n, prefix, at, sketch) of texts (doc_id, __fp, text): fingerprint, number of distinct shingles and those of its rarest, as group numbers, that other texts have as well, with their places; sketch().
 
     Documents go in chunks.  A chunk sends its distinct shingles, 48 bits of their hashes, packed by range
     of hashes; the ranges' tasks count them over all documents and answer with number and count of those
@@ -353,12 +397,12 @@ def described(texts: DataFrame, buckets: int) -> DataFrame:
             for b in range(buckets):
                 x, y = cuts[b], cuts[b + 1]
                 if x < y:
-                    yield pd.DataFrame([(task + k, b, x, y - x, pack(np.diff(own[x:y].astype(np.int64), prepend=0)), pack(times[x:y].astype(np.int32)), None, None, None, None, None)], columns=names)
+                    yield pd.DataFrame([(task + k, b, x, y - x, pack(np.diff(own[x:y].astype(np.int64), prepend=0)), pack(times[x:y].astype(np.int32)), None, None, None, None, None, None)], columns=names)
             ids = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None)
-            yield pd.DataFrame([(task + k, -1, 0, len(own), None, None, list(pdf["__fp"]), list(ids), np.array([majority(s) for s in sets], np.uint64).view(np.int64), pack(lens), pack(gaps))], columns=names)
+            yield pd.DataFrame([(task + k, -1, 0, len(own), None, None, list(pdf["__fp"]), list(ids), np.array([majority(s) for s in sets], np.uint64).view(np.int64), pack(lens), pack(gaps), [sketch(s) for s in sets])], columns=names)
             k += 1
 
-    schema = "chunk long, bucket int, start int, n int, hashes binary, times binary, keys array<long>, ids array<long>, prints array<long>, lens binary, gaps binary"
+    schema = "chunk long, bucket int, start int, n int, hashes binary, times binary, keys array<long>, ids array<long>, prints array<long>, lens binary, gaps binary, sketches array<binary>"
     names = [x.split()[0] for x in schema.split(", ")]
     made = cut(texts.select("doc_id", "__fp", "text").mapInPandas(chunks, schema), "chunks")
 
@@ -387,39 +431,47 @@ def described(texts: DataFrame, buckets: int) -> DataFrame:
                 total[where] = unpack(t, "<i4")
                 group[where] = np.cumsum(unpack(number, "<i4"), dtype=np.int64) + (int(bucket) << 32)
             gaps, a = unpack(row.gaps, "<i4"), 0
-            for key, doc, fp, k in zip(row.keys, row.ids, row.prints, unpack(row.lens, "<i4").tolist()):
+            for key, doc, fp, k, sk in zip(row.keys, row.ids, row.prints, unpack(row.lens, "<i4").tolist(), row.sketches):
                 own = np.cumsum(gaps[a : a + k], dtype=np.int64)
                 a += k
                 first = own[np.argsort(total[own], kind="stable")[: prefix_size(k)]]
                 at = np.flatnonzero(total[first] > 1)
                 if not k:  # texts without words meet
-                    out.append((key, doc, fp, 0, np.array([-1]), np.array([0])))
+                    out.append((key, doc, fp, 0, np.array([-1]), np.array([0]), sk))
                 else:
-                    out.append((key, doc, fp, k, group[first[at]], at))
-        return pd.DataFrame(out, columns=["key", "doc_id", "print", "n", "prefix", "at"]).astype({"doc_id": "Int64"})
+                    out.append((key, doc, fp, k, group[first[at]], at, sk))
+        return pd.DataFrame(out, columns=["key", "doc_id", "print", "n", "prefix", "at", "sketch"]).astype({"doc_id": "Int64"})
 
-    documents_of = made.where("bucket < 0").select("chunk", "n", "keys", "ids", "prints", "lens", "gaps")
-    return documents_of.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(order, "key long, doc_id long, print long, n long, prefix array<long>, at array<long>")
+    documents_of = made.where("bucket < 0").select("chunk", "n", "keys", "ids", "prints", "lens", "gaps", "sketches")
+    return documents_of.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(order, "key long, doc_id long, print long, n long, prefix array<long>, at array<long>, sketch binary")
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
     """(__fp, __root, component_id) of every distinct text of texts (doc_id, __fp, text), __fp being its key.
 
     Links are pairs whose shingles are ALIKE, all of them.  Candidates are the links of 5-word fingerprints
-    and the texts that share one of their rarest shingles, which every alike pair does; each is
-    compared as a whole.  A group around one shingle is first compared with one of its texts, again while many pairs
-    of different classes remain, and then pair by pair across classes; texts of one class need no comparing.
+    and the texts that share one of their rarest shingles, which every alike pair does.  A group is the texts
+    around one shingle, as rows; of groups of the same texts the first counts.  Texts of one class need no
+    comparing.  In each of a few rounds every text is compared with one text of another class in one of its groups, the same
+    for all of a group, which joins copies of one text in a round or two.  What is left goes through
+    plausible() in tasks that hold one group, many small ones, or two blocks of a large one, first with a few
+    pairs for two classes, at last with all.  Only pairs that pass its bounds are compared: their texts' sorted hashes are
+    made once a round and joined to them.
     """
     spark = texts.sparkSession
     python_ready(spark)
     n, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     sets = cut(described(texts, max(1, (size or 0) // COUNTED)), "sets")
     nodes = cut(sets.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
-    # a group: the texts that share a rare shingle, with its place in each; of groups of the same texts the first shingle's
-    shared = sets.select("n", "key", F.explode(F.arrays_zip("prefix", "at")).alias("e")).groupBy("e.prefix").agg(F.sort_array(F.collect_set(F.struct("n", "key", "e.at"))).alias("of"))
-    shared = shared.where((F.size("of") > 1) & F.exists("of", lambda x: x["at"] * (ALIKE[0] + ALIKE[1]) <= x["n"] * (ALIKE[1] - ALIKE[0])))
-    shared = shared.groupBy(F.transform("of", lambda x: F.struct(x["n"].alias("n"), x["key"].alias("key"))).alias("who")).agg(F.min(F.transform("of", lambda x: x["at"])).alias("at"))
-    groups = cut(shared.select(F.xxhash64("who").alias("g"), F.explode(F.arrays_zip("who", "at")).alias("m")).select("g", "m.who.n", "m.who.key", "m.at"), "groups")
+    share, whole_ = ALIKE[0], ALIKE[0] + ALIKE[1]  # alike texts have share / whole_ of the sum of their sizes in common
+    #: a text that can be the smaller of an alike pair at this shingle: what follows it is enough for a partner of its size
+    early = F.col("at") * whole_ <= F.col("n") * (ALIKE[1] - ALIKE[0])
+    once = sets.dropDuplicates(["key"])
+    sketches = cut(once.select("key", "sketch"), "sketches")
+    entries = cut(once.select("n", "key", F.explode(F.arrays_zip("prefix", "at")).alias("e")).select("e.prefix", "n", "key", "e.at"), "entries")
+    members = entries.groupBy("prefix").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(2))).alias("y"), F.min_by("at", "key").alias("first"), F.max(early).alias("early"))
+    kept = members.where("c > 1 and early").groupBy("c", "x", "y").agg(F.min_by("prefix", F.struct("first", "prefix")).alias("prefix"))
+    groups = cut(entries.join(kept.select("prefix"), "prefix").select(F.col("prefix").alias("g"), "n", "key", "at"), "groups")
     prints = sets.select("print", "key")
     first = cut(prints.groupBy("print").agg(F.min("key").alias("key")), "prints")
     found = fingerprint_links(first.select(F.col("print").alias("__fp")))
@@ -429,49 +481,105 @@ def near_classes(texts: DataFrame) -> DataFrame:
     pairs = pairs.unionByName(prints.join(first.withColumnRenamed("key", "a"), "print").select("a", F.col("key").alias("b")))
     tried = links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     of = nodes.select("key", F.col("key").alias("root"))
-    share, whole_ = ALIKE[0], ALIKE[0] + ALIKE[1]  # alike texts have share / whole_ of the sum of their sizes in common
 
     def can(n1, at1, n2, at2):
         """What two texts can share from their first common shingle on suffices, and so do their sizes."""
         return (F.least(n1 - at1, n2 - at2) * whole_ >= (n1 + n2) * share) & (F.least(n1, n2) * ALIKE[1] >= F.greatest(n1, n2) * ALIKE[0])
 
-    #: a text that can be the smaller of an alike pair at this shingle: what follows it is enough for a partner of its size
-    early = F.col("at") * whole_ <= F.col("n") * (ALIKE[1] - ALIKE[0])
+    def hashes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"key": pdf["__fp"], "h": [shingle_set(t).tobytes() for t in pdf["text"]]})
+
+    def bound(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            size = lambda b: int(np.frombuffer(b, "<u4").sum(dtype=np.int64))
+            keep = [in_common_at_most(x, y) * whole_ >= (size(x) + size(y)) * share for x, y in zip(pdf["h_a"], pdf["h_b"])]
+            yield pdf.loc[keep, ["a", "b"]]
 
     def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            pdf = pdf.sort_values("b")  # one text of a group stands in many pairs running
-            last, hit = [(None, None), (None, None)], []
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"]):
-                last = [(k, h if k == old else shingle_set(t)) for k, t, (old, h) in ((a, x, last[0]), (b, y, last[1]))]
-                hit.append(alike(last[0][1], last[1][1]))
+            hit = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf["h_a"], pdf["h_b"])]
             yield pdf.loc[hit, ["a", "b"]]
 
-    for turn in range(ROUNDS + 1):
+    def both(pairs: DataFrame, of: DataFrame, col: str, small: int) -> DataFrame:
+        side = lambda c: bounded(of, small).select(F.col("key").alias(c), F.col(col).alias(f"h_{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        need = cut(pairs.select(F.col("a").alias("__fp")).union(pairs.select("b")).distinct(), "need")
+        whole = cut(texts.join(bounded(need, 200_000), "__fp", "left_semi").select("__fp", "text").dropDuplicates(["__fp"]).mapInPandas(hashes, "key long, h binary"), "hashes")
+        out = cut(both(pairs, whole, "h", 1000).mapInPandas(compare, "a long, b long"), "verified")
+        drop(need, whole)
+        return out
+
+    def blocks(open_: DataFrame, sizes: DataFrame, most: int | None) -> DataFrame:
+        """Pairs of the open groups' texts that pass the bounds."""
+        small = sizes.where(F.col("m") <= BLOCK)
+        rows = small.agg(F.sum("m")).first()[0] or 0
+        tasks = max(1, -(-rows // (4 * BLOCK)))
+        with_ = open_.join(sketches, "key")
+        few = with_.join(small.select("g"), "g", "left_semi").select(F.pmod(F.xxhash64("g"), F.lit(tasks)).alias("task"), F.col("g").alias("s"), "key", "root", "n", "at", "sketch", F.lit(0).alias("side"))
+        # a large group in blocks: a large class has its own, which do not meet each other, small classes share some
+        many = open_.join(sizes.where(F.col("m") > BLOCK).select("g", "m"), "g")
+        own = many.groupBy("g", "root").agg(F.count("*").alias("c"), F.first("m").alias("m"))
+        big = F.col("c") > BLOCK
+        own = own.select("g", "root", big.alias("big"), F.ceil(F.when(big, F.col("c")).otherwise(F.col("m")) / BLOCK).alias("k"))
+        label = F.struct("big", F.when(F.col("big"), F.col("root")).otherwise(0).alias("r"), F.pmod(F.xxhash64("root", F.when(F.col("big"), F.col("key"))), F.col("k")).alias("i"))
+        dealt = cut(many.join(own, ["g", "root"]).select("g", "key", "root", "n", "at", label.alias("l")), "dealt")
+        labels = dealt.select("g", "l").distinct()
+        meet = labels.join(labels.select("g", F.col("l").alias("l2")), "g").where("l <= l2 and not (l.big and l2.big and l.r = l2.r)").withColumn("s", F.xxhash64("g", "l", "l2"))
+        left = dealt.join(meet, ["g", "l"]).withColumn("side", F.when(F.col("l") == F.col("l2"), 0).otherwise(1))
+        right = dealt.join(meet.where("l <> l2").select("g", F.col("l").alias("l1"), F.col("l2").alias("l"), "s"), ["g", "l"]).withColumn("side", F.lit(2))
+        cols = ["s", "key", "root", "n", "at", "side"]
+        large = left.select(*cols).unionByName(right.select(*cols)).join(sketches, "key").withColumn("task", F.col("s"))
+
+        def meeting(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["s", "key"])
+            s = pdf["s"].to_numpy()
+            ends = np.flatnonzero(np.append(s[1:] != s[:-1], True)) + 1
+            key, root, n, at, side = (pdf[c].to_numpy(np.int64) for c in ("key", "root", "n", "at", "side"))
+            sk, out, a = [bytes(b) for b in pdf["sketch"]], [], 0
+            for b in ends.tolist():
+                out += plausible(key[a:b], root[a:b], n[a:b], at[a:b], sk[a:b], side[a:b], most)
+                a = b
+            return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+        return few.unionByName(large.select(*few.columns)).groupBy("task").applyInPandas(meeting, "a long, b long")
+
+    turn, everything, last = 0, False, False
+    while True:
         pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count() and turn:
+        none = not pairs.limit(1).count()
+        if none and last:
             break
-        need = cut(pairs.select(F.col("a").alias("__fp")).union(pairs.select("b")).distinct(), "need")
-        whole = cut(texts.join(bounded(need, 200_000), "__fp", "left_semi").select("__fp", "text").dropDuplicates(["__fp"]), "whole")
-        side = lambda c: bounded(whole, 1000).select(F.col("__fp").alias(c), F.col("text").alias(f"text_{c}"))
-        links = cut(links.unionByName(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(compare, "a long, b long")), "links")
-        tried = cut(tried.unionByName(pairs), "tried")
-        of = cut(nodes.select("key").join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").select("key", F.coalesce("root", "key").alias("root")), "classes")
-        if turn == ROUNDS or turn and everything:
+        if not none:
+            old = tried, links, of
+            check = pairs if everything else cut(both(pairs, sketches, "sketch", 1000).mapInPandas(bound, "a long, b long"), "plausible")
+            alike_ = verified(check)
+            links = cut(links.unionByName(alike_), "links")
+            tried = cut(tried.unionByName(pairs), "tried")
+            of = cut(nodes.select("key").join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").select("key", F.coalesce("root", "key").alias("root")), "classes")
+            drop(*old, alike_, check, pairs)
+        if last:
             break
         # groups that still hold several classes
         open_ = groups.join(of, "key")
         sizes = open_.groupBy("g", "root").agg(F.count("*").alias("c"), F.sum(early.cast("long")).alias("e")).groupBy("g").agg(F.count("*").alias("classes"), F.sum("c").alias("m"), F.sum("e").alias("early"), F.sum(F.col("c") * F.col("e")).alias("own")).where("classes > 1 and early > 0")
         sizes = cut(sizes, "sizes")
         left = sizes.agg(F.sum(F.col("m") * F.col("early") - F.col("own"))).first()[0] or 0
+        if not left:
+            break
         open_ = cut(open_.join(sizes.select("g"), "g", "left_semi").withColumn("early", early), "open")
-        everything = turn == ROUNDS - 1 or left <= PAIRS * n
+        last = everything and (none or turn >= 2 * ROUNDS)
+        everything = everything or none and turn > 0 or turn >= ROUNDS - 1 or left <= PAIRS * n
         if everything:
-            x = open_.where("early").alias("x").join(open_.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.n")) & can(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
-            pairs = x.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+            last = last or left <= PAIRS * n
+            pairs = blocks(open_, sizes, None if last else CLOSE)
         else:
             one = open_.where("early").groupBy("g").agg(F.min_by(F.struct("key", "root", "n", "at"), F.xxhash64("key", F.lit(turn))).alias("o"))
-            pairs = open_.join(one, "g").where("o.root <> root").where(can(F.col("o.n"), F.col("o.at"), F.col("n"), F.col("at"))).select(F.col("o.key").alias("a"), F.col("key").alias("b"))
+            asked = open_.join(one, "g").where("o.root <> root").where(can(F.col("o.n"), F.col("o.at"), F.col("n"), F.col("at")))
+            pairs = asked.groupBy("key").agg(F.min_by("o.key", F.xxhash64("o.key", F.lit(turn))).alias("a")).select("a", F.col("key").alias("b"))
+        turn += 1
     named = of.join(nodes, "key")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return cut(named.join(bounded(cut(least, "least"), 200_000), "root").select(F.col("key").alias("__fp"), F.col("root").alias("__root"), "component_id"), "classes")

@@ -83,3 +83,53 @@ def test_mixing_keeps_whole_texts(spark):
     docs = table(spark)
     text = {(r.doc_id, r.text) for r in docs.collect()}
     assert {(r.doc_id, r.text) for r in mixing.stage(spark, docs, "").collect()} <= text
+
+
+def test_near_classes_in_blocks(spark, monkeypatch):
+    """Many texts around the same shingles, in families that are alike and families that only share a passage, with groups cut in blocks; against pairwise comparison."""
+    import random
+
+    from loomlake.llm import simhash
+
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for family in range(6):
+        base = passage + [f"f{family}w{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    up = list(range(len(texts)))
+    root = lambda i: i if up[i] == i else root(up[i])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    want = {i: root(i) for i in range(len(texts))}
+    assert 1 < len(set(want.values())) < len(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS __fp", "text")
+    key = {r["__fp"]: r.doc_id for r in rows.collect()}
+    for block, rounds, pairs in ((5, 2, 0), (2000, 1, 0), (7, 6, 10**9)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "ROUNDS", rounds)
+        monkeypatch.setattr(simhash, "PAIRS", pairs)
+        got = {key[r["__fp"]]: r.component_id for r in simhash.near_classes(rows).collect()}
+        assert got == want
+
+
+def test_sketches_bound_what_is_in_common():
+    import numpy as np
+
+    from loomlake.llm import simhash
+
+    rng = np.random.default_rng(6)
+    for n, m, c in ((0, 0, 0), (1, 9, 1), (40, 50, 30), (3000, 2500, 2400), (20_000, 17_000, 100)):
+        common = rng.integers(0, 2**64, c, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**64, k - c, dtype=np.uint64)])) for k in (n, m))
+        most = simhash.in_common_at_most(simhash.sketch(a), simhash.sketch(b))
+        assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))

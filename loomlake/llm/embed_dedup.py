@@ -6,8 +6,8 @@ The margin is a share of how far the ends of a link at the threshold usually pro
 parts few links per level, and TREES trees together miss next to none.
 
 Trees grow in rounds: every leaf that holds over TASK vectors is split further on a sample of its own
-vectors (SAMPLE in all a round), until none is left that splits, so leaves follow the table and not a
-fixed number.  Within a leaf, a task grows TREES trees of its own down to LEAF vectors in memory and
+vectors (SAMPLE at most), in a task of its own, until none is left that splits, so leaves follow the table and
+not a fixed number.  Within a leaf, a task grows TREES trees of its own down to LEAF vectors in memory and
 compares all pairs of their leaves in double precision; only a ball too dense to split is compared whole,
 block by block if it exceeds a task.  A pair that shares several leaves counts in the first of them, so
 link counts are exact for the pairs found.  Leaves emit sums and spanning links, not pairs; classes come
@@ -21,6 +21,7 @@ belongs to a class but does not name it.  Empty tables give empty results; other
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import bounded, components, cut, python_ready
 
 THRESHOLD, TREES, MARGIN = 0.9, 3, 0.5
-#: Vectors compared with each other, about; vectors a task takes at most; vectors that trees grow on in a round, about.
+#: Vectors compared with each other, about; vectors a task takes at most; vectors that a leaf's subtree grows on, at most.
 LEAF, TASK, SAMPLE = 512, 16_000, 30_000
 _TREE = 40  # bits below the number of a tree
 
@@ -89,15 +90,21 @@ def route(v: np.ndarray, nodes: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(leaf)
 
 
-def graft(nodes: list, leaf: int, sub: list, first: int) -> None:
-    """Put the tree sub in the place of a leaf; its leaves are numbered from first."""
-    shift = len(nodes)
-    child = lambda c: c + shift if c >= 0 else c - first
-    for n in nodes:
-        for side in (3, 4):
-            if n[side] == -1 - leaf:
-                n[side] = shift
-    nodes += [[w, m, margin, child(low), child(high)] for w, m, margin, low, high in sub]
+def graft(nodes: list, subs: dict[int, list]) -> list:
+    """nodes with trees in the place of leaves; the trees' leaves get numbers of their own."""
+    if not nodes:
+        return subs[0]
+    at, first, places = len(nodes), n_leaves(nodes), {}
+    for leaf in sorted(subs):
+        places[-1 - leaf] = at
+        at += len(subs[leaf])
+    out = [[w, m, margin, places.get(low, low), places.get(high, high)] for w, m, margin, low, high in nodes]
+    for leaf in sorted(subs):
+        shift = len(out)
+        child = lambda c: c + shift if c >= 0 else c - first  # noqa: B023, E731
+        out += [[w, m, margin, child(low), child(high)] for w, m, margin, low, high in subs[leaf]]
+        first += n_leaves(subs[leaf])
+    return out
 
 
 def n_leaves(nodes: list) -> int:
@@ -171,15 +178,16 @@ def within_leaf(v: np.ndarray, n: np.ndarray, before: list[list], threshold: flo
 def plant(kinds: DataFrame, threshold: float, trees: int) -> tuple[dict[int, list[list]], dict[tuple[int, int], int]]:
     """(trees by length of vector, leaves over TASK that do not split with their sizes), grown in rounds.
 
-    What reaches the driver in a round: the leaves over TASK, which are fewer than vectors by that factor,
-    and a sample of their vectors.
+    Every leaf over TASK is sampled at a rate of its own, and its subtree grows in the task that has the
+    sample; what reaches the driver in a round is the leaves over TASK and the nodes made of them.  A leaf either
+    splits, which leaves none of its parts whole, or is dense from then on, so the rounds end at any size.
     """
     spark = kinds.sparkSession
     forests: dict[int, list[list]] = defaultdict(lambda: [[] for _ in range(trees)])
     dense: dict[tuple[int, int], int] = {}
-    rng = np.random.default_rng(11)
+    kind, task, most = dict(kinds.dtypes)["__v"], TASK, SAMPLE
     while True:
-        now, stuck = spark.sparkContext.broadcast(dict(forests)), frozenset(dense)
+        now = spark.sparkContext.broadcast(dict(forests))
 
         def leaves_of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
@@ -188,35 +196,36 @@ def plant(kinds: DataFrame, threshold: float, trees: int) -> tuple[dict[int, lis
                     yield pd.DataFrame({"d": d, "leaf": leaf, "n": n})
 
         sizes = kinds.select("__v").mapInPandas(leaves_of, "d int, leaf long, n long").groupBy("d", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") > TASK).collect()
-        large = {(r.d, r.leaf): r.n for r in sizes if (r.d, r.leaf) not in stuck}
+        large = {(r.d, r.leaf): r.n for r in sizes if (r.d, r.leaf) not in dense}
         if not large:
             return dict(forests), dense
-        rate = max(1, sum(large.values()) // SAMPLE)
+        wanted = spark.sparkContext.broadcast({k: (n, max(1, n // min(most, max(2048, 512 * (n // (task // 4)))))) for k, n in large.items()})
 
         def pick(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
                 for d, part in pdf.groupby(pdf["__v"].map(len)):
                     at, leaf = codes(unit(part["__v"]), now.value.get(d, [[]] * trees))
-                    keep = [k for k, (i, x) in enumerate(zip(at.tolist(), leaf.tolist())) if (d, x) in large and (i + x) % rate == part["h"].iat[i] % rate]
-                    if keep:
+                    h = part["h"].to_numpy(np.int64)[at]
+                    rate = np.array([wanted.value.get((d, x), (0, 0))[1] for x in leaf.tolist()], np.int64)
+                    keep = np.flatnonzero((rate > 0) & ((h + leaf) % np.maximum(rate, 1) == 0))
+                    if len(keep):
                         yield part.iloc[at[keep]].assign(d=d, leaf=leaf[keep])[["d", "leaf", "h", "__v"]]
 
-        kind = dict(kinds.dtypes)["__v"]
-        sample = defaultdict(list)
-        for r in kinds.select("__v", F.xxhash64("__v", F.lit(9)).alias("h")).mapInPandas(pick, f"d int, leaf long, h long, __v {kind}").collect():
-            sample[r.d, r.leaf].append((r.h, r["__v"]))
-        for (d, leaf), n in sorted(large.items()):
-            got = sorted(sample.get((d, leaf), []))
-            t, x = leaf >> _TREE, leaf & (1 << _TREE) - 1
-            sub = grow(unit([v for _, v in got]), max(2, n // (TASK // 4)), threshold, rng) if len(got) > 8 else []
+        def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
+            d, leaf = int(pdf["d"].iloc[0]), int(pdf["leaf"].iloc[0])
+            n, _ = wanted.value[d, leaf]
+            sub = grow(unit(pdf.sort_values("h", kind="stable")["__v"]), max(2, n // (task // 4)), threshold, np.random.default_rng([11, d, leaf])) if len(pdf) > 8 else []
+            return pd.DataFrame({"d": [d], "leaf": [leaf], "nodes": [pickle.dumps(sub)]})
+
+        sample = kinds.select("__v", F.xxhash64("__v", F.lit(9)).alias("h")).mapInPandas(pick, f"d int, leaf long, h long, __v {kind}")
+        grown = {(r.d, r.leaf): pickle.loads(bytes(r.nodes)) for r in sample.groupBy("d", "leaf").applyInPandas(subtree, "d int, leaf long, nodes binary").collect()}
+        dense |= {k: n for k, n in large.items() if not grown.get(k)}
+        subs: dict[tuple[int, int], dict[int, list]] = defaultdict(dict)
+        for (d, leaf), sub in grown.items():
             if sub:
-                nodes = forests[d][t]
-                if nodes:
-                    graft(nodes, x, sub, n_leaves(nodes))
-                else:
-                    forests[d][t] = sub
-            elif len(got) > 8 or rate == 1:
-                dense[d, leaf] = n
+                subs[d, leaf >> _TREE][leaf & (1 << _TREE) - 1] = sub
+        for (d, t), own in subs.items():
+            forests[d][t] = graft(forests[d][t], own)
 
 
 def classes(rows: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id", threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:

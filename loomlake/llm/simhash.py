@@ -6,7 +6,7 @@ shingles' XXH64 values (seed 42), repeats included.  Fingerprints within RADIUS
 document's class is everything reachable.
 
 Search: copies share a fingerprint, so distinct fingerprints are searched.  A vantage-point tree, grown in
-rounds on bounded samples until every shard fits a task, splits them by Hamming distance to a vantage
+rounds on bounded samples of each shard until every shard fits a task, splits them by Hamming distance to a vantage
 point; by the triangle inequality a pair within RADIUS is parted only if its inner end lies within RADIUS
 of the boundary, so such inner points also visit the outer side.  Every pair thus meets in a shard.  Shards
 split further by the same rule in memory, and what does not split is searched exactly: small sets
@@ -24,6 +24,7 @@ do not matter.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import bounded, components, cut, documents, drop, pack, python_ready, unpack
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: Fingerprints a shard should hold, and holds at most; fingerprints that trees grow on in a round, about; shards made in a round.
+#: Fingerprints a shard should hold, and holds at most; fingerprints that a subtree grows on, about; leaves of a subtree.
 SHARD, MOST, SAMPLE, SHARDS = 8192, 500_000, 65_536, 8192
 #: Set sizes below which splitting in memory stops, and from which probing beats comparing.
 LEAF, PROBE = 1024, 24_000
@@ -224,44 +225,62 @@ def links(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return f[own], f[roots[own]]
 
 
-def graft(nodes: list, leaf: int, sub: list) -> list:
-    """nodes with the tree sub in the place of a leaf; its leaves get numbers of their own."""
-    shift, first = len(nodes), max([-c for n in nodes for c in n[2:] if c < 0], default=1)
-    child = lambda c: c + shift if c >= 0 else c - first
-    kept = [(v, m, *(shift if c == -1 - leaf else c for c in sides)) for v, m, *sides in nodes]
-    return kept + [(v, m, child(a), child(b)) for v, m, a, b in sub]
+def graft(nodes: list, subs: dict[int, list]) -> list:
+    """nodes with trees in the place of leaves; the trees' leaves get numbers of their own."""
+    if not nodes:
+        return subs[0]
+    at, first, places = len(nodes), max([-c for n in nodes for c in n[2:] if c < 0], default=1), {}
+    for leaf in sorted(subs):
+        places[-1 - leaf] = at
+        at += len(subs[leaf])
+    out = [(v, m, places.get(a, a), places.get(b, b)) for v, m, a, b in nodes]
+    for leaf in sorted(subs):
+        shift = len(out)
+        child = lambda c: c + shift if c >= 0 else c - first  # noqa: B023, E731
+        out += [(v, m, child(a), child(b)) for v, m, a, b in subs[leaf]]
+        first += max([-c for n in subs[leaf] for c in n[2:] if c < 0], default=0)
+    return out
 
 
 def plant(distinct: DataFrame) -> list:
-    """The tree, grown in rounds: first for shards of about SHARD fingerprints, then inside every shard over MOST, on samples of about SAMPLE, until none is left that splits."""
+    """The tree, grown in rounds: first for shards of about SHARD fingerprints, then inside every shard over MOST, until none is left that splits.
+
+    Each such shard is sampled at a rate of its own (SAMPLE at most) and its subtree grows in the task that has the
+    sample; the driver gets the nodes.  A shard that its sample does not split is dense around one point and
+    stays, its task probes; so every round settles all it looks at.
+    """
+    spark, most, shard, shards = distinct.sparkSession, SAMPLE, SHARD, SHARDS
     nodes: list = []
     stuck: set[int] = set()
     large = {0: n} if (n := distinct.count()) > SHARD else {}
     while large:
-        rate, now, wanted = max(1, sum(large.values()) // SAMPLE), nodes, frozenset(large)
+        now = spark.sparkContext.broadcast(nodes)
+        wanted = spark.sparkContext.broadcast({x: (k, max(1, k // most)) for x, k in large.items()})
 
         def pick(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
                 v = pdf["__fp"].to_numpy(np.int64)
-                i, leaf = route(v.view(np.uint64), now)
-                keep = np.isin(leaf, list(wanted))
-                yield pd.DataFrame({"v": v[i[keep]], "leaf": leaf[keep]})
-
-        sample: dict[int, list[int]] = {}
-        for r in distinct.where(F.pmod(F.xxhash64("__fp", F.lit(5)), F.lit(rate)) == 0).select("__fp").mapInPandas(pick, "v long, leaf long").collect():
-            sample.setdefault(r.leaf, []).append(r.v)
-        for leaf, k in sorted(large.items()):
-            own = np.sort(np.array(sample.get(leaf, []), np.int64)).view(np.uint64)
-            sub = grow(own, min(SHARDS, k // SHARD + 1)) if len(own) > 8 else []
-            if sub:
-                nodes = graft(nodes, leaf, sub) if nodes else sub
-            elif len(own) > 8 or rate == 1:
-                stuck.add(leaf)  # dense around one point: its task probes
-        now = nodes
+                i, leaf = route(v.view(np.uint64), now.value)
+                rate = np.array([wanted.value.get(x, (0, 0))[1] for x in leaf.tolist()], np.int64)
+                keep = (rate > 0) & (pdf["h"].to_numpy(np.int64)[i] % np.maximum(rate, 1) == 0)
+                yield pd.DataFrame({"leaf": leaf[keep], "v": v[i[keep]]})
+
+        def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
+            leaf = int(pdf["leaf"].iloc[0])
+            own = np.sort(pdf["v"].to_numpy(np.int64)).view(np.uint64)
+            sub = grow(own, min(shards, wanted.value[leaf][0] // shard + 1)) if len(own) > 8 else []
+            return pd.DataFrame({"leaf": [leaf], "nodes": [pickle.dumps(sub)]})
+
+        sample = distinct.select("__fp", F.xxhash64("__fp", F.lit(5)).alias("h")).mapInPandas(pick, "leaf long, v long")
+        grown = {r.leaf: pickle.loads(bytes(r.nodes)) for r in sample.groupBy("leaf").applyInPandas(subtree, "leaf long, nodes binary").collect()}
+        stuck |= {leaf for leaf in large if not grown.get(leaf)}
+        if subs := {leaf: sub for leaf, sub in grown.items() if sub}:
+            nodes = graft(nodes, subs)
+        after = spark.sparkContext.broadcast(nodes)
 
         def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
-                leaf, k = np.unique(route(pdf["__fp"].to_numpy(np.int64).view(np.uint64), now)[1], return_counts=True)
+                leaf, k = np.unique(route(pdf["__fp"].to_numpy(np.int64).view(np.uint64), after.value)[1], return_counts=True)
                 yield pd.DataFrame({"leaf": leaf, "n": k})
 
         sizes = distinct.select("__fp").mapInPandas(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > MOST)

@@ -498,7 +498,7 @@ def near_classes(texts: DataFrame) -> DataFrame:
     at = lambda c: first.select(F.col("print").alias(c), F.col("key").alias(f"key_{c}"))
     pairs = found.join(at("a"), "a").join(at("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     pairs = pairs.unionByName(prints.join(first.withColumnRenamed("key", "a"), "print").select("a", F.col("key").alias("b")))
-    tried = links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    tried = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     of = nodes.select("key", F.col("key").alias("root"))
 
     def can(n1, at1, n2, at2):
@@ -572,13 +572,15 @@ def near_classes(texts: DataFrame) -> DataFrame:
         if none and last:
             break
         if not none:
-            old = tried, links, of
+            old = tried, of
             check = pairs if everything else cut(both(pairs, sketches, "sketch", 1000).mapInPandas(bound, "a long, b long"), "plausible")
-            alike_ = verified(check)
-            links = cut(links.unionByName(alike_), "links")
+            links = verified(check)
             tried = cut(tried.unionByName(pairs), "tried")
-            of = cut(nodes.select("key").join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").select("key", F.coalesce("root", "key").alias("root")), "classes")
-            drop(*old, alike_, check, pairs)
+            # classes that the new links join: the graph of the former classes' roots is small
+            root = lambda c: of.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
+            joined = components(links.join(root("a"), "a").join(root("b"), "b").select("root_a", "root_b"), "root_a", "root_b")
+            of = cut(of.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root")), "classes")
+            drop(*old, links, check, pairs)
         if last:
             break
         # groups that still hold several classes

@@ -40,6 +40,12 @@ def _(t: Tables):
     return L.nearest_sets(m(t), "doc_id", "user_id", 10).select("user_id", "other", F.round("sim", 6).alias("sim"))
 
 
+@query("jn16b_similar_users", "WITH " + UCF + " SELECT user_id, other, round(sim, 6) AS sim FROM sim WHERE sim >= 0.2")
+def _(t: Tables):
+    s = L.similar_sets(m(t), "doc_id", "user_id", 0.2)
+    return s.select("user_id", "other", F.round("sim", 6).alias("sim"))
+
+
 @query("rec02_user_cf", "WITH " + UCF + " SELECT user_id, doc_id, score FROM ucf")
 def _(t: Tables):
     return L.user_cf(m(t), everyone())

@@ -13,14 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .text import strip
+
+
+# What stands before the answer in a stored question with its answer, in this order.
+ANSWERS = ["\n\n答：", "\n答：", "\n\n答:", "\n答:", "\n\nA:", "\nA:", "\n\nAnswer:", "\nAnswer:"]
 
 
 def after_first(c: Column, separators: list[str]) -> Column:
-    """What follows the first separator of the list that occurs, else the whole."""
-    out = c
-    for s in reversed(separators):
-        out = F.when(c.contains(s), F.substr(c, F.locate(s, c) + len(s))).otherwise(out)
-    return out
+    """What follows the first separator of the list that something follows, without white space at its ends; else the whole text, likewise."""
+    rest = lambda s: F.nullif(strip(F.substr(c, F.locate(s, c) + F.lit(len(s)))), F.lit(""))
+    return F.coalesce(*[F.when(c.contains(s), rest(s)) for s in separators], strip(c))
 
 
 def fact_after(c: Column, triggers: list[str], n: int) -> Column:
@@ -28,19 +31,68 @@ def fact_after(c: Column, triggers: list[str], n: int) -> Column:
     return F.coalesce(*[F.when(c.contains(t), F.substr(c, F.locate(t, c), F.lit(n))) for t in triggers])
 
 
+# Where the question of a prompt begins, polite beginnings, characters that may end a question, beginnings that mean the same, a word that may be left out.
+QUESTION, POLITE, ENDING = "【问题】", ["请问", "我想知道", "麻烦问下"], "？?。.！!~～呢 "
+SAME, DROPPED = {"如何": "怎么", "咋": "怎么"}, "企业"
+
+
 def question_key(c: Column) -> Column:
-    for pattern, by in (("^(?:please |could you )+", ""), ("[?!.]+$", ""), ("^(?:how do i|how to) ", "how ")):
-        c = F.regexp_replace(c, pattern, by)
-    return c
+    """One key for the ways to put a question: what follows the mark, without a polite beginning and the ending, one beginning for several, the word left out."""
+    c = F.when(c.contains(QUESTION), F.substr(c, F.locate(QUESTION, c) + F.lit(len(QUESTION)))).otherwise(c)
+    c = F.regexp_replace(strip(c), "^(?:" + "|".join(POLITE) + ")", "")
+    c = F.regexp_replace(c, f"[{ENDING}]+$", "")
+    begin = F.lit(None).cast("string")
+    for word, by in reversed(SAME.items()):
+        begin = F.when(c.startswith(word), F.concat(F.lit(by), F.substr(c, F.lit(len(word) + 1)))).otherwise(begin)
+    return F.replace(F.coalesce(begin, c), F.lit(DROPPED), F.lit(""))
 
 
-def needs_coreference(c: Column, hints: list[str], verbs: list[str]) -> Column:
-    any_of = lambda ws: reduce(lambda a, b: a | b, [c.contains(w) for w in ws])
-    return F.length(c).between(2, 30) & any_of(hints) & ~any_of(verbs)
+# Words that stand for what was said before, and words of a request that is whole.
+HINTS = ["呢", "怎么样", "如何", "也是", "他", "她", "它", "这个", "那个", "上面", "刚才", "也是这样", "同样"]
+VERBS = ["搜索", "查找", "查看", "创建", "上传", "提交", "列出", "search", "find", "view", "create", "upload", "list", "什么是", "为什么", "解释"]
+MARKS = "？?！!，,。."
 
 
-def error_class(code: Column) -> Column:
-    return F.when(code == 429, "rate_limit").when(code.isin(401, 403), "auth").when(code >= 500, "server").when(code >= 400, "client").otherwise("ok")
+def needs_coreference(c: Column, hints: list[str] = HINTS, verbs: list[str] = VERBS) -> Column:
+    """A short request (2 to 30 characters) that leans on what was said before."""
+    any_of = lambda ws: reduce(lambda a, b: a | b, [c.contains(w) for w in ws])
+    return F.length(strip(c)).between(2, 30) & any_of(hints) & ~any_of(verbs)
+
+
+def completed(c: Column, topic: Column, entity: Column) -> Column:
+    """A request that leans on the focus (topic, entity), completed: what it names, without the leaning words, before the topic; else as it is."""
+    own = strip(c)
+    for h in HINTS:
+        own = F.replace(own, F.lit(h), F.lit(""))
+    own = F.regexp_replace(own, f"^[{MARKS}]+|[{MARKS}]+$", "")
+    lean = needs_coreference(c) & topic.isNotNull() & (own != "") & ~own.eqNullSafe(entity)
+    return F.when(lean, F.concat(own, topic)).otherwise(c)
+
+
+# Reasons by status, those that may be tried again, and words of messages that decide.
+STATUS = {400: "format_error", 401: "auth_invalid", 402: "billing", 403: "auth_invalid", 404: "model_not_found", 408: "timeout", 422: "format_error", 500: "server_error", 502: "bad_gateway", 503: "service_unavailable", 504: "timeout", 529: "service_unavailable"}
+AGAIN = [408, 500, 502, 503, 504, 529]
+QUOTA = ["quota", "exhausted", "insufficient", "balance", "credit", "payment", "billing"]
+MESSAGES = {
+    "context_overflow": ["context_length", "context window", "maximum context", "context length", "too long"],
+    "content_blocked": ["content_policy", "content policy", "safety", "content filter", "blocked by policy"],
+    "model_not_found": ["model_not_found", "model not found", "does not exist", "invalid model", "unknown model"],
+}
+
+
+def error_class(code: Column, message: Column | None = None) -> Column:
+    """(reason, retryable) of a failed call: what the message says first, then quota or limit of a 429, then the status; other statuses are unknown and not tried again."""
+    said = F.lower(F.coalesce(message, F.lit("")) if message is not None else F.lit(""))
+    said = F.when(F.length(said) <= 500, said).otherwise(F.concat(F.substring(said, 1, 250), F.lit("..."), F.right(said, F.lit(247))))
+    any_of = lambda ws: reduce(lambda a, b: a | b, [said.contains(w) for w in ws])
+    out = lambda reason, again: F.struct(F.lit(reason).alias("reason"), F.lit(again).alias("retryable"))
+    c = F.when(any_of(MESSAGES["context_overflow"]), out("context_overflow", False))
+    for reason in ("content_blocked", "model_not_found"):
+        c = c.when(any_of(MESSAGES[reason]), out(reason, False))
+    c = c.when((code == 429) & any_of(QUOTA), out("quota_exhausted", False)).when(code == 429, out("rate_limited", True))
+    for status, reason in STATUS.items():
+        c = c.when(code == status, out(reason, status in AGAIN))
+    return c.otherwise(out("unknown", False))
 
 
 def parse_time(c: Column) -> Column:

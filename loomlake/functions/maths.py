@@ -81,3 +81,24 @@ def average_precision(ranked: Column, relevant: Column) -> Column:
     )
     n = F.size(F.array_distinct(relevant))
     return F.when(n == 0, F.lit(0.0)).otherwise(state["sum"] / n)
+
+
+def supported(answer: Column, contexts: Column, empty: float) -> Column:
+    """Share of an answer's sentences of whose tokens more than half are in the contexts: faithfulness of an answer, recall of an expected one.  empty: the score of an answer without sentences."""
+    from .text import mixed_tokens, strip
+
+    known = mixed_tokens(F.array_join(contexts, "\n"))
+    parts = F.filter(F.transform(F.split(answer, "。"), strip), lambda s: s != "")
+    held = F.filter(parts, lambda s: F.size(F.array_intersect(mixed_tokens(s), known)) > F.size(mixed_tokens(s)) * 0.5)
+    return F.when(F.size(parts) == 0, F.lit(empty)).otherwise(F.size(held) / F.size(parts))
+
+
+def graded_precision(expected: Column, contexts: Column, k: int = 5) -> Column:
+    """nDCG over the first k contexts with the share of the expected answer's tokens that each holds as its grade; 1 where nothing is expected, 0 without contexts or grades."""
+    from .text import mixed_tokens
+
+    wanted = mixed_tokens(expected)
+    rel = F.transform(contexts, lambda c: F.least(F.size(F.array_intersect(wanted, mixed_tokens(c))) / F.greatest(F.size(wanted), F.lit(1)), F.lit(1.0)))
+    gain = lambda a: F.aggregate(F.transform(F.slice(a, 1, k), lambda x, i: x / F.log2(i + 2)), F.lit(0.0), lambda s, x: s + x)
+    best = gain(F.sort_array(rel, asc=False))
+    return F.when(F.size(contexts) == 0, 0.0).when(F.coalesce(expected, F.lit("")) == "", 1.0).when(best == 0, 0.0).otherwise(gain(rel) / best)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import any_of, ngrams
+from .text import any_of, ngrams, strip
 
 # Pattern families with their severity (low 1, medium 2, high 3), in an RE2-compatible dialect.
 INJECTIONS = [
@@ -19,17 +19,23 @@ INJECTIONS = [
     ("delimiter_injection", 1, [r"(?i)```\s*(?:system|assistant|user)\s*```", r"(?i)---\s*(?:system|assistant)\s*---", r"(?i)<<\s*(?:SYSTEM|ASSISTANT)\s*>>", r"(?i)===+\s*(?:system|assistant)\s*===+"]),
 ]
 #: Relation patterns with two groups, and the relation each stands for.
-_W = r"[\x{4e00}-\x{9fa5}A-Za-z0-9_]"
 TRIPLES = [
-    (f"({_W}{{2,20}})属于({_W}{{2,30}})", "属于"), (f"({_W}{{2,20}})包[含括]({_W}{{2,30}})", "包含"), (f"({_W}{{2,20}})引[用考]({_W}{{2,30}})", "引用"),
-    (f"({_W}{{2,20}})[替取]代({_W}{{2,30}})", "替代"), (f"({_W}{{2,20}})依赖({_W}{{2,30}})", "依赖"), (f"({_W}{{2,20}})基于({_W}{{2,30}})", "基于"),
-    (f"({_W}{{2,15}})是一?[种个项类]?({_W}{{2,20}})", "属于"), (f"({_W}{{2,20}})[使采]用({_W}{{2,30}})", "使用"), (f"({_W}{{2,20}})定义了?({_W}{{2,30}})", "定义"),
-    (f"({_W}{{2,20}})管理({_W}{{2,30}})", "管理"), (f"({_W}{{2,20}})实现了?({_W}{{2,30}})", "实现"),
+    (r"([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,20})属于([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,30})", "属于"),
+    (r"([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,20})包[含括]([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,30})", "包含"),
+    (r"([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,20})引[用考]([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,30})", "引用"),
+    (r"([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,20})[替取]代([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,30})", "替代"),
+    (r"([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,20})依赖([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,30})", "依赖"),
+    (r"([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,20})基于([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,30})", "基于"),
+    (r"([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,15})是一?[种个项类]?([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,20})", "属于"),
+    (r"([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,20})[使采]用([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,30})", "使用"),
+    (r"([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,20})定义了?([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,30})", "定义"),
+    (r"([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,20})管理([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,30})", "管理"),
+    (r"([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,20})实现了?([\x{4e00}-\x{9fa5}A-Za-z0-9_]{2,30})", "实现"),
 ]
 #: Words that are no entity.
-NO_ENTITY = "我们 你们 他们 她们 它们 这个 那个 这些 那些 什么 怎么 为什么 因为 所以 但是 不过 而且 可以 不能 能够 应该 需要 必须 如果 虽然 一个 一种 一些 这项 该 此 其 本 本文 本文档 该文档 该系统 该功能".split()
+NO_ENTITY = ["我们", "你们", "他们", "她们", "它们", "这个", "那个", "这些", "那些", "什么", "怎么", "为什么", "因为", "所以", "但是", "不过", "而且", "可以", "不能", "能够", "应该", "需要", "必须", "如果", "虽然", "一个", "一种", "一些", "这项", "该", "此", "其", "本", "本文", "本文档", "该文档", "该系统", "该功能"]
 #: Legal terms and currency units.
-LEGAL = "合同 协议 条款 法律 法规 权利 义务 违约 赔偿 解除 终止 生效 失效 甲方 乙方 知识产权 保密 竞业".split()
+LEGAL = ["合同", "协议", "条款", "法律", "法规", "权利", "义务", "违约", "赔偿", "解除", "终止", "生效", "失效", "甲方", "乙方", "知识产权", "保密", "竞业"]
 AMOUNT = r"(?i)(\d[\d,]*(?:\.\d+)?)\s*(?:元|万元|亿元|美元|欧元|人民币|港币|日元|英镑|USD|EUR|CNY|RMB|JPY|GBP|HKD)"
 DATE = r"\d{4}[-/年]\d{1,2}[-/月]\d{1,2}日?|\d{1,2}/\d{1,2}/\d{4}"
 
@@ -74,19 +80,47 @@ def amount_risk(said: Column, sources: Column) -> Column:
     return F.when(dev.isNull() | (dev > 0.10), "high").when(dev >= 0.01, "medium").otherwise("low")
 
 
-def first_match(c: Column, rules: list[tuple[str, str, float]], default: str) -> Column:
-    """(label, confidence, capture) of the first rule whose pattern matches."""
-    out = F.struct(F.lit(default).alias("label"), F.lit(0.0).alias("confidence"), F.lit("").alias("argument"))
-    for label, pattern, conf in reversed(rules):
-        out = F.when(c.rlike(pattern), F.struct(F.lit(label).alias("label"), F.lit(conf).alias("confidence"), F.regexp_extract(c, pattern, 1).alias("argument"))).otherwise(out)
+# Intents in order, with their confidence, whether they take the short way, and their patterns.
+INTENTS = [
+    ("unsupported", 0.9, True, [r"(?i)(订|买|抢|退).*(机票|火车票|高铁票|酒店|宾馆|外卖|门票|演唱会)", r"(?i)(今天|明天|后天|周末|下周).*(天气|气温|降雨|台风|空气质量)", r"(?i)(推荐|预测|帮我选|买哪只|买什么|该买).*(股票|基金|股价|行情)", r"(?i)(讲个笑话|讲个故事|写一首诗|写作文|编个故事|闲聊|聊聊)"]),
+    ("list_documents", 0.9, True, [r"(?i)(列出|列表|有哪些|显示一下|看一下列表).*(文档|知识库|文件|资料)", r"(?i)(list|show|all)\s+(documents?|knowledge|files?)", r"(?i)(我的|所有).*(文档|知识库)"]),
+    ("rag_search", 0.85, True, [r"(?i)(搜索一下|搜一下|查找一下|查一下|找一下|帮我查|搜索|查找|查询|检索)(.+)", r"(?i)(search|find|query|look\s+for)\s+(.+)", r".*(是什么|怎么|如何|为什么|什么是|区别|对比|优缺点)", r".*(流程|步骤|方法|规范|要求).*(是|有)"]),
+    ("get_document", 0.85, True, [r"(?i)(查看|打开|看看|详情|阅读)(.+)", r"(?i)(view|open|detail|read)\s+(.+)"]),
+    ("create_document", 0.9, False, [r"(?i)(创建|上传|添加|新建|导入).*(文档|文件|知识|资料)", r"(?i)(create|upload|add|new|import)\s+(document|file|knowledge)"]),
+]
+#: Patterns with a second group, which is what a search or a look-up is for.
+ASKS = {"rag_search": [0, 1, 3], "get_document": [0, 1]}
+
+
+def intent(c: Column) -> Column:
+    """(intent, parameter, confidence, shortcut) of the first pattern that a request matches, null for none.
+
+    A search's parameter is the pattern's second group if it is longer than a character, else the whole request; a
+    look-up's is the second group.
+    """
+    said = strip(c)
+    kind = "struct<intent:string,parameter:string,confidence:double,shortcut:boolean>"
+    out = F.lit(None).cast(kind)
+    for name, confidence, shortcut, patterns in reversed(INTENTS):
+        for i, pattern in reversed(list(enumerate(patterns))):
+            asked = strip(F.regexp_extract(said, pattern, 2)) if i in ASKS.get(name, []) else F.lit("")
+            parameter = F.when(F.length(asked) > 1, asked).otherwise(said) if name == "rag_search" else asked if name == "get_document" else F.lit(None).cast("string")
+            out = F.when(said.rlike(pattern), F.struct(F.lit(name).alias("intent"), parameter.alias("parameter"), F.lit(confidence).alias("confidence"), F.lit(shortcut).alias("shortcut"))).otherwise(out)
     return out
 
 
 # --- skill tokens, preferences, facts
 
 # fixed values: words that say nothing of a skill
-STOP_CN = """的 了 在 是 我 你 他 她 它 们 和 与 或 及 等 把 被 让 给 向 这 那 些 个 中 上 下 里 外 前 后 对 于 从 到 要 会 能 可 以 有 无 不 没 都 也 还 又 再 就 一 二 三 请 帮 帮我 一下 需要 想要""".split()
-STOP_EN = """the a an is are was were be been being have has had do does did will would could should may might must can need want please help me i you he she it we they this that these those and or but not for with about to of in on at by from as into""".split()
+STOP_CN = [
+    "的", "了", "在", "是", "我", "你", "他", "她", "它", "们", "和", "与", "或", "及", "等", "把", "被", "让", "给", "向", "这", "那", "些", "个", "中", "上", "下", "里", "外", "前", "后", "对", "于", "从", "到",
+    "要", "会", "能", "可", "以", "有", "无", "不", "没", "都", "也", "还", "又", "再", "就", "一", "二", "三", "请", "帮", "帮我", "一下", "需要", "想要",
+]
+STOP_EN = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must",
+    "can", "need", "want", "please", "help", "me", "i", "you", "he", "she", "it", "we", "they", "this", "that", "these", "those", "and", "or", "but", "not", "for", "with",
+    "about", "to", "of", "in", "on", "at", "by", "from", "as", "into",
+]
 # fixed values: what asks for another style, in order
 PREFERENCES = {
     "concise": ["简单点", "太长了", "简洁", "简短", "精简", "少说"],

@@ -423,6 +423,27 @@ def _(t: Tables):
     return a.join(b, "item_id").where("size(q) > 0").select("item_id", F.round(F.least(F.size(F.array_intersect("q", "a")) / F.size("q"), F.lit(1.0)), 6).alias("relevancy"))
 
 
+#: A question, an answer in sentences, an expected answer and three contexts, from a text and the next one.
+GRADED = """g AS (SELECT a.item_id, replace(regexp_replace(lower(a.text), '[^ -~]', '', 'g'), '. ', '。') AS answer, replace(regexp_replace(lower(b.text), '[^ -~]', '', 'g'), '. ', '。') AS expected, [substr(regexp_replace(lower(b.text), '[^ -~]', '', 'g'), 1, 100), regexp_replace(lower(a.text), '[^ -~]', '', 'g'), substr(regexp_replace(lower(b.text), '[^ -~]', '', 'g'), 50)] AS contexts FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+tok AS (SELECT *, list_distinct(regexp_extract_all(array_to_string(contexts, chr(10)), '[a-z0-9]+')) AS known, list_distinct(regexp_extract_all(expected, '[a-z0-9]+')) AS wanted FROM g)"""
+SUPPORT = "len(list_filter(s, lambda x: len(list_intersect(list_distinct(regexp_extract_all(x, '[a-z0-9]+')), known)) > len(list_distinct(regexp_extract_all(x, '[a-z0-9]+'))) * 0.5)) / len(s)"
+PARTS = "list_filter(list_transform(string_split({c}, '。'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+@query("ev06b_heuristic_rag_scores", f"""WITH {GRADED}, f AS (SELECT item_id, {SUPPORT} AS faithfulness FROM (SELECT item_id, known, {PARTS.format(c='answer')} AS s FROM tok)), r AS (SELECT item_id, CASE WHEN len(s) = 0 THEN 1.0 ELSE {SUPPORT} END AS recall FROM (SELECT item_id, known, {PARTS.format(c='expected')} AS s FROM tok)),
+rel AS (SELECT item_id, i, least(len(list_intersect(wanted, list_distinct(regexp_extract_all(contexts[i], '[a-z0-9]+')))) / greatest(len(wanted), 1), 1.0) AS rel FROM tok, range(1, 4) t(i)),
+d AS (SELECT item_id, sum(rel / log2(i + 1)) AS dcg, sum(best / log2(i + 1)) AS ideal FROM (SELECT *, list_extract(list_reverse_sort(list(rel) OVER (PARTITION BY item_id)), i) AS best FROM rel) GROUP BY 1)
+SELECT item_id, round(faithfulness, 6) AS faithfulness, round(CASE WHEN ideal = 0 THEN 0.0 ELSE dcg / ideal END, 6) AS precision, round(recall, 6) AS recall FROM f JOIN r USING (item_id) JOIN d USING (item_id)""")
+def _(t: Tables):
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^ -~]", "")
+    nxt = t.benchmark.select((F.col("item_id") - 1).alias("item_id"), plain("text").alias("b"))
+    j = t.benchmark.select("item_id", plain("text").alias("a")).join(nxt, "item_id")
+    contexts = F.array(F.substring("b", 1, 100), F.col("a"), F.substr("b", F.lit(50)))
+    stop = lambda c: F.replace(F.col(c), F.lit(". "), F.lit("。"))
+    scores = {"faithfulness": maths.supported(stop("a"), contexts, 0.0), "precision": maths.graded_precision(stop("b"), contexts), "recall": maths.supported(stop("b"), contexts, 1.0)}
+    return j.select("item_id", *[F.round(v, 6).alias(k) for k, v in scores.items()])
+
+
 @query("ev07_rule_checks", "SELECT conv_id, turn, CASE WHEN turn % 4 = 1 AND NOT contains(content, 'the') THEN 'pass' WHEN turn % 4 <> 1 THEN 'not_refused' ELSE 'leak' END AS verdict FROM messages")
 def _(t: Tables):
     c = F.concat("content", F.when(F.col("turn") % 4 == 1, "，拒绝").otherwise(""))

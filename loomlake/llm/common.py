@@ -83,15 +83,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before the shuffle and AQE can split what is left; each round is cut to the shared folder.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
-    nodes = e
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
         if large:
             s = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
             m = s.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            j = s.where("v > u").join(cut(m, "stars"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            j = s.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
-            m = cut(e.groupBy("u").agg(F.min("v").alias("m")), "stars")
+            m = e.groupBy("u").agg(F.min("v").alias("m"))
             j = e.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
         return j.where("u > v").distinct()
 
@@ -100,10 +99,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     was = shape(e)
     while was[0]:
-        nxt = cut(stars(cut(stars(e, True), "edges"), False), "edges")
+        half = cut(stars(e, True), "edges")
+        nxt = cut(stars(half, False), "edges")
         now = shape(nxt)
-        if e is not nodes:
-            drop(e)
+        drop(e, half)
         e = nxt
         if now == was:
             break

@@ -44,7 +44,7 @@ LEAF, PROBE = 1024, 24_000
 #: The near-dedup stage: words of a shingle and the least Jaccard similarity, as a fraction.
 WORDS, ALIKE = 5, (4, 5)
 #: Bytes of texts whose shingles meet in a task to be counted, about; pairs a text that may be left to look at all at once, and rounds before that; texts of a block of a large group; pairs of two classes that are compared before all are.
-COUNTED, PAIRS, ROUNDS, BLOCK, CLOSE = 12 << 20, 1, 6, 2000, 4
+COUNTED, PAIRS, ROUNDS, BLOCK, CLOSE = 12 << 20, 1, 3, 2000, 4
 _BITS = np.array([1 << (63 - i) for i in range(64)], np.uint64)
 
 
@@ -520,15 +520,15 @@ def near_classes(texts: DataFrame) -> DataFrame:
             hit = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf["h_a"], pdf["h_b"])]
             yield pdf.loc[hit, ["a", "b"]]
 
-    def both(pairs: DataFrame, of: DataFrame, col: str, small: int) -> DataFrame:
-        side = lambda c: bounded(of, small).select(F.col("key").alias(c), F.col(col).alias(f"h_{c}"))
+    def both(pairs: DataFrame, of: DataFrame, col: str) -> DataFrame:
+        side = lambda c: of.select(F.col("key").alias(c), F.col(col).alias(f"h_{c}"))
         return pairs.join(side("a"), "a").join(side("b"), "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        need = cut(pairs.select(F.col("a").alias("__fp")).union(pairs.select("b")).distinct(), "need")
+        need = pairs.select(F.col("a").alias("__fp")).union(pairs.select("b")).distinct()
         whole = cut(texts.join(bounded(need, 200_000), "__fp", "left_semi").select("__fp", "text").dropDuplicates(["__fp"]).mapInPandas(hashes, "key long, h binary"), "hashes")
-        out = cut(both(pairs, whole, "h", 1000).mapInPandas(compare, "a long, b long"), "verified")
-        drop(need, whole)
+        out = cut(both(pairs, whole, "h").mapInPandas(compare, "a long, b long"), "verified")
+        drop(whole)
         return out
 
     def blocks(open_: DataFrame, sizes: DataFrame, most: int | None) -> DataFrame:
@@ -573,7 +573,7 @@ def near_classes(texts: DataFrame) -> DataFrame:
             break
         if not none:
             old = tried, of
-            check = pairs if everything else cut(both(pairs, sketches, "sketch", 1000).mapInPandas(bound, "a long, b long"), "plausible")
+            check = pairs if everything else cut(both(pairs, sketches, "sketch").mapInPandas(bound, "a long, b long"), "plausible")
             links = verified(check)
             tried = cut(tried.unionByName(pairs), "tried")
             # classes that the new links join: the graph of the former classes' roots is small

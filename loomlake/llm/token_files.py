@@ -17,7 +17,7 @@ and streams each partition into one file, a frame at a time; files of attempts t
 not in the manifest.  Its reader gives (doc_id, start, n_tokens, ids), skips files by the ids' range and
 frames by the index for equality, IN and ranges of doc_id, and checks every frame it opens.
 
-Null ids come first; equal ids stand by the order of their ids' bytes, rows repeated exactly in any order.  Null
+Null ids come first; equal ids stand by a hash of their texts, rows repeated exactly in any order.  Null
 texts are empty: they have the end id alone.  An empty table makes a folder without part files.  Very long
 texts are documents like others.  Further columns of the input do not matter.
 """
@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from xxhash import xxh64_intdigest
 
-from .bpe import Codec, tokenizer_path
-from .common import cut, documents, drop, expand, python_ready, scratch, squeeze
+from .bpe import Codec, Model, tokenizer_path
+from .common import documents, python_ready, scratch, worker_cache
 
-#: The id that ends a document; bytes of ids of a frame, about, and of a document from which it is split; least bytes of ids of a file, and files at most.
+#: The id that ends a document; bytes of ids of a frame, about, and of a document from which it is split; bytes of texts of a file, about, and files at most; words that a worker keeps, and words encoded together.
 END, FRAME, LONG = 1, 256 << 10, 64 << 20
-FILE, FILES = 64 << 20, 65_536
+FILE, FILES, COMMON, TOGETHER = 64 << 20, 65_536, 262_144, 200
 #: Magic numbers of skippable frames (the index; the seek table) and of the seek table's end.
 INDEX, SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
@@ -164,10 +164,10 @@ class Part(InputPartition):
 
 
 class Writer(DataSourceArrowWriter):
-    """Each partition becomes a file.  ids are packed by `squeeze` and hold integers of the option dtype."""
+    """Each partition becomes a file."""
 
-    def __init__(self, path: str, dtype: str):
-        self.path, self.dtype = path, dtype
+    def __init__(self, path: str):
+        self.path = path
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -182,7 +182,7 @@ class Writer(DataSourceArrowWriter):
                     fs.create_dir(at, recursive=True)
                     sink = fs.open_output_stream(f"{at}/{file}", compression=None)  # else the name would decide
                     out = FileWriter(sink)
-                out.add(doc, np.frombuffer(expand(ids.as_py()), self.dtype).astype("<u4").tobytes())
+                out.add(doc, ids.as_py())
                 if doc is None:
                     nulls = True
                 else:
@@ -292,7 +292,7 @@ class TokenFrames(DataSource):
         return Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], self.options.get("dtype", "<u4"))
+        return Writer(self.options["path"])
 
 
 def _ready(spark: SparkSession) -> None:
@@ -301,23 +301,64 @@ def _ready(spark: SparkSession) -> None:
     spark.dataSource.register(TokenFrames)
 
 
-def _packed(doc, ids: np.ndarray, _texts) -> tuple:
-    return doc, squeeze(np.append(ids, np.array([END], ids.dtype)).tobytes()), len(ids) + 1
+def word_ids(model: Model, words: list[str]) -> dict[str, bytes]:
+    """The ids of words, split into the model's units TOGETHER at a time: blanks between words are no units' part."""
+    out = {w: model.encode_word(w) for w in words if w[0] == " "}  # added tokens
+    words, tokenize = [w for w in words if w[0] != " "], model.tok.model.tokenize
+    for a in range(0, len(words), TOGETHER):
+        some = words[a : a + TOGETHER]
+        ids: list[list[int]] = [[] for _ in some]
+        k, end = 0, len(some[0])
+        for unit, (at, _) in model.tok.pre_tokenizer.pre_tokenize_str(" ".join(some)):
+            while at >= end:
+                k += 1
+                end += 1 + len(some[k])
+            ids[k] += [t.id for t in tokenize(unit)]
+        out.update((w, np.array(x, model.dtype).tobytes()) for w, x in zip(some, ids))
+    return out
+
+
+def encoded(rows: DataFrame, tokenizer: str, common: int | None = None) -> DataFrame:
+    """(doc_id, ids) of rows (doc_id, text), each where it is and in the order it has: every whole text's ids and the end, as little-endian unsigned 32-bit integers.
+
+    The commonest words of a bounded sample are encoded once a worker; of the others each distinct word once a batch
+    of rows, so memory is bounded by both.  Which words are common changes no result.
+    """
+    codec = Codec(rows.sparkSession, tokenizer)
+    codec.common = COMMON if common is None else common
+    sent, key = rows.sparkSession.sparkContext.broadcast((codec.spec.value, codec.commonest(rows))), uuid.uuid4().hex
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = worker_cache(key)
+        if "ids" not in kept:
+            kept["model"] = Model(sent.value[0])
+            kept["ids"] = word_ids(kept["model"], sent.value[1])
+        model, ids = kept["model"], kept["ids"]
+        end = np.array([END], "<u4").tobytes()
+        for batch in it:
+            texts = [model.words(t) for t in batch.column(1).to_pylist()]
+            rest = word_ids(model, list({w for words in texts for w in words if w not in ids}))
+            out = []
+            for words in texts:
+                got = list(map(ids.get, words))
+                if None in got:
+                    got = [rest[w] if x is None else x for w, x in zip(words, got)]
+                out.append(np.frombuffer(b"".join(got), model.dtype).astype("<u4").tobytes() + end)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def save(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every whole text, end it, and write the folder at path (a URI), in ascending order of id over all files."""
+    """Write every whole text's ids to the folder at path (a URI), in ascending order of id over all files: texts are dealt by ranges of ids, and encoded and written by the task that has them in order."""
     spark = docs.sparkSession
     _ready(spark)
-    codec = Codec(spark, tokenizer or tokenizer_path())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = cut(codec.encoded(rows, _packed, "doc_id long, ids binary, n long").withColumn("tie", F.monotonically_increasing_id()), "ids")
-    total = (made.agg(F.sum("n")).first()[0] or 0) * 4
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // max(FILE, -(-total // FILES))))
     order = ["doc_id", "h", "tie"]
-    laid = made.withColumn("h", F.xxhash64("ids")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    laid.select("doc_id", "ids").write.format("token_frames").mode("append").option("path", path).option("dtype", codec.dtype).save()
-    drop(made)
+    laid = rows.select("*", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("tie")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    encoded(laid, tokenizer or tokenizer_path()).write.format("token_frames").mode("append").option("path", path).save()
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

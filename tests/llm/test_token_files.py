@@ -93,6 +93,7 @@ def plain(rows):
 
 def test_folder_against_the_library(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "FILE", 40_000)
+    monkeypatch.setattr(token_files, "COMMON", 3)
     path = f"file://{tmp_path}/folder"
     token_files.save(docs, path)
     parts = json.loads(Path(tmp_path, "folder/_manifest.json").read_text())["parts"]
@@ -132,3 +133,15 @@ def test_query_and_empty_table(spark, sf, tmp_path):
         at += len(b) // 4
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert token_files.op12_token_files(spark, str(tmp_path)).collect() == []
+
+
+def test_words_together_are_words_apart():
+    import random
+
+    from loomlake.llm.bpe import Model
+
+    model, rng = Model(Path(tokenizer_path()).read_text()), random.Random(2)
+    pool = ["a", "Z", "é", "É", "ß", "İ", "'s", "n't", "9", "-", ".", "数", "🙂", "ﬁ", "́", "<|endoftext|>", "<|ENDOFTEXT|>", "\u200b", "\x1c", " ", "\t"]
+    for _ in range(150):
+        words = model.words("".join(rng.choice(pool) for _ in range(rng.randrange(400))))
+        assert token_files.word_ids(model, words) == {w: model.encode_word(w) for w in words}

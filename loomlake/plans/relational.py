@@ -55,6 +55,33 @@ def _(t: Tables):
     return to_sft(t.conversations)
 
 
+#: Records of four shapes, each whole, blank, missing, of another type, or with lists, by id; w is plain words.
+RAW = {
+    "ranking": ["'{\"query\": \" ' || w || ' \", \"positive\": [\" \", 3, \"p ' || w || '\"], \"negative\": \"n\"}'", "'{\"query\": \"' || w || '\", \"positive\": [], \"negative\": [\"n\"]}'"],
+    "reading": ["'{\"question\": \"' || w || '\", \"answers\": [{\"text\": \" \"}, {\"text\": \"a ' || w || '\", \"answer_start\": 3}]}'", "'{\"question\": \"' || w || '\", \"answers\": {\"text\": [\"\", \" b \"]}}'", "'{\"question\": \"q\", \"answers\": [null, \"' || w || '\"]}'", "'{\"question\": 7, \"answers\": [\"x\"]}'", "'{\"question\": \"q\", \"answers\": {\"text\": \"c\"}}'"],
+    "instruction": ["'{\"instruction\": \"' || w || '\", \"input\": \" more \", \"output\": \"o\"}'", "'{\"instruction\": \"' || w || '\", \"input\": null, \"output\": \" o2\"}'", "'{\"instruction\": \"' || w || '\", \"output\": [\"o\"]}'"],
+    "preference": ["'{\"question\": \"' || w || '\", \"response_chosen\": \"yes\", \"response_rejected\": \"no\"}'", "'{\"question\": \"' || w || '\", \"response_chosen\": \"yes\", \"response_rejected\": \" yes \"}'", "'{\"question\": \"' || w || '\", '"],
+}
+RECORDS = [(shape, raw) for shape, raws in RAW.items() for raw in raws]
+RAW_OF = "CASE item_id % " + str(len(RECORDS)) + " " + " ".join(f"WHEN {i} THEN {raw}" for i, (_, raw) in enumerate(RECORDS)) + " END"
+SHAPE_OF = "CASE item_id % " + str(len(RECORDS)) + " " + " ".join(f"WHEN {i} THEN '{shape}'" for i, (shape, _) in enumerate(RECORDS)) + " END"
+AT = lambda p: f"nullif(trim(CASE WHEN json_type(j, '{p}') = 'VARCHAR' THEN json_extract_string(j, '{p}') END), '')"
+FIRST = lambda p: f"coalesce({AT(p)}, list_filter(list_transform(CASE WHEN json_type(j, '{p}') = 'ARRAY' THEN CAST(json_extract(j, '{p}') AS JSON[]) ELSE [] END, lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN nullif(trim(json_extract_string(x, '$')), '') END), lambda x: x IS NOT NULL)[1])"
+ANSWER = "coalesce(list_filter(list_transform(CASE WHEN json_type(j, '$.answers') = 'ARRAY' THEN CAST(json_extract(j, '$.answers') AS JSON[]) ELSE [] END, lambda x: CASE json_type(x) WHEN 'VARCHAR' THEN nullif(trim(json_extract_string(x, '$')), '') WHEN 'OBJECT' THEN nullif(trim(json_extract_string(x, '$.text')), '') END), lambda x: x IS NOT NULL)[1], " + FIRST("$.answers.text") + ")"
+
+
+@query("src06b_datasets_by_shape", f"""WITH r AS (SELECT item_id, {SHAPE_OF} AS shape, {RAW_OF} AS raw FROM (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z ]', '', 'g')) AS w FROM benchmark)), p AS (SELECT item_id, shape, CAST(raw AS JSON) AS j FROM r WHERE json_valid(raw)),
+o AS (SELECT item_id, 'embedding' AS kind, {AT('$.query')} AS a, {FIRST('$.positive')} AS b, {FIRST('$.negative')} AS c FROM p WHERE shape = 'ranking' UNION ALL SELECT item_id, 'sft', {AT('$.question')}, {ANSWER}, '' FROM p WHERE shape = 'reading'
+UNION ALL SELECT item_id, 'sft', {AT('$.instruction')} || coalesce(chr(10) || chr(10) || {AT('$.input')}, ''), {AT('$.output')}, '' FROM p WHERE shape = 'instruction' UNION ALL SELECT item_id, 'dpo', {AT('$.question')}, {AT('$.response_chosen')}, {AT('$.response_rejected')} FROM p WHERE shape = 'preference')
+SELECT * FROM o WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND NOT (kind = 'dpo' AND b = c)""")
+def _(t: Tables):
+    from ..sources.shapes import converted
+
+    w = t.benchmark.select("item_id", F.trim(F.regexp_replace(F.lower("text"), "[^a-z ]", "")).alias("w"))
+    c = converted(w.select("item_id", F.expr(SHAPE_OF).alias("shape"), F.expr(RAW_OF).alias("raw")))
+    return c.select("item_id", "kind", F.coalesce("query", "question", "prompt").alias("a"), F.coalesce("pos", "answer", "chosen").alias("b"), F.coalesce("neg", "rejected", F.lit("")).alias("c"))
+
+
 @query("src07_markdown_reader", "SELECT doc_id, text FROM documents WHERE text LIKE '%' || chr(10) || '%'")
 def _(t: Tables):
     return t.documents.where(F.col("text").contains("\n")).select("doc_id", "text")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths, rules, text
 from ..operators import chunking as C
+from ..operators import dictionary as D
 from ..operators.index import TextIndex, VectorIndex
 from ..operators import relational as R
 from ..operators import retrieval as V
@@ -133,9 +134,33 @@ def _(t: Tables):
     return graph_hits(t)
 
 
-@query("ret06_entity_expansion", "SELECT DISTINCT item_id, n_name AS canonical FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) JOIN nation ON w = CASE n_nationkey % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'and' ELSE 'with' END")
+#: Synonyms: the first two and three words of every text stand for one of 25 entities, and three terms within each other; texts some of which end in such terms.
+NAMED = "regexp_replace(lower(text || CASE item_id % 4 WHEN 0 THEN ' 差旅报销流程' WHEN 1 THEN ' 流程图' ELSE '' END), '[^a-z0-9一-鿿]+', ' '{g})"
+SYN = "syn AS (SELECT DISTINCT term, entity FROM (SELECT regexp_extract(n, '^ ?([a-z0-9]+ [a-z0-9]+)', 1) AS term, 'E' || item_id % 25 AS entity FROM named UNION ALL SELECT regexp_extract(n, '^ ?([a-z0-9]+ [a-z0-9]+ [a-z0-9]+)', 1), 'F' || item_id % 25 FROM named UNION ALL SELECT * FROM (VALUES ('差旅', 'Travel'), ('报销流程', 'Expense'), ('流程', 'Process'), ('the', 'Article'))) WHERE term <> '')"
+NAMES = f"named AS (SELECT item_id, {NAMED.format(g=", 'g'")} AS n FROM benchmark), {SYN}, ent AS (SELECT DISTINCT item_id, entity FROM named JOIN syn ON CASE WHEN regexp_matches(term, '^[a-z0-9]') THEN contains(' ' || n || ' ', ' ' || term || ' ') ELSE contains(n, term) END)"
+
+
+def synonyms(t: Tables):
+    """(texts (item_id, n), synonyms (term, entity)) of the expansion queries."""
+    n = t.benchmark.select("item_id", F.expr(NAMED.format(g="")).alias("n"))
+    first = lambda p, e: n.select(F.regexp_extract("n", p, 1).alias("term"), F.concat(F.lit(e), (F.col("item_id") % 25).cast("string")).alias("entity"))
+    fixed = t.spark.createDataFrame([("差旅", "Travel"), ("报销流程", "Expense"), ("流程", "Process"), ("the", "Article")], "term string, entity string")
+    words = first("^ ?([a-z0-9]+ [a-z0-9]+)", "E").unionByName(first("^ ?([a-z0-9]+ [a-z0-9]+ [a-z0-9]+)", "F"))
+    return n, words.where("term <> ''").distinct().unionByName(fixed)
+
+
+@query("ret06_entity_expansion", f"WITH {NAMES} SELECT item_id, entity AS canonical FROM ent")
 def _(t: Tables):
-    return expanded(t, t.benchmark)
+    n, syn = synonyms(t)
+    return D.entities_of(n, syn, "item_id", "n").select("item_id", F.col("entity").alias("canonical"))
+
+
+@query("ret06b_expanded_fulltext", bm25_sql(f"WITH {NAMES}, more AS (SELECT item_id, string_agg(term, ' ' ORDER BY term) AS more FROM (SELECT DISTINCT item_id, term FROM ent JOIN syn USING (entity)) GROUP BY 1) SELECT item_id AS query_id, n || coalesce(' ' || more, '') AS text FROM named LEFT JOIN more USING (item_id) WHERE item_id % 100 = 0") + ", ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM s) WHERE rn <= 20) SELECT query_id, chunk_id, score FROM ft")
+def _(t: Tables):
+    # synonyms of the entities that a query names go to the full text only
+    n, syn = synonyms(t)
+    asked = D.expanded(n.where("item_id % 100 = 0"), syn, "item_id", "n").select(F.col("item_id").alias("query_id"), F.col("n").alias("text"))
+    return V.bm25(asked, chunks(t), 20)
 
 
 HYBRID = BM25 + ", " + VEC + ", " + GRAPH + """, side AS (SELECT *, row_number() OVER (PARTITION BY query_id, label >= 5 ORDER BY score DESC, vec_id) AS k FROM vs),
@@ -154,8 +179,8 @@ def hybrid(t: Tables, k: int = 10, cross_modal=None):
         cross_modal or (lambda: of(V.vector_topk(vector_queries(t), t.embeddings, 8, F.col("label") >= 5))),
         lambda: graph_hits(t),
     ]
-    a, b, c = (V.or_empty(f, HITS, t.spark) for f in semantic)
-    return V.merge_channels(a.unionByName(b).unionByName(c), V.or_empty(lambda: fulltext(t), HITS, t.spark), k)
+    a, b, c = (V.isolated(f, HITS, t.spark, name) for f, name in zip(semantic, ("vectors", "cross-modal", "graph")))
+    return V.merge_channels(a.unionByName(b).unionByName(c), V.isolated(lambda: fulltext(t), HITS, t.spark, "full-text"), k)
 
 
 @query("ret07_hybrid_search", HYBRID + " SELECT query_id, chunk_id, score FROM h")
@@ -168,6 +193,13 @@ def _(t: Tables):
     return hybrid(t, cross_modal=lambda: t.spark.read.parquet(f"{t.sf_dir}/no_such_index.parquet"))
 
 
+@query("ret08b_channel_fails_running", HYBRID.replace("label >= 5 THEN 8", "label >= 5 THEN 0") + " SELECT query_id, chunk_id, score FROM h")
+def _(t: Tables):
+    # a channel that plans well and fails in its tasks
+    broken = lambda: t.embeddings.where("label >= 5").select(F.col("vec_id").alias("query_id"), F.lit("x").alias("chunk_id"), F.when(F.col("vec_id") >= 0, F.raise_error(F.lit("index lost"))).cast("double").alias("score"))
+    return hybrid(t, cross_modal=broken)
+
+
 @query("ret09_rerank_apply", HYBRID + " SELECT query_id, chunk_id, rerank FROM (SELECT query_id, chunk_id, rerank, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) AS k FROM (SELECT *, length(body) % 101 / 100.0 AS rerank FROM h JOIN (SELECT chunk_id AS c, body FROM chunks) ON c = chunk_id) WHERE rerank > 0.05) WHERE k <= 5")
 def _(t: Tables):
     # the reranker's list: a score for some hits, from the text of the chunk; hits without one leave
@@ -181,10 +213,24 @@ def _(t: Tables):
     return V.expand_parents(hits, t.docs.select(F.col("doc_id").alias("parent_id"), "title"))
 
 
-@query("ret11_quality_retry", "SELECT query, CASE WHEN avg(value) >= 50 THEN 5 ELSE 15 END AS k, avg(value) < 30 AS insufficient FROM searches GROUP BY query")
+RETRY = "WITH " + VEC + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM vs WHERE label % 2 = 1 AND vec_id <> query_id), j AS (SELECT query_id, round(avg(score) FILTER (WHERE k <= 5), 4) AS m5, round(avg(score) FILTER (WHERE k <= 15), 4) AS m15 FROM f GROUP BY 1)"
+
+
+def retried(t: Tables):
+    """Searches over others of odd labels, again with fifteen where the five best are far off."""
+    q = vector_queries(t)
+    search = lambda asked, k: R.latest_by(V.vector_topk(asked, t.embeddings, k + 1, F.col("label") % 2 == 1).where("vec_id <> query_id"), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    return V.quality_retry(search, q, 5, 10, 0.7)
+
+
+@query("ret11_quality_retry", RETRY + " SELECT query_id, vec_id, score FROM f JOIN j USING (query_id) WHERE k <= CASE WHEN m5 < 0.7 THEN 15 ELSE 5 END")
+def _(t: Tables):
+    return retried(t)[0].select("query_id", "vec_id", "score")
+
+
+@query("ret11b_retry_verdicts", RETRY + " SELECT query_id, CASE WHEN m5 < 0.7 THEN m15 ELSE m5 END AS mean, m5 < 0.7 AS retried, CASE WHEN m5 < 0.7 THEN m15 ELSE m5 END < 0.7 AS insufficient FROM j")
 def _(t: Tables):
-    m = F.avg("value")
-    return t.searches.groupBy("query").agg(F.when(m >= 50, 5).otherwise(15).alias("k"), (m < 30).alias("insufficient"))
+    return retried(t)[1]
 
 
 @query("ret03b_title_field", bm25_sql("SELECT doc_id AS query_id, substr(text, 1, 60) AS text FROM documents WHERE doc_id % 100 = 0 AND length(text) > 0") + " SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM s) WHERE k <= 5")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import folds as G
 from ..operators import relational as R
 from ..streaming import state, windows
 from .registry import Tables, query
@@ -33,10 +32,12 @@ def _(t: Tables):
     return e.select("event_id", F.count("*").over(w).alias("n"), F.count_if(F.col("event_type") == "error").over(w).alias("errors"))
 
 
-@query("stm03_ttl_counter")
+@query("stm03_ttl_counter", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, us AS start, 1 AS n FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.us - r.start >= 86400000000 THEN e.us ELSE r.start END, CASE WHEN e.us - r.start >= 86400000000 THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, n FROM r""")
 def _(t: Tables):
-    e = t.events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return G.per_group(e, ["user_id"], ["at", "event_id"], lambda rs: [(r.event_id, n) for r, n in zip(rs, G.ttl_counts([r.at for r in rs], 86_400.0))], "user_id long, event_id long, n int")
+    e = t.events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return state.running_lives(e, "user_id", ["at", "event_id"], "at", 86_400_000_000, ["user_id", "event_id"])
 
 
 @query("stm05_running_counters", "SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1, 2")
@@ -62,6 +63,13 @@ def _(t: Tables):
     return t.events.groupBy("user_id").agg((last + F.expr("interval 7 days") < F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).alias("expired"))
 
 
+@query("stm10b_rolling_lives", "SELECT user_id, min(ts) AS start, count(*) AS n, max(ts) + INTERVAL 6 HOURS AS until, max(ts) + INTERVAL 6 HOURS <= TIMESTAMP '2024-01-31' AS expired FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOURS > ts THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+def _(t: Tables):
+    # every touch prolongs a life; what ended before now has expired
+    s = windows.sessions(t.events, "6 hours", until=True)
+    return s.withColumn("expired", F.col("until") <= F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+
+
 @query("mp02_state_fold", "SELECT user_id, event_type AS field, CASE WHEN event_type IN ('click', 'view') THEN string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) ELSE CAST(max(event_id) AS VARCHAR) END AS value FROM events GROUP BY user_id, event_type")
 def _(t: Tables):
     log = t.events.select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("field"), F.col("event_id").cast("string").alias("value"), F.col("event_type").isin("click", "view").alias("is_list"))
@@ -110,12 +118,12 @@ def _(t: Tables):
     return kinds.unionByName(t.spark.range(1).select(F.lit("Concept").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("udf07_document_adapter", "SELECT CAST(i AS VARCHAR) AS doc_id, 'Item ' || CAST(i AS VARCHAR) AS title FROM range(30) r(i)")
+@query("udf07_document_adapter", "SELECT CAST(item_id AS VARCHAR) AS doc_id, text AS content, '1' AS revision FROM benchmark")
 def _(t: Tables):
-    from ..sources.adapter import MemoryAdapter, read
+    from ..sources.adapter import TableAdapter, read
 
-    docs = {str(i): (f"Item {i}", "", "1") for i in range(30)}
-    return read(t.spark, "loomlake_items", lambda: MemoryAdapter(docs)).select("doc_id", "title")
+    path = f"{t.sf_dir}/benchmark.parquet"
+    return read(t.spark, "loomlake_items", lambda: TableAdapter(path, "item_id", "text", "text")).select("doc_id", "content", "revision")
 
 
 @query("snk14_dead_letters", "SELECT count(*) FILTER (WHERE value >= 5) AS passed, count(*) FILTER (WHERE value < 5) AS failed FROM events")

@@ -16,9 +16,11 @@ def sliding(events: DataFrame, width: str, step: str, late: str | None = None, a
     return e.groupBy(F.window(at, width, step)).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")).select(F.col("window.start").alias("start"), "n", "errors")
 
 
-def sessions(events: DataFrame, gap: str, late: str | None = None, at: str = "ts") -> DataFrame:
+def sessions(events: DataFrame, gap: str, late: str | None = None, at: str = "ts", until: bool = False) -> DataFrame:
+    """(user_id, start, n) of runs of events less than a gap apart; until: also when the gap after the last one ends."""
     e = events.withWatermark(at, late) if late else events
-    return e.groupBy(F.session_window(at, gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+    end = [F.col("session_window.end").alias("until")] if until else []
+    return e.groupBy(F.session_window(at, gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n", *end)
 
 
 def counters(events: DataFrame, keys: list[str]) -> DataFrame:

@@ -190,10 +190,15 @@ def parent_child(parents: list[Chunk], tokens: int = CHILD_TOKENS) -> list[Chunk
     return out
 
 
-def fixed(text: str, tokens: int = FALLBACK_TOKENS) -> list[Chunk]:
-    """Parts of a fixed size, blank ones left out."""
-    out, at = [], 0
-    for p in split_by_tokens(text, tokens):
+#: Fixed value: characters that chunks overlap by, where they do.
+OVERLAP = 175
+
+
+def fixed(text: str, tokens: int = FALLBACK_TOKENS, overlap: int = 0) -> list[Chunk]:
+    """Parts of a fixed size, blank ones left out.  overlap: so many last characters of the part before stand before each further part, and count in the places."""
+    out, at, parts = [], 0, split_by_tokens(text, tokens)
+    for before, own in zip(["", *parts], parts):
+        p = (before[-overlap:] if overlap else "") + own
         if p.strip():
             out.append(Chunk(p, "fallback", start=at, end=at + len(p)))
         at += len(p)

@@ -102,3 +102,15 @@ def expanded(texts: DataFrame, synonyms: DataFrame, key: str, text: str = "text"
 
 def said(text: Column, more: Column) -> Column:
     return F.when(more.isNotNull(), F.concat(text, F.lit(" "), more)).otherwise(text)
+
+
+def registered(entities: DataFrame) -> DataFrame:
+    """(term, entity, type): the synonym index of registered entities (canonical, type, display, synonyms, at).
+
+    Of registrations of one canonical name the latest counts; its name, display name and synonyms, in lower case, stand
+    for it, and a term that several name stands for the entity that was registered last (then the greater name).
+    """
+    last = entities.groupBy("canonical").agg(F.max_by(F.struct("type", "display", "synonyms", "at"), "at").alias("e")).select("canonical", "e.*")
+    names = F.concat(F.array("canonical", "display"), F.coalesce("synonyms", F.array().cast("array<string>")))
+    each = last.select("canonical", "type", "at", F.explode(F.array_distinct(F.transform(names, F.lower))).alias("term")).where("term <> ''")
+    return each.groupBy("term").agg(F.max(F.struct("at", "canonical", "type")).alias("e")).select("term", F.col("e.canonical").alias("entity"), "e.type")

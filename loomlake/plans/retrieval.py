@@ -125,11 +125,11 @@ def expanded(t: Tables, items):
 
 def graph_hits(t: Tables, k: int = 3):
     named = expanded(t, t.benchmark.where("item_id % 100 = 0")).select(F.col("item_id").alias("query_id"), F.col("canonical").alias("entity"))
-    mentions = t.nation.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("entity"), F.col("s_suppkey").alias("doc_id"))
+    mentions = t.nation.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("entity"), F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("title"))
     return V.graph_channel(named, mentions, k)
 
 
-@query("ret05_graph_channel", f"WITH {GRAPH} SELECT query_id, chunk_id, score FROM gh")
+@query("ret05_graph_channel", f"WITH {GRAPH} SELECT query_id, chunk_id, score, s_name AS content FROM gh JOIN supplier ON chunk_id = 'graph_' || s_suppkey")
 def _(t: Tables):
     return graph_hits(t)
 
@@ -405,6 +405,11 @@ def _(t: Tables):
     return hashed(C.chunk_docs(t.docs, split=lambda x, _: C.fixed(x) if x and x.strip() else []))
 
 
+@query("ch07b_fixed_overlap")
+def _(t: Tables):
+    return hashed(C.chunk_docs(t.docs, split=lambda x, _: C.fixed(x, overlap=C.OVERLAP) if x and x.strip() else []))
+
+
 @query("ch08_pack_by_tokens")
 def _(t: Tables):
     return hashed(C.chunk_docs(t.docs, split=lambda x, _: [C.Chunk(p, "pack") for p in C.split_by_tokens(x or "", 256)]))

@@ -112,10 +112,15 @@ def _(t: Tables):
     return complete(t.benchmark, "text", lambda texts: [f"[{x[:10]}]" for x in texts]).select("item_id", "reply")
 
 
-@query("udf11_entity_registration", "SELECT kind, count(*) AS n FROM (SELECT 'Nation' AS kind FROM nation UNION ALL SELECT 'Supplier' FROM supplier UNION ALL SELECT 'Concept') GROUP BY kind")
+@query("udf11_entity_registration", """WITH e AS (SELECT 'N' || n_nationkey AS canonical, 'nation' AS type, n_name AS display, ['Land ' || n_nationkey % 7, ''] AS synonyms, n_nationkey AS seq FROM nation UNION ALL SELECT 'S' || s_suppkey % 50, 'supplier', s_name, ['Land ' || s_suppkey % 9, upper(s_name)], 100 + s_suppkey FROM supplier),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY seq DESC) AS k FROM e) WHERE k = 1), t AS (SELECT DISTINCT canonical, type, seq, lower(unnest(list_concat([canonical, display], synonyms))) AS term FROM l)
+SELECT term, canonical AS entity, type FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY seq DESC, canonical DESC) AS k FROM t WHERE term <> '') WHERE k = 1""")
 def _(t: Tables):
-    kinds = t.nation.select(F.lit("Nation").alias("kind")).unionByName(t.supplier.select(F.lit("Supplier").alias("kind")))
-    return kinds.unionByName(t.spark.range(1).select(F.lit("Concept").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    from ..operators.dictionary import registered
+
+    one = t.nation.selectExpr("'N' || n_nationkey AS canonical", "'nation' AS type", "n_name AS display", "array('Land ' || n_nationkey % 7, '') AS synonyms", "CAST(n_nationkey AS BIGINT) AS at")
+    two = t.supplier.selectExpr("'S' || s_suppkey % 50", "'supplier'", "s_name", "array('Land ' || s_suppkey % 9, upper(s_name))", "CAST(100 + s_suppkey AS BIGINT)")
+    return registered(one.union(two))
 
 
 @query("udf07_document_adapter", "SELECT CAST(item_id AS VARCHAR) AS doc_id, text AS content, '1' AS revision FROM benchmark")

@@ -134,3 +134,20 @@ def test_a_source_streams_only_changed_revisions(spark, tmp_path):
     run()
     assert [g for g in got if g] == [[("1", "one", "1"), ("2", "two", "2")], [("2", "two again", "3"), ("3", "three", "4")]]
     assert adapter.read(spark, "loomlake_table", make).count() == 3
+
+
+def test_fixed_parts_overlap():
+    from loomlake.operators import chunking as C
+
+    text = "".join(f"Sentence number {i}. " for i in range(200))
+    plain, over = C.fixed(text, 64), C.fixed(text, 64, 20)
+    assert len(plain) == len(over) > 2 and over[0].content == plain[0].content
+    assert all(b.content == a.content[-20:] + c.content for a, b, c in zip(plain, over[1:], plain[1:]))
+    assert over[1].start == over[0].end and over[1].end - over[1].start == len(over[1].content)
+    assert [c.content for c in C.fixed("short", 64, 20)] == ["short"]
+
+
+def test_registration(spark):
+    rows = [("A", "x", "Alpha", ["one", "Two"], 1), ("A", "y", "Alef", None, 3), ("B", "z", "Beta", ["ALEF", "one"], 2)]
+    got = {r.term: (r.entity, r.type) for r in D.registered(spark.createDataFrame(rows, "canonical string, type string, display string, synonyms array<string>, at long")).collect()}
+    assert got == {"a": ("A", "y"), "alef": ("A", "y"), "b": ("B", "z"), "beta": ("B", "z"), "one": ("B", "z")}

@@ -153,9 +153,13 @@ def units(text: str) -> list[str]:
 
 def similarities(us: list[str], window: int = WINDOW_UNITS) -> list[float]:
     """For each inner boundary i in [window, n - window): Jaccard of the words of the units before and from i."""
-    side = lambda a: set(WORD.findall("".join(us[a : a + window]).lower()))
-    pairs = [(side(i - window), side(i)) for i in range(window, len(us) - window)]
-    return [len(a & b) / len(a | b) if a | b else 0.0 for a, b in pairs]
+    sides = [set(WORD.findall("".join(us[a : a + window]).lower())) for a in range(len(us) - window) if len(us) > 2 * window]  # each window once
+    out = []
+    for a, b in zip(sides, sides[window:]):
+        both = len(a & b)
+        every = len(a) + len(b) - both
+        out.append(both / every if every else 0.0)
+    return out
 
 
 def semantic(text: str, window: int = WINDOW_UNITS) -> list[Chunk]:

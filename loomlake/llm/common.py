@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,14 +76,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _united(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(node, root) of the edges (u, v)."""
+    names, code = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
+    up = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for x, y in zip(code[: len(pdf)].tolist(), code[len(pdf) :].tolist()):
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    return pd.DataFrame({"node": names, "root": names[[root(i) for i in range(len(names))]]})
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = 0) -> DataFrame:
     """Connected components of an edge list by alternating large-star and small-star rounds.
 
     edges: two columns of one orderable type.  Returns (node, root): every node of an edge and the
     smallest node it reaches.  Each round is an aggregate and a join, so a hub node is combined
-    before the shuffle and AQE can split what is left; each round is cut to the shared folder.
+    before the shuffle and AQE can split what is left; each round is cut to the shared folder.  A graph of
+    at most `small` edges, counted first, is one task's work instead.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
+    if small and e.count() <= small:
+        kind = dict(e.dtypes)["u"]
+        return e.groupBy(F.col("u").isNull()).applyInPandas(_united, f"node {kind}, root {kind}")
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
         if large:

@@ -43,8 +43,8 @@ SHARD, MOST, SAMPLE, SHARDS = 8192, 500_000, 65_536, 8192
 LEAF, PROBE = 1024, 24_000
 #: The near-dedup stage: words of a shingle and the least Jaccard similarity, as a fraction.
 WORDS, ALIKE = 5, (4, 5)
-#: Bytes of texts whose shingles meet in a task to be counted, about; pairs a text that may be left to look at all at once, and rounds before that; texts of a block of a large group; pairs of two classes that are compared before all are.
-COUNTED, PAIRS, ROUNDS, BLOCK, CLOSE = 12 << 20, 1, 3, 2000, 4
+#: Bytes of texts whose shingles meet in a task to be counted, about; pairs a text that may be left to look at all at once, and rounds before that; texts of a block of a large group; pairs of two classes that are compared before all are; edges of a graph of classes that one task unites.
+COUNTED, PAIRS, ROUNDS, BLOCK, CLOSE, GRAPH = 12 << 20, 1, 3, 2000, 4, 1_000_000
 _BITS = np.array([1 << (63 - i) for i in range(64)], np.uint64)
 
 
@@ -578,7 +578,7 @@ def near_classes(texts: DataFrame) -> DataFrame:
             tried = cut(tried.unionByName(pairs), "tried")
             # classes that the new links join: the graph of the former classes' roots is small
             root = lambda c: of.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
-            joined = components(links.join(root("a"), "a").join(root("b"), "b").select("root_a", "root_b"), "root_a", "root_b")
+            joined = components(links.join(root("a"), "a").join(root("b"), "b").select("root_a", "root_b"), "root_a", "root_b", GRAPH)
             of = cut(of.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root")), "classes")
             drop(*old, links, check, pairs)
         if last:

@@ -114,7 +114,8 @@ def test_near_classes_in_blocks(spark, monkeypatch):
     assert 1 < len(set(want.values())) < len(texts)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS __fp", "text")
     key = {r["__fp"]: r.doc_id for r in rows.collect()}
-    for block, rounds, pairs in ((5, 2, 0), (2000, 1, 0), (7, 6, 10**9)):
+    for block, rounds, pairs, graph in ((5, 2, 0, 0), (2000, 1, 0, 10**6), (7, 6, 10**9, 3)):
+        monkeypatch.setattr(simhash, "GRAPH", graph)
         monkeypatch.setattr(simhash, "BLOCK", block)
         monkeypatch.setattr(simhash, "ROUNDS", rounds)
         monkeypatch.setattr(simhash, "PAIRS", pairs)
@@ -133,3 +134,15 @@ def test_sketches_bound_what_is_in_common():
         a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**64, k - c, dtype=np.uint64)])) for k in (n, m))
         most = simhash.in_common_at_most(simhash.sketch(a), simhash.sketch(b))
         assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+
+
+def test_small_graphs_are_united_alike(spark):
+    import random
+
+    from loomlake.llm.common import components
+
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(500, 500)], "a long, b long")
+    want = sorted(map(tuple, components(edges).collect()))
+    assert sorted(map(tuple, components(edges, small=1000).collect())) == want and want
+    assert components(edges.limit(0), small=1000).count() == 0

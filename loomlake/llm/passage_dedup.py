@@ -6,10 +6,10 @@ UTF-8 bytes; matches never cross documents; strings are judged on the input.
 1. Anchors.  Every SPAN-byte string has one anchor: the rightmost of its smallest K-gram hashes.  Equal
    strings have equal anchors at equal places, so a corpus splits by anchor without losing a match.
    The strings of one anchor start in one short range, and the bytes they cover are its context.
-2. A count per anchor hash tells anchors met once from the rest; a bitmap brings that to a second scan,
-   which emits the repeated anchors only.  (A bit set by mistake costs a row.)
-3. The index.  The distinct contexts of repeated anchors, with how often each occurs, are dealt by anchor
-   to tasks of about BUCKET bytes.  A task builds the Burrows-Wheeler transform of its contexts and keeps
+2. A count per anchor hash tells anchors met once from the rest; a Bloom filter brings that to a second scan,
+   which emits the repeated anchors only.  (Bits all set by mistake cost a row.)
+3. The index.  The contexts of repeated anchors move once, dealt by anchor to buckets of about BUCKET bytes,
+   where the distinct ones remain, with how often each occurs.  A task builds the Burrows-Wheeler transform of its contexts and keeps
    it as runs (character, length counted with the contexts' copies: these fill the same rows) with the
    text positions of each run's first and last row and the match length between neighbouring runs.
    Matching statistics stream from these samples alone: going one byte on, the match with the suffix
@@ -27,7 +27,7 @@ empty results; further columns do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -35,12 +35,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, documents, python_ready
+from .common import bounded, cut, documents, drop, python_ready
 
 SPAN, K = 200, 32
 W = SPAN - K + 1
-#: Most bits of the bitmap (it has 16 for each repeated anchor up to there); bytes of contexts in a task; distinct contexts from which an anchor is split by string; bytes anchored at a time.
-BITS, BUCKET, HOT, CHUNK = 1 << 31, 1 << 20, 20_000, 1 << 20
+#: Most bits of the Bloom filter (it has 16 for each repeated anchor up to there) and bits set for each anchor; bytes of contexts in a bucket, and buckets in a task, about; distinct contexts from which an anchor is split by string; bytes anchored at a time.
+BITS, PROBES, BUCKET, TASK, HOT, CHUNK = 1 << 31, 4, 1 << 20, 8, 20_000, 1 << 20
 _POS = np.uint64((1 << 30) - 1)
 _U = np.uint64
 
@@ -67,8 +67,8 @@ def _grams(b: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of all texts: (text, first start, last start, anchor's place after the first start, anchor hash, context hash), a row per anchor."""
+def anchors(texts: list[bytes], wanted: Callable[[np.ndarray], np.ndarray] | None = None, contexts: bool = True) -> tuple[np.ndarray, ...]:
+    """Of all texts: (text, first start, last start, anchor's place after the first start, anchor hash, context hash), a row per anchor, if wanted of its hash; without contexts their hashes are 0."""
     from xxhash import xxh3_64_intdigest
 
     out: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -95,8 +95,11 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         a = at[start]
         first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1]))))
         last = np.concatenate((first[1:], [len(a)])) - 1
+        if wanted is not None:
+            k = np.flatnonzero(wanted(h[a[first]]))
+            first, last = first[k], last[k]
         lo, hi, x, d = start[first], start[last], a[first], doc[first]
-        c = np.array([xxh3_64_intdigest(buf[s : e + SPAN], r) for s, e, r in zip(lo.tolist(), hi.tolist(), (x - lo).tolist())], _U)
+        c = np.array([xxh3_64_intdigest(buf[s : e + SPAN], r) for s, e, r in zip(lo.tolist(), hi.tolist(), (x - lo).tolist())] if contexts else np.zeros(len(x)), _U)
         for col, v in zip(out, (np.array(own)[d], lo - base[d] + begin[d], hi - base[d] + begin[d], x - lo, h[x], c)):
             col.append(v)
     kinds = (np.int64, np.int64, np.int64, np.int64, _U, _U)
@@ -158,13 +161,16 @@ class RunLengthIndex:
     @staticmethod
     def _suffixes(t: np.ndarray) -> np.ndarray:
         """Suffix order by prefix doubling; suffixes whose order is settled are not sorted again."""
-        n, size = len(t), 7
-        pad = np.concatenate((t + np.int16(1), np.zeros(size, np.int16)))
+        n = len(t)
+        there = np.bincount(t + 1, minlength=258) > 0
+        bits = max(1, int(there.sum()).bit_length())  # of a byte's place among those that occur
+        size = 62 // bits
+        pad = np.concatenate(((np.cumsum(there) - 1)[t + 1], np.zeros(size, np.int64)))
         key = np.zeros(n, np.int64)
         for j in range(size):
-            key <<= 9
+            key <<= bits
             key |= pad[j : j + n]
-        sa = np.argsort(key, kind="stable").astype(np.int32)
+        sa = np.argsort(key).astype(np.int32)  # no two suffixes are equal, so ties are settled below in any case
         key = key[sa]
         new = np.concatenate(([True], key[1:] != key[:-1]))
         del key, pad
@@ -179,7 +185,7 @@ class RunLengthIndex:
             s = sa[at]
             second = np.where(s + size < n, rank[np.minimum(s + size, n - 1)] + 1, 0)
             k = rank[s].astype(np.int64) * (n + 1) + second
-            order = np.argsort(k, kind="stable")
+            order = np.argsort(k)
             sa[at], k = s[order], k[order]
             fresh = np.concatenate(([True], k[1:] != k[:-1]))
             new[at] = fresh
@@ -233,12 +239,16 @@ def _runs(hit: np.ndarray) -> list[int]:
 def repeated_strings(contexts: list[bytes], times: np.ndarray | None = None) -> list[list[int]]:
     """For each context, taken so many times, the starts of SPAN-byte strings found elsewhere among the contexts, as [first, last, ...]."""
     index = RunLengthIndex(contexts, times)
-    long = index.matching_statistics() >= SPAN
-    return [_runs(long[s : s + len(c) - SPAN + 1]) for s, c in zip(index.starts.tolist(), contexts)]
+    at = np.array(_runs(index.matching_statistics() >= SPAN), np.int64)  # no stretch crosses parts: none starts in the last bytes of one
+    part = np.searchsorted(index.starts, at[0::2], side="right") - 1
+    at -= np.repeat(index.starts[part], 2)
+    cuts = (2 * np.searchsorted(part, np.arange(len(contexts) + 1))).tolist()
+    at = at.tolist()
+    return [at[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A power of two of bits, 16 for each key and at most BITS, set where a key falls: 1024 rows of equal size reach the driver."""
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of a power of two of bits, 16 for each key and at most BITS: 1024 rows of equal size reach the driver."""
     size = min(BITS, max(1 << 20, 1 << (16 * keys.count()).bit_length()))
     block = size // 1024
 
@@ -247,16 +257,29 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
         b[pdf["bit"].to_numpy() % block] = 1
         return pd.DataFrame({"block": [int(pdf["bit"].iloc[0]) // block], "bits": [np.packbits(b).tobytes()]})
 
-    places = keys.select(F.pmod("h", F.lit(size)).alias("bit")).distinct()
+    def probes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"bit": np.unique(np.concatenate(list(_bits(pdf["h"].to_numpy(np.int64).view(_U), size))))})
+
+    places = keys.mapInPandas(probes, "bit long").distinct()
     out = np.zeros((1024, block // 8), np.uint8)
     for r in places.groupBy((F.col("bit") / block).cast("int").alias("b")).applyInPandas(bits, "block int, bits binary").collect():
         out[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
     return out.reshape(-1)
 
 
-def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bit = h.view(np.int64) % (8 * len(bitmap))
-    return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+def _bits(h: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The PROBES places of each hash among a power of two of bits."""
+    step = (h >> _U(32)) | _U(1)
+    for i in range(PROBES):
+        yield ((h + _U(i) * step) & _U(size - 1)).astype(np.int64)
+
+
+def _has(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for bit in _bits(h, 8 * len(bloom)):
+        out &= (bloom[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+    return out
 
 
 _KEY = "k1 long, k2 long"
@@ -271,21 +294,18 @@ def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            doc, _, _, _, h, c = anchors([t.encode() for t in pdf["t"]])
-            first, _, n = _within(doc, h, c)
-            if len(first):
-                yield pd.DataFrame({"h": h[first].view(np.int64), "n": n})
+            h, n = np.unique(anchors([t.encode() for t in pdf["t"]], contexts=False)[4], return_counts=True)
+            if len(h):
+                yield pd.DataFrame({"h": h.view(np.int64), "n": n})
 
     met = rows.select("t").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    some = spark.sparkContext.broadcast(_bitmap(cut(met.select("h"), "anchors")))
+    some = spark.sparkContext.broadcast(_filter(cut(met.select("h"), "anchors")))
 
     def collect(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent: set[tuple[int, int]] = set()
         for pdf in it:
             texts = [t.encode() for t in pdf["t"]]
-            doc, lo, hi, rel, h, c = anchors(texts)
-            keep = np.flatnonzero(_has(some.value, h))
-            doc, lo, hi, rel, h, c = (x[keep] for x in (doc, lo, hi, rel, h, c))
+            doc, lo, hi, _, h, c = anchors(texts, lambda h: _has(some.value, h))
             if not len(doc):
                 continue
             first, group, n = _within(doc, h, c)
@@ -310,41 +330,52 @@ def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
 
     found = cut(rows.mapInPandas(collect, f"{_KEY}, lo int, hi int, h long, c long, n long, body binary"), "contexts")
     places = cut(found.where("n > 0").groupBy("h", "c", "k1", "k2", "lo", "hi").agg(F.sum("n").alias("n")), "places")
-    times = places.groupBy("h", "c").agg(F.sum("n").alias("times"))
-    bodies = found.where("body is not null").groupBy("h", "c").agg(F.first("body").alias("body")).join(times, ["h", "c"])
-    bodies = cut(bodies, "bodies")
-    each = cut(bodies.groupBy("h").agg(F.count("*").alias("m"), F.sum("times").alias("times"), F.sum(F.octet_length("body")).alias("bytes")).where("times > 1"), "many")
+    inside = cut(found.where("n = 0").distinct().select("k1", "k2", F.array(F.col("lo"), F.col("hi") + SPAN - 1).alias("s")), "inside")
+    times = cut(places.groupBy("h", "c").agg(F.sum("n").alias("n"), F.first(F.col("hi") - F.col("lo") + SPAN).alias("bytes")), "times")
+    each = cut(times.groupBy("h").agg(F.count("*").alias("m"), F.sum("n").alias("times"), F.sum("bytes").alias("bytes")).where("times > 1"), "many")
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = repeated_strings([bytes(b) for b in pdf["body"]], pdf["times"].to_numpy(np.int64))
+        pdf = pdf[pdf.groupby("h")["times"].transform("sum") > 1]
+        got = repeated_strings([bytes(b) for b in pdf["body"]], pdf["times"].to_numpy(np.int64)) if len(pdf) else []
         pdf = pdf.assign(strings=got)[["h", "c", "strings"]]
         return pdf[pdf["strings"].map(len) > 0]
 
-    def indexed(contexts: DataFrame, size: int, deal: str) -> DataFrame:
+    def indexed(contexts: DataFrame, size: int) -> DataFrame:
+        """Contexts (h, c, n, body or null) move once, and are made distinct and grouped where they are dealt to."""
         buckets = max(1, size // BUCKET)
-        return contexts.withColumn("bucket", F.pmod(F.xxhash64(deal), F.lit(buckets))).groupBy("bucket").applyInPandas(index, "h long, c long, strings array<int>")
+        dealt = contexts.select(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"), "h", "c", "n", "body").repartition(-(-buckets // TASK), "bucket")
+        distinct = dealt.groupBy("bucket", "h", "c").agg(F.first("body", ignorenulls=True).alias("body"), F.sum("n").alias("times"))
+        return distinct.groupBy("bucket").applyInPandas(index, "h long, c long, strings array<int>")
 
-    usual = each.where(f"m <= {HOT}")
-    parts = [indexed(bodies.join(bounded(usual.select("h"), 200_000), "h", "left_semi"), usual.agg(F.sum("bytes")).first()[0] or 0, "h")]
+    # how often comes from counts combined before they move, so a context met very often is not a row for each time
+    contexts = found.where("body is not null").select("h", "c", F.lit(0).cast("long").alias("n"), "body").unionByName(times.select("h", "c", "n", F.lit(None).cast("binary").alias("body")))
     hot = each.where(f"m > {HOT}").select("h")
-    if hot.limit(1).count():
+    size = each.where(f"m <= {HOT}").agg(F.sum("bytes")).first()[0] or 0
+    if not hot.limit(1).count():
+        of = cut(indexed(contexts, size), "repeated")
+    else:
         def strings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from xxhash import xxh3_64_intdigest
 
             signed = lambda x: x - (x >> 63 << 64)
             for pdf in it:
-                for h, c, b, n in zip(pdf["h"], pdf["c"], map(bytes, pdf["body"]), pdf["times"]):
-                    own = [b[i : i + SPAN] for i in range(len(b) - SPAN + 1)]
-                    yield pd.DataFrame({"h0": h, "c0": c, "i": np.arange(len(own), dtype=np.int32), "times": n, "body": own, "h": [signed(xxh3_64_intdigest(s[:K] + s[-K:], h % 2**63)) for s in own], "c": [signed(xxh3_64_intdigest(s, 1)) for s in own]})
-
-        single = cut(bodies.join(bounded(hot, 200_000), "h", "left_semi").mapInPandas(strings, "h0 long, c0 long, i int, times long, body binary, h long, c long"), "strings")
-        alone = cut(single.groupBy("h", "c").agg(F.first("body").alias("body"), F.sum("times").alias("times")), "strings")
-        hit = indexed(alone, alone.count() * SPAN, "h").select("h", "c")
-        parts.append(single.join(hit, ["h", "c"], "left_semi").groupBy(F.col("h0").alias("h"), F.col("c0").alias("c")).agg(F.flatten(F.collect_list(F.array("i", "i"))).alias("strings")))
-    of = cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "repeated")
+                for a in range(0, len(pdf), 100):  # at most W strings each
+                    some = pdf.iloc[a : a + 100]
+                    rows = [(h, c, i, n, b[i : i + SPAN]) for h, c, b, n in zip(some["h"], some["c"], map(bytes, some["body"]), some["times"]) for i in range(len(b) - SPAN + 1)]
+                    out = pd.DataFrame(rows, columns=["h0", "c0", "i", "n", "body"])
+                    yield out.assign(h=[signed(xxh3_64_intdigest(s[:K] + s[-K:], h % 2**63)) for h, _, _, _, s in rows], c=[signed(xxh3_64_intdigest(s, 1)) for s in out["body"]])
+
+        hot = bounded(hot, 200_000)
+        whole = contexts.join(hot, "h", "left_semi").groupBy("h", "c").agg(F.first("body", ignorenulls=True).alias("body"), F.sum("n").alias("times"))
+        single = cut(whole.mapInPandas(strings, "h0 long, c0 long, i int, n long, body binary, h long, c long"), "strings")
+        alone = cut(single.groupBy("h", "c").agg(F.first("body").alias("body"), F.sum("n").alias("n")), "strings")
+        hit = indexed(alone, alone.count() * SPAN).select("h", "c")
+        split = single.join(hit, ["h", "c"], "left_semi").groupBy(F.col("h0").alias("h"), F.col("c0").alias("c")).agg(F.flatten(F.collect_list(F.array("i", "i"))).alias("strings"))
+        of = cut(indexed(contexts.join(hot, "h", "left_anti"), size).unionByName(split), "repeated")
+        drop(single, alone)
+    drop(found, times, each)
 
     marks = places.join(of, ["h", "c"]).select("k1", "k2", F.transform("strings", lambda x, i: x + F.col("lo") + F.when(i % 2 == 1, SPAN - 1).otherwise(0)).alias("s"))
-    inside = found.where("n = 0").distinct().select("k1", "k2", F.array(F.col("lo"), F.col("hi") + SPAN - 1).alias("s"))
     return docs, marks.unionByName(inside).groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 

@@ -7,6 +7,7 @@ from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -410,6 +411,34 @@ def test_long_texts_are_anchored_in_windows(monkeypatch):
     assert of(whole) == of(cut) and len(of(cut)) == sum(len(t) - 199 for t in texts if len(t) >= 200)
 
 
+def test_contexts_are_stored_once_and_let_go(spark, monkeypatch):
+    stored, gone = {}, []
+    cut, drop = passage_dedup.cut, passage_dedup.drop
+
+    def kept(df, name):
+        out = cut(df, name)
+        stored[name] = (out, "body" in df.columns)
+        return out
+
+    monkeypatch.setattr(passage_dedup, "cut", kept)
+    monkeypatch.setattr(passage_dedup, "drop", lambda *dfs: (gone.extend(dfs), drop(*dfs)), raising=False)
+    rng = random.Random(5)
+    shared = "".join(rng.choices("abcdefg ", k=400))
+    texts = ["".join(rng.choices("abcdefg ", k=300)) + shared + str(k) for k in range(4)] + [shared] * 3
+    got = {r["doc_id"]: r["n_removed"] for r in rows_of(passage_dedup.remove_repeats(table(spark, texts)))}
+    assert [got[i] for i in range(len(texts))] == [n for n, _, _ in plain_repeats([t.encode() for t in texts])]
+    assert [k for k, (_, body) in stored.items() if body] == ["contexts"]
+    assert any(stored["contexts"][0] is df for df in gone)
+
+
+def test_few_anchors_met_once_pass_the_filter(spark):
+    rng = np.random.default_rng(8)
+    h = rng.integers(-(2**63), 2**63 - 1, 120_000)
+    bloom = passage_dedup._filter(spark.createDataFrame(pd.DataFrame({"h": h[:20_000]})))
+    found = passage_dedup._has(bloom, h.view(np.uint64))
+    assert found[:20_000].all() and found[20_000:].mean() < 0.01
+
+
 # --- 9 embeddings
 
 

@@ -26,12 +26,14 @@ tables; further columns of the input do not matter.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 from pathlib import Path
+from unicodedata import category
 from zlib import crc32
 
 import numpy as np
@@ -49,6 +51,19 @@ CHUNK, BUCKET = 4 << 20, 500_000
 #: Pieces up to which the table of pieces is broadcast.
 BROADCAST_PIECES = 1_000_000
 _FAR = re.compile("[̀-\U0010ffff]")
+#: The splitter whose units of near characters (up to U+02FF) Python's re gives alike.
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def is_far(text: str) -> bool:
+    """Whether a character is beyond the near ones."""
+    return _FAR.search(text) is not None
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -71,6 +86,7 @@ class Model:
         self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.size = max(self.tok.get_vocab(with_added_tokens=True).values(), default=0) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.near_units = self._near()
 
     def _plain(self, text: str) -> list[str]:
         if not any(c in text for c in "\x1c\x1d\x1e\x1f"):  # these separate words for str.split() only
@@ -102,6 +118,23 @@ class Model:
             ids = [t.id for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(word) for t in self.tok.model.tokenize(piece)]
         return np.array(ids, self.dtype).tobytes()
 
+    def _near(self) -> tuple[re.Pattern, dict[int, str]] | None:
+        """(units of a word of near characters, how the model writes their characters), if the file's splitter is the known one."""
+        pre = self.tok.pre_tokenizer
+        if pre is None or json.loads(pre.__getstate__()) != _SPLITTER:
+            return None
+        kinds: dict[str, str] = {"L": "", "N": ""}
+        written = {}
+        for c in map(chr, range(0x300)):
+            kind = category(c)[0]
+            if kind in kinds:
+                kinds[kind] += c
+            if got := pre.pre_tokenize_str(c):  # nothing: white space
+                written[ord(c)] = got[0][0]
+        letters, numbers = (re.escape(kinds[k]) for k in "LN")
+        blanks = re.escape("".join(chr(k) for k in range(0x300) if k not in written))
+        return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blanks}{letters}{numbers}]+"), written
+
     def pieces(self) -> list[str]:
         return [self.tok.id_to_token(i) or "" for i in range(self.size)]
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from xxhash import xxh64_intdigest
 
-from .bpe import Codec, Model, tokenizer_path
+from .bpe import Codec, Model, is_far, tokenizer_path
 from .common import documents, python_ready, scratch, worker_cache
 
 #: The id that ends a document; bytes of ids of a frame, about, and of a document from which it is split; bytes of texts of a file, about, and files at most; words that a worker keeps, and words encoded together.
@@ -301,20 +301,34 @@ def _ready(spark: SparkSession) -> None:
     spark.dataSource.register(TokenFrames)
 
 
-def word_ids(model: Model, words: list[str]) -> dict[str, bytes]:
-    """The ids of words, split into the model's units TOGETHER at a time: blanks between words are no units' part."""
-    out = {w: model.encode_word(w) for w in words if w[0] == " "}  # added tokens
-    words, tokenize = [w for w in words if w[0] != " "], model.tok.model.tokenize
-    for a in range(0, len(words), TOGETHER):
-        some = words[a : a + TOGETHER]
-        ids: list[list[int]] = [[] for _ in some]
+def word_ids(model: Model, words: list[str], known: dict[str, bytes] | None = None) -> dict[str, bytes]:
+    """The ids of words.  Words of near characters are cut into the model's units here, and each unit is looked up among the ids already known or tokenized once; the library cuts the others, TOGETHER at a time: blanks between words are no units' part."""
+    out, far, tokenize = {}, [], model.tok.model.tokenize
+    near, units = model.near_units, {} if known is None else known
+    fresh: dict[str, bytes] = {}
+    for w in words:
+        if w[0] == " ":  # an added token
+            out[w] = model.encode_word(w)
+        elif near is None or not w.isascii() and is_far(w):
+            far.append(w)
+        else:
+            ids = []
+            for u in near[0].findall(w):
+                got = units.get(u) or fresh.get(u)
+                if got is None:
+                    got = fresh[u] = np.array([t.id for t in tokenize(u.translate(near[1]))], model.dtype).tobytes()
+                ids.append(got)
+            out[w] = b"".join(ids)
+    for a in range(0, len(far), TOGETHER):
+        some = far[a : a + TOGETHER]
+        several: list[list[int]] = [[] for _ in some]
         k, end = 0, len(some[0])
         for unit, (at, _) in model.tok.pre_tokenizer.pre_tokenize_str(" ".join(some)):
             while at >= end:
                 k += 1
                 end += 1 + len(some[k])
-            ids[k] += [t.id for t in tokenize(unit)]
-        out.update((w, np.array(x, model.dtype).tobytes()) for w, x in zip(some, ids))
+            several[k] += [t.id for t in tokenize(unit)]
+        out.update((w, np.array(x, model.dtype).tobytes()) for w, x in zip(some, several))
     return out
 
 
@@ -336,14 +350,20 @@ def encoded(rows: DataFrame, tokenizer: str, common: int | None = None) -> DataF
         model, ids = kept["model"], kept["ids"]
         end = np.array([END], "<u4").tobytes()
         for batch in it:
-            texts = [model.words(t) for t in batch.column(1).to_pylist()]
-            rest = word_ids(model, list({w for words in texts for w in words if w not in ids}))
-            out = []
-            for words in texts:
-                got = list(map(ids.get, words))
-                if None in got:
-                    got = [rest[w] if x is None else x for w, x in zip(words, got)]
-                out.append(np.frombuffer(b"".join(got), model.dtype).astype("<u4").tobytes() + end)
+            words, sizes = [], []
+            for t in batch.column(1):
+                own = model.words(t.as_py())
+                words += own
+                sizes.append(len(own))
+            got = list(map(ids.get, words))
+            missed = [i for i, x in enumerate(got) if x is None]
+            rest = word_ids(model, list({words[i] for i in missed}), ids)
+            for i in missed:
+                got[i] = rest[words[i]]
+            out, a = [], 0
+            for n in sizes:
+                out.append(np.frombuffer(b"".join(got[a : a + n]), model.dtype).astype("<u4").tobytes() + end)
+                a += n
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")

@@ -145,3 +145,39 @@ def test_words_together_are_words_apart():
     for _ in range(150):
         words = model.words("".join(rng.choice(pool) for _ in range(rng.randrange(400))))
         assert token_files.word_ids(model, words) == {w: model.encode_word(w) for w in words}
+
+
+def test_near_words_are_cut_as_the_library_cuts_them():
+    import random
+    from types import SimpleNamespace
+
+    from loomlake.llm.bpe import Model
+
+    model, rng = Model(Path(tokenizer_path()).read_text()), random.Random(3)
+    near = [c for c in map(chr, range(0x300)) if not c.isspace() and model.tok.pre_tokenizer.pre_tokenize_str(c)]
+    words = sorted({c for c in near} | {a + b for a in "a1-é'²ª\x7f" for b in near} | {"".join(rng.choices("'stremvld9.é_", k=rng.randint(1, 9))) for _ in range(3000)})
+    want = {w: model.encode_word(w) for w in words}
+    got = token_files.word_ids(model, words)
+    assert got == want
+    some = set(rng.sample(words, 500))
+    assert token_files.word_ids(model, words, {w: want[w] for w in some}) == want
+
+    class Spy:  # the library's splitter is slow: near words do without it
+        def pre_tokenize_str(self, text):
+            raise AssertionError(text)
+
+    spied = SimpleNamespace(tok=SimpleNamespace(model=model.tok.model, pre_tokenizer=Spy()), dtype=model.dtype, near_units=model.near_units, encode_word=model.encode_word)
+    assert token_files.word_ids(spied, words) == want
+    with pytest.raises(AssertionError):
+        token_files.word_ids(spied, ["数"])
+
+
+def test_another_splitter_is_left_to_the_library():
+    from loomlake.llm.bpe import Model
+
+    spec = json.loads(Path(tokenizer_path()).read_text())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\p{L}|[^\s\p{L}]+"
+    model = Model(json.dumps(spec))
+    assert model.near_units is None
+    words = ["they're", "a1b2", "é.é"]
+    assert token_files.word_ids(model, words) == {w: model.encode_word(w) for w in words}

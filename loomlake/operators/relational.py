@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Rows of a level of a search up to which it is broadcast; bits of a table of marks, and of a row of it; nodes of a way at most.
+FEW, MARKS, BLOCK_BITS, HOPS = 400_000, 1 << 27, 1 << 16, 1 << 20
 #: Fixed order of classifications.
 LEVELS = {"public": 0, "internal": 1, "confidential": 2, "secret": 3}
 
@@ -175,15 +177,66 @@ def reach(edges: DataFrame, start: DataFrame, hops: int, path: bool = False) ->
     return seen
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int) -> DataFrame:
-    """(origin, target, length, path) of pairs (origin, target) at most so many hops apart in an undirected graph (edges both ways).
+def marked(df: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """df without most of the rows whose keys marks does not have: of a hash of its keys each row finds one bit, in a table of at most MARKS bits that is broadcast.  Rows that stay by chance are for a join to remove."""
+    spark, most = df.sparkSession, min(MARKS, max(BLOCK_BITS, 1 << (32 * marks.count()).bit_length()))
+    at = F.pmod(F.xxhash64(*keys), F.lit(most))
+    word = lambda c: F.shiftright(c, 6)
+    set_ = marks.select(word(at).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(keys)}), {most}L) % 64 as int))").alias("b"))
+    words = set_.unionByName(spark.range(most // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))).groupBy("w").agg(F.bit_or("b").alias("b"))
+    blocks = words.groupBy((F.col("w") * 64 / BLOCK_BITS).cast("long").alias("__block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("__bits"))
+    x = df.withColumn("__at", at).withColumn("__block", (F.col("__at") / BLOCK_BITS).cast("long")).join(F.broadcast(cut(blocks, "marks")), "__block")
+    bit = F.expr(f"getbit(get(__bits, cast(shiftright(__at % {BLOCK_BITS}, 6) as int)), cast(__at % 64 as int)) = 1")
+    return x.where(bit).select(*df.columns)
 
-    The searches from both ends meet half way, so neither grows beyond half the hops.
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int, path: bool = True, one_way: bool = False) -> DataFrame:
+    """(origin, target, length[, path]) of pairs (origin, target) at most so many hops apart in an undirected graph (edges both ways, or one_way: each edge once).
+
+    The searches from both ends take turns and meet half way; pairs that have met leave, and ways are followed only for pairs that meet.
     """
-    ends = lambda c: pairs.select(F.col(c).alias("origin"), F.col(c).alias("node")).distinct()
-    there = reach(edges, ends("origin"), hops - hops // 2, path=True)
-    back = reach(edges, ends("target"), hops // 2, path=True).select(F.col("origin").alias("target"), "node", F.col("depth").alias("rest"), F.col("path").alias("tail"))
-    meet = pairs.distinct().join(there, "origin").join(back, ["target", "node"])
-    way = F.concat("path", F.reverse(F.slice("tail", F.lit(1), F.size("tail") - 1)))
-    best = meet.groupBy("origin", "target").agg(F.min(F.struct((F.col("depth") + F.col("rest")).alias("length"), way.alias("path"))).alias("b"))
-    return best.select("origin", "target", "b.length", "b.path")
+    once = cut(edges.select("src", "dst"), "edges")
+    both = (once.union(once.select("dst", "src")) if one_way else once).toDF("node", "dst")
+    pairs = cut(pairs.where("origin is not null and target is not null").distinct(), "pairs")
+    met = cut(_meet(both, pairs, hops, False), "met")
+    out = _meet(both, met.select("origin", "target"), hops, True) if path else met
+    return out
+
+
+def _meet(edges: DataFrame, pairs: DataFrame, hops: int, path: bool) -> DataFrame:
+    """(origin, target, length[, path]): shortest_paths() over edges (node, dst).  A level of a search has the nodes (key, node[, way]) of one depth."""
+    keys = ("origin", "target")
+    level = [cut(pairs.select(k).distinct().select(k, F.col(k).alias("node"), *([F.array(k).alias(f"to_{k}")] if path else [])), "level") for k in keys]
+    before: list = [None, None]
+    left, found = pairs, []
+    for d in range(hops + 1):
+        i = 1 - d % 2  # who goes on: the search from the origins first
+        own, other = keys[i], keys[1 - i]
+        grown = level[i]
+        if d:
+            last = level[i].join(bounded(left.select(own).distinct(), FEW), own, "left_semi")
+            few = last.limit(FEW + 1).count() <= FEW
+            step = (F.broadcast(last) if few else last).join(edges if few else marked(edges, last.select("node"), ["node"]), "node")
+            way = [F.concat(f"to_{own}", F.array("dst")).alias(f"to_{own}")] if path else []
+            grown = step.select(own, F.col("dst").alias("node"), *way)
+            if d < hops:
+                keep = [own, "node"]
+                grown = grown.groupBy(*keep).agg(F.min(f"to_{own}").alias(f"to_{own}")) if path else grown.distinct()
+                # a neighbour of a level is in it, in the one before or in the next
+                seen = level[i].select(*keep) if before[i] is None else level[i].select(*keep).union(before[i].select(*keep))
+                grown = cut(grown.join(seen, keep, "left_anti"), "level")
+                level[i], before[i] = grown, level[i]
+        x = grown.join(bounded(left, FEW), own)
+        there = level[1 - i]
+        if d == hops and there.limit(FEW + 1).count() > FEW:  # the last level is never stored: what cannot meet does not move
+            x = marked(x, there, [other, "node"])
+        met = x.join(bounded(there, FEW), [other, "node"])
+        if path:
+            met = met.groupBy(*keys).agg(F.min(F.concat("to_origin", F.slice(F.reverse("to_target"), 2, HOPS))).alias("path"))
+        else:
+            met = met.select(*keys).distinct()
+        found.append(cut(met.select(*keys, F.lit(d).alias("length"), *(["path"] if path else [])), "met"))
+        left = cut(left.join(found[-1], list(keys), "left_anti"), "left")
+        if not left.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, found)

@@ -133,8 +133,13 @@ def _(t: Tables):
 EDGES = "e AS (SELECT o_custkey AS src, 100000000 + l_partkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey), g AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
+def orders_parts(t: Tables):
+    """(src, dst): customers and the parts they ordered, with repeats."""
+    return t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.lit(100000000) + F.col("l_partkey")).alias("dst"))
+
+
 def edges(t: Tables):
-    e = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.lit(100000000) + F.col("l_partkey")).alias("dst"))
+    e = orders_parts(t)
     return e.union(e.select("dst", "src")).distinct()
 
 
@@ -173,19 +178,23 @@ def _(t: Tables):
     return R.reach(edges(t), starts(t), 2).where("depth > 0").select("origin", "node", F.round(F.try_divide(F.lit(1.0), F.col("depth").cast("double")), 6).alias("score"))
 
 
-def between(t: Tables):
-    """Each start and the part with the number that follows its own."""
-    return starts(t).select("origin", (F.lit(100000001) + F.col("origin")).alias("target"))
+def ways(t: Tables, path: bool):
+    """Shortest paths, of five edges at most, from each start to the part with the number that follows its own."""
+    from ..session import cut
+
+    e = cut(orders_parts(t), "bought")
+    pairs = e.where("src % 100 = 0").select(F.col("src").alias("origin"), (F.lit(100000001) + F.col("src")).alias("target")).distinct()
+    return R.shortest_paths(e, pairs, 5, path, one_way=True)
 
 
 @query("gr05_shortest_path", bfs(5) + " SELECT origin, node AS target, depth AS length FROM d WHERE node = 100000001 + origin")
 def _(t: Tables):
-    return R.shortest_paths(edges(t), between(t), 5).select("origin", "target", "length")
+    return ways(t, False).select("origin", "target", "length")
 
 
 @query("gr05b_path_nodes")
 def _(t: Tables):
-    return R.shortest_paths(edges(t), between(t), 5).select("origin", "target", "length", "path")
+    return ways(t, True).select("origin", "target", "length", "path")
 
 
 @query("gr06_neighbourhood", bfs(2) + " SELECT a.origin, count(*) AS edges_n FROM d a JOIN g ON g.src = a.node JOIN d b ON b.node = g.dst AND b.origin = a.origin GROUP BY 1")

@@ -221,6 +221,37 @@ def test_shortest_paths(spark):
     assert got == {(1, 1): (0, [1]), (1, 3): (2, [1, 2, 3]), (1, 5): (4, [1, 2, 3, 4, 5]), (1, 6): (5, [1, 2, 3, 4, 5, 6]), (9, 8): (1, [9, 8])}
     assert {(r.target, r.length) for r in R.shortest_paths(g, pairs, 2).collect()} == {(1, 0), (3, 2), (8, 1)}
 
+def test_shortest_paths_where_nothing_is_broadcast(spark, monkeypatch):
+    import random
+    from itertools import count
+
+    rng = random.Random(3)
+    one = sorted({tuple(rng.sample(range(90), 2)) for _ in range(130)})
+    to: dict = {}
+    for a, b in one:
+        to.setdefault(a, set()).add(b)
+        to.setdefault(b, set()).add(a)
+    pairs = [(rng.randrange(95), rng.randrange(95)) for _ in range(60)]
+    want = {}
+    for a, b in pairs:
+        ways = {a: [a]}  # the least of the shortest ways to each node
+        for d in count():
+            if b in ways or d == 5:
+                break
+            step: dict = {}
+            for n, w in ways.items():
+                for x in to.get(n, set()) - set(ways):
+                    step[x] = min(step.get(x, [999]), [*w, x])
+            ways |= step
+        if b in ways:
+            want[a, b] = (len(ways[b]) - 1, ways[b])
+    g, p = spark.createDataFrame(one, "src long, dst long"), spark.createDataFrame(pairs, "origin long, target long")
+    monkeypatch.setattr(R, "FEW", 0)
+    monkeypatch.setattr(R, "MARKS", 1 << 8)
+    monkeypatch.setattr(R, "BLOCK_BITS", 1 << 7)
+    monkeypatch.setattr(R, "reach", None)  # no search goes on to the last hop
+    assert {(r.origin, r.target): (r.length, r.path) for r in R.shortest_paths(g, p, 5, one_way=True).collect()} == want
+
 
 def test_memory_search_paths(spark):
     at = lambda d: f"timestamp_ntz'2024-01-{d:02d} 00:00:00'"

@@ -213,6 +213,13 @@ def test_parse_quality(spark):
     assert all(o == pytest.approx(0.4 * a + 0.2 * (b + c + d), abs=1e-4) for a, b, c, d, o in rows)
 
 
+def test_hash_is_made_once_a_text(spark):
+    d = spark.createDataFrame([(f" {i} text\n",) for i in range(300)], "t string").select("t", X.golden_bucket(F.col("t")).alias("b"))
+    assert all(r.b == int(hashlib.sha256(r.t.strip().encode()).hexdigest(), 16) % 10 for r in d.collect())
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and "lambda" in plan.split("sha2(")[1]  # outside of what is done for each digit
+
+
 def test_shortest_paths(spark):
     one = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (1, 7), (7, 3), (8, 9)]
     g = spark.createDataFrame(one + [(b, a) for a, b in one], "src long, dst long")

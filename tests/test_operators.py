@@ -213,6 +213,25 @@ def test_parse_quality(spark):
     assert all(o == pytest.approx(0.4 * a + 0.2 * (b + c + d), abs=1e-4) for a, b, c, d, o in rows)
 
 
+def test_edit_distance_by_bits(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = [("", ""), ("", "ab"), ("ab", "")]
+    for n in (1, 3, 60, 64, 65, 150, 400):
+        for edits in (0, 1, 24, 110, 300):
+            a = [rng.choice("ab知é \U0001f600") for _ in range(n)]
+            b = list(a)
+            for _ in range(edits):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randrange(2)] = rng.choice(["", "x", "识"])
+            texts.append(("".join(a), "".join(b)))
+    d = spark.createDataFrame(texts, "a string, b string")
+    assert [TF.distance(r.a, r.b) for r in d.collect()] == [r.d for r in d.select(F.levenshtein("a", "b").alias("d")).collect()]
+    got = [r.text_score for r in TF.parse_quality(d, "a", "b").collect()]
+    assert got == [r.s for r in d.select(X.similarity(F.col("a"), F.col("b")).alias("s")).collect()]
+
+
 def test_hash_is_made_once_a_text(spark):
     d = spark.createDataFrame([(f" {i} text\n",) for i in range(300)], "t string").select("t", X.golden_bucket(F.col("t")).alias("b"))
     assert all(r.b == int(hashlib.sha256(r.t.strip().encode()).hexdigest(), 16) % 10 for r in d.collect())
